@@ -1,6 +1,14 @@
 """The queries of this package and, where SQL can express them, the SQL that they are held against."""
 
-from lodestrata.llm import decontam
+from lodestrata.llm import decontam, langid, lm, quality
 
-QUERIES = {"op9_decontamination": decontam.op9_decontamination}
-ORACLES = {"op9_decontamination": decontam.ORACLE_SQL}
+QUERIES = {
+    "op3_language_id": langid.op3_language_id,
+    "op8_quality_rules": quality.op8_quality_rules,
+    "op9_decontamination": decontam.op9_decontamination,
+    "op10_lm_scoring": lm.op10_lm_scoring,
+}
+ORACLES = {
+    "op8_quality_rules": quality.ORACLE_SQL,
+    "op9_decontamination": decontam.ORACLE_SQL,
+}
