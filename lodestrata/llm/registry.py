@@ -1,14 +1,22 @@
 """The queries of this package and, where SQL can express them, the SQL that they are held against."""
 
-from lodestrata.llm import decontam, langid, lm, quality
+from lodestrata.llm import chat, decontam, langid, licenses, lm, mixing, quality, secrets, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_language_id": langid.op3_language_id,
+    "op4_mixing": mixing.op4_mixing,
+    "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_license_scan": licenses.op7_license_scan,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_lm_scoring": lm.op10_lm_scoring,
 }
 ORACLES = {
+    "op1_warc": warc.ORACLE_SQL,
+    "op6_secret_scan": secrets.ORACLE_SQL,
+    "op7_license_scan": licenses.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,
     "op9_decontamination": decontam.ORACLE_SQL,
 }
