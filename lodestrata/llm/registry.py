@@ -1,12 +1,13 @@
 """The queries of this package and, where SQL can express them, the SQL that they are held against."""
 
-from lodestrata.llm import chat, decontam, langid, licenses, lm, mixing, quality, secrets, warc
+from lodestrata.llm import chat, decontam, langid, licenses, lm, mixing, quality, secrets, simjoin, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_language_id": langid.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
+    "op5_jaccard_join": simjoin.op5_jaccard_join,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_quality_rules": quality.op8_quality_rules,
