@@ -8,8 +8,8 @@ counts of the vocabulary's own segmentation of every training word, smoothed.
 
 Beside it stands a word-unigram base score over the same training texts.
 
-Scale: training words are counted in each task before they are shuffled. The `held` most frequent words (ties by bytes)
-travel to the workers as arrays of fixed size; all other words are looked up in the full count table by a join on a
+Scale: training words are counted in each task before they are shuffled. The most frequent words, `held` of them at
+most and all of those that are as frequent, travel to the workers as arrays of bounded size; all other words are looked up in the full count table by a join on a
 64-bit hash, so every word counts at any vocabulary size.
 
 Defined cases: a null text counts as empty (one token, the end); without training texts N = V = 0 and nothing is known;
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import common, tokens
@@ -207,6 +207,15 @@ def count_pieces(words: DataFrame, path: str) -> dict[bytes, float]:
     return out
 
 
+def _least(counted: DataFrame, held: int) -> int:
+    """The least count of which at most held words have that count or more."""
+    bits = F.least(F.col("n"), F.lit(1 << 20))
+    by_count = counted.groupBy(bits.alias("n")).agg(F.count("*").alias("k"))  # few: counts grow rare as they grow large
+    running = F.sum("k").over(Window.orderBy(F.desc("n")))
+    found = by_count.select("n", running.alias("above")).filter(F.col("above") <= held).agg(F.min("n")).first()[0]
+    return 1 << 62 if found is None else found
+
+
 def score(docs: DataFrame, train: DataFrame, path: str = VOCABULARY, held: int = HELD, text: str = "text") -> DataFrame:
     """docs (its columns less text) with n_tokens, n_known, train_tokens, base_score and score (log10), learnt from train."""
     spark = docs.sparkSession
@@ -217,11 +226,12 @@ def score(docs: DataFrame, train: DataFrame, path: str = VOCABULARY, held: int =
     divisor = n + 0.5 * (v + 1)
     pieces = vocabulary(path)
     weights = count_pieces(counted, path)
-    top = counted.orderBy(F.desc("n"), "word").limit(held).select("hash", "n").toPandas()  # held rows of two longs
-    keys = top["hash"].to_numpy(np.int64).view(np.uint64)
+    least = _least(counted, held)
+    top = counted.filter(F.col("n") >= least).select("hash", "n").toArrow()  # at most held rows of two longs
+    keys = top["hash"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     end_base = math.log10((ends + 0.5) / divisor)
-    shared = spark.sparkContext.broadcast((keys[order], top["n"].to_numpy(np.int64)[order], pieces, {p: weights.get(p, 0) for p in pieces if p in weights}, ends))
+    shared = spark.sparkContext.broadcast((keys[order], top["n"].to_numpy()[order], pieces, {p: weights.get(p, 0) for p in pieces if p in weights}, ends))
     own = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     base = common.without(docs, *own, "_row", "_rest")
     others = [c for c in base.columns if c != text]
