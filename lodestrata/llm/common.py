@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.deploy import ship  # noqa: F401
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a narrow id table (two longs at most) that may be broadcast: about 32 MB.
@@ -50,19 +49,6 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
-def ship(spark: SparkSession) -> None:
-    """Give Python workers this package, once for each Spark context; they may not share the driver's path."""
-    sc, top = spark.sparkContext, Path(__file__).resolve().parents[1]
-    if _own.get("shipped") == sc.applicationId:
-        return
-    handle, path = tempfile.mkstemp(prefix="lodestrata-", suffix=".zip")
-    with os.fdopen(handle, "wb") as f, zipfile.ZipFile(f, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(path)
-    _own["shipped"] = sc.applicationId
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -163,11 +163,11 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """docs, each row repeated as often as the mix takes it, with copy (1, 2, ...)."""
     base = common.without(docs, "copy")
     sized = common.stored(base.select("doc_id", "source", size(F.col("text")).alias("size")), "mix-sizes")
-    u = common.stored(units(sized, **how).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies"), "mix-units")
-    rows = base.withColumn("_n", size(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    taken = rows.join(common.maybe_broadcast(u), same).select(*base.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return taken
+    u = common.stored(units(sized, **how).filter("copies > 0").select("doc_id", "source", "size", "copies"), "mix-units")
+    rows = base.select("doc_id", "source", size(F.col("text")).alias("size"), F.struct(*base.columns).alias("row")).alias("d")
+    same = F.expr("d.doc_id <=> u.doc_id AND d.source <=> u.source AND d.size = u.size")
+    joined = rows.join(common.maybe_broadcast(u).alias("u"), same)
+    return joined.select("d.row.*", F.explode(F.sequence(F.lit(1), F.col("u.copies").cast("int"))).alias("copy"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from lodestrata.llm import common
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOLS_PER_WORD = 0.5
+#: Repeated lines may be this share of a text's lines, a line being taken for eight words.
 DUP_LINE_SHARE = 0.5
 HOST_LIMIT = 0.75
 PRIOR_MIN, PRIOR_MAX = 2.0, 10_000.0
@@ -54,7 +55,7 @@ def _repeats(w: Column) -> Column:
 
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the five counts of text."""
+    """docs with the five counts of text. Of docs' columns those named like a count are replaced."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -105,9 +106,9 @@ def keep(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents that pass the base rules and whose host is not rejected, with docs' own columns.
 
     Rejected hosts are found first; then each text is judged in the scan, so no text is shuffled."""
-    rejected = common.stored(hosts(counts(docs.select(host, "text")), host).filter("rejected").select(F.col("host").alias("_host")), "hosts")
+    rejected = common.stored(hosts(counts(docs.select(host, "text")), host).filter("rejected").select("host"), "hosts")
     passed = counts(docs.select(F.struct(*docs.columns).alias("_d"), F.col("text"))).filter(~base_failed()).select("_d.*")
-    return passed.join(common.maybe_broadcast(rejected), F.col(host).eqNullSafe(F.col("_host")), "left_anti")
+    return passed.alias("d").join(common.maybe_broadcast(rejected).alias("h"), F.col(f"d.{host}").eqNullSafe(F.col("h.host")), "left_anti")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -436,8 +436,8 @@ def deduplicate(docs: DataFrame, rule: Rule = Rule(5, 80)) -> DataFrame:
     """docs with one document of each component: that of the smallest doc_id. Of equal rows one stays; rows with a null doc_id stay."""
     columns = docs.columns
     gone = common.stored(link(docs, rule).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    kept = docs.join(common.maybe_broadcast(gone), F.col("doc_id") == F.col("_id"), "left_anti")
-    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    kept = docs.alias("d").join(common.maybe_broadcast(gone).alias("g"), F.col("d.doc_id") == F.col("g._id"), "left_anti")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         return kept.select(*columns)
     return kept.select(*columns).dropDuplicates()
 
