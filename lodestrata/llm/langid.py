@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton of labelled text per language gives, at any point of a text, the longest piece that occurs in that
-language's text. A text is cut greedily into such longest matches; a language's cost is its number of phrases, each
+language's text. A text is cut greedily into such longest matches, a letter that does not occur being one; a language's cost is its number of phrases, each
 priced at log2 of the length of its labelled text, by character. The language of least cost wins, ties by name.
 
 Texts are normalised: lower case, letters kept, any run of other characters becomes one blank. Long texts are parsed in
@@ -61,7 +61,9 @@ def normalised(points: np.ndarray) -> np.ndarray:
 
 
 def automaton(text: list[int], symbols: int) -> np.ndarray:
-    """Transitions of the suffix automaton of text: state by symbol, -1 where there is none. State 0 is the root."""
+    """Transitions of the suffix automaton of text: state by symbol, -1 where there is none.
+
+    State 0 is the root; the last row has no transition: from there any symbol begins a phrase."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text:
@@ -87,7 +89,7 @@ def automaton(text: list[int], symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nxt), symbols), -1, np.int32)
+    table = np.full((len(nxt) + 1, symbols), -1, np.int32)
     for s, d in enumerate(nxt):
         for c, t in d.items():
             table[s, c] = t
@@ -123,8 +125,9 @@ class Model:
         live = np.searchsorted(-length, -np.arange(steps), "left")  # pieces longer than t
         for k, table in enumerate(self.tables):
             root = table[0]
-            state = np.zeros(len(start), np.int32)
-            count = np.ones(len(start), np.int64)
+            none = len(table) - 1
+            state = np.full(len(start), none, np.int32)
+            count = np.zeros(len(start), np.int64)
             flat, width = table.ravel(), table.shape[1]
             for t in range(steps):
                 n = live[t]
@@ -133,7 +136,7 @@ class Model:
                 new = s < 0
                 if new.any():
                     count[:n] += new
-                    s = np.where(new, np.maximum(root[c], 0), s)
+                    s = np.where(new, np.where(root[c] < 0, none, root[c]), s)
                 state[:n] = s
             out[k, order] = count
         return out

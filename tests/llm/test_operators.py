@@ -146,7 +146,7 @@ def test_phrases_are_longest_matches(monkeypatch):
         got = m.phrases(m.map[norm], np.array([0]), np.array([len(norm)]))[:, 0]
         for k, lang in enumerate(m.langs):
             known = "".join(map(chr, langid.normalised(np.frombuffer(learn[lang][0].encode("utf-32-le"), np.uint32)))) + " "
-            assert got[k] == (brute_phrases("".join(map(chr, norm)), known) if len(norm) else 1)
+            assert got[k] == brute_phrases("".join(map(chr, norm)), known)
 
 
 def test_language_of_held_out_documents(spark, sf):
@@ -463,7 +463,7 @@ def test_lattice_sums_all_segmentations():
 def test_score_cases(spark, odd):
     got = lm.score(odd.select("doc_id", "text", "score"), odd.select("text").limit(0)).collect()
     assert len(got) == odd.count() and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in got)
-    assert [r["n_tokens"] for r in got[:4]] == [1, 1, 1, 1]
+    assert {(r["doc_id"], r["n_tokens"]) for r in got} >= {(1, 1), (None, 1), (2, 1), (3, 1), (4, 2), (5, 60_001)}
     assert lm.score(odd.select("text").limit(0), odd.select("text")).count() == 0
 
 
