@@ -13,8 +13,8 @@ from lodestrata.deploy import ship  # noqa: F401
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a narrow id table (two longs at most) that may be broadcast: about 32 MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a table of ids and a few numbers that may be broadcast: about 40 MB.
+BROADCAST_ROWS = 400_000
 
 _own: dict[str, str] = {}
 

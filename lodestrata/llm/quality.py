@@ -83,13 +83,12 @@ def soft_failed() -> Column:
 def hosts(counted: DataFrame, host: str = "source") -> DataFrame:
     """One row per host: its documents, failures, shrunk rate and whether it is rejected."""
     by_host = counted.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.count_if(base_failed() | soft_failed()).alias("failed"))
-    rate = F.col("failed") / F.col("n")
-    prior = by_host.agg((F.sum("failed") / F.sum("n")).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("n")).alias("w"))
-    m = F.col("m")
-    between = F.col("v") - m * (1 - m) * F.col("w")  # less what sampling adds
-    weight = F.when(between > 0, F.least(F.greatest(m * (1 - m) / between - 1, F.lit(PRIOR_MIN)), F.lit(PRIOR_MAX))).otherwise(PRIOR_MAX)
-    shrunk = (F.col("failed") + m * F.col("k")) / (F.col("n") + F.col("k"))
-    return by_host.crossJoin(F.broadcast(prior.select("m", weight.alias("k")))).select("host", "n", "failed", shrunk.alias("rate"), (shrunk > HOST_LIMIT).alias("rejected"))
+    by_host = common.stored(by_host, "host-counts")
+    m, v, w = by_host.agg(F.sum("failed") / F.sum("n"), F.var_pop(F.col("failed") / F.col("n")), F.avg(1 / F.col("n"))).first()
+    m, between = m or 0.0, (v or 0.0) - (m or 0.0) * (1 - (m or 0.0)) * (w or 0.0)  # less what sampling adds
+    k = min(max(m * (1 - m) / between - 1, PRIOR_MIN), PRIOR_MAX) if between > 0 else PRIOR_MAX
+    shrunk = (F.col("failed") + m * k) / (F.col("n") + k)
+    return by_host.select("host", "n", "failed", shrunk.alias("rate"), (shrunk > HOST_LIMIT).alias("rejected"))
 
 
 def judge(docs: DataFrame, host: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

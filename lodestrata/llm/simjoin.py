@@ -48,8 +48,8 @@ COUNTED, GATHER = 40, 2_000_000
 #: Lists of rare tokens up to this long give pairs.
 LIST = 16
 BLOCK, BLOCK_TOKENS = 768, 2_000_000
-#: Class keys that are broadcast at most (8 bytes each).
-KEYS = 4_000_000
+#: Bits of the filter that names the classes whose tokens are wanted: 16 MB, whatever their number.
+FILTER, PARTS = 27, 8
 
 
 @dataclass(frozen=True)
@@ -302,8 +302,25 @@ def _candidates(signatures: DataFrame, rule: Rule) -> DataFrame:
     return met.groupBy("a1", "a2", "b1", "b2").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("need < 0 OR c >= need").select("a1", "a2", "b1", "b2")
 
 
-def _tokens(docs: DataFrame, rule: Rule, wanted: np.ndarray | None) -> DataFrame:
-    """s1, s2, tokens of the classes whose s1 is wanted (all, if None)."""
+def _filter(classes: DataFrame) -> np.ndarray:
+    """A bit for each leading FILTER bits of s1 that a class has; set in parts on executors, so no keys reach the driver."""
+
+    def mark(table: pa.Table) -> pa.Table:
+        at = (table["s1"].to_numpy().view(U) >> U(64 - FILTER)) & U((1 << (FILTER - PARTS)) - 1)
+        bits = np.zeros(1 << (FILTER - PARTS), bool)
+        bits[at] = True
+        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    keyed = classes.select(F.shiftrightunsigned("s1", 64 - PARTS).alias("part"), "s1")
+    found = keyed.groupBy("part").applyInArrow(mark, "part long, bits binary").toArrow()  # 2^PARTS rows of fixed size
+    out = np.zeros((1 << PARTS, 1 << (FILTER - PARTS - 3)), np.uint8)
+    for part, bits in zip(found["part"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        out[part] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def _tokens(docs: DataFrame, rule: Rule, wanted: np.ndarray) -> DataFrame:
+    """s1, s2, tokens of the classes that the filter lets through: all that are wanted, and a few more."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,9 +332,8 @@ def _tokens(docs: DataFrame, rule: Rule, wanted: np.ndarray | None) -> DataFrame
                 if len(s) < rule.least():
                     continue
                 name = key(s)
-                if name in seen:
-                    continue
-                if wanted is not None and (not len(wanted) or wanted[min(np.searchsorted(wanted, name[0]), len(wanted) - 1)] != name[0]):
+                at = (name[0] & ((1 << 64) - 1)) >> (64 - FILTER)
+                if name in seen or not wanted[at >> 3] >> (7 - (at & 7)) & 1:
                     continue
                 seen.add(name)
                 one.append(name[0])
@@ -418,9 +434,8 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     of_group = classes.join(groups, "node").select("s1", "s2", "node", "n", "label")
     size = of_group.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     dealt = common.stored(of_group.join(size, "label"), "dealt")
-    wanted = np.unique(dealt.select("s1").toArrow()["s1"].to_numpy()) if dealt.count() <= KEYS else None
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = _tokens(docs, rule, wanted).join(dealt, ["s1", "s2"]).withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = _tokens(docs, rule, _filter(dealt)).join(dealt, ["s1", "s2"]).withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = rows.select("label", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "tokens")
     members = members.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
     linked = common.stored(components(_links(members, rule)), "linked")
