@@ -1,33 +1,35 @@
 """Distances, buffers, interpolation and burning of shapes.
 
 Marks are few or many. The exact distance transform is separable: along each column the nearest mark above or below is
-found by a window, then each row takes the minimum of its columns' parabolas within a bounded reach that grows until it
-is proven. Where marks are counted to be few, they are broadcast instead.
+found by a window, then each cell takes the minimum of its row's parabolas, one for each column. Points of an interpolation are broadcast, FEW at a time; of more, the slices' sums or minima are merged.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.grid import Meta, cells
 
-#: Marks or points that may be broadcast.
+#: Points that are broadcast at once.
 FEW = 50_000
 
 
-def _few(marks: DataFrame, what: str) -> DataFrame:
-    n = marks.count()
-    if n > FEW:
-        raise ValueError(f"{n} {what} are more than the {FEW} that may be broadcast")
-    return F.broadcast(marks)
+def _slices(points: DataFrame) -> list[DataFrame]:
+    """points as tables of about FEW rows at most, each to be broadcast by itself."""
+    n = max(1, -(-points.count() // FEW))
+    if n == 1:
+        return [F.broadcast(points)]
+    part = F.pmod(F.xxhash64(*points.columns), F.lit(n))
+    return [F.broadcast(points.filter(part == i)) for i in range(n)]
 
 
 def distance(marks: DataFrame, meta: Meta) -> DataFrame:
     """(r, c, d) of every cell: exact metres to the nearest mark; no rows without marks.
 
-    Column pass: rows to the nearest mark of the same column, by two windows. Row pass: each column's parabola reaches
-    no further than the row's best distance so far, so a cell is sent only to cells it may serve."""
+    Column pass: rows to the nearest mark of the same column, by two windows. Row pass: a row's columns as one array."""
     dx, dy = meta.metres()
     spark = marks.sparkSession
     m = marks.select("r", "c").distinct().withColumn("m", F.col("r"))
@@ -56,18 +58,27 @@ def outside(grid: DataFrame, marks: DataFrame, meta: Meta, buffer_m: float) -> D
 
 def idw(targets: DataFrame, points: DataFrame, power: float = 2.0, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
     """targets (r, c) with v: the inverse-distance mean of all points (r, c, v); distances below 1 count as 1."""
-    p = _few(points.select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("v").alias("_v")), "points")
+    p = points.select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("v").alias("_v"))
     d2 = ((F.col("r") - F.col("_r")) * dy) ** 2 + ((F.col("c") - F.col("_c")) * dx) ** 2
     w = 1 / F.greatest(d2, F.lit(1.0)) ** (power / 2)
-    return targets.select("r", "c").crossJoin(p).groupBy("r", "c").agg((F.sum(w * F.col("_v")) / F.sum(w)).alias("v"))
+    sums = [F.sum(w * F.col("_v")).alias("wv"), F.sum(w).alias("w")]
+    parts = [targets.select("r", "c").crossJoin(x).groupBy("r", "c").agg(*sums) for x in _slices(p)]
+    out = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
+        out = out.groupBy("r", "c").agg(F.sum("wv").alias("wv"), F.sum("w").alias("w"))
+    return out.select("r", "c", (F.col("wv") / F.col("w")).alias("v"))
 
 
 def nearest(left: DataFrame, points: DataFrame, dx: float = 1.0, dy: float = 1.0, keys: tuple[str, ...] = ("r", "c")) -> DataFrame:
     """left's keys with the nearest point's columns and dist; of points as near, the first by ord."""
-    p = _few(points.select(*[F.col(c).alias(f"p_{c}") for c in points.columns]), "points")
+    p = points.select(*[F.col(c).alias(f"p_{c}") for c in points.columns])
     d = F.sqrt(((F.col("r") - F.col("p_r")) * dy) ** 2 + ((F.col("c") - F.col("p_c")) * dx) ** 2)
     best = F.min(F.struct(d.alias("dist"), F.col("p_ord"), *[F.col(f"p_{c}") for c in points.columns if c != "ord"])).alias("b")
-    return left.crossJoin(p).groupBy(*keys).agg(best).select(*keys, "b.*")
+    parts = [left.crossJoin(x).groupBy(*keys).agg(best) for x in _slices(p)]
+    out = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
+        out = out.groupBy(*keys).agg(F.min("b").alias("b"))
+    return out.select(*keys, "b.*")
 
 
 def inside_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:

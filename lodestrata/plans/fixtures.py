@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodestrata.operators.grid import Meta
 
 N = 48
+#: Orders of this value or more stand for deposits.
+CUTOFF = 495_000
 META = Meta(N, N, 500_000.0, 4_000_000.0, 100.0, -100.0, "EPSG:32612")
 
 
@@ -30,8 +32,8 @@ def dem(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def deposits(spark: SparkSession, sf: str) -> DataFrame:
-    """(r, c, ord, name, status, commodity, v) of some orders."""
-    o = table(spark, sf, "orders").filter("o_orderkey % 97 = 0")
+    """(r, c, ord, name, status, commodity, v) of the orders above the cut-off."""
+    o = table(spark, sf, "orders").filter(F.col("o_totalprice") >= CUTOFF)
     return o.select((F.col("o_orderkey") % N).cast("int").alias("r"), (F.col("o_custkey") % N).cast("int").alias("c"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderpriority").alias("status"), F.col("o_orderstatus").alias("commodity"), F.col("o_totalprice").alias("v"))
 
 
@@ -48,5 +50,5 @@ def grid_sql(name: str = "g", n: int = N, flag: str | None = None) -> str:
 DEM_SQL = grid_sql() + ", dem AS (SELECT * FROM g WHERE (r * 7 + c * 3) % 29 <> 0)"
 CELLS_SQL = f"cells AS (SELECT CAST(a.i AS INTEGER) AS r, CAST(b.i AS INTEGER) AS c FROM range({N}) a(i), range({N}) b(i))"
 FULL_SQL = f"{DEM_SQL}, {CELLS_SQL}, f AS (SELECT r, c, v FROM cells LEFT JOIN dem USING (r, c))"
-DEPOSITS_SQL = f"dep AS (SELECT CAST(o_orderkey % {N} AS INTEGER) AS r, CAST(o_custkey % {N} AS INTEGER) AS c, o_orderkey AS ord, CAST(o_orderkey AS VARCHAR) AS name, o_orderpriority AS status, o_orderstatus AS commodity, o_totalprice AS v FROM orders WHERE o_orderkey % 97 = 0)"
+DEPOSITS_SQL = f"dep AS (SELECT CAST(o_orderkey % {N} AS INTEGER) AS r, CAST(o_custkey % {N} AS INTEGER) AS c, o_orderkey AS ord, CAST(o_orderkey AS VARCHAR) AS name, o_orderpriority AS status, o_orderstatus AS commodity, o_totalprice AS v FROM orders WHERE o_totalprice >= {CUTOFF})"
 SCORES_SQL = "sc AS (SELECT doc_id, CAST(quality AS INTEGER) AS label, n_chars / 40000.0::DOUBLE AS score FROM labels JOIN documents USING (doc_id))"

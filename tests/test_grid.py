@@ -103,3 +103,14 @@ def test_polygon_and_line(spark):
 def test_geographic_metres():
     dx, dy = Meta(10, 10, 0, 60.05, 0.01, -0.01, geographic=True).metres()
     assert abs(dx / dy - 0.5) < 0.01 and abs(dy - 1113.2) < 0.1
+
+
+def test_points_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    points = spark.createDataFrame([(int(a), int(b), i, float(v)) for i, (a, b, v) in enumerate(rng.integers(0, 12, (30, 3)))], "r int, c int, ord long, v double")
+    every = grid.cells(spark, Meta(12, 12))
+    run = lambda: (sorted(map(tuple, spatial.nearest(every, points).collect())), array(spatial.idw(every, points), (12, 12)))
+    whole = run()
+    monkeypatch.setattr(spatial, "FEW", 7)
+    parts = run()
+    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1])
