@@ -38,9 +38,9 @@ def _v(rows: DataFrame, digits: int = 6) -> DataFrame:
 # Grids
 
 
-@query(f"WITH {DEM_SQL} SELECT CAST(floor((r + 0.5) * 12 / 48) AS INTEGER) AS r, CAST(floor((c + 0.5) * 12 / 48) AS INTEGER) AS c, round(avg(v), 6) + 0.0 AS v FROM dem GROUP BY 1, 2")
+@query(f"WITH {DEM_SQL} SELECT CAST(floor((r + 0.5) * 12 / 48) AS INTEGER) AS r, CAST(floor((c + 0.5) * 12 / 48) AS INTEGER) AS c, round(avg(v), 8) + 0.0 AS v FROM dem GROUP BY 1, 2")
 def grid_decimate_avg(spark, sf):
-    return _v(grid.decimate(fx.dem(spark, sf), META, 12, 12)[0])
+    return _v(grid.decimate(fx.dem(spark, sf), META, 12, 12)[0], 8)
 
 
 @query(f"WITH {DEM_SQL} SELECT CAST(r - 12 AS INTEGER) AS r, CAST(c - 12 AS INTEGER) AS c, round(v, 9) + 0.0 AS v FROM dem WHERE r BETWEEN 12 AND 35 AND c BETWEEN 12 AND 35")
@@ -80,10 +80,10 @@ def layer_rejection_stats(spark, sf):
 @query(f"""WITH {DEM_SQL}, t AS (SELECT CAST(a.i AS INTEGER) AS r, CAST(b.i AS INTEGER) AS c, (a.i + 0.5) * 48.0 / 30 - 0.5 AS fr, (b.i + 0.5) * 48.0 / 30 - 0.5 AS fc FROM range(30) a(i), range(30) b(i)),
 k AS (SELECT r, c, fr, fc, p.i AS a, q.i AS b FROM t, range(2) p(i), range(2) q(i)),
 n AS (SELECT r, c, (CASE WHEN a = 1 THEN fr - floor(fr) ELSE 1 - fr + floor(fr) END) * (CASE WHEN b = 1 THEN fc - floor(fc) ELSE 1 - fc + floor(fc) END) AS w, greatest(0, least(47, floor(fr) + a)) AS sr, greatest(0, least(47, floor(fc) + b)) AS s_c FROM k)
-SELECT n.r, n.c, round(sum(w * v) / sum(w), 6) + 0.0 AS v FROM n JOIN dem ON dem.r = sr AND dem.c = s_c WHERE w > 1e-12 GROUP BY 1, 2""")
+SELECT n.r, n.c, round(sum(w * v) / sum(w), 8) + 0.0 AS v FROM n JOIN dem ON dem.r = sr AND dem.c = s_c WHERE w > 1e-12 GROUP BY 1, 2""")
 def bilinear_align(spark, sf):
     target = grid.Meta(30, 30, META.x0, META.y0, 160.0, -160.0)
-    return _v(grid.align(fx.dem(spark, sf), META, target))
+    return _v(grid.align(fx.dem(spark, sf), META, target), 8)
 
 
 @query(f"WITH {FULL_SQL} SELECT CAST(r // 5 AS INTEGER) AS r, CAST(c // 5 AS INTEGER) AS c, round(v, 9) + 0.0 AS v FROM f WHERE r % 5 = 0 AND c % 5 = 0 AND v IS NOT NULL")
