@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial
+from inspect import signature
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,8 +163,8 @@ def max_filter(spark, sf):
 
 
 @query(f"WITH {DEPOSITS_SQL}, {CELLS_SQL} SELECT DISTINCT cells.r, cells.c FROM cells JOIN dep ON abs(cells.r - dep.r) + abs(cells.c - dep.c) <= 3")
-def binary_dilation(spark, sf):
-    return terrain.dilate(fx.deposits(spark, sf), META, 3)
+def binary_dilation(spark, sf, points=fx.deposits):
+    return terrain.dilate(points(spark, sf), META, 3)
 
 
 # Coordinates
@@ -210,15 +213,15 @@ def commodity_filter(spark, sf):
 
 
 @query(f"WITH {DEPOSITS_SQL}, x AS (SELECT *, CASE lower(trim(status)) WHEN '1-urgent' THEN 4 WHEN '2-high' THEN 3 WHEN '3-medium' THEN 2 ELSE 1 END AS rank FROM dep) SELECT ord, rank FROM x WHERE rank >= 2")
-def status_rank_filter(spark, sf):
+def status_rank_filter(spark, sf, points=fx.deposits):
     ranks = {"1-urgent": 4, "2-high": 3, "3-medium": 2}
-    return fx.deposits(spark, sf).select("ord", dep.status_rank(F.col("status"), ranks).alias("rank")).filter("rank >= 2")
+    return points(spark, sf).select("ord", dep.status_rank(F.col("status"), ranks).alias("rank")).filter("rank >= 2")
 
 
 @query(f"WITH {DEM_SQL}, {DEPOSITS_SQL} SELECT dep.r, dep.c, ord, round(dem.v, 9) + 0.0 AS v FROM dep JOIN dem USING (r, c) WHERE dep.r BETWEEN 10 AND 40 AND dep.c BETWEEN 5 AND 30")
-def aoi_filter(spark, sf):
-    d = fx.deposits(spark, sf).filter(F.col("r").between(10, 40) & F.col("c").between(5, 30)).select("r", "c", "ord")
-    return fx.dem(spark, sf).join(F.broadcast(d), ["r", "c"]).select("r", "c", "ord", r6("v", 9).alias("v"))
+def aoi_filter(spark, sf, points=fx.deposits, base=fx.dem):
+    d = points(spark, sf).filter(F.col("r").between(10, 40) & F.col("c").between(5, 30)).select("r", "c", "ord")
+    return base(spark, sf).join(F.broadcast(d), ["r", "c"]).select("r", "c", "ord", r6("v", 9).alias("v"))
 
 
 _IF = lambda test, w: f"CASE WHEN {test} THEN {w}::DOUBLE ELSE 0 END"
@@ -234,9 +237,9 @@ def deposit_score(spark, sf):
 
 
 @query(f"WITH {DEPOSITS_SQL}, x AS (SELECT *, CASE WHEN status LIKE '1%' THEN 4 WHEN status LIKE '2%' THEN 3 ELSE 1 END AS rank FROM dep) SELECT r, c, ord, rank FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY rank DESC, ord) AS n FROM x) WHERE n = 1")
-def pixel_dedupe(spark, sf):
+def pixel_dedupe(spark, sf, points=fx.deposits):
     rank = F.expr("CASE WHEN status LIKE '1%' THEN 4 WHEN status LIKE '2%' THEN 3 ELSE 1 END")
-    return dep.dedupe(fx.deposits(spark, sf).withColumn("rank", rank)).select("r", "c", "ord", "rank")
+    return dep.dedupe(points(spark, sf).withColumn("rank", rank)).select("r", "c", "ord", "rank")
 
 
 _QUAD = "(CASE WHEN r >= %s THEN 2 ELSE 0 END + CASE WHEN c >= %s THEN 1 ELSE 0 END)"
@@ -246,16 +249,16 @@ _QUAD = "(CASE WHEN r >= %s THEN 2 ELSE 0 END + CASE WHEN c >= %s THEN 1 ELSE 0
     f"WITH {DEPOSITS_SQL}, q AS (SELECT *, {_QUAD % (24, 24)} AS q FROM dep), k AS (SELECT q, count(*) AS n, sum(count(*)) OVER () AS total FROM q GROUP BY q), "
     "p AS (SELECT q AS pq, total >= 10 AND n <= floor(total / 2) AS ok FROM k ORDER BY abs(n - 0.25 * total), q LIMIT 1) SELECT ord, q, ok AND q = pq AS held FROM q, p"
 )
-def quadrant_holdout(spark, sf):
-    return dep.holdout(fx.deposits(spark, sf), N, N).select("ord", "q", "held")
+def quadrant_holdout(spark, sf, points=fx.deposits):
+    return dep.holdout(points(spark, sf), N, N).select("ord", "q", "held")
 
 
 @query(
     f"WITH {DEPOSITS_SQL}, m AS (SELECT quantile_cont(r, 0.5) AS mr, quantile_cont(c, 0.5) AS mc, count(*) AS total FROM dep), q AS (SELECT dep.*, total, {_QUAD % ('mr', 'mc')} AS q FROM dep, m), "
     "p AS (SELECT q AS pq, total >= 8 AND count(*) >= greatest(2, floor(0.15 * total)) AS ok FROM q GROUP BY q, total ORDER BY count(*) DESC, q LIMIT 1) SELECT ord, q, ok AND q = pq AS held FROM q, p"
 )
-def median_holdout(spark, sf):
-    return dep.holdout_median(fx.deposits(spark, sf)).select("ord", "q", "held")
+def median_holdout(spark, sf, points=fx.deposits):
+    return dep.holdout_median(points(spark, sf)).select("ord", "q", "held")
 
 
 @query(f"WITH {DEPOSITS_SQL}, {DEM_SQL} SELECT 1 AS label, dep.r, dep.c FROM dep JOIN dem USING (r, c) UNION ALL SELECT 0, r, c FROM dem WHERE (r * 31 + c * 17) % 11 = 0")
@@ -271,44 +274,44 @@ _DIST = f"WITH {DEM_SQL}, {CELLS_SQL}, {DEPOSITS_SQL}, d AS (SELECT cells.r, cel
 
 
 @query(_DIST + "SELECT r, c, round(d, 6) + 0.0 AS d FROM d")
-def distance_transform(spark, sf):
-    return spatial.distance(fx.deposits(spark, sf), META).select("r", "c", r6("d").alias("d"))
+def distance_transform(spark, sf, points=fx.deposits):
+    return spatial.distance(points(spark, sf), META).select("r", "c", r6("d").alias("d"))
 
 
 @query(_DIST + "SELECT r, c, round(greatest(0.0, least(1.0, 1 - d / 1000)), 6) + 0.0 AS v FROM d")
-def proximity_linear(spark, sf):
-    return _v(spatial.distance(fx.deposits(spark, sf), META).withColumn("v", spatial.proximity_linear(F.col("d"), 1000.0)))
+def proximity_linear(spark, sf, points=fx.deposits):
+    return _v(spatial.distance(points(spark, sf), META).withColumn("v", spatial.proximity_linear(F.col("d"), 1000.0)))
 
 
 @query(_DIST + "SELECT r, c, round(exp(-d / 2500), 6) + 0.0 AS v FROM d")
-def proximity_exp(spark, sf):
-    return _v(spatial.distance(fx.deposits(spark, sf), META).withColumn("v", spatial.proximity_exp(F.col("d"))))
+def proximity_exp(spark, sf, points=fx.deposits):
+    return _v(spatial.distance(points(spark, sf), META).withColumn("v", spatial.proximity_exp(F.col("d"))))
 
 
 @query(_DIST + "SELECT r, c, round(v, 9) + 0.0 AS v FROM dem JOIN d USING (r, c) WHERE d >= 300")
-def buffer_antijoin(spark, sf):
-    return _v(spatial.outside(fx.dem(spark, sf), fx.deposits(spark, sf), META, 300.0), 9)
+def buffer_antijoin(spark, sf, points=fx.deposits, base=fx.dem):
+    return _v(spatial.outside(base(spark, sf), points(spark, sf), META, 300.0), 9)
 
 
 @query(f"WITH {CELLS_SQL}, {DEPOSITS_SQL}, w AS (SELECT cells.r, cells.c, dep.v, 1 / greatest(((cells.r - dep.r) * 100.0::DOUBLE) ** 2 + ((cells.c - dep.c) * 100.0::DOUBLE) ** 2, 1.0) AS w FROM cells, dep) SELECT r, c, round(sum(w * v) / sum(w), 4) + 0.0 AS v FROM w GROUP BY 1, 2")
-def idw(spark, sf):
-    return _v(spatial.idw(grid.cells(spark, META), fx.deposits(spark, sf), 2.0, 100.0, 100.0), 4)
+def idw(spark, sf, points=fx.deposits):
+    return _v(spatial.idw(grid.cells(spark, META), points(spark, sf), 2.0, 100.0, 100.0), 4)
 
 
 _NEAR = f"WITH {DEM_SQL}, {DEPOSITS_SQL}, n AS (SELECT dem.r, dem.c, dep.name, dep.v AS pv, sqrt(((dem.r - dep.r) * 100.0::DOUBLE) ** 2 + ((dem.c - dep.c) * 100.0::DOUBLE) ** 2) AS d, ord FROM dem, dep), b AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY d, ord) AS k FROM n) "
 
 
 @query(_NEAR + "SELECT r, c, name, round(d / 1000, 2) AS km FROM b WHERE k = 1")
-def nearest_deposit(spark, sf):
-    d = fx.deposits(spark, sf).select("r", "c", "ord", "name")
-    out = spatial.nearest(fx.dem(spark, sf), d, 100.0, 100.0)
+def nearest_deposit(spark, sf, points=fx.deposits, base=fx.dem):
+    d = points(spark, sf).select("r", "c", "ord", "name")
+    out = spatial.nearest(base(spark, sf), d, 100.0, 100.0)
     return out.select("r", "c", F.col("p_name").alias("name"), F.round(F.col("dist") / 1000, 2).alias("km"))
 
 
 @query(_NEAR + "SELECT r, c, round(pv, 4) AS v FROM b WHERE k = 1")
-def nearest_value(spark, sf):
-    d = fx.deposits(spark, sf).select("r", "c", "ord", "v")
-    return spatial.nearest(fx.dem(spark, sf), d, 100.0, 100.0).select("r", "c", F.round("p_v", 4).alias("v"))
+def nearest_value(spark, sf, points=fx.deposits, base=fx.dem):
+    d = points(spark, sf).select("r", "c", "ord", "v")
+    return spatial.nearest(base(spark, sf), d, 100.0, 100.0).select("r", "c", F.round("p_v", 4).alias("v"))
 
 
 _RING = [(500_450.0, 3_999_350.0), (503_950.0, 3_998_850.0), (503_050.0, 3_996_250.0), (501_250.0, 3_997_450.0)]
@@ -549,8 +552,8 @@ def euler_normal_sums(spark, sf):
 
 
 @query(f"WITH {CELLS_SQL}, {DEPOSITS_SQL} SELECT cells.r, cells.c, round(sum((ord % 9 + 1) * CAST(round(dep.v * 100) AS BIGINT))::DOUBLE / sum(ord % 9 + 1), 4) AS v FROM cells JOIN dep ON abs(cells.r - dep.r) <= 4 AND abs(cells.c - dep.c) <= 4 GROUP BY 1, 2")
-def weighted_box_depth(spark, sf):
-    s = fx.deposits(spark, sf).select("r", "c", F.round(F.col("v") * 100).alias("depth"), (F.col("ord") % 9 + 1).cast("double").alias("reliability"))
+def weighted_box_depth(spark, sf, points=fx.deposits):
+    s = points(spark, sf).select("r", "c", F.round(F.col("v") * 100).alias("depth"), (F.col("ord") % 9 + 1).cast("double").alias("reliability"))
     return depth.box_depth(s, META, 4).select("r", "c", F.round("v", 4).alias("v"))
 
 
@@ -577,6 +580,22 @@ def euler_solutions(spark, sf):
     return depth.euler(_field(spark, sf, 5, 400.0), META).select("size", "win_r", "win_c", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("depth", 2).alias("depth"), F.round("reliability", 4).alias("reliability"))
 
 
+# The deposit operators over every order and every cell. They have no SQL: a cross join of them is too slow there, so
+# tests hold them against brute force.
+
+WHOLE = [binary_dilation, status_rank_filter, aoi_filter, pixel_dedupe, quadrant_holdout, median_holdout, distance_transform, proximity_linear, proximity_exp, buffer_antijoin, idw, nearest_deposit, nearest_value, weighted_box_depth]
+for _f in WHOLE:
+    QUERIES[f"{_f.__name__}_all"] = partial(_f, points=fx.all_deposits, **({"base": fx.grid} if "base" in signature(_f).parameters else {}))
+
+
+@query()
+def samples_union_all(spark, sf):
+    """Every deposit on a cell and every background cell."""
+    d = fx.grid(spark, sf)
+    pos = d.join(fx.all_deposits(spark, sf).select("r", "c"), ["r", "c"]).select(F.lit(1).alias("label"), "r", "c")
+    return pos.unionByName(d.select(F.lit(0).alias("label"), "r", "c"))
+
+
 # Targets
 
 

@@ -1,0 +1,57 @@
+"""Queries over whole tables against brute force on a small fixture."""
+
+import numpy as np
+import pytest
+
+from lodestrata.plans import queries as q
+from lodestrata.plans.fixtures import N
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """A folder of 40 orders, 39 of them under the cut-off, and 4,000 lineitems."""
+    rng = np.random.default_rng(7)
+    orders = [(int(k), int(c), "O", round(float(p), 2), "1-URGENT" if i % 2 else "5-LOW") for i, (k, c, p) in enumerate(zip(rng.permutation(2_000)[:40], rng.integers(0, 2_000, 40), [500_000.0, *rng.uniform(1_000, 400_000, 39)], strict=True))]
+    lines = [(int(a), int(b), round(float(p), 2), "ANR"[int(f)]) for a, b, p, f in zip(rng.integers(0, 5_000, 4_000), rng.integers(0, 5_000, 4_000), rng.uniform(900, 90_000, 4_000), rng.integers(0, 3, 4_000), strict=True)]
+    top = tmp_path_factory.mktemp("small")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{top}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_extendedprice double, l_returnflag string").write.parquet(f"{top}/lineitem.parquet")
+    at = [(k % N, c % N, k, p, s) for k, c, _, p, s in orders]
+    return str(top), at, {(a % N, b % N) for a, b, _, _ in lines}
+
+
+def got(spark, small, name):
+    return [tuple(r) for r in q.QUERIES[name](spark, small[0]).collect()]
+
+
+def test_deposit_queries_take_every_order(spark, small):
+    _, at, cells = small
+    every = [(r, c) for r in range(N) for c in range(N)]
+    d = {(r, c): min(np.hypot((r - a) * 100, (c - b) * 100) for a, b, *_ in at) for r, c in every}
+    near = lambda r, c: min(((r - p[0]) ** 2 + (c - p[1]) ** 2, p[2], p) for p in at)[2]
+    close = lambda rows, want, tol=1e-6: len(rows) == len(want) and all(abs(v - want[r, c]) <= tol for r, c, v in rows)
+    run = lambda name: got(spark, small, name)
+    assert close(run("distance_transform_all"), d)
+    assert close(run("proximity_linear_all"), {k: max(0.0, 1 - v / 1000) for k, v in d.items()})
+    assert close(run("proximity_exp_all"), {k: np.exp(-v / 2500) for k, v in d.items()})
+    assert {(r, c) for r, c, _ in run("buffer_antijoin_all")} == {k for k in cells if d[k] >= 300}
+    w = lambda r, c, p: 1 / max(((r - p[0]) * 100) ** 2 + ((c - p[1]) * 100) ** 2, 1.0)
+    assert close(run("idw_all"), {(r, c): sum(w(r, c, p) * p[3] for p in at) / sum(w(r, c, p) for p in at) for r, c in every}, 1e-4)
+    assert {(r, c, n) for r, c, n, _ in run("nearest_deposit_all")} == {(r, c, str(near(r, c)[2])) for r, c in cells}
+    assert close(run("nearest_value_all"), {(r, c): near(r, c)[3] for r, c in cells}, 1e-4)
+    box = {}
+    for r, c in every:
+        inside = [(p[2] % 9 + 1, round(p[3] * 100)) for p in at if abs(r - p[0]) <= 4 and abs(c - p[1]) <= 4]
+        if inside:
+            box[r, c] = sum(a * b for a, b in inside) / sum(a for a, _ in inside)
+    assert close(run("weighted_box_depth_all"), box, 1e-3)
+    assert set(run("binary_dilation_all")) == {k for k in every if any(abs(k[0] - p[0]) + abs(k[1] - p[1]) <= 3 for p in at)}
+    assert {r[:2] for r in run("pixel_dedupe_all")} == {p[:2] for p in at}
+    assert {r[0] for r in run("quadrant_holdout_all")} == {r[0] for r in run("median_holdout_all")} == {p[2] for p in at}
+    assert sorted(run("status_rank_filter_all")) == sorted((p[2], 4) for p in at if p[4] == "1-URGENT")
+    assert {r[2] for r in run("aoi_filter_all")} == {p[2] for p in at if p[:2] in cells and 10 <= p[0] <= 40 and 5 <= p[1] <= 30}
+
+
+def test_samples_union_has_every_cell(spark, small):
+    _, at, cells = small
+    assert sorted(got(spark, small, "samples_union_all")) == sorted([(1, *p[:2]) for p in at if p[:2] in cells] + [(0, *k) for k in cells])
