@@ -557,27 +557,27 @@ def weighted_box_depth(spark, sf, points=fx.deposits):
     return depth.box_depth(s, META, 4).select("r", "c", F.round("v", 4).alias("v"))
 
 
-def _field(spark, sf, n: int, h: float) -> DataFrame:
-    """The field of n poles, h metres under the first deposits."""
-    poles = fx.deposits(spark, sf).orderBy("ord").limit(n).select(F.col("r").alias("a"), F.col("c").alias("b"))
+def _field(spark, sf, h: float) -> DataFrame:
+    """The field of a pole h metres under every deposit; those of one cell add up, so a pole is broadcast once a cell."""
+    poles = fx.all_deposits(spark, sf).groupBy(F.col("r").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n"))
     d2 = ((F.col("r") - F.col("a")) ** 2 + (F.col("c") - F.col("b")) ** 2) * 10_000.0
-    one = 1e8 * h / F.pow(d2 + h * h, 1.5)
+    one = F.col("n") * 1e8 * h / F.pow(d2 + h * h, 1.5)
     return grid.cells(spark, META).crossJoin(F.broadcast(poles)).groupBy("r", "c").agg(F.sum(one).alias("v"))
 
 
 @query()
 def fft_vertical_derivative(spark, sf):
-    return _v(depth.vertical_derivative(_field(spark, sf, 5, 400.0), META))
+    return _v(depth.vertical_derivative(_field(spark, sf, 400.0), META))
 
 
 @query()
 def spectral_depth_map(spark, sf):
-    return depth.spectral_depth(_field(spark, sf, 15, 150.0), META, 24).select("win_r", "win_c", F.round("depth", 4).alias("depth"), F.round("r2", 6).alias("r2"))
+    return depth.spectral_depth(_field(spark, sf, 150.0), META, 24).select("win_r", "win_c", F.round("depth", 4).alias("depth"), F.round("r2", 6).alias("r2"))
 
 
 @query()
 def euler_solutions(spark, sf):
-    return depth.euler(_field(spark, sf, 5, 400.0), META).select("size", "win_r", "win_c", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("depth", 2).alias("depth"), F.round("reliability", 4).alias("reliability"))
+    return depth.euler(_field(spark, sf, 400.0), META).select("size", "win_r", "win_c", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("depth", 2).alias("depth"), F.round("reliability", 4).alias("reliability"))
 
 
 # The deposit operators over every order and every cell. They have no SQL: a cross join of them is too slow there, so
@@ -713,7 +713,7 @@ def pipeline_targets(spark, sf):
 
     d = fx.dem(spark, sf)
     spots = terrain.tpi(d, META, 7).filter("v > 12").select("r", "c", (F.col("r") * N + F.col("c")).cast("long").alias("ord"), F.concat(F.lit("d"), F.col("r")).alias("name"), F.lit(1).alias("rank"))
-    layers = {"a": fx.grid(spark, sf, flag="A"), "magnetics": _field(spark, sf, 5, 400.0)}
+    layers = {"a": fx.grid(spark, sf, flag="A"), "magnetics": _field(spark, sf, 400.0)}
     out = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
     config = pipeline.Config(terrain_scale_m=300.0, trees=5, folds=2, threshold=0.5, separation=3, depth_window=16)
     result = pipeline.run(spark, d, META, spots, layers, f"{out}/prospect-{abs(hash(sf))}", config, "magnetics")

@@ -55,3 +55,10 @@ def test_deposit_queries_take_every_order(spark, small):
 def test_samples_union_has_every_cell(spark, small):
     _, at, cells = small
     assert sorted(got(spark, small, "samples_union_all")) == sorted([(1, *p[:2]) for p in at if p[:2] in cells] + [(0, *k) for k in cells])
+
+
+def test_field_has_every_deposit(spark, small):
+    top, at, _ = small
+    want = lambda r, c: sum(1e8 * 400 / (((r - p[0]) ** 2 + (c - p[1]) ** 2) * 1e4 + 400.0**2) ** 1.5 for p in at)
+    rows = q._field(spark, top, 400.0).collect()
+    assert len(rows) == N * N and all(abs(v - want(r, c)) < 1e-6 for r, c, v in rows)
