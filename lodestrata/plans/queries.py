@@ -186,7 +186,7 @@ def pixel_to_world(spark, sf):
 def utm_to_wgs84(spark, sf):
     x, y = grid.pixel_to_world(META, F.col("r"), F.col("c"))
     lon, lat = crs.to_wgs84(x, y, 32612)
-    return fx.dem(spark, sf).select("r", "c", r6(lon).alias("lon"), r6(lat).alias("lat"))
+    return fx.grid(spark, sf).select("r", "c", r6(lon).alias("lon"), r6(lat).alias("lat"))
 
 
 @query("SELECT o_orderkey, CASE WHEN u BETWEEN -0.02 AND 1.02 THEN round(greatest(0.0, least(1.0, u)), 9) + 0.0 END AS u FROM (SELECT o_orderkey, o_totalprice / 400000.0::DOUBLE AS u FROM orders)")
@@ -329,8 +329,8 @@ def polygon_burn(spark, sf):
 _TB = f"WITH {_grad('100.0')[5:]}, t AS (SELECT s.r, s.c, s.v AS elevation, sqrt(gx * gx + gy * gy) AS slope, CASE WHEN (s.r * 13 + s.c * 7) % 10 = 0 THEN 1 ELSE 0 END AS positive FROM s WHERE s.v IS NOT NULL AND gx IS NOT NULL AND gy IS NOT NULL), " "e AS (SELECT list_sort(list_distinct(quantile_cont(elevation, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]))) AS ee, list_sort(list_distinct(quantile_cont(slope, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]))) AS es FROM t WHERE positive = 0), " "b AS (SELECT r, c, positive, CAST(len(list_filter(ee, lambda x: x <= elevation)) * (len(es) + 1) + len(list_filter(es, lambda x: x <= slope)) AS INTEGER) AS bin FROM t, e) "
 
 
-def _terrain(spark, sf) -> DataFrame:
-    d = fx.dem(spark, sf)
+def _terrain(spark, sf, base=fx.dem) -> DataFrame:
+    d = base(spark, sf)
     t = d.withColumnRenamed("v", "elevation").join(terrain.slope(d, META).withColumnRenamed("v", "slope"), ["r", "c"])
     return t.filter("elevation IS NOT NULL AND slope IS NOT NULL").withColumn("positive", F.expr("CASE WHEN (r * 13 + c * 7) % 10 = 0 THEN 1 ELSE 0 END"))
 
@@ -357,7 +357,7 @@ def terrain_weights(spark, sf):
 
 @query()
 def weighted_background(spark, sf):
-    binned = sampling.terrain_bins(_terrain(spark, sf))
+    binned = sampling.terrain_bins(_terrain(spark, sf, fx.grid))
     w = sampling.terrain_weights(binned)
     pool = binned.filter("positive = 0").join(F.broadcast(w.select("bin", "weight")), "bin")
     return sampling.weighted_sample(pool, 200).select("r", "c")
@@ -370,7 +370,7 @@ def block_tiles(spark, sf):
 
 @query()
 def block_folds(spark, sf):
-    return sampling.folds(fx.dem(spark, sf), N, N).select("r", "c", "block", F.col("fold").cast("int").alias("fold"))
+    return sampling.folds(fx.grid(spark, sf), N, N).select("r", "c", "block", F.col("fold").cast("int").alias("fold"))
 
 
 # Metrics
@@ -670,12 +670,11 @@ def run_summary(spark, sf):
 
 
 def _samples(spark, sf) -> tuple[DataFrame, DataFrame]:
-    d = fx.dem(spark, sf)
+    """Every cell, and every cell with its label: all of them are trained on."""
+    d = fx.grid(spark, sf)
     wide = grid.stack(d.withColumnRenamed("v", "f0"), {"f1": terrain.slope(d, META), "f2": fx.grid(spark, sf, flag="A"), "f3": terrain.tpi(d, META, 7)})
     filled = grid.median_fill(wide, ["f1", "f2", "f3"])
-    rows = filled.withColumn("label", F.expr("CASE WHEN f0 + f3 > 50 THEN 1 ELSE 0 END"))
-    u = sampling.uniform(1, "r", "c")
-    return filled, rows.filter((F.col("label") == 1) | (u < 0.5)).filter(u < 0.8)
+    return filled, filled.withColumn("label", F.expr("CASE WHEN f0 + f3 > 50 THEN 1 ELSE 0 END"))
 
 
 FEATURES = ["f0", "f1", "f2", "f3"]
@@ -711,7 +710,7 @@ def pipeline_targets(spark, sf):
 
     from lodestrata.plans import pipeline
 
-    d = fx.dem(spark, sf)
+    d = fx.grid(spark, sf)
     spots = terrain.tpi(d, META, 7).filter("v > 12").select("r", "c", (F.col("r") * N + F.col("c")).cast("long").alias("ord"), F.concat(F.lit("d"), F.col("r")).alias("name"), F.lit(1).alias("rank"))
     layers = {"a": fx.grid(spark, sf, flag="A"), "magnetics": _field(spark, sf, 400.0)}
     out = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"

@@ -62,3 +62,14 @@ def test_field_has_every_deposit(spark, small):
     want = lambda r, c: sum(1e8 * 400 / (((r - p[0]) ** 2 + (c - p[1]) ** 2) * 1e4 + 400.0**2) ** 1.5 for p in at)
     rows = q._field(spark, top, 400.0).collect()
     assert len(rows) == N * N and all(abs(v - want(r, c)) < 1e-6 for r, c, v in rows)
+
+
+def test_models_see_every_cell(spark, small):
+    every, samples = q._samples(spark, small[0])
+    keys = lambda d: {(r["r"], r["c"]) for r in d.select("r", "c").collect()}
+    assert keys(every) == keys(samples) == small[2] and samples.count() == len(small[2])
+
+
+def test_queries_without_sql_take_every_cell(spark, small):
+    for name in ("utm_to_wgs84", "block_folds"):
+        assert {r[:2] for r in got(spark, small, name)} == small[2]
