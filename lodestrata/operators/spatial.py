@@ -107,3 +107,59 @@ def burn_line(meta: Meta, line: list[tuple[float, float]], grid: DataFrame) -> D
                 highs.append(F.greatest(t, u))
         touched |= ~apart & (F.greatest(*lows) <= F.least(*highs))
     return grid.filter(touched)
+
+
+def segments(parts: DataFrame, closed: bool) -> DataFrame:
+    """(part, ax, ay, bx, by): the sides of parts (part, p: an array of points), with the last to the first if closed."""
+    p, n = F.col("p"), F.size("p")
+    ends = F.slice("p", F.lit(2), n)
+    starts, ends = (p, F.concat(ends, F.slice("p", F.lit(1), F.lit(1)))) if closed else (F.slice("p", F.lit(1), n - 1), ends)
+    side = lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
+    return parts.filter(n > 0).select("part", F.inline(F.zip_with(starts, ends, side)))
+
+
+def _range(low: Column, high: Column, n: int) -> Column:
+    """The whole numbers from low to high that lie in 0 to n - 1."""
+    a, b = (F.greatest(F.lit(0.0), F.least(F.lit(float(n)), F.floor(low).cast("double"))).cast("int"), F.greatest(F.lit(-1.0), F.least(F.lit(n - 1.0), F.floor(high).cast("double"))).cast("int"))
+    return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+
+
+def burn_segments(sides: DataFrame, meta: Meta) -> DataFrame:
+    """The distinct cells that segments touch, as burn_line has them, for any number of segments.
+
+    A segment goes to the rows of its span and, in a row, to the columns of its piece there; both with a cell to spare,
+    then the exact test."""
+    ax, ay, bx, by = (F.col(n) for n in ("ax", "ay", "bx", "by"))
+    fa, fb = (ay - meta.y0) / meta.dy, (by - meta.y0) / meta.dy
+    rows = sides.select("ax", "ay", "bx", "by", F.explode(_range(F.least(fa, fb) - 1, F.greatest(fa, fb) + 1, meta.h)).alias("r"))
+    clip = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    top, bottom = meta.y0 + (F.col("r") - 0.01) * meta.dy, meta.y0 + (F.col("r") + 1.01) * meta.dy
+    t, u = (F.when(ay == by, end).otherwise(clip((edge - ay) / F.nullif(by - ay, F.lit(0.0)))) for edge, end in ((top, 0.0), (bottom, 1.0)))
+    ft, fu = (ax + t * (bx - ax) - meta.x0) / meta.dx, (ax + u * (bx - ax) - meta.x0) / meta.dx
+    at = rows.select("*", F.explode(_range(F.least(ft, fu) - 1, F.greatest(ft, fu) + 1, meta.w)).alias("c"))
+    x0, y1 = meta.x0 + F.col("c") * meta.dx, meta.y0 + F.col("r") * meta.dy
+    lows, highs, apart = [F.lit(0.0)], [F.lit(1.0)], F.lit(False)
+    for a, b, lo, hi in ((ax, bx, x0, x0 + meta.dx), (ay, by, y1 + meta.dy, y1)):
+        t, u = (lo - a) / F.nullif(b - a, F.lit(0.0)), (hi - a) / F.nullif(b - a, F.lit(0.0))
+        apart |= (a == b) & ((a < lo) | (a > hi))
+        lows.append(F.least(t, u))  # null, and so passed over, where the segment does not move along this axis
+        highs.append(F.greatest(t, u))
+    return at.filter(~apart & (F.greatest(*lows) <= F.least(*highs))).select("r", "c").distinct()
+
+
+def fill_rings(sides: DataFrame, meta: Meta) -> DataFrame:
+    """The distinct cells whose centres lie in any ring (part), as inside_ring has them, for any number of rings.
+
+    A ring's crossings of a row are sorted; between the first and the second, the third and the fourth, ... is inside."""
+    ax, ay, bx, by = (F.col(n) for n in ("ax", "ay", "bx", "by"))
+    fa, fb = (ay - meta.y0) / meta.dy - 0.5, (by - meta.y0) / meta.dy - 0.5
+    rows = sides.filter(ay != by).select("*", F.explode(_range(F.least(fa, fb) - 1, F.greatest(fa, fb) + 1, meta.h)).alias("r"))
+    y = meta.y0 + (F.col("r") + 0.5) * meta.dy
+    crossed = rows.filter((ay > y) != (by > y)).select("part", "r", ((bx - ax) * (y - ay) / (by - ay) + ax).alias("x"))
+    lines = crossed.groupBy("part", "r").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # a ring's sides at most
+    pairs = F.transform(F.sequence(F.lit(1), F.size("xs"), F.lit(2)), lambda i: F.struct(F.element_at("xs", i).alias("lo"), F.element_at("xs", i + 1).alias("hi")))
+    spans = lines.select("r", F.inline(pairs))
+    f = lambda x: (x - meta.x0) / meta.dx - 0.5
+    at = spans.select("r", "lo", "hi", F.explode(_range(F.least(f(F.col("lo")), f(F.col("hi"))) - 1, F.greatest(f(F.col("lo")), f(F.col("hi"))) + 1, meta.w)).alias("c"))
+    x = meta.x0 + (F.col("c") + 0.5) * meta.dx
+    return at.filter((x >= F.col("lo")) & (x < F.col("hi"))).select("r", "c").distinct()

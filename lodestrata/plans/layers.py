@@ -48,24 +48,22 @@ def point_layer(points: DataFrame, meta: Meta, valued: bool, decay: float = 5_00
     return grid.cells(spark, meta).join(d, ["r", "c"], "left").select("r", "c", v.alias("v"))
 
 
-def line_layer(lines: list[list[tuple[float, float]]], meta: Meta, spark: SparkSession, decay: float = 2_500.0) -> DataFrame:
-    """exp(-d / decay) from the cells that any line touches."""
-    marks = grid.cells(spark, meta).limit(0)
-    for line in lines:
-        marks = marks.unionByName(spatial.burn_line(meta, line, grid.cells(spark, meta)))
+def _parts(shapes: list[list[tuple[float, float]]], spark: SparkSession) -> DataFrame:
+    rows = [(i, [(float(x), float(y)) for x, y in p]) for i, p in enumerate(shapes)]
+    return spark.createDataFrame(rows, "part long, p array<struct<x:double,y:double>>")
+
+
+def line_layer(lines: list[list[tuple[float, float]]] | DataFrame, meta: Meta, spark: SparkSession, decay: float = 2_500.0) -> DataFrame:
+    """exp(-d / decay) from the cells that any line touches; lines may be a table (part, p)."""
+    parts = lines if isinstance(lines, DataFrame) else _parts(lines, spark)
+    marks = spatial.burn_segments(spatial.segments(parts, False), meta)
     return spatial.distance(marks, meta).select("r", "c", spatial.proximity_exp(F.col("d"), decay).alias("v"))
 
 
-def polygon_layer(rings: list[list[tuple[float, float]]], meta: Meta, spark: SparkSession, decay: float = 2_500.0) -> DataFrame:
-    """1 inside any ring or where its border passes, falling off outside."""
-    x, y = grid.pixel_to_world(meta, F.col("r"), F.col("c"))
-    every = grid.cells(spark, meta)
-    inside = F.lit(False)
-    for ring in rings:
-        inside |= spatial.inside_ring(x, y, ring)
-    marks = every.filter(inside)
-    for ring in rings:
-        marks = marks.unionByName(spatial.burn_line(meta, ring + ring[:1], every))
+def polygon_layer(rings: list[list[tuple[float, float]]] | DataFrame, meta: Meta, spark: SparkSession, decay: float = 2_500.0) -> DataFrame:
+    """1 inside any ring or where its border passes, falling off outside; rings may be a table (part, p)."""
+    sides = spatial.segments(rings if isinstance(rings, DataFrame) else _parts(rings, spark), True)
+    marks = spatial.fill_rings(sides, meta).unionByName(spatial.burn_segments(sides, meta))
     return spatial.distance(marks, meta).select("r", "c", spatial.proximity_exp(F.col("d"), decay).alias("v"))
 
 
@@ -80,9 +78,9 @@ def shapefile_layer(spark: SparkSession, path: str, meta: Meta, value_field: str
         keys = shapes.select(F.explode(F.map_keys("attributes"))).distinct().limit(1_000).collect()
         name = value_field or value_column([r[0] for r in keys])
         v = F.expr("try_cast(attributes['" + name + "'] AS DOUBLE)") if name else F.lit(None).cast("double")
-        p = shapes.select(F.get(F.get("parts", F.lit(0)), F.lit(0)).alias("p"), v.alias("v")).select("p.x", "p.y", "v")
+        p = shapes.select(F.explode("parts").alias("part"), v.alias("v")).select(F.get("part", F.lit(0)).alias("p"), "v").select("p.x", "p.y", "v")
         return point_layer(to_grid_crs(p, meta), meta, name is not None)
-    parts = [[(q["x"], q["y"]) for q in part] for r in shapes.select("parts").limit(10_000).collect() for part in r["parts"]]
+    parts = shapes.withColumn("shape", F.monotonically_increasing_id()).select("shape", F.posexplode("parts").alias("at", "p")).select(F.struct("shape", "at").alias("part"), "p")
     if kinds == {"line"}:
         return line_layer(parts, meta, spark)
     if kinds == {"polygon"}:

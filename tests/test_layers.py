@@ -1,9 +1,12 @@
 """Layers from shapes and points, and the pipeline's checks."""
 
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.operators import grid, spatial
 from lodestrata.operators.grid import Meta
 from lodestrata.plans import layers, pipeline
 from tests.test_grid import array, cells
@@ -75,3 +78,48 @@ def test_ree_grades(spark):
     maps = spark.createDataFrame([(0, 0, 0.1, 0.0), (0, 1, 0.5, 0.0), (0, 2, 0.5, 4.0)], "r int, c int, probability double, th double")
     assert [round(r["v"], 3) for r in layers.ree_grade_map(maps).orderBy("c").collect()] == [0.0, 5.25, 7.15]
     assert maps.filter(F.col("th") > 0).count() == 1
+
+
+def write_shapes(path, kind, shapes):
+    """A .shp of shapes, each a list of parts."""
+    out = b"\0" * 100
+    for parts in shapes:
+        points = [p for part in parts for p in part]
+        xy = struct.pack(f"<{2 * len(points)}d", *[v for p in points for v in p])
+        starts = np.cumsum([0] + [len(p) for p in parts])[:-1].tolist()
+        counts = struct.pack("<i", len(points)) if kind == 8 else struct.pack(f"<2i{len(parts)}i", len(parts), len(points), *starts)
+        body = struct.pack("<i4d", kind, 0, 0, 0, 0) + counts + xy
+        out += struct.pack(">2i", 1, len(body) // 2) + body
+    path.write_bytes(out)
+    return str(path)
+
+
+def test_shapefile_has_every_shape(spark, tmp_path):
+    corner = [[(500_010.0, 3_999_990.0), (500_020.0, 3_999_980.0)]]
+    last = [[(501_910.0, 3_998_090.0), (501_920.0, 3_998_080.0)]]
+    a = array(layers.shapefile_layer(spark, write_shapes(tmp_path / "l.shp", 3, [corner] * 10_001 + [last]), META), (20, 20))
+    assert a[0, 0] == 1 and a[19, 19] == 1 and a[0, 19] < 1
+    box = lambda x, y: [[(x, y), (x + 150, y), (x + 150, y - 150), (x, y - 150), (x, y)]]
+    a = array(layers.shapefile_layer(spark, write_shapes(tmp_path / "p.shp", 5, [box(500_010.0, 3_999_990.0)] * 10_001 + [box(501_810.0, 3_998_190.0)]), META), (20, 20))
+    assert (a[18:, 18:] == 1).all() and a[0, 19] < 1
+
+
+def test_multipoint_has_every_point(spark, tmp_path):
+    path = write_shapes(tmp_path / "m.shp", 8, [[[(500_050.0, 3_999_950.0), (501_950.0, 3_998_050.0)]]])
+    a = array(layers.shapefile_layer(spark, path, META), (20, 20))
+    assert a[0, 0] == 1 and a[19, 19] == 1
+
+
+def test_many_shapes_burn_as_one_does(spark):
+    rng = np.random.default_rng(8)
+    parts = [[tuple(map(float, p)) for p in rng.uniform((499_600, 3_997_600), (502_400, 4_000_400), (n, 2)).round(-2 if n == 4 else 1)] for n in (2, 3, 4, 6)]
+    x, y = grid.pixel_to_world(META, F.col("r"), F.col("c"))
+    every = grid.cells(spark, META)
+    keys = lambda d: {tuple(r) for r in d.collect()}
+    parts += [[(500_050.0, 3_999_050.0), (501_950.0, 3_999_050.0)], [(500_300.0, 3_999_950.0), (500_300.0, 3_998_500.0)]]
+    for part in parts:
+        table = layers._parts([part], spark)
+        assert keys(spatial.burn_segments(spatial.segments(table, False), META)) == keys(spatial.burn_line(META, part, every))
+        assert keys(spatial.fill_rings(spatial.segments(table, True), META)) == keys(every.filter(spatial.inside_ring(x, y, part)))
+    point = spatial.segments(layers._parts([[(500_150.0, 3_999_850.0)] * 2], spark), False)
+    assert keys(spatial.burn_segments(point, META)) == {(1, 1)}
