@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodestrata.operators.grid import Meta
 from lodestrata.operators.terrain import max_filter
 
-#: Local maxima that may be looked at one after another.
-CANDIDATES = 200_000
+#: Candidates that one round looks at.
+BATCH = 10_000
 
 
 def maxima(p: DataFrame, meta: Meta, separation: int, threshold: float) -> DataFrame:
@@ -21,19 +21,29 @@ def maxima(p: DataFrame, meta: Meta, separation: int, threshold: float) -> DataF
 def suppress(candidates: DataFrame, separation: int, k: int = 25) -> DataFrame:
     """rank, r, c, v of up to k candidates, the best first (ties: larger r, then c), each at least separation from all kept.
 
-    k rounds at most, each one bounded row: the best that is left, then those too near it go."""
-    left, kept = candidates, []
-    n = candidates.count()
-    if n > CANDIDATES:
-        raise ValueError(f"{n} candidates: raise the threshold or the separation")
-    rows = candidates.orderBy(F.desc("v"), F.desc("r"), F.desc("c")).collect()  # CANDIDATES at most
-    for row in rows:
-        if all((row["r"] - a) ** 2 + (row["c"] - b) ** 2 >= separation**2 for a, b, _ in kept):
-            kept.append((row["r"], row["c"], row["v"]))
-            if len(kept) == k:
+    k rounds at most, each of the best BATCH rows: the first of them is kept, as what is too near the kept goes before a round."""
+    held = candidates.select(F.col("r").cast("int"), F.col("c").cast("int"), F.col("v").cast("double")).persist()
+    left, kept = held, []
+    best = F.struct("v", "r", "c")
+    try:
+        while len(kept) < k:
+            rows = left.orderBy(F.desc("v"), F.desc("r"), F.desc("c")).limit(BATCH).collect()
+            done = len(kept)
+            for row in rows:
+                if all((row["r"] - a) ** 2 + (row["c"] - b) ** 2 >= separation**2 for a, b, _ in kept):
+                    kept.append((row["r"], row["c"], row["v"]))
+                    if len(kept) == k:
+                        break
+            if len(rows) < BATCH:
                 break
-    schema = "rank int, r int, c int, v double"
-    return left.sparkSession.createDataFrame([(i + 1, int(a), int(b), float(v)) for i, (a, b, v) in enumerate(kept)], schema)
+            for a, b, _ in kept[done:]:
+                left = left.filter((F.col("r") - a) ** 2 + (F.col("c") - b) ** 2 >= separation**2)
+            last = rows[-1]
+            left = left.filter(best < F.struct(F.lit(last["v"]), F.lit(last["r"]), F.lit(last["c"])))
+        schema = "rank int, r int, c int, v double"
+        return candidates.sparkSession.createDataFrame([(i + 1, int(a), int(b), float(v)) for i, (a, b, v) in enumerate(kept)], schema)
+    finally:
+        held.unpersist()
 
 
 def percentile_of(values: DataFrame, targets: DataFrame, names: list[str]) -> DataFrame:

@@ -52,6 +52,21 @@ def test_plateau_gives_separated_targets(spark):
     assert targets.suppress(targets.maxima(p, meta, 5, 0.95), 5).count() == 0
 
 
+def test_any_number_of_candidates(spark, monkeypatch):
+    plateau = spark.range(250_000).selectExpr("CAST(id DIV 500 AS INT) r", "CAST(id % 500 AS INT) c", "1D v")
+    rows = targets.suppress(plateau, 8, 3).collect()
+    assert [(r["rank"], r["r"], r["c"]) for r in rows] == [(1, 499, 499), (2, 499, 491), (3, 499, 483)]
+    rng = np.random.default_rng(6)
+    some = [(int(i // 20), int(i % 20), float(v)) for i, v in enumerate(rng.integers(0, 4, 400))]
+    kept = []
+    for r, c, v in sorted(some, key=lambda x: (-x[2], -x[0], -x[1])):
+        if len(kept) < 9 and all((r - a) ** 2 + (c - b) ** 2 >= 16 for a, b, _ in kept):
+            kept.append((r, c, v))
+    monkeypatch.setattr(targets, "BATCH", 7)
+    got = targets.suppress(spark.createDataFrame(some, "r int, c int, v double"), 4, 9).orderBy("rank").collect()
+    assert [(r["r"], r["c"], r["v"]) for r in got] == kept
+
+
 def test_percentiles_and_csv(spark, tmp_path):
     wide = spark.createDataFrame([(i, float(i), float(-i)) for i in range(100)], "i int, a double, b double")
     top = wide.filter("i = 99").select(F.lit(1).alias("rank"), "a", "b")
