@@ -1,7 +1,8 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
 A text is cut into sentences at line ends and after full stops and the like; a sentence is normalised to its letters and
-digits, lower case, single blanks. Known licence sentences have identifiers. A licence rule is an ordered list of
+digits, lower case, single blanks. A known sentence may also run over single line ends, with comment marks or not, as in
+hard-wrapped texts; of two that begin at one place the longer counts. Known licence sentences have identifiers. A licence rule is an ordered list of
 identifiers; it holds where these occur in a text in that order, others between them allowed.
 
 Scale: one pass over the scan, nothing is shuffled. Only texts with a telling word of the known sentences are cut: each
@@ -14,6 +15,7 @@ row; a text with several licences lists them all, sorted; clashing input columns
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +60,8 @@ RULES = (
     ("ISC", ("isc-grant",)),
     ("Proprietary", ("reserved",)),
 )
-CUT = r"\n|(?<=[.!?;:])[\x20\x09\x0B-\x0D]+"
+SENTENCE_END = r"(?<=[.!?;:])[\x20\x09\x0B-\x0D]+"
+CUT = r"\n|" + SENTENCE_END
 TELLING = ("licens", "permi", "redistribut", "reserved", "contributors", "warranty", "copyright", "software")
 
 
@@ -81,6 +84,12 @@ def sequence(identifier: str) -> list[str]:
     return [known()[s] for s in p]
 
 
+def _any_of(sentences: Iterable[str]) -> str:
+    """A pattern of whole sentences in a marked text, longer ones first; two line ends in a row end a paragraph."""
+    longest = sorted(sentences, key=lambda s: (-len(s), s))
+    return "(?<![a-z0-9 ])(?:" + "|".join(s.replace(" ", "[ N]") for s in longest) + ")(?![a-z0-9 ])"
+
+
 def identify(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with sentence_ids (in order of occurrence) and licenses (sorted names)."""
     ids = known()
@@ -91,8 +100,11 @@ def identify(docs: DataFrame, text: str = "text") -> DataFrame:
     for w in TELLING:
         telling |= F.contains(low, F.lit(w))
     names = F.create_map(*[x for k, v in ids.items() for x in (F.lit(k), F.lit(v))])
-    cut = F.transform(F.split(low, CUT), lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
-    found = F.transform(F.filter(cut, lambda s: s.isin(*ids)), lambda s: F.element_at(names, s))
+    # No capital is left in low: S stands for the end of a sentence, N for that of a line.
+    marked = F.regexp_replace(F.regexp_replace(low, SENTENCE_END, "S"), r"\n", "N")
+    marked = F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9SN]+", " "), " ?([SN]) ?", "$1")
+    cut = F.regexp_extract_all(F.trim(marked), F.lit(_any_of(ids)), F.lit(0))
+    found = F.transform(cut, lambda s: F.element_at(names, F.translate(s, "N", " ")))
     out = common.without(docs, "sentence_ids", "licenses").withColumn("sentence_ids", F.when(telling, found).otherwise(F.array().cast("array<string>")))
     line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
 

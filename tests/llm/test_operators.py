@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -357,6 +358,15 @@ def test_licences(spark, odd):
     assert licenses.identify(odd).count() == odd.count() and licenses.identify(odd.limit(0)).count() == 0
 
 
+def test_wrapped_licences(spark):
+    full, fill = licenses.SENTENCES, lambda s, mark="": "\n".join(mark + x for x in textwrap.wrap(s, 60))
+    many = lambda mark, *keys: f"\n{mark.rstrip()}\n".join(fill(full[k], mark) for k in keys)
+    apache = "\n".join(f"# {x}" for x in ("Licensed under the Apache License, Version 2.0", '(the "License"); you may not use this file except', "in compliance with the License. You may obtain", "a copy of the License at"))
+    texts = {1: many("", "mit-grant", "mit-notice"), 2: many(" * ", "bsd-grant", "bsd-source", "bsd-binary"), 3: many("// ", "gpl-free", "gpl-warranty"), 4: many("# ", "isc-grant"), 5: apache, 6: "All rights\n\nreserved.", 7: "Some text, all\nrights reserved", 8: "x\nAll rights\r\nreserved\ny"}
+    rows = licenses.identify(docs(spark, [(i, t, "s") for i, t in texts.items()])).collect()
+    assert {r["doc_id"]: r["licenses"] for r in rows} == {1: ["MIT"], 2: ["BSD-2-Clause"], 3: ["GPL-3.0-or-later"], 4: ["ISC"], 5: ["Apache-2.0"], 6: [], 7: [], 8: ["Proprietary"]}
+
+
 # op8
 
 
