@@ -418,8 +418,8 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     common.ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = common.stored(_classes(docs, rule), "sets")
-    classes = named.filter("n > 0").groupBy("s1", "s2").agg(F.coalesce(F.min("doc_id"), F.first(F.xxhash64("s1", "s2"))).alias("node"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"))
-    classes = common.stored(classes, "classes")
+    classes = named.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"))
+    classes = common.stored(classes.withColumn("node", F.xxhash64("s1", "s2")), "classes")  # of the set: a doc_id may have several texts
     total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counted = common.stored(_frequent(docs, rule, total), "frequent")
     top = counted.filter(F.col("count") >= _bar(counted)).toArrow()  # FREQUENT rows at most
@@ -439,11 +439,10 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     members = rows.select("label", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "tokens")
     members = members.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
     linked = common.stored(components(_links(members, rule)), "linked")
-    final = classes.join(linked, "node", "left").select("s1", "s2", "first_id", F.coalesce("label", "node").alias("label"))
-    # A label is a class's smallest doc_id but for classes of null ids alone.
-    odd = final.filter(F.col("first_id").isNull()).select("label").distinct()
-    mended = final.join(odd, "label", "left_semi").groupBy("label").agg(F.min("first_id").alias("least"))
-    final = final.join(mended.withColumn("odd", F.lit(True)), "label", "left").select("s1", "s2", F.when(F.col("odd"), F.col("least")).otherwise(F.col("label")).alias("component_id"))
+    final = classes.join(linked, "node", "left").select("s1", "s2", "first_id", "label")
+    # A label is a node; the component is named by its smallest doc_id. A class that links with none has no label.
+    least = final.filter("label IS NOT NULL").groupBy("label").agg(F.min("first_id").alias("least"))
+    final = final.join(least, "label", "left").select("s1", "s2", F.when(F.col("label").isNull(), F.col("first_id")).otherwise(F.col("least")).alias("component_id"))
     return named.join(final, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

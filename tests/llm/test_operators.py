@@ -275,6 +275,15 @@ def test_join_against_brute_force(spark, monkeypatch, k, percent, bar, lst, bloc
     assert order(tuple(r) for r in got) == order(brute_join(rows, k, percent))
 
 
+def test_join_of_a_doc_id_with_many_texts(spark):
+    rng = random.Random(12)
+    bases = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(60)) for _ in range(9)]
+    rows = [(i % 7, family(rng, i, bases[i % 9])[1]) for i in range(90)] + [(None, bases[0])]
+    got = simjoin.link(spark.createDataFrame(rows, "doc_id long, text string"), simjoin.Rule(2, 60)).collect()
+    order = lambda x: sorted(x, key=str)
+    assert order(tuple(r) for r in got) == order(brute_join(rows, 2, 60))
+
+
 def test_join_cases(spark, odd):
     got = simjoin.link(odd)
     assert got.count() == odd.count()
