@@ -32,8 +32,8 @@ from lodestrata.llm import common, tokens
 SAMPLE, EXCERPT, TRAIN = 200, 1_000, 60_000
 SEGMENT = 512
 SCORE_CHARS = 32
-#: Symbols of an automaton: the blank, the most frequent letters, and shared ones for all others.
-LETTERS, SHARED = 96, 24
+#: Alphabets up to this large have dense transitions, larger ones sorted keys.
+LETTERS = 120
 _models: dict[str, Model] = {}
 _letters: list[np.ndarray] = []
 
@@ -60,8 +60,38 @@ def normalised(points: np.ndarray) -> np.ndarray:
     return out
 
 
-def automaton(text: list[int], symbols: int) -> np.ndarray:
-    """Transitions of the suffix automaton of text: state by symbol, -1 where there is none.
+class Sparse:
+    """Transitions by sorted keys state * symbols + symbol."""
+
+    def __init__(self, nxt: list[dict[int, int]], symbols: int):
+        self.rows, self.symbols = len(nxt) + 1, symbols
+        # The last key is beyond all that are looked up.
+        self.keys = np.array([s * symbols + c for s, d in enumerate(nxt) for c in sorted(d)] + [self.rows * symbols], np.int64)
+        self.to = np.array([d[c] for d in nxt for c in sorted(d)] + [-1], np.int32)
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.symbols + symbol
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.to[at], -1)
+
+
+class Dense:
+    """Transitions as a table, state by symbol."""
+
+    def __init__(self, nxt: list[dict[int, int]], symbols: int):
+        self.rows, self.symbols = len(nxt) + 1, symbols
+        table = np.full((self.rows, symbols), -1, np.int32)
+        for s, d in enumerate(nxt):
+            for c, t in d.items():
+                table[s, c] = t
+        self.flat = table.ravel()
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return self.flat[state * self.symbols + symbol]
+
+
+def automaton(text: list[int], symbols: int) -> Dense | Sparse:
+    """Transitions of the suffix automaton of text: from a state by a symbol, -1 where there is none.
 
     State 0 is the root; the last row has no transition: from there any symbol begins a phrase."""
     nxt: list[dict[int, int]] = [{}]
@@ -89,11 +119,7 @@ def automaton(text: list[int], symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nxt) + 1, symbols), -1, np.int32)
-    for s, d in enumerate(nxt):
-        for c, t in d.items():
-            table[s, c] = t
-    return table
+    return (Dense if symbols <= LETTERS else Sparse)(nxt, symbols)
 
 
 class Model:
@@ -107,13 +133,13 @@ class Model:
             if (joined != 32).any():
                 norm[lang] = joined
         self.langs = list(norm)
-        seen, n = np.unique(np.concatenate(list(norm.values())) if norm else np.zeros(0, np.uint32), return_counts=True)
-        common_ = [int(c) for c in seen[np.argsort(-n, kind="stable")] if c != 32][:LETTERS]
-        self.map = (np.arange(0x110000) % SHARED + 1 + LETTERS).astype(np.uint8)
+        seen = np.unique(np.concatenate(list(norm.values()))) if norm else np.zeros(0, np.uint32)
+        seen = seen[seen != 32]
+        unseen = len(seen) + 1
+        self.map = np.full(0x110000, unseen, np.int32)
         self.map[32] = 0
-        for i, c in enumerate(common_):
-            self.map[c] = i + 1
-        self.tables = [automaton(self.map[norm[x]].tolist(), LETTERS + SHARED + 1) for x in self.langs]
+        self.map[seen] = np.arange(1, unseen)
+        self.tables = [automaton(self.map[norm[x]].tolist(), unseen + 1) for x in self.langs]
         self.bits = np.array([np.log2(len(norm[x])) for x in self.langs])
 
     def phrases(self, symbols: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -124,15 +150,14 @@ class Model:
         steps = int(length[0]) if len(length) else 0
         live = np.searchsorted(-length, -np.arange(steps), "left")  # pieces longer than t
         for k, table in enumerate(self.tables):
-            root = table[0]
-            none = len(table) - 1
+            root = table(np.zeros(table.symbols, np.int32), np.arange(table.symbols, dtype=np.int32))
+            none = table.rows - 1
             state = np.full(len(start), none, np.int32)
             count = np.zeros(len(start), np.int64)
-            flat, width = table.ravel(), table.shape[1]
             for t in range(steps):
                 n = live[t]
                 c = symbols[start[:n] + t]
-                s = flat[state[:n] * width + c]
+                s = table(state[:n], c)
                 new = s < 0
                 if new.any():
                     count[:n] += new
@@ -156,7 +181,7 @@ class Model:
             nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             start = ends[row] + nth * SEGMENT
             stop = np.minimum(start + SEGMENT, ends[row + 1])
-            found = self.phrases(self.map[np.concatenate(norm)] if norm else np.zeros(0, np.uint8), start, stop)
+            found = self.phrases(self.map[np.concatenate(norm)] if norm else np.zeros(0, np.int32), start, stop)
             cost = np.stack([np.bincount(row, f, hi - lo) * b for f, b in zip(found, self.bits, strict=True)]) / np.maximum(size, 1) if self.langs else np.zeros((1, hi - lo))
             best = cost.argmin(axis=0)
             share = 1 / np.exp2((cost.min(axis=0) - cost) * SCORE_CHARS).sum(axis=0)

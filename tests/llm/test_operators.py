@@ -127,6 +127,27 @@ def test_long_conversations_are_cut_between_turns(spark, monkeypatch):
 # op3
 
 
+def test_every_letter_has_a_symbol(monkeypatch):
+    rng = random.Random(5)
+    han = [chr(0x4E00 + i) for i in range(2_000)]
+    a, b = ("".join(rng.choice(han[i::2]) for _ in range(20_000)) for i in (0, 1))
+    m = langid.Model({"a": [a], "b": [b]})
+    assert len(set(m.map[[ord(c) for c in set(a + b)]].tolist())) == len(set(a + b))
+    assert m.map[ord("\u9f00")] not in m.map[[ord(c) for c in set(a + b)]]
+    texts = [a[500:540], b[900:940], "\u9f00" * 9]
+    sparse = m.predict(pa.array(texts))
+    assert sparse[0][:2] == ["a", "b"]
+    piece = a[100:140] + b[100:140]
+    known = {a[i:j] for i in range(len(a)) for j in range(i + 1, min(i + 42, len(a)) + 1)}
+    got = m.phrases(m.map[[ord(c) for c in piece]], np.array([0]), np.array([len(piece)]))
+    assert got[0, 0] == brute_phrases(piece, known)
+    monkeypatch.setattr(langid, "LETTERS", 5_000)
+    small = langid.Model({"a": [a[:3_000]], "b": [b[:3_000]]}).predict(pa.array(texts))
+    monkeypatch.setattr(langid, "LETTERS", 5)
+    again = langid.Model({"a": [a[:3_000]], "b": [b[:3_000]]}).predict(pa.array(texts))
+    assert small[0] == again[0] and (small[1] == again[1]).all()
+
+
 def brute_phrases(text, known):
     n, at = 0, 0
     while at < len(text):
