@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 400_000
 
 _own: dict[str, str] = {}
+#: Folders of stored tables, with their sessions.
+_tables: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="lodestrata-")
@@ -32,12 +36,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once to the shared folder and read from there: lineage is cut, and a lost executor costs no recomputation."""
+    """df, written once to the shared folder and read from there: lineage is cut, and a lost executor costs no recomputation.
+
+    The table stays until `release` or `scratch` deletes it, at the latest until the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[path] = spark
+    out.__dict__["_stored_at"] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables whose last reader has run."""
+    for t in tables:
+        path = t.__dict__.get("_stored_at")
+        if path in _tables:
+            _delete(_tables.pop(path), path)
+
+
+@contextmanager
+def scratch(*kept: DataFrame) -> Iterator[list[DataFrame]]:
+    """Deletes the tables that are stored within, but for those in the list that it gives and for kept."""
+    before, keep = set(_tables), list(kept)
+    yield keep
+    stay = {t.__dict__.get("_stored_at") for t in keep}
+    for path in [p for p in _tables if p not in before and p not in stay]:
+        _delete(_tables.pop(path), path)
+
+
+@atexit.register
+def _clear() -> None:
+    for path, spark in _tables.items():
+        _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

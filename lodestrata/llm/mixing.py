@@ -14,7 +14,8 @@ source with a third of all rows is many groups. Draws are hashes of keys and a s
 
 Defined cases: a null text has size 0; documents of size 0 are rounded one by one by their hash; a null source is a
 source of its own, and its documents mix like others; rows that share doc_id, source and size are one unit that gets the
-same number of copies each; a source of size 0 has target 0; an empty table gives no rows.
+same number of copies each; a source of size 0 has target 0; an empty table gives no rows; a very long text is one
+document of its size; an input column named copy is replaced, other columns pass.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from lodestrata.llm import common
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-GROUP = 20_000
+GROUP = 2_000
 FAN = 64
 SEED = 42
 EPS = 1e-9

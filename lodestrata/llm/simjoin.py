@@ -18,11 +18,14 @@ one. Two documents link when 100 * intersection >= percent * union. The join is
 
 Scale: texts are never shuffled; token counts travel as compressed sorted blocks; equal sets are dropped in each task
 before the shuffle; hot lists are streamed with one pivot in memory. A group larger than a block is dealt out as pairs
-of blocks, so no task holds more than two.
+of blocks, so no task holds more than two; blocks hold classes of like size, and only those meet whose sizes can link.
+A component's hubs are broadcast, so no key of the joins is hot.
 
 Defined cases: null or wordless texts have an empty set and link with nothing, not even each other; rows that repeat are
 copies of one another; a null doc_id takes part, and its component_id is the smallest doc_id of its component, null if
-there is none.
+there is none; rows of one doc_id with different texts are documents of their own; a very long text is one set, held
+whole in one task; an empty table gives no rows; clashing names: only doc_id and text are read, and `deduplicate` gives
+the columns of its input back as they were.
 """
 
 from __future__ import annotations
@@ -89,7 +92,7 @@ def key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _classes(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n and the set's key of each document."""
+    """doc_id, a hash of the text, n and the set's key of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,9 +102,9 @@ def _classes(docs: DataFrame, rule: Rule) -> DataFrame:
                 n.append(len(s))
                 one.append(a)
                 two.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["doc_id", "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["doc_id", "h", "n", "s1", "s2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+    return docs.select("doc_id", "text", _text_hash().alias("h")).mapInArrow(run, "doc_id long, h long, n long, s1 long, s2 long")
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -412,17 +415,26 @@ def _links(members: DataFrame, rule: Rule) -> DataFrame:
     return members.mapInArrow(run, "u long, v long")
 
 
-def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document (doc_id, text)."""
+def _text_hash(text: str = "text"):
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
+
+
+def _linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: named, a row for each document (doc_id, h, n, s1, s2), and final, one for each class (s1, s2)
+    with the component's smallest doc_id and its first row (nameless, doc_id, h)."""
     spark = docs.sparkSession
     common.ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = common.stored(_classes(docs, rule), "sets")
-    classes = named.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"))
-    classes = common.stored(classes.withColumn("node", F.xxhash64("s1", "s2")), "classes")  # of the set: a doc_id may have several texts
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h")).alias("first")
+    classes = named.filter("n > 0").groupBy("s1", "s2").agg(first, F.first("n").alias("n"))
+    # A node is a number of the stored row: no two classes share one, whatever their doc_ids.
+    classes = common.stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counted = common.stored(_frequent(docs, rule, total), "frequent")
     top = counted.filter(F.col("count") >= _bar(counted)).toArrow()  # FREQUENT rows at most
+    common.release(counted)
     keys, often = top["key"].to_numpy().view(U), top["count"].to_numpy()
     order = np.argsort(keys)
     frequent = keys[order], np.floor(np.log2(np.maximum(often[order], 1))).astype(np.int8)
@@ -431,29 +443,73 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     a = node.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("node").alias("u"))
     b = node.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("node").alias("v"))
     groups = common.stored(components(edges.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("u", "v")), "groups")
-    of_group = classes.join(groups, "node").select("s1", "s2", "node", "n", "label")
-    size = of_group.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    dealt = common.stored(of_group.join(size, "label"), "dealt")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = _tokens(docs, rule, _filter(dealt)).join(dealt, ["s1", "s2"]).withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = rows.select("label", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "tokens")
+    dealt = common.stored(_deal(classes.join(groups, "node").select("s1", "s2", "node", "n", "label"), rule), "dealt")
+    common.release(groups)
+    rows = _tokens(docs, rule, _filter(dealt)).join(dealt, ["s1", "s2"])
+    members = rows.select("label", F.explode("boxes").alias("box"), "node", "tokens").select("label", "box.i", "box.j", "node", "tokens")
     members = members.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
     linked = common.stored(components(_links(members, rule)), "linked")
-    final = classes.join(linked, "node", "left").select("s1", "s2", "first_id", "label")
-    # A label is a node; the component is named by its smallest doc_id. A class that links with none has no label.
-    least = final.filter("label IS NOT NULL").groupBy("label").agg(F.min("first_id").alias("least"))
-    final = final.join(least, "label", "left").select("s1", "s2", F.when(F.col("label").isNull(), F.col("first_id")).otherwise(F.col("least")).alias("component_id"))
-    return named.join(final, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    common.release(dealt)
+    final = classes.join(linked, "node", "left").select("s1", "s2", "first", "label")
+    # A label is a node; the component is named by its first row. A class that links with none has no label.
+    least = final.filter("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("least"))
+    final = final.join(least, "label", "left").select("s1", "s2", F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("least")).alias("first"))
+    final = common.stored(final, "components")
+    common.release(linked, classes)
+    return named, final
+
+
+def _deal(members: DataFrame, rule: Rule) -> DataFrame:
+    """members (s1, s2, node, n, label) with boxes, the pairs (i, j) of blocks that a class is verified in.
+
+    A group that fits one block is one box. In a larger one a class's band is the power of 100 / percent that its size
+    reaches: classes whose bands differ by more than one cannot link. Bands are dealt to blocks by hash, and a block meets
+    those of its own and of the neighbouring bands."""
+    ratio = 100 / min(rule.percent, 99.9)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio)) + 1e-9).cast("int")
+    banded = members.withColumn("band", band)
+    by = banded.groupBy("label", "band").agg(F.count("*").alias("k"), F.sum("n").alias("t"))
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("t") / BLOCK_TOKENS)).cast("long")
+    whole = by.groupBy("label").agg(F.sum("k").alias("k"), F.sum("t").alias("t"))
+    by = by.withColumn("blocks", blocks).join(whole.select("label", ((F.col("k") <= BLOCK) & (F.col("t") <= BLOCK_TOKENS)).alias("one")), "label")
+    width = lambda step: by.select("label", (F.col("band") - step).alias("band"), F.col("blocks").alias(f"w{step + 1}"))
+    sizes = by.select("label", "band", "one", "blocks").join(width(-1), ["label", "band"], "left").join(width(1), ["label", "band"], "left")
+    at = F.col("band").cast("long") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("blocks"))
+    others = lambda step, n: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda x: (F.col("band") + step).cast("long") * (1 << 32) + x)).otherwise(F.array().cast("array<bigint>"))
+    every = F.concat(others(-1, F.coalesce("w0", F.lit(0).cast("long"))), others(0, F.col("blocks")), others(1, F.coalesce("w2", F.lit(0).cast("long"))))
+    pair = F.transform(every, lambda o: F.struct(F.least(at, o).alias("i"), F.greatest(at, o).alias("j")))
+    single = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+    return banded.join(sizes, ["label", "band"]).select("s1", "s2", "node", "label", F.when(F.col("one"), single).otherwise(pair).alias("boxes"))
+
+
+def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document (doc_id, text)."""
+    with common.scratch() as keep:
+        named, final = _linked(docs, rule)
+        keep += [named, final]
+    return named.join(final, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, rule: Rule = Rule(5, 80)) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id. Of equal rows one stays; rows with a null doc_id stay."""
-    columns = docs.columns
-    gone = common.stored(link(docs, rule).filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    kept = docs.alias("d").join(common.maybe_broadcast(gone).alias("g"), F.col("d.doc_id") == F.col("g._id"), "left_anti")
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        return kept.select(*columns)
-    return kept.select(*columns).dropDuplicates()
+    """docs with one row of each component: that of the smallest doc_id, rows without one last, ties by a hash of the text.
+
+    Rows are told apart by doc_id and text, so a doc_id's other texts stay if they are not copies. Documents with an empty
+    set stay. Of rows that share doc_id and text one stays, empty set or not; only such rows are shuffled with their texts."""
+    with common.scratch() as keep:
+        named, final = _linked(docs, rule)
+        own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h")
+        joined = named.join(final, ["s1", "s2"], "left")
+        gone = common.stored(joined.filter((F.col("n") > 0) & (own != F.col("first"))).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "near-copies")
+        again = common.stored(named.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_id", "_h"), "repeated")
+        keep += [gone, again]
+    rows = docs.select(F.struct(*docs.columns).alias("d")).withColumn("h", _text_hash("d.text"))
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+    kept = rows.join(common.maybe_broadcast(gone), same, "left_anti")
+    if again.isEmpty():
+        return kept.select("d.*")
+    repeated = common.maybe_broadcast(again)
+    one = kept.join(repeated, same, "left_semi").groupBy(F.col("d.doc_id").alias("_id"), "h").agg(F.first("d").alias("d"))
+    return kept.join(repeated, same, "left_anti").select("d.*").unionByName(one.select("d.*"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,6 +305,46 @@ def test_join_of_a_doc_id_with_many_texts(spark):
     assert order(tuple(r) for r in got) == order(brute_join(rows, 2, 60))
 
 
+def test_deduplication_tells_rows_of_a_doc_id_apart(spark):
+    rng = random.Random(13)
+    bases = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(60)) for _ in range(9)]
+    rows = [(i % 7 if i % 11 else None, family(rng, i, bases[i % 9])[1]) for i in range(90)] + [(3, bases[0])] * 3 + [(None, None)] * 2
+    want, seen = collections.Counter(), {}
+    component = brute_classes([t for _, t in rows], 5, 80)
+    for (d, t), c in zip(rows, component):
+        if c is None:
+            want[d, t] = 1
+        else:
+            seen.setdefault(c, []).append((d, t))
+    got = collections.Counter((r["doc_id"], r["text"]) for r in simjoin.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), simjoin.Rule(5, 80)).collect())
+    assert all(n == 1 for n in got.values()) and {k for k in want} <= set(got)
+    for own in seen.values():
+        left = [x for x in set(own) if x in got]
+        assert len(left) == 1 and left[0][0] == min((d for d, _ in own if d is not None), default=None)
+
+
+def brute_classes(texts, k, percent):
+    """A number for each text's component, None for empty sets."""
+    got = brute_join(list(enumerate(texts)), k, percent)
+    return [c if n else None for _, n, c in got]
+
+
+def test_bands_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "BLOCK", 3)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(n, " ".join(words[:n])) for n in range(40, 400, 4)]
+    got = simjoin.link(spark.createDataFrame(rows, "doc_id long, text string"), simjoin.Rule(1, 90)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_join(rows, 1, 90))
+
+
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_EDGES", 3)
+    monkeypatch.setattr(components, "HUBS", 4)
+    edges = [(5, i) for i in range(10, 40)] + [(i, i + 30) for i in range(10, 40)] + [(90, 91), (None, 3)]
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{x: 5 for e in edges[:60] for x in e}, 90: 90, 91: 90}
+
+
 def test_join_cases(spark, odd):
     got = simjoin.link(odd)
     assert got.count() == odd.count()
