@@ -11,12 +11,13 @@ Formatting marks each turn by role and puts a backslash before every control str
 undone. The loss mask covers the assistants' texts, without marks.
 
 Scale: the fold is window functions over one hash partitioning by conversation, which spill. Formatting and reading back
-stream over sorted rows and hold one message, or one chunk of CHUNK characters, at a time; a conversation longer than
-that becomes several chunks, cut between turns, so that none has to fit in memory.
+stream over sorted rows and hold one message and chunks of CHUNK characters in all; a conversation longer than that becomes
+several chunks, cut between turns, so that none has to fit in memory.
 
 Defined cases: a null text is empty; a null role is written as an empty other role; null seq comes first; a null conv_id
 is a conversation of its own; rows with an unknown op are ignored; repeated message events of one message leave the last;
-deltas without a beginning make a message with a null role; an empty log gives no rows.
+deltas without a beginning make a message with a null role; a very long message is one text; clashing names: only the named
+columns are read; an empty log gives no rows.
 """
 
 from __future__ import annotations
@@ -44,6 +45,10 @@ ROWS = 500
 SCHEMA = "conv_id long, chunk int, n_turns long, formatted string, loss_spans array<struct<start:long,end:long>>"
 
 
+def _plain(x: pa.Scalar) -> str:
+    return x.as_py()
+
+
 def escape(text: str) -> str:
     return _ESCAPE.sub(lambda m: "\\" + m[0], text)
 
@@ -103,13 +108,13 @@ def render(pieces: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        chunk = {"conv": None, "no": 0, "turns": 0, "at": 0, "out": [], "loss": []}
+        chunk = {"conv": None, "no": 0, "turns": 0, "at": 0, "out": [], "loss": [], "held": 0}
         message: list = []  # conv, message, role, texts
 
         def close_chunk() -> None:
             if chunk["turns"]:
                 rows.append((chunk["conv"], chunk["no"], chunk["turns"], "".join(chunk["out"]), chunk["loss"]))
-                chunk.update(no=chunk["no"] + 1, turns=0, at=0, out=[], loss=[])
+                chunk.update(no=chunk["no"] + 1, turns=0, held=chunk["held"] + chunk["at"], at=0, out=[], loss=[])
 
         def close_message() -> None:
             if message:
@@ -133,16 +138,17 @@ def render(pieces: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["conv_id", "chunk", "n_turns", "formatted", "loss_spans"])
             rows.clear()
+            chunk["held"] = 0
             return out
 
         for batch in batches:
-            for conv, no, role, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for conv, no, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), map(_plain, batch.column(3)), strict=True):
                 if message and message[:2] == [conv, no]:
                     message[3].append(text)
                 else:
                     close_message()
                     message += [conv, no, role, [text]]
-                if len(rows) >= ROWS or sum(len(r[3]) for r in rows[-1:]) > CHUNK:
+                if len(rows) >= ROWS or chunk["held"] >= CHUNK:
                     yield made()
         close_message()
         close_chunk()
@@ -167,7 +173,7 @@ def digest(formatted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
         for batch in batches:
-            for conv, text, loss in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for conv, text, loss in zip(batch.column(0).to_pylist(), map(_plain, batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 if not now or now[0] != conv:
                     if now:
                         done.append(now)

@@ -6,13 +6,15 @@ window is hit. Hash hits are verified word by word.
 
 Defined cases: a null text has no words; items without words have no windows; equal windows of several items count
 for each of these items; items that share an item_id count once; a null item_id is reported as the text `null`.
-Repeated documents are handled row by row. Input columns that clash with the operator's own are replaced.
+Repeated documents are handled row by row. Input columns that clash with the operator's own are replaced. A very long text
+is scanned whole; an empty table gives no rows, an empty benchmark no hits.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from lodestrata.llm import common, tokens
 
 #: Bytes of benchmark text whose windows are broadcast at once. A larger benchmark takes several passes.
 PASS_BYTES = 16 << 20
+U = np.uint64
 FOLDS = tokens.folding(tokens.PUNCTUATION)
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 OWN = [
@@ -34,25 +37,65 @@ OWN = [
 ]
 
 
-def index(items: list[tuple], window: int) -> dict[int, tuple[np.ndarray, np.ndarray, list[list[tuple[bytes, list[str]]]]]]:
-    """For each window length: a 2^16 filter, the sorted hashes, and the windows (text, items) of each hash."""
-    found: dict[int, dict[int, dict[bytes, set[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-    texts = pa.array([t or "" for _, t in items], pa.string())
+@dataclass(frozen=True)
+class Windows:
+    """The distinct windows of one length: sorted hashes, where the first of each begins, and the numbers of its items."""
+
+    seen: np.ndarray  # a filter by the hashes' leading 16 bits
+    keys: np.ndarray
+    at: np.ndarray
+    ends: np.ndarray
+    items: np.ndarray
+
+
+@dataclass(frozen=True)
+class Index:
+    """All of a benchmark's words as places in one folded text, and its windows by their length: about 30 bytes a word."""
+
+    data: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    names: list[str]
+    windows: dict[int, Windows]
+
+    def text(self, i: int, n: int) -> bytes:
+        return b" ".join(bytes(self.data[a:b]) for a, b in zip(self.start[i : i + n], self.stop[i : i + n], strict=True))
+
+
+def index(names: list, texts: pa.Array, window: int) -> Index:
+    """The index of benchmark items, by whole arrays. Windows are one if two 64-bit hashes of their words agree."""
+    data, start, stop = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+    found: dict[int, list[tuple]] = defaultdict(list)
+    size = words = 0
     for lo, _, b in tokens.blocks(texts, FOLDS):
         h = b.hashes()
-        for n in sorted({min(int(c), window) for c in b.counts if c}):
+        for n in sorted({min(int(c), window) for c in np.unique(b.counts) if c}):
             wh, at = b.windows(h, n)
-            for x, i in zip(wh.tolist(), at.tolist(), strict=True):
-                if n == window or b.counts[b.row[i]] == n:
-                    name = items[lo + b.row[i]][0]
-                    found[n][x][b.text(i, i + n)].add("null" if name is None else str(name))
+            if n < window:
+                whole = b.counts[b.row[at]] == n
+                wh, at = wh[whole], at[whole]
+            second = b.windows(tokens.mix(h ^ U(0xA5A5A5A5A5A5A5A5)), n)[0]
+            found[n].append((wh, second[whole] if n < window else second, (at + words).astype(np.uint32), (b.row[at] + lo).astype(np.uint32)))
+        n_bytes = len(b.raw)
+        data.append(b.data[:n_bytes])
+        start.append((b.start + size).astype(np.uint32))
+        stop.append((b.stop + size).astype(np.uint32))
+        size, words = size + n_bytes, words + len(b.start)
     out = {}
-    for n, by_hash in found.items():
-        keys = np.array(sorted(by_hash), np.uint64)
+    for n, parts in found.items():
+        key, second, at, item = (np.concatenate([x[i] for x in parts]) for i in range(4))
+        order = np.lexsort((item, second, key))
+        key, second, at, item = key[order], second[order], at[order], item[order]
+        same = np.zeros(len(key), bool)
+        same[1:] = (key[1:] == key[:-1]) & (second[1:] == second[:-1])
+        again = np.zeros(len(key), bool)
+        again[1:] = same[1:] & (item[1:] == item[:-1])
+        head = np.flatnonzero(~same[~again])
+        key, at, item = key[~again], at[~again], item[~again]
         seen = np.zeros(1 << 16, bool)
-        seen[keys >> np.uint64(48)] = True
-        out[n] = (seen, keys, [[(t, sorted(i)) for t, i in by_hash[k].items()] for k in keys.tolist()])
-    return out
+        seen[key >> U(48)] = True
+        out[n] = Windows(seen, key[head], at[head], np.append(head, len(key)).astype(np.uint32), item)
+    return Index(np.concatenate(data), np.concatenate(start), np.concatenate(stop), ["null" if x is None else str(x) for x in names], out)
 
 
 def _chars(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -61,27 +104,36 @@ def _chars(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return heads[at]
 
 
-def scan(column: pa.Array, windows: dict, before: tuple[list, list] | None = None) -> tuple[list, list, list, list]:
-    """n_words, n_hit, items and spans of each text; before: items and hit words found by earlier passes."""
+def scan(column: pa.Array, held: Index, before: tuple[list, list] | None = None) -> tuple[list, list, list, list]:
+    """n_words, n_hit, items and spans of each text; before: items and spans that earlier passes found."""
     n_words, n_hit, all_items, all_spans = [], [], [], []
     for lo, _, b in tokens.blocks(column, FOLDS):
         h, hit, items = b.hashes(), np.zeros(len(b.start) + 1, np.int64), defaultdict(set)
-        for n, (seen, keys, listed) in windows.items():
+        for n, w in held.windows.items():
             wh, at = b.windows(h, n)
-            maybe = np.flatnonzero(seen[wh >> np.uint64(48)])
-            pos = np.searchsorted(keys, wh[maybe])
-            same = keys[np.minimum(pos, len(keys) - 1)] == wh[maybe]
+            maybe = np.flatnonzero(w.seen[wh >> U(48)])
+            pos = np.searchsorted(w.keys, wh[maybe])
+            same = w.keys[np.minimum(pos, len(w.keys) - 1)] == wh[maybe]
             for i, k in zip(at[maybe[same]].tolist(), pos[same].tolist(), strict=True):
-                text = b.text(i, i + n)
-                for known, names in listed[k]:
-                    if known == text:
+                text, key = b.text(i, i + n), w.keys[k]
+                while k < len(w.keys) and w.keys[k] == key:  # more than one only where hashes collide
+                    if held.text(int(w.at[k]), n) == text:
                         hit[i] += 1
                         hit[i + n] -= 1
-                        items[int(b.row[i])].update(names)
+                        items[int(b.row[i])].update(held.names[j] for j in w.items[w.ends[k] : w.ends[k + 1]].tolist())
+                    k += 1
         covered = np.cumsum(hit[:-1]) > 0
+        first = None
         if before is not None:
+            first = _chars(b.raw, b.offsets)
             for r in range(b.rows):
-                items[r].update(before[0][lo + r] or ())
+                if before[1][lo + r]:
+                    items[r].update(before[0][lo + r])
+                    a, e = b.ends[r], b.ends[r + 1]
+                    place = _chars(b.raw, b.start[a:e]) - first[r]
+                    starts, stops = (np.array([x[k] for x in before[1][lo + r]]) for k in ("start", "end"))
+                    k = np.searchsorted(starts, place, "right") - 1
+                    covered[a:e] |= (k >= 0) & (place < stops[np.maximum(k, 0)])
         edges = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
         open_, close = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         cuts = b.ends[1:-1]  # a run of hit words that goes on in the next row is two spans
@@ -90,7 +142,7 @@ def scan(column: pa.Array, windows: dict, before: tuple[list, list] | None = Non
         open_, close = np.sort(np.concatenate([open_, np.unique(cuts)])), np.sort(np.concatenate([close, np.unique(cuts)]))
         spans: dict[int, list] = defaultdict(list)
         if len(open_):
-            first = _chars(b.raw, b.offsets)
+            first = _chars(b.raw, b.offsets) if first is None else first
             starts, stops = _chars(b.raw, b.start[open_]), _chars(b.raw, b.stop[close - 1])
             for r, s, e in zip(b.row[open_].tolist(), starts.tolist(), stops.tolist(), strict=True):
                 spans[r].append({"start": s - int(first[r]), "end": e - int(first[r])})
@@ -104,60 +156,37 @@ def scan(column: pa.Array, windows: dict, before: tuple[list, list] | None = Non
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
     """docs with n_words, n_hit, hit_items (sorted) and hit_spans (code points, end exclusive).
 
-    Benchmark texts of up to pass_bytes are held at once; of more, slices by hash of the text are scanned one pass after
-    another and a word is hit if any pass hits it."""
-    spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("string"), F.col("text"))
+    Benchmark texts of up to pass_bytes are held at once; of more, each row goes through one pass for each slice, all in
+    the scan's own tasks: nothing is shuffled, copied or read twice, and a word is hit if any pass hits it. Each pass is a
+    Python worker with its slice's index."""
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text"))
     total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-total // pass_bytes))
-    base = common.without(docs, *[f.name for f in OWN])
-    if passes == 1:
-        return _pass(spark, base, bench, window, text)
-    slices = bench.withColumn("_slice", F.pmod(F.xxhash64("text"), F.lit(passes)))
-    out = base.withColumn("_id", F.monotonically_increasing_id())
-    out = common.stored(out, "decontam")
-    found = None
+    out = common.without(docs, *[f.name for f in OWN])
     for k in range(passes):
-        one = _pass(spark, out.select("_id", text), slices.filter(F.col("_slice") == k).drop("_slice"), window, text).drop(text)
-        found = one if found is None else found.unionByName(one)
-    found = common.stored(found.filter(F.col("n_hit") > 0), "decontam-hits")
-    merged = found.groupBy("_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"), _union(F.flatten(F.collect_list("hit_spans"))).alias("hit_spans"))
-    words = F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(1)))
-    hit_words = F.expr(f"cast(aggregate(hit_spans, 0L, (n, s) -> n + size(regexp_extract_all(substring(`{text}`, cast(s.start + 1 as int), cast(s.end - s.start as int)), '([^\\\\x00-\\\\x2F\\\\x3A-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]+)', 1))) as bigint)")
-    return (
-        out.join(merged, "_id", "left")
-        .withColumn("n_words", words.cast("long"))
-        .withColumn("n_hit", F.coalesce(hit_words, F.lit(0).cast("long")))
-        .withColumn("hit_items", F.coalesce("hit_items", F.array().cast("array<string>")))
-        .withColumn("hit_spans", F.coalesce("hit_spans", F.array().cast(SPAN)))
-        .select(*base.columns, *[f.name for f in OWN])
-    )
-
-
-def _union(spans):
-    """Overlapping spans merged."""
-    none = F.array().cast(SPAN)
-    return F.aggregate(
-        F.array_sort(spans),
-        none,
-        lambda a, s: F.when(
-            (F.size(a) > 0) & (F.element_at(a, -1)["end"] > s["start"]),
-            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(a, F.array(s))),
-    )
+        own = bench if passes == 1 else bench.filter(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
+        out = _pass(out, own, window, text, k > 0)
+    return out
 
 
-def _pass(spark: SparkSession, docs: DataFrame, bench: DataFrame, window: int, text: str) -> DataFrame:
+def _pass(docs: DataFrame, bench: DataFrame, window: int, text: str, again: bool) -> DataFrame:
+    spark = docs.sparkSession
     common.ship(spark)
-    held = spark.sparkContext.broadcast(index([tuple(r) for r in bench.collect()], window))  # at most PASS_BYTES of text
-    schema = T.StructType([*docs.schema.fields, *OWN])
+    items = bench.toArrow()  # a slice: about PASS_BYTES of text
+    names = items["item_id"].to_pylist()
+    held = spark.sparkContext.broadcast(index(names, items["text"].combine_chunks() if items["text"].num_chunks != 1 else items["text"].chunk(0), window))
+    own = [f.name for f in OWN]
+    schema = T.StructType([*[f for f in docs.schema.fields if f.name not in own], *OWN])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = held.value
+        found = held.value
         for batch in batches:
-            n_words, n_hit, items, spans = scan(batch.column(batch.schema.get_field_index(text)), windows)
-            own = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *[f.name for f in OWN]])
+            at = batch.schema.get_field_index
+            before = (batch.column(at("hit_items")).to_pylist(), batch.column(at("hit_spans")).to_pylist()) if again else None
+            n_words, n_hit, items, spans = scan(batch.column(at(text)), found, before)
+            made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+            others = [(c, n) for c, n in zip(batch.columns, batch.schema.names, strict=True) if n not in own]
+            yield pa.RecordBatch.from_arrays([*[c for c, _ in others], *made], names=[*[n for _, n in others], *own])
 
     return docs.mapInArrow(run, schema)
 

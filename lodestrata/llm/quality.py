@@ -16,7 +16,8 @@ with a third of all rows costs no more than another.
 
 Defined cases: a null text has no words and fails; a null host is a host of its own; without rows nothing is returned;
 with one host, or hosts that do not differ, the prior is the overall rate with the weight of PRIOR_MAX documents;
-repeated rows count each; extra columns pass through `keep`, and clashing names are replaced by the operator's own.
+repeated rows count each; extra columns pass through `keep` whatever their names, and those that clash are replaced by the
+operator's own in `judge`; a very long text is counted whole, as arrays of its words in one row.
 """
 
 from __future__ import annotations
@@ -80,9 +81,10 @@ def soft_failed() -> Column:
     return (F.col("n_symbols") > SYMBOLS_PER_WORD * F.col("n_words")) | (F.col("n_dup_lines") > DUP_LINE_SHARE * F.col("n_words") / 8)
 
 
-def hosts(counted: DataFrame, host: str = "source") -> DataFrame:
-    """One row per host: its documents, failures, shrunk rate and whether it is rejected."""
-    by_host = counted.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.count_if(base_failed() | soft_failed()).alias("failed"))
+def hosts(counted: DataFrame, host: str = "source", failed: Column | None = None) -> DataFrame:
+    """One row per host: its documents, failures (of either kind), shrunk rate and whether it is rejected."""
+    failed = base_failed() | soft_failed() if failed is None else failed
+    by_host = counted.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.count_if(failed).alias("failed"))
     by_host = common.stored(by_host, "host-counts")
     m, v, w = by_host.agg(F.sum("failed") / F.sum("n"), F.var_pop(F.col("failed") / F.col("n")), F.avg(1 / F.col("n"))).first()
     m, between = m or 0.0, (v or 0.0) - (m or 0.0) * (1 - (m or 0.0)) * (w or 0.0)  # less what sampling adds
@@ -104,10 +106,16 @@ def judge(docs: DataFrame, host: str = "source", keep: tuple[str, ...] = ("doc_i
 def keep(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents that pass the base rules and whose host is not rejected, with docs' own columns.
 
-    Rejected hosts are found first; then each text is judged in the scan, so no text is shuffled."""
-    rejected = common.stored(hosts(counts(docs.select(host, "text")), host).filter("rejected").select("host"), "hosts")
-    passed = counts(docs.select(F.struct(*docs.columns).alias("_d"), F.col("text"))).filter(~base_failed()).select("_d.*")
-    return passed.alias("d").join(common.maybe_broadcast(rejected).alias("h"), F.col(f"d.{host}").eqNullSafe(F.col("h.host")), "left_anti")
+    Each text is counted once: rows that pass the base rules are stored with their host, of the others only the host and
+    the failure; hosts are then summed from the narrow columns, so no text is shuffled."""
+    rows = docs.select(F.struct(*docs.columns).alias("_d"), F.col("text"), F.col(host).alias("_host"))
+    judged = counts(rows).select("_host", base_failed().alias("_base"), (base_failed() | soft_failed()).alias("_failed"), F.when(~base_failed(), F.col("_d")).alias("_d"))
+    with common.scratch() as keep_:
+        judged = common.stored(judged, "judged")
+        rejected = common.stored(hosts(judged, "_host", F.col("_failed")).filter("rejected").select("host"), "hosts")
+        keep_ += [judged, rejected]
+    passed = judged.filter(~F.col("_base")).select("_d", "_host")
+    return passed.join(common.maybe_broadcast(rejected), F.col("_host").eqNullSafe(F.col("host")), "left_anti").select("_d.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
