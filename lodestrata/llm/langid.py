@@ -4,17 +4,22 @@ A suffix automaton of labelled text per language gives, at any point of a text,
 language's text. A text is cut greedily into such longest matches, a letter that does not occur being one; a language's cost is its number of phrases, each
 priced at log2 of the length of its labelled text, by character. The language of least cost wins, ties by name.
 
-Texts are normalised: lower case, letters kept, any run of other characters becomes one blank. Long texts are parsed in
-segments of SEGMENT characters side by side; a phrase ends where a segment ends, in every language alike.
+Texts are normalised: lower case, letters kept, any run of other characters becomes one blank. The parse of a text is one
+sequence of phrases, however long it is. To walk many places at once, texts are cut into segments of SEGMENT characters,
+each is parsed from its first character on until a phrase begins beyond it, and then segments whose true first phrase
+begins elsewhere are parsed again from there up to the first phrase that both parses share. This is repeated until every
+segment begins where the one before it ended; the result is that of the parse from left to right.
 
-Labelled text: for each language the SAMPLE rows that come first by a hash of doc_id and text, an excerpt of at most
-EXCERPT characters from the middle of each, TRAIN characters in all. These three numbers bound what is learnt from;
-every whole text is predicted.
+Labelled text: for each language the `rows` rows that come first by a hash of the text, an excerpt of at most `excerpt`
+characters from the middle of each. These two numbers bound what is learnt from, and so the automata: a language takes
+about 2 MB, or 120 bytes for each letter and character of labelled text while all tables together stay under DENSE bytes.
+Every whole text is predicted.
 
 score is the share of the winner among the likelihoods 2^-(cost * SCORE_CHARS), 0 to 1.
 
 Defined cases: a null text or one without letters is `und` with score 0; with no labelled rows every text is `und`;
-rows whose lang is null, or whose text has no letters, are not learnt from; repeated rows are predicted row by row.
+rows whose lang is null, or whose text has no letters, are not learnt from; repeated rows are predicted row by row; ties
+go to the first language by name; an empty table gives no rows; input columns named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -29,11 +34,11 @@ from pyspark.sql import types as T
 
 from lodestrata.llm import common, tokens
 
-SAMPLE, EXCERPT, TRAIN = 200, 1_000, 60_000
+ROWS, EXCERPT = 200, 300
 SEGMENT = 512
 SCORE_CHARS = 32
-#: Alphabets up to this large have dense transitions, larger ones sorted keys.
-LETTERS = 120
+#: Bytes of all languages' transitions as tables; beyond it they are sorted keys.
+DENSE = 96_000_000
 _models: dict[str, Model] = {}
 _letters: list[np.ndarray] = []
 
@@ -90,10 +95,8 @@ class Dense:
         return self.flat[state * self.symbols + symbol]
 
 
-def automaton(text: list[int], symbols: int) -> Dense | Sparse:
-    """Transitions of the suffix automaton of text: from a state by a symbol, -1 where there is none.
-
-    State 0 is the root; the last row has no transition: from there any symbol begins a phrase."""
+def automaton(text: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of text, by state; state 0 is the root."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text:
@@ -119,7 +122,38 @@ def automaton(text: list[int], symbols: int) -> Dense | Sparse:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return (Dense if symbols <= LETTERS else Sparse)(nxt, symbols)
+    return nxt
+
+
+def _walk(table: Dense | Sparse, symbols: np.ndarray, lanes: np.ndarray, entry: np.ndarray, stop: np.ndarray, leave: np.ndarray, mark: np.ndarray) -> None:
+    """Parse the segments `lanes` from their entries on. Places where phrases begin are marked, others unmarked; a lane ends
+    where a phrase begins at or beyond its stop, which becomes its leave, or at a mark: from there on it was parsed before."""
+    root = table(np.zeros(table.symbols, np.int32), np.arange(table.symbols, dtype=np.int32))
+    root = np.where(root < 0, table.rows - 1, root).astype(np.int32)  # a letter that does not occur is a phrase
+    at = entry[lanes]
+    mark[at] = True
+    state, at, ends = root[symbols[at]], at + 1, stop[lanes]
+    while len(lanes):
+        c = symbols[at]
+        state = table(state, c)
+        new = np.flatnonzero(state < 0)
+        if len(new):
+            state[new] = root[c[new]]
+            here = at[new]
+            over = here >= ends[new]
+            gone = over | mark[here]
+            leave[lanes[new[over]]] = here[over]
+            own = (at < ends) & mark[at]
+            own[new] = False
+            mark[at[own]] = False
+            mark[here[~gone]] = True
+            if gone.any():
+                stay = np.ones(len(lanes), bool)
+                stay[new[gone]] = False
+                lanes, state, at, ends = lanes[stay], state[stay], at[stay], ends[stay]
+        else:
+            mark[at[at < ends]] = False
+        at = at + 1
 
 
 class Model:
@@ -129,41 +163,51 @@ class Model:
         norm = {}
         for lang in sorted(texts):
             parts = [normalised(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)) for t in texts[lang]]
-            joined = np.concatenate([x for p in parts for x in (p, np.array([32], np.uint32))])[:TRAIN]
+            joined = np.concatenate([x for p in parts for x in (p, np.array([32], np.uint32))])
             if (joined != 32).any():
                 norm[lang] = joined
         self.langs = list(norm)
         seen = np.unique(np.concatenate(list(norm.values()))) if norm else np.zeros(0, np.uint32)
         seen = seen[seen != 32]
         unseen = len(seen) + 1
+        self.end = unseen + 1  # stands after each text; no state has a transition by it or by an unseen letter
         self.map = np.full(0x110000, unseen, np.int32)
         self.map[32] = 0
         self.map[seen] = np.arange(1, unseen)
-        self.tables = [automaton(self.map[norm[x]].tolist(), unseen + 1) for x in self.langs]
+        made = [automaton(self.map[norm[x]].tolist()) for x in self.langs]
+        dense = 4 * (self.end + 1) * sum(len(m) + 1 for m in made) <= DENSE
+        self.tables = [(Dense if dense else Sparse)(m, self.end + 1) for m in made]
         self.bits = np.array([np.log2(len(norm[x])) for x in self.langs])
 
-    def phrases(self, symbols: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Phrases of each piece symbols[start:stop] in each language."""
-        order = np.argsort(start - stop, kind="stable")  # longest first
-        start, length = start[order], (stop - start)[order]
-        out = np.zeros((len(self.langs), len(start)), np.int64)
-        steps = int(length[0]) if len(length) else 0
-        live = np.searchsorted(-length, -np.arange(steps), "left")  # pieces longer than t
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each text (symbols) in each language."""
+        size = np.array([len(t) for t in texts], np.int64)
+        symbols = np.concatenate([x for t in texts for x in (t, np.array([self.end], np.int32))]) if texts else np.zeros(0, np.int32)
+        begin = np.cumsum(size + 1) - size - 1
+        pieces = -(-size // SEGMENT)
+        first = np.cumsum(pieces) - pieces
+        nth = np.arange(pieces.sum()) - np.repeat(first, pieces)
+        start = np.repeat(begin, pieces) + nth * SEGMENT
+        stop = np.minimum(start + SEGMENT, np.repeat(begin + size, pieces))
+        out = np.zeros((len(self.langs), len(texts)), np.int64)
         for k, table in enumerate(self.tables):
-            root = table(np.zeros(table.symbols, np.int32), np.arange(table.symbols, dtype=np.int32))
-            none = table.rows - 1
-            state = np.full(len(start), none, np.int32)
-            count = np.zeros(len(start), np.int64)
-            for t in range(steps):
-                n = live[t]
-                c = symbols[start[:n] + t]
-                s = table(state[:n], c)
-                new = s < 0
-                if new.any():
-                    count[:n] += new
-                    s = np.where(new, np.where(root[c] < 0, none, root[c]), s)
-                state[:n] = s
-            out[k, order] = count
+            mark = np.zeros(len(symbols) + 1, bool)
+            entry, leave = start.copy(), stop.copy()
+            _walk(table, symbols, np.arange(len(start)), entry, stop, leave, mark)
+            while True:
+                true = np.where(nth > 0, np.concatenate([[0], leave[:-1]]), start) if len(start) else start
+                wrong = np.flatnonzero(entry != true)
+                if not len(wrong):
+                    break
+                entry[wrong] = true[wrong]
+                for s, a, b in zip(start[wrong].tolist(), entry[wrong].tolist(), stop[wrong].tolist(), strict=True):
+                    mark[s : min(a, b)] = False
+                beyond = entry[wrong] >= stop[wrong]
+                leave[wrong[beyond]] = entry[wrong[beyond]]
+                again = wrong[~beyond]
+                _walk(table, symbols, again[~mark[entry[again]]], entry, stop, leave, mark)
+            total = np.concatenate([[0], np.cumsum(mark[:-1])])
+            out[k] = total[begin + size] - total[begin]
         return out
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -175,14 +219,8 @@ class Model:
             norm = [normalised(points[a:b]) for a, b in zip(heads[:-1], heads[1:], strict=True)]
             size = np.array([len(x) for x in norm])
             has = np.array([bool((x != 32).any()) for x in norm]) & bool(self.langs)
-            ends = np.concatenate([[0], np.cumsum(size)])
-            pieces = np.maximum(1, -(-size // SEGMENT)) * has
-            row = np.repeat(np.arange(hi - lo), pieces)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            start = ends[row] + nth * SEGMENT
-            stop = np.minimum(start + SEGMENT, ends[row + 1])
-            found = self.phrases(self.map[np.concatenate(norm)] if norm else np.zeros(0, np.int32), start, stop)
-            cost = np.stack([np.bincount(row, f, hi - lo) * b for f, b in zip(found, self.bits, strict=True)]) / np.maximum(size, 1) if self.langs else np.zeros((1, hi - lo))
+            found = self.phrases([self.map[x] if h else np.zeros(0, np.int32) for x, h in zip(norm, has, strict=True)])
+            cost = found * self.bits[:, None] / np.maximum(size, 1) if self.langs else np.zeros((1, hi - lo))
             best = cost.argmin(axis=0)
             share = 1 / np.exp2((cost.min(axis=0) - cost) * SCORE_CHARS).sum(axis=0)
             names += [self.langs[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)]
@@ -190,24 +228,24 @@ class Model:
         return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
-def sample(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
-    """Excerpts of at most SAMPLE rows for each language; reruns agree."""
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    order = F.xxhash64(F.col("doc_id"), F.col(text))
-    middle = F.substring(F.col(text), (F.greatest(F.lit(0), (F.length(text) - EXCERPT) / 2) + 1).cast("int"), F.lit(EXCERPT))
-    narrow = rows.select(F.col(lang).alias("lang"), order.alias("o"), middle.alias("t"))
-    first = narrow.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "t"))).filter(F.col("n") <= SAMPLE)
+def sample(labelled: DataFrame, rows: int = ROWS, excerpt: int = EXCERPT, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
+    """Excerpts of at most `rows` rows for each language; reruns agree, and only text and lang take part."""
+    some = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    middle = F.substring(F.col(text), (F.greatest(F.lit(0), (F.length(text) - excerpt) / 2) + 1).cast("int"), F.lit(excerpt))
+    narrow = some.select(F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("o"), middle.alias("t"))
+    first = narrow.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "t"))).filter(F.col("n") <= rows)
     out: dict[str, list[str]] = {}
-    for r in sorted(first.select("lang", "n", "t").collect()):  # SAMPLE excerpts for each language
+    for r in sorted(first.select("lang", "n", "t").collect()):  # `rows` excerpts for each language
         out.setdefault(r["lang"], []).append(r["t"])
     return out
 
 
-def identify(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score, learnt from labelled (doc_id, text, lang)."""
+def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", rows: int = ROWS, excerpt: int = EXCERPT) -> DataFrame:
+    """docs with lang_pred and score, learnt from labelled (text, lang): at most `rows` excerpts of `excerpt` characters for
+    each language."""
     spark = docs.sparkSession
     common.ship(spark)
-    learnt = sample(labelled)
+    learnt = sample(labelled, rows, excerpt)
     shared = spark.sparkContext.broadcast(learnt)
     key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)}"
     base = common.without(docs, "lang_pred", "score")
@@ -230,5 +268,5 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFr
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", common.doc_mod(4) == 2)
-    out = identify(docs.select("doc_id", "text", "held_out"), docs.filter(~F.col("held_out")).select("doc_id", "text", "lang"))
+    out = identify(docs.select("doc_id", "text", "held_out"), docs.filter(~F.col("held_out")).select("text", "lang"))
     return out.select("doc_id", "held_out", "lang_pred", "score")

@@ -139,11 +139,11 @@ def test_every_letter_has_a_symbol(monkeypatch):
     assert sparse[0][:2] == ["a", "b"]
     piece = a[100:140] + b[100:140]
     known = {a[i:j] for i in range(len(a)) for j in range(i + 1, min(i + 42, len(a)) + 1)}
-    got = m.phrases(m.map[[ord(c) for c in piece]], np.array([0]), np.array([len(piece)]))
-    assert got[0, 0] == brute_phrases(piece, known)
-    monkeypatch.setattr(langid, "LETTERS", 5_000)
+    got = m.phrases([m.map[[ord(c) for c in piece]]])
+    assert got[0, 0] == brute_phrases(piece, known) and isinstance(m.tables[0], langid.Sparse)
+    monkeypatch.setattr(langid, "DENSE", 1 << 40)
     small = langid.Model({"a": [a[:3_000]], "b": [b[:3_000]]}).predict(pa.array(texts))
-    monkeypatch.setattr(langid, "LETTERS", 5)
+    monkeypatch.setattr(langid, "DENSE", 5)
     again = langid.Model({"a": [a[:3_000]], "b": [b[:3_000]]}).predict(pa.array(texts))
     assert small[0] == again[0] and (small[1] == again[1]).all()
 
@@ -158,17 +158,40 @@ def brute_phrases(text, known):
     return n
 
 
-def test_phrases_are_longest_matches(monkeypatch):
-    rng = random.Random(4)
-    learn = {"a": ["".join(rng.choice("abc ") for _ in range(300))], "b": ["".join(rng.choice("bcd ") for _ in range(300))]}
+def own_normal(text):
+    return re.sub("[^a-zà-ÿ]+", " ", text.lower()).lstrip(" ")
+
+
+@pytest.mark.parametrize("segment", [1, 3, 7, 512])
+def test_phrases_are_longest_matches(monkeypatch, segment):
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    rng = random.Random(segment)
+    learn = {"a": ["".join(rng.choice("abc ") for _ in range(300)) + "a" * 30], "b": ["".join(rng.choice("bcd ") for _ in range(300))]}
+    m = langid.Model(learn)
+    texts = ["".join(rng.choice("abcdx ") for _ in range(rng.randint(0, 90))) for _ in range(60)] + ["a" * 200, learn["a"][0] * 2, "x" * 50, "", "abab" * 40]
+    norm = [langid.normalised(np.frombuffer(t.encode("utf-32-le"), np.uint32)) for t in texts]
+    got = m.phrases([m.map[x] for x in norm])
+    for k, lang in enumerate(m.langs):
+        known = own_normal(learn[lang][0]) + " "
+        assert got[k].tolist() == [brute_phrases(own_normal(t), known) for t in texts]
+
+
+def test_predictions_against_brute_force(spark, sf, monkeypatch):
+    """Cost, winner and score of whole documents by a plain parse."""
+    monkeypatch.setattr(langid, "SEGMENT", 64)
+    learn = {"en": ["the cat and the dog went to the house of a friend"], "de": ["die katze und der hund gingen in das haus von einem freund"], "fr": ["le chat et le chien sont dans la maison de mon ami"]}
     m = langid.Model(learn)
-    for _ in range(50):
-        text = "".join(rng.choice("abcdx ") for _ in range(rng.randint(1, 80)))
-        norm = langid.normalised(np.frombuffer(text.encode("utf-32-le"), np.uint32))
-        got = m.phrases(m.map[norm], np.array([0]), np.array([len(norm)]))[:, 0]
-        for k, lang in enumerate(m.langs):
-            known = "".join(map(chr, langid.normalised(np.frombuffer(learn[lang][0].encode("utf-32-le"), np.uint32)))) + " "
-            assert got[k] == brute_phrases("".join(map(chr, norm)), known)
+    texts = [r["text"] for r in common.table(spark, sf, "documents").orderBy("doc_id").limit(40).collect()]
+    texts = [t if t is None else re.sub("[^a-zA-Zà-ÿ ]", "-", t) for t in texts]
+    names, scores = m.predict(pa.array(texts, pa.string()))
+    for t, name, score in zip(texts, names, scores):
+        x = own_normal(t or "")
+        if not x.strip():
+            assert name == "und" and score == 0
+            continue
+        cost = {k: brute_phrases(x, own_normal(v[0]) + " ") * math.log2(len(own_normal(v[0])) + 1) / len(x) for k, v in learn.items()}
+        best = min(sorted(cost), key=cost.get)
+        assert name == best and math.isclose(score, 1 / sum(2 ** ((cost[best] - c) * langid.SCORE_CHARS) for c in cost.values()), rel_tol=1e-9)
 
 
 def test_language_of_held_out_documents(spark, sf):
