@@ -545,22 +545,96 @@ def test_scores_against_brute_force(spark, sf, held):
         assert r["score"] < 0
 
 
-def test_lattice_sums_all_segmentations():
-    rng = random.Random(12)
-    pieces = [bytes([b]) for b in range(256)] + [b" a", b" ab", b"bc", b"abc", b"ca", " é".encode()]
-    m = lm.Pieces(pieces, {p: rng.randint(0, 9) for p in pieces}, 5)
+PIECES = [bytes([b]) for b in range(256)] + [b" a", b" ab", b"bc", b"abc", b"ca", " é".encode()]
+
+
+def packed(words):
+    data = np.frombuffer(b" " + b" ".join(words) + b" " * 8, np.uint8)
+    stop = np.cumsum([len(w) + 1 for w in words])
+    return data, stop - [len(w) for w in words], stop
 
-    def total(s):
-        return 1.0 if not s else sum(math.exp(m.logp[p]) * total(s[len(p) :]) for p in pieces if s.startswith(p))
 
-    words = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))).encode() for _ in range(60)] + [b"a" * 100]
-    data = np.frombuffer(b" ".join(words) + b" " * 8, np.uint8)
-    stop = np.cumsum([len(w) + 1 for w in words]) - 1
-    got = m.many(data, stop - [len(w) for w in words], stop)
+def paths(s):
+    """All segmentations of s."""
+    return [[]] if not s else [[p, *rest] for p in PIECES if s.startswith(p) for rest in paths(s[len(p) :])]
+
+
+def test_lattice_sums_all_segmentations():
+    rng = random.Random(12)
+    m = lm.Pieces(PIECES, np.array([float(rng.randint(0, 9)) for _ in PIECES]), 5)
+    p = {x: math.exp(m.logp[i]) for i, x in enumerate(PIECES)}
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))).encode() for _ in range(60)] + [b"a" * 100, b"abc" * 30]
+    got = m.many(*packed(words))
     for w, x in zip(words, got):
         assert math.isclose(x, m.one(b" " + w), rel_tol=1e-9)
         if len(w) < 12:
-            assert math.isclose(math.exp(x), total(b" " + w), rel_tol=1e-9)
+            assert math.isclose(math.exp(x), sum(math.prod(p[y] for y in path) for path in paths(b" " + w)), rel_tol=1e-9)
+
+
+def test_expected_counts_of_pieces(monkeypatch):
+    rng = random.Random(14)
+    m = lm.Pieces(PIECES, np.array([float(rng.randint(0, 9)) for _ in PIECES]), 5)
+    p = {x: math.exp(m.logp[i]) for i, x in enumerate(PIECES)}
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))).encode() for _ in range(40)]
+    times = np.array([rng.randint(1, 5) for _ in words], float)
+    want, total = np.zeros(len(PIECES)), 0.0
+    for w, n in zip(words, times):
+        some = [(math.prod(p[y] for y in path), path) for path in paths(b" " + w)]
+        whole = sum(x for x, _ in some)
+        total += n * math.log(whole)
+        for x, path in some:
+            for y in path:
+                want[PIECES.index(y)] += n * x / whole
+    for matrix in (lm.MATRIX, 3):
+        monkeypatch.setattr(lm, "MATRIX", matrix)
+        got, log = m.expect(*packed(words), times)
+        assert np.allclose(got, want, rtol=1e-7, atol=1e-9) and math.isclose(log, total, rel_tol=1e-9)
+
+
+def test_rounds_raise_the_likelihood(spark, sf):
+    texts = common.table(spark, sf, "documents").filter("text IS NOT NULL").select("text", common.doc_mod(5).alias("k"))
+    train, rest = (common.stored(lm.count_words(texts.filter(k)), "test") for k in ("k <> 1", "k = 1"))
+    pieces = lm.vocabulary(lm.VOCABULARY)
+    counts = lm.count_pieces(train, lm.VOCABULARY, pieces)
+    seen = []
+    for _ in range(3):
+        seen.append(lm.refine(rest, pieces, counts, 10)[1])
+        counts, own = lm.refine(train, pieces, counts, 10)
+        seen.append(own)
+    assert seen[1] < seen[3] < seen[5] and seen[0] < seen[2]  # on the training words, and after the first round on others
+
+
+def test_segmentations_are_counted_by_the_vocabulary(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=lm.VOCABULARY)
+    words = ["hello", "wörld", "antidisestablishment", "漢字", "x1"]
+    pieces = lm.vocabulary(lm.VOCABULARY)
+    got = lm.count_pieces(lm.count_words(spark.createDataFrame([(" ".join(words),), ("hello",)], "text string")), lm.VOCABULARY, pieces)
+    want = collections.Counter()
+    for w in [*words, "hello"]:
+        for i in model.encode(w):
+            piece = model.id_to_piece(i)
+            want[bytes([int(piece[1:-1], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()] += 1
+    assert {pieces[i]: int(n) for i, n in enumerate(got) if n} == want
+
+
+def test_scores_are_sums_over_words(spark, sf):
+    """score of every document is that of its words and end, each by the plain recursion."""
+    frame = common.table(spark, sf, "documents").select("doc_id", "text").orderBy("doc_id").limit(60)
+    train = frame.select("text")
+    words = lm.count_words(train)
+    pieces = lm.vocabulary(lm.VOCABULARY)
+    counts = lm.refine(words, pieces, lm.count_pieces(words, lm.VOCABULARY, pieces), 60)[0]
+    m, kept = lm.Pieces(pieces, counts, 60), {}
+    got = {r["doc_id"]: r["score"] for r in lm.score(frame.withColumn("_known", F.lit("clash")).withColumn("_row", F.lit(3)), train, rounds=1).collect()}
+    for r in frame.collect():
+        total = m.end
+        for w in (r["text"] or "").encode().lower().split():
+            if w not in kept:
+                kept[w] = m.one(b" " + w)
+            total += kept[w]
+        assert math.isclose(got[r["doc_id"]], total / math.log(10), rel_tol=1e-9)
 
 
 def test_score_cases(spark, odd):
