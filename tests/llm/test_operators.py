@@ -445,19 +445,59 @@ def test_trigram_queries():
 
 def test_licences(spark, odd):
     full = licenses.SENTENCES
-    texts = {1: "Intro.\n" + full["mit-grant"] + "\n\n" + full["mit-notice"], 2: full["mit-notice"] + "\n" + full["mit-grant"], 3: "x. Licensed under the Apache License, Version 2.0. y", 4: "All Rights  Reserved.\nReleased under the MIT License.", 5: "licensed to drive", 6: None, 7: "\n".join(full[k] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name"))}
+    bsd3 = "\n".join(full[k] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name"))
+    bsd2 = "\n".join(full[k] for k in ("bsd-grant", "bsd-source", "bsd-binary"))
+    texts = {1: "Intro.\n" + full["mit-grant"] + "\n\n" + full["mit-notice"], 2: full["mit-notice"] + "\n" + full["mit-grant"], 3: "x. Licensed under the Apache License, Version 2.0. y", 4: "All Rights  Reserved.\nReleased under the MIT License.", 5: "licensed to drive", 6: None, 7: bsd3, 8: bsd3 + "\n\n" + bsd2, 9: "All rights reserved.", 10: "// SPDX-License-Identifier: GPL-2.0-or-later\nint main;", 11: "License: MIT and more", 12: "Unauthorized copying of this file,\nvia any medium is strictly prohibited."}
     got = {r["doc_id"]: r["licenses"] for r in licenses.identify(docs(spark, [(i, t, "s") for i, t in texts.items()])).collect()}
-    assert got == {1: ["MIT"], 2: [], 3: ["Apache-2.0"], 4: ["MIT", "Proprietary"], 5: [], 6: [], 7: ["BSD-2-Clause", "BSD-3-Clause"]}
+    assert got == {1: ["MIT"], 2: [], 3: ["Apache-2.0"], 4: ["MIT"], 5: [], 6: [], 7: ["BSD-3-Clause"], 8: ["BSD-2-Clause", "BSD-3-Clause"], 9: [], 10: ["GPL-2.0-or-later"], 11: [], 12: ["Proprietary"]}
     assert licenses.identify(odd).count() == odd.count() and licenses.identify(odd.limit(0)).count() == 0
 
 
-def test_wrapped_licences(spark):
-    full, fill = licenses.SENTENCES, lambda s, mark="": "\n".join(mark + x for x in textwrap.wrap(s, 60))
-    many = lambda mark, *keys: f"\n{mark.rstrip()}\n".join(fill(full[k], mark) for k in keys)
-    apache = "\n".join(f"# {x}" for x in ("Licensed under the Apache License, Version 2.0", '(the "License"); you may not use this file except', "in compliance with the License. You may obtain", "a copy of the License at"))
-    texts = {1: many("", "mit-grant", "mit-notice"), 2: many(" * ", "bsd-grant", "bsd-source", "bsd-binary"), 3: many("// ", "gpl-free", "gpl-warranty"), 4: many("# ", "isc-grant"), 5: apache, 6: "All rights\n\nreserved.", 7: "Some text, all\nrights reserved", 8: "x\nAll rights\r\nreserved\ny"}
+def licence_forms():
+    """Every rule and every name: on one line, wrapped, in comments of several kinds, and as a numbered list."""
+    rows = []
+    for name, parts in licenses.RULES:
+        own = [licenses.SENTENCES[p] for p in parts]
+        want = [name]
+        for mark, start in (("", ""), ("# ", ""), (" * ", ""), ("// ", ""), ("; ", ""), ("", "{}. "), ("# ", "({}) ")):
+            wrapped = [start.format(i) + s if start and i else s for i, s in enumerate(own)]
+            rows.append((f"\n{mark.rstrip()}\n".join("\n".join(mark + x for x in textwrap.wrap(s, 72, break_long_words=False, break_on_hyphens=False)) for s in wrapped), want))
+        rows.append((" ".join(x if x[-1] in ".!?;:" else x + "." for x in own), want))
+        rows.append(("Some words\r\n" + "\r\n".join(own) + "\r\nmore words", want))
+    for licence, some in licenses.NAMES.items():
+        for i, n in enumerate(some):
+            b = licenses.BEFORE[(i + len(licence)) % len(licenses.BEFORE)]
+            rows += [(f"prose without end\n{b} {n}.\nmore prose", [licence]), (f"# {b} the {n}", [licence]), (f"{b}\n{n}\n", [licence]), (f"{b} {n} and then some", [])]
+    return [(i, t, w) for i, (t, w) in enumerate(rows)]
+
+
+@pytest.fixture(scope="module")
+def forms(spark):
+    rows = licence_forms()
+    return rows, spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").coalesce(4)
+
+
+def test_every_licence_in_every_form(forms):
+    rows, frame = forms
+    assert len({name for name, _ in licenses.RULES} | set(licenses.NAMES)) >= 60
+    got = {r["doc_id"]: r["licenses"] for r in licenses.identify(frame).collect()}
+    assert [(t, got[i], w) for i, t, w in rows if got[i] != w] == []
+
+
+def test_every_licence_in_sql(forms, same):
+    import duckdb
+
+    rows, frame = forms
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    found = licenses.identify(frame)
+    same(found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses")), con, licenses.ORACLE_SQL)
+
+
+def test_lines_that_end_no_licence(spark):
+    texts = {6: "All rights\n\nreserved.", 7: "Some text, all\nrights reserved", 8: "Released under\n\nthe MIT License.", 9: "We released under the MIT License."}
     rows = licenses.identify(docs(spark, [(i, t, "s") for i, t in texts.items()])).collect()
-    assert {r["doc_id"]: r["licenses"] for r in rows} == {1: ["MIT"], 2: ["BSD-2-Clause"], 3: ["GPL-3.0-or-later"], 4: ["ISC"], 5: ["Apache-2.0"], 6: [], 7: [], 8: ["Proprietary"]}
+    assert all(r["sentence_ids"] == [] for r in rows)
 
 
 # op8
