@@ -12,12 +12,13 @@ Scale: postings are narrow; candidates are joined back by doc_id, by broadcast o
 Texts are read twice and never exploded.
 
 Defined cases: a null text is empty; a null doc_id is a key of its own; rows that share a doc_id share their candidates
-(a superset) and are verified row by row; empty tables give empty results; clashing input columns are replaced.
+(a superset) and are verified row by row; empty tables give empty results; very long texts are scanned whole; an input
+column named spans is replaced, others pass whatever their names.
 """
 
 from __future__ import annotations
 
-import re._parser as parser
+import re
 from dataclasses import dataclass
 from itertools import product
 
@@ -53,46 +54,132 @@ ALTERNATIVES, CLASS = 256, 5
 GAP = None
 
 
-def _expand(tree) -> list[tuple]:
-    """Sequences of characters and gaps, one of which any match follows."""
-    out: list[tuple] = [()]
-    for op, arg in tree:
-        name = str(op)
-        if name == "LITERAL":
-            some = [(chr(arg).lower(),)] if arg < 128 else [(GAP,)]
-        elif name == "IN":
-            chars = {chr(a).lower() for o, a in arg if str(o) == "LITERAL" and a < 128}
-            plain = all(str(o) == "LITERAL" and a < 128 for o, a in arg)
-            some = [(c,) for c in sorted(chars)] if plain and len(chars) <= CLASS else [(GAP,)]
-        elif name == "SUBPATTERN":
-            some = _expand(arg[3])
-        elif name == "BRANCH":
-            some = [s for branch in arg[1] for s in _expand(branch)]
-        elif name == "MAX_REPEAT":
-            low, high, sub = arg
-            inner = _expand(sub)
-            if (low, int(high)) == (0, 1):
-                some = [(), *inner]
-            elif low == 0:
-                some = [(GAP,)]
+class _Parser:
+    """Reads an expression as sequences of characters and gaps, one of which any match follows.
+
+    It knows literals, escapes, classes, groups, alternatives, anchors and greedy, lazy or possessive repeats. A character
+    that ignores case is a class of both letters. What it does not know is an error."""
+
+    def __init__(self, pattern: str):
+        self.s, self.i = pattern, 0
+
+    def whole(self) -> list[tuple]:
+        out = self.choice()
+        if self.i < len(self.s):
+            raise ValueError(f"{self.s!r} has an unexpected {self.s[self.i]!r} at {self.i}")
+        return out
+
+    def choice(self) -> list[tuple]:
+        out = self.sequence()
+        while self.next("|"):
+            out = out + self.sequence()
+        return out if len(out) <= ALTERNATIVES else [(GAP,)]
+
+    def next(self, c: str) -> bool:
+        found = self.s.startswith(c, self.i)
+        self.i += len(c) * found
+        return found
+
+    def sequence(self) -> list[tuple]:
+        out: list[tuple] = [()]
+        while self.i < len(self.s) and self.s[self.i] not in "|)":
+            some = self.repeated(self.atom())
+            out = [a + b for a, b in product(out, dict.fromkeys(some))]
+            if len(out) > ALTERNATIVES:
+                out = [(GAP,)]
+        return out
+
+    def atom(self) -> list[tuple]:
+        if self.next("(?:") or self.next("("):
+            if self.s.startswith("?", self.i):
+                raise ValueError(f"{self.s!r} has a group of an unknown kind at {self.i}")
+            out = self.choice()
+            if not self.next(")"):
+                raise ValueError(f"{self.s!r} has an open group")
+            return out
+        if self.next("["):
+            return self.char_class()
+        if self.next("^") or self.next("$"):
+            return [()]
+        if self.next("."):
+            return [(GAP,)]
+        if self.next("\\"):
+            if self.s[self.i] in "bBAZz":
+                self.i += 1
+                return [()]
+            return self.one(self.escaped())
+        self.i += 1
+        return self.one(self.s[self.i - 1])
+
+    @staticmethod
+    def one(c: str | None) -> list[tuple]:
+        return [(c.lower(),)] if c is not None and ord(c) < 128 else [(GAP,)]
+
+    def escaped(self) -> str | None:
+        """The character after a backslash, None for a class of many."""
+        c = self.s[self.i]
+        self.i += 1
+        if c == "x":
+            self.i += 2
+            return chr(int(self.s[self.i - 2 : self.i], 16))
+        if c in "dDwWsS":
+            return None
+        if c.isalnum() and c not in "nrtf":
+            raise ValueError(f"{self.s!r} has an unknown escape {c!r}")
+        return {"n": "\n", "r": "\r", "t": "\t", "f": "\f"}.get(c, c)
+
+    def char_class(self) -> list[tuple]:
+        plain, chars, first = not self.next("^"), set(), True
+        while first or not self.next("]"):
+            first = False
+            if self.next("\\"):
+                c = self.escaped()
+            else:
+                c = self.s[self.i]
+                self.i += 1
+            if self.s.startswith("-", self.i) and not self.s.startswith("-]", self.i):
+                self.i += 1
+                if self.next("\\"):
+                    self.escaped()
+                else:
+                    self.i += 1
+                plain = False  # a range: many characters
+            elif c is None or ord(c) >= 128:
+                plain = False
             else:
-                some = [s + (GAP,) for s in inner] if low == 1 else [(GAP,)]
-                if low == int(high) and len(inner) == 1:
-                    some = [inner[0] * low]
-        elif name == "AT":
-            some = [()]
+                chars.add(c.lower())
+        return [(c,) for c in sorted(chars)] if plain and len(chars) <= CLASS else [(GAP,)]
+
+    def repeated(self, inner: list[tuple]) -> list[tuple]:
+        if self.next("?"):
+            low, high = 0, 1
+        elif self.next("*"):
+            low, high = 0, None
+        elif self.next("+"):
+            low, high = 1, None
+        elif m := _COUNT.match(self.s, self.i):
+            self.i = m.end()
+            low = int(m[1])
+            high = low if m[2] is None else int(m[3]) if m[3] else None
         else:
-            some = [(GAP,)]
-        out = [a + b for a, b in product(out, dict.fromkeys(some))]
-        if len(out) > ALTERNATIVES:
+            return inner
+        self.next("?") or self.next("+")
+        if (low, high) == (0, 1):
+            return [(), *inner]
+        if low == 0:
             return [(GAP,)]
-    return out
+        if low == high and len(inner) == 1:
+            return [inner[0] * low]
+        return [x + (GAP,) for x in inner] if low == 1 else [(GAP,)]
+
+
+_COUNT = re.compile(r"\{(\d+)(,(\d*))?\}")
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     """Alternatives, each a set of mandatory trigrams in lower case; None where one alternative has none."""
     found = set()
-    for seq in _expand(parser.parse(pattern)):
+    for seq in _Parser(pattern).whole():
         grams = {"".join(seq[i : i + 3]) for i in range(len(seq) - 2) if GAP not in seq[i : i + 3]}
         if not grams:
             return None
@@ -158,15 +245,16 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """docs with `spans`: array of (start, kind's place in rules, end), by start, then kind."""
-    base = common.without(docs, "spans", "_id", "_kinds")
+    base = common.without(docs, "spans")
+    id_, kinds = common.fresh(base, "_id"), common.fresh(base, "_kinds")
     full = [r for r in rules if trigram_query(r.pattern) is None]
     grams = vocabulary(rules)
     t = F.coalesce(F.col(text), F.lit(""))
-    found = [spans(t, r, i) if r in full else F.when(F.array_contains("_kinds", r.kind), spans(t, r, i)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>")) for i, r in enumerate(rules)]
+    found = [spans(t, r, i) if r in full else F.when(F.array_contains(kinds, r.kind), spans(t, r, i)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>")) for i, r in enumerate(rules)]
     if grams:
-        some = common.stored(candidates(index(base, grams, text), rules), "secrets").withColumnsRenamed({"doc_id": "_id", "kinds": "_kinds"})
-        base = base.join(common.maybe_broadcast(some), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    return base.withColumn("spans", F.sort_array(F.concat(*found))).drop("_kinds")
+        some = common.stored(candidates(index(base, grams, text), rules), "secrets").withColumnsRenamed({"doc_id": id_, "kinds": kinds})
+        base = base.join(common.maybe_broadcast(some), F.col("doc_id").eqNullSafe(F.col(id_)), "left").drop(id_)
+    return base.withColumn("spans", F.sort_array(F.concat(*found))).drop(kinds)
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:

@@ -80,6 +80,29 @@ def warc_type(r):
     return re.search(r"WARC-Type: (\w+)", r["warc_header"])[1]
 
 
+def test_foreign_archives(spark, tmp_path):
+    import gzip
+
+    record = lambda head, body: head + f"\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    records = [record(b"WARC/1.0\r\nX-Note: caf\xe9", b"\xff\x00" * 700_000), record(b"WARC/1.0\r\nWARC-Type: warcinfo", b""), record(b"WARC/1.1", b"\r\n\r\nbody")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "c.warc").write_bytes(b"".join(records))
+    got = warc.load(spark, str(tmp_path)).collect()
+    assert sorted(len(r["block"]) for r in got) == [0, 0, 0, 8, 8, 8, 1_400_000, 1_400_000, 1_400_000]
+    assert sum("X-Note: café" in r["warc_header"] for r in got) == 3
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parse(records[0][:-100]))
+
+
+def test_archive_cases(spark, odd):
+    a = warc.write(odd.withColumn("url", F.lit("u")), key="doc_id", payload="text")
+    got = warc.parsed(warc.read(a).select("record", F.col("payload").alias("whole"))).collect()
+    assert len(got) == odd.count()
+    assert all(bytes(r["body"]) == (b"" if "WARC-Type: revisit" in r["warc_header"] else bytes(r["whole"])) for r in got)
+    assert all(re.search("WARC-Refers-To: <urn:uuid:", r["warc_header"]) for r in got if "WARC-Type: revisit" in r["warc_header"])
+
+
 def test_archive_detects_damage(spark):
     a = warc.write(spark.createDataFrame([(1, "u", "x" * 200)], "page_id long, url string, html string"))
     broken = warc.Archive(a.headers, a.payloads.withColumn("payload", F.lit("y").cast("binary")))
@@ -124,6 +147,37 @@ def test_long_conversations_are_cut_between_turns(spark, monkeypatch):
     assert chat.render(chat.fold(chat.events(talk.limit(0)))).count() == 0
 
 
+def test_chunks_are_handed_on_by_their_characters(spark, monkeypatch):
+    """Many short conversations are passed on before their characters exceed CHUNK by more than one message."""
+    monkeypatch.setattr(chat, "CHUNK", 1_000)
+    talk = spark.createDataFrame([(i, 0, "user", "x" * 300) for i in range(100)], "conv_id long, turn long, role string, text string")
+    assert chat.render(chat.fold(chat.events(talk))).count() == 100
+    seen = {}
+    monkeypatch.setattr(type(talk), "mapInArrow", lambda self, f, schema, *a: seen.setdefault("run", f) and self)
+    chat.render(chat.fold(chat.events(talk)))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([1] * 100), pa.array(["user"] * 100), pa.array(["x" * 300] * 100)], names=["conv_id", "message", "role", "text"])
+    held = [sum(map(len, b.column(3).to_pylist())) for b in seen["run"](iter([rows]))]
+    assert sum(held) == 100 * 313 and max(held) <= 1_000 + 2 * 313
+
+
+def test_conversations_against_brute_force(spark, sf):
+    """Every hash of the query over its whole table."""
+    said = collections.defaultdict(list)
+    for r in common.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").collect():
+        said[r["conv_id"]].append((r["turn"], r["role"] or "", r["text"] or ""))
+    said[-7] = [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]
+    got = {r["conv_id"]: r for r in registry.QUERIES["op2_chat_formatting"](spark, sf).collect()}
+    assert set(got) == set(said)
+    for conv, rows in said.items():
+        rows.sort()
+        loss = "".join(t for _, role, t in rows if role == "assistant")
+        made = "".join("".join(chat.turn(role, t)) for _, role, t in rows)
+        r = got[conv]
+        assert (r["n_turns"], r["loss_chars"], r["formatted_chars"]) == (len(rows), len(loss), len(made))
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in rows).encode()).hexdigest()
+        assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
 # op3
 
 
@@ -430,6 +484,8 @@ def test_redaction(spark, odd):
     frame = docs(spark, [(1, 'a token = "abcdefghijklmnop" z 0123456789abcdef', "s"), (2, "clean", "s")])
     rows = {r["doc_id"]: r for r in secrets.redact(frame).collect()}
     assert rows[1]["text"] == 'a [SECRET]" z [SECRET]' and rows[1]["n_chars"] == len(rows[1]["text"]) and rows[2]["text"] == "clean"
+    named = secrets.scan(odd.withColumn("_id", F.lit("own")).withColumn("_kinds", F.lit("own")))
+    assert {(r["_id"], r["_kinds"]) for r in named.collect()} == {("own", "own")}
     assert secrets.redact(odd.drop("spans")).count() == odd.count() and secrets.scan(odd.limit(0)).count() == 0
 
 
@@ -437,6 +493,11 @@ def test_trigram_queries():
     q = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
     assert q["hex"] is None and q["access"] == [frozenset({"aki", "kia"})]
     assert frozenset({"tok", "oke", "ken"}) in q["assign"]
+    assert secrets.trigram_query(r"\x41b[.]\.c{3}") == [frozenset({"ab.", "b..", "..c", ".cc", "ccc"})]
+    assert secrets.trigram_query("x[a-c]yabc*z") == [frozenset({"yab"})] and secrets.trigram_query("[]a]bcd") == [frozenset({"]bc", "bcd"}), frozenset({"abc", "bcd"})]
+    for bad in ("(?=a)bcd", "(abc", "abc)", r"\pL"):
+        with pytest.raises(ValueError):
+            secrets.trigram_query(bad)
     assert secrets.trigram_query("a?b") is None and secrets.trigram_query("(abc|xyz)+q") == [frozenset({"abc"}), frozenset({"xyz"})]
 
 
