@@ -6,7 +6,9 @@
 4. secrets: every secret in a text is replaced by a mark;
 5. mixing: each remaining document is taken as often as its source's target weight asks, a row for each copy.
 
-Stages 1 to 4 return the columns of documents; the last adds `copy`. Empty tables pass through all stages.
+Stages 1 to 4 return the columns of documents; the last adds `copy`. Empty tables pass through all stages. Rows with a null
+text go in stage 1; null hosts are a host, null doc_ids are documents like others; of rows that share doc_id and text one
+passes stage 2; very long texts are worked on whole; extra columns pass through all stages, but for one named `copy`.
 """
 
 from __future__ import annotations
@@ -49,8 +51,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of sf_dir."""
+    """The stages over the documents of sf_dir. What a stage stored goes when the stage after it has read it."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with common.scratch() as keep:
+            out = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(out)
+        common.release(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
