@@ -18,6 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a table of ids and a few numbers that may be broadcast: about 40 MB.
 BROADCAST_ROWS = 400_000
 
+#: Hot keys are broadcast: HUBS of them at most, and none with fewer rows than HUB_ROWS.
+HUBS, HUB_ROWS = 50_000, 64
+
 _own: dict[str, str] = {}
 #: Folders of stored tables, with their sessions.
 _tables: dict[str, SparkSession] = {}
@@ -90,6 +93,17 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with counted (keys, k and other columns), one row for each key that k of all `total` rows have.
+
+    Keys with over 1 / HUBS of all rows, HUBS of them at most, are broadcast, so that their rows stay in the tasks that read
+    them; the others are joined by hash. rows and counted are read twice and should be stored or cheap."""
+    bar = max(HUB_ROWS, total // HUBS)
+    hot = F.broadcast(counted.filter(F.col("k") > bar).drop("k"))
+    others = rows.join(hot.select(*keys), keys, "left_anti").join(counted.filter(F.col("k") <= bar).drop("k"), keys)
+    return rows.join(hot, keys).unionByName(others)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less its columns of these names: an operator's own columns replace columns of the input that clash with them."""
     low = {n.lower() for n in names}

@@ -1,9 +1,8 @@
 """Connected components of an edge table by alternating large and small stars (Kiveris and others, 2014).
 
 Each round is two minima by node and two joins on narrow rows and is written to the shared folder; the number of rounds
-grows with the logarithm of the longest chain. Minima are pre-aggregated. A node with more than 1 / HUBS of all edges is a
-hub: there are 2 * HUBS of them at most, which are broadcast, so a hub's edges stay in the tasks that read them; the other
-nodes' edges are joined by hash.
+grows with the logarithm of the longest chain. Minima are pre-aggregated. A node with more than 1 / HUBS of all edges
+is a hub; hubs are broadcast, so a hub's edges stay in the tasks that read them.
 
 Defined cases: edges with a null end and loops are no edges; repeated edges count once; without edges there are no rows.
 """
@@ -15,12 +14,6 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import common
 
-#: Hubs are broadcast: 2 * HUBS rows of two numbers at most.
-HUBS = 50_000
-#: Fewer edges than this at a node are never worth a broadcast.
-HUB_EDGES = 64
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v longs) to (node, label): label is the smallest node that can be reached. Only nodes with edges appear."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v AND u IS NOT NULL AND v IS NOT NULL").distinct()
@@ -41,21 +34,13 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
 
-def _with_low(rows: DataFrame, low: DataFrame, n: int) -> DataFrame:
-    """rows with m of their u; low has u, m and k, the number of u's edges."""
-    bar = max(HUB_EDGES, n // HUBS)
-    hubs = F.broadcast(low.filter(F.col("k") > bar).select("u", "m"))
-    others = rows.join(hubs.select("u"), "u", "left_anti").join(low.filter(F.col("k") <= bar).select("u", "m"), "u")
-    return rows.join(hubs, "u").unionByName(others)
-
-
 def _large(e: DataFrame, n: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("k"))
-    return _with_low(both.filter("v > u"), low, n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    return common.join_counted(both.filter("v > u"), low, ["u"], 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small(e: DataFrame, n: int) -> DataFrame:
     low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
-    moved = _with_low(e, low, n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    moved = common.join_counted(e, low, ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()

@@ -443,19 +443,22 @@ def _linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     a = node.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("node").alias("u"))
     b = node.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("node").alias("v"))
     groups = common.stored(components(edges.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("u", "v")), "groups")
-    dealt = common.stored(_deal(classes.join(groups, "node").select("s1", "s2", "node", "n", "label"), rule), "dealt")
-    common.release(groups)
+    grouped = common.stored(classes.join(groups, "node").select("s1", "s2", "node", "n", "label"), "grouped")
+    dealt = common.stored(_deal(grouped, rule), "dealt")
+    common.release(groups, grouped)
     rows = _tokens(docs, rule, _filter(dealt)).join(dealt, ["s1", "s2"])
     members = rows.select("label", F.explode("boxes").alias("box"), "node", "tokens").select("label", "box.i", "box.j", "node", "tokens")
     members = members.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "node")
     linked = common.stored(components(_links(members, rule)), "linked")
     common.release(dealt)
-    final = classes.join(linked, "node", "left").select("s1", "s2", "first", "label")
+    final = common.stored(classes.join(linked, "node", "left").select("s1", "s2", "first", "label"), "labelled")
     # A label is a node; the component is named by its first row. A class that links with none has no label.
-    least = final.filter("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("least"))
-    final = final.join(least, "label", "left").select("s1", "s2", F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("least")).alias("first"))
-    final = common.stored(final, "components")
-    common.release(linked, classes)
+    some = final.filter("label IS NOT NULL")
+    least = some.groupBy("label").agg(F.min("first").alias("least"), F.count("*").alias("k"))
+    named_ = common.join_counted(some.select("s1", "s2", "label"), least, ["label"], some.count()).select("s1", "s2", F.col("least").alias("first"))
+    out = common.stored(final.filter("label IS NULL").select("s1", "s2", "first").unionByName(named_), "components")
+    common.release(linked, classes, final)
+    final = out
     return named, final
 
 
@@ -473,13 +476,13 @@ def _deal(members: DataFrame, rule: Rule) -> DataFrame:
     whole = by.groupBy("label").agg(F.sum("k").alias("k"), F.sum("t").alias("t"))
     by = by.withColumn("blocks", blocks).join(whole.select("label", ((F.col("k") <= BLOCK) & (F.col("t") <= BLOCK_TOKENS)).alias("one")), "label")
     width = lambda step: by.select("label", (F.col("band") - step).alias("band"), F.col("blocks").alias(f"w{step + 1}"))
-    sizes = by.select("label", "band", "one", "blocks").join(width(-1), ["label", "band"], "left").join(width(1), ["label", "band"], "left")
+    sizes = by.select("label", "band", "one", "blocks", "k").join(width(-1), ["label", "band"], "left").join(width(1), ["label", "band"], "left")
     at = F.col("band").cast("long") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("blocks"))
     others = lambda step, n: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda x: (F.col("band") + step).cast("long") * (1 << 32) + x)).otherwise(F.array().cast("array<bigint>"))
     every = F.concat(others(-1, F.coalesce("w0", F.lit(0).cast("long"))), others(0, F.col("blocks")), others(1, F.coalesce("w2", F.lit(0).cast("long"))))
     pair = F.transform(every, lambda o: F.struct(F.least(at, o).alias("i"), F.greatest(at, o).alias("j")))
     single = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
-    return banded.join(sizes, ["label", "band"]).select("s1", "s2", "node", "label", F.when(F.col("one"), single).otherwise(pair).alias("boxes"))
+    return common.join_counted(banded, sizes, ["label", "band"], members.count()).select("s1", "s2", "node", "label", F.when(F.col("one"), single).otherwise(pair).alias("boxes"))
 
 
 def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

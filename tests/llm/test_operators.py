@@ -415,8 +415,8 @@ def test_bands_lose_no_link(spark, monkeypatch):
 
 
 def test_hubs_are_joined_apart(spark, monkeypatch):
-    monkeypatch.setattr(components, "HUB_EDGES", 3)
-    monkeypatch.setattr(components, "HUBS", 4)
+    monkeypatch.setattr(common, "HUB_ROWS", 3)
+    monkeypatch.setattr(common, "HUBS", 4)
     edges = [(5, i) for i in range(10, 40)] + [(i, i + 30) for i in range(10, 40)] + [(90, 91), (None, 3)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{x: 5 for e in edges[:60] for x in e}, 90: 90, 91: 90}
