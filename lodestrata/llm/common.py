@@ -69,6 +69,25 @@ def scratch(*kept: DataFrame) -> Iterator[list[DataFrame]]:
         _delete(_tables.pop(path), path)
 
 
+class Left:
+    """Tables that a step stored and that its lazy result still reads; `go` deletes them once that result has been written."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    @contextmanager
+    def over(self) -> Iterator[None]:
+        before = set(_tables)
+        yield
+        self.paths += [p for p in _tables if p not in before]
+
+    def go(self) -> None:
+        for path in self.paths:
+            if path in _tables:
+                _delete(_tables.pop(path), path)
+        self.paths = []
+
+
 @atexit.register
 def _clear() -> None:
     for path, spark in _tables.items():
@@ -96,8 +115,11 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: int) -> DataFrame:
     """rows joined with counted (keys, k and other columns), one row for each key that k of all `total` rows have.
 
-    Keys with over 1 / HUBS of all rows, HUBS of them at most, are broadcast, so that their rows stay in the tasks that read
-    them; the others are joined by hash. rows and counted are read twice and should be stored or cheap."""
+    Where all rows are BROADCAST_ROWS at most, so are the keys, and they are broadcast. Beyond it keys with over 1 / HUBS of
+    all rows, HUBS of them at most, are broadcast, so that their rows stay in the tasks that read them; the others are
+    joined by hash. rows and counted are then read twice and should be stored or cheap."""
+    if total <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(counted.drop("k")), keys)
     bar = max(HUB_ROWS, total // HUBS)
     hot = F.broadcast(counted.filter(F.col("k") > bar).drop("k"))
     others = rows.join(hot.select(*keys), keys, "left_anti").join(counted.filter(F.col("k") <= bar).drop("k"), keys)

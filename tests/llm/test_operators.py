@@ -406,8 +406,10 @@ def brute_classes(texts, k, percent):
     return [c if n else None for _, n, c in got]
 
 
-def test_bands_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("few", [400_000, 10])
+def test_bands_lose_no_link(spark, monkeypatch, few):
     monkeypatch.setattr(simjoin, "BLOCK", 3)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", few)
     words = [f"w{i}" for i in range(400)]
     rows = [(n, " ".join(words[:n])) for n in range(40, 400, 4)]
     got = simjoin.link(spark.createDataFrame(rows, "doc_id long, text string"), simjoin.Rule(1, 90)).collect()
@@ -415,6 +417,7 @@ def test_bands_lose_no_link(spark, monkeypatch):
 
 
 def test_hubs_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
     monkeypatch.setattr(common, "HUB_ROWS", 3)
     monkeypatch.setattr(common, "HUBS", 4)
     edges = [(5, i) for i in range(10, 40)] + [(i, i + 30) for i in range(10, 40)] + [(90, 91), (None, 3)]
