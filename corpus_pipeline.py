@@ -13,6 +13,8 @@ passes stage 2; very long texts are worked on whole; extra columns pass through
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import common, decontam, mixing, quality, secrets, simjoin
@@ -21,23 +23,44 @@ from lodestrata.llm import common, decontam, mixing, quality, secrets, simjoin
 ORACLE_SQL = None
 
 
+_left = common.Left()
+
+
+def _stage(function):
+    """A stage as a step of the chain: it is called when its predecessor's result has been written and read again, so what the
+    predecessor stored goes first. One chain at a time runs in a driver."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _left.go()
+        with _left.over():
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep(docs)
+    with _left.over():
+        return quality.keep(docs)
 
 
+@_stage
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simjoin.deduplicate(docs, simjoin.Rule(5, 80))
 
 
+@_stage
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.remove_documents(docs, common.table(spark, sf_dir, "benchmark"), 10)
 
 
+@_stage
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _left.go()
     return mixing.mix(docs)
 
 
@@ -51,12 +74,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of sf_dir. What a stage stored goes when the stage after it has read it."""
+    """The stages over the documents of sf_dir. What a stage stored goes when its result is written, and that when the next
+    stage has read it."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        with common.scratch() as keep:
-            out = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-            keep.append(out)
+        out = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        _left.go()
         common.release(docs)
         docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
