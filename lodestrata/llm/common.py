@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.deploy import ship  # noqa: F401
+from lodestrata.store import Left, release, scratch, stored  # noqa: F401
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,87 +16,6 @@ BROADCAST_ROWS = 400_000
 #: Hot keys are broadcast: HUBS of them at most, and none with fewer rows than HUB_ROWS.
 HUBS, HUB_ROWS = 50_000, 64
 
-_own: dict[str, str] = {}
-#: Folders of stored tables, with their sessions.
-_tables: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset and Spark is local, one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="lodestrata-")
-    return f"file://{_own['dir']}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once to the shared folder and read from there: lineage is cut, and a lost executor costs no recomputation.
-
-    The table stays until `release` or `scratch` deletes it, at the latest until the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _tables[path] = spark
-    out.__dict__["_stored_at"] = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete stored tables whose last reader has run."""
-    for t in tables:
-        path = t.__dict__.get("_stored_at")
-        if path in _tables:
-            _delete(_tables.pop(path), path)
-
-
-@contextmanager
-def scratch(*kept: DataFrame) -> Iterator[list[DataFrame]]:
-    """Deletes the tables that are stored within, but for those in the list that it gives and for kept."""
-    before, keep = set(_tables), list(kept)
-    yield keep
-    stay = {t.__dict__.get("_stored_at") for t in keep}
-    for path in [p for p in _tables if p not in before and p not in stay]:
-        _delete(_tables.pop(path), path)
-
-
-class Left:
-    """Tables that a step stored and that its lazy result still reads; `go` deletes them once that result has been written."""
-
-    def __init__(self) -> None:
-        self.paths: list[str] = []
-
-    @contextmanager
-    def over(self) -> Iterator[None]:
-        before = set(_tables)
-        yield
-        self.paths += [p for p in _tables if p not in before]
-
-    def go(self) -> None:
-        for path in self.paths:
-            if path in _tables:
-                _delete(_tables.pop(path), path)
-        self.paths = []
-
-
-@atexit.register
-def _clear() -> None:
-    for path, spark in _tables.items():
-        _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended already
-        return
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

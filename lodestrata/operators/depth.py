@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators.grid import Meta, densify
+from lodestrata import store
+from lodestrata.operators.grid import Meta, densify, median
 
 
 def plane(grid: DataFrame) -> DataFrame:
@@ -25,8 +26,7 @@ def plane(grid: DataFrame) -> DataFrame:
 
 def detrend(grid: DataFrame) -> DataFrame:
     """grid less its plane; masked cells take the median first."""
-    median = grid.agg(F.coalesce(F.percentile("v", F.lit(0.5)), F.lit(0.0)).alias("m"))
-    full = grid.crossJoin(F.broadcast(median)).select("r", "c", F.coalesce("v", "m").alias("v"))
+    full = grid.select("r", "c", F.coalesce("v", F.lit(median(grid))).alias("v"))
     p = plane(full)
     return full.crossJoin(F.broadcast(p)).select("r", "c", (F.col("v") - F.col("a") * F.col("c") - F.col("b") * F.col("r") - F.col("k")).alias("v"))
 
@@ -204,7 +204,8 @@ def euler(grid: DataFrame, meta: Meta, sizes: tuple[int, ...] = (10, 16, 24, 32)
     sizes = tuple(s for s in sizes if s <= third) or (max(6, int(third)),)
     flat = detrend(densify(grid, meta))
     gz = vertical_derivative(grid, meta).withColumnRenamed("v", "gz")
-    fields = slopes(flat, meta).join(gz, ["r", "c"]).select("r", "c", F.col("v").alias("t"), "gx", "gy", "gz")
+    # Stored: every window size reads the fields, none computes them anew.
+    fields = store.stored(slopes(flat, meta).join(gz, ["r", "c"]).select("r", "c", F.col("v").alias("t"), "gx", "gy", "gz"), "euler-fields")
     out = None
     for s in sizes:
         found = euler_solutions(euler_sums(fields, meta, s), meta, s).orderBy("win_r", "win_c").limit(cap).withColumn("size", F.lit(s))
@@ -214,8 +215,8 @@ def euler(grid: DataFrame, meta: Meta, sizes: tuple[int, ...] = (10, 16, 24, 32)
 
 def box_depth(solutions: DataFrame, meta: Meta, radius: int = 12) -> DataFrame:
     """(r, c, v): the reliability-weighted mean depth of the solutions within radius rows and columns. solutions has r, c."""
-    reach = F.sequence(F.lit(-radius), F.lit(radius))
-    near = solutions.filter(F.col("r").between(0, meta.h - 1) & F.col("c").between(0, meta.w - 1)).select("depth", "reliability", "r", "c", F.explode(reach).alias("a"))
-    near = near.select("depth", "reliability", (F.col("r") + F.col("a")).alias("r"), "c", F.explode(reach).alias("b"))
-    near = near.withColumn("c", F.col("c") + F.col("b")).filter(F.col("r").between(0, meta.h - 1) & F.col("c").between(0, meta.w - 1))
-    return near.groupBy("r", "c").agg((F.sum(F.col("reliability") * F.col("depth")) / F.sum("reliability")).alias("v"))
+    at = solutions.filter(F.col("r").between(0, meta.h - 1) & F.col("c").between(0, meta.w - 1)).groupBy("r", "c").agg(F.sum(F.col("reliability") * F.col("depth")).alias("wd"), F.sum("reliability").alias("w"))
+    for axis, n in (("r", meta.h), ("c", meta.w)):  # separable: sums along one axis, then along the other
+        reach = F.sequence(F.greatest(F.col(axis) - radius, F.lit(0)), F.least(F.col(axis) + radius, F.lit(n - 1)))
+        at = at.withColumn(axis, F.explode(reach)).groupBy("r", "c").agg(F.sum("wd").alias("wd"), F.sum("w").alias("w"))
+    return at.select("r", "c", (F.col("wd") / F.col("w")).alias("v"))

@@ -57,11 +57,32 @@ def mask(grid: DataFrame, nodata: float | None = None) -> DataFrame:
 
 
 def decimate(grid: DataFrame, meta: Meta, rows: int, cols: int) -> tuple[DataFrame, Meta]:
-    """Average of the cells whose centres fall into each cell of a rows x cols grid of the same extent."""
-    out = grid.groupBy(F.floor((F.col("r") + 0.5) * rows / meta.h).cast("int").alias("r"), F.floor((F.col("c") + 0.5) * cols / meta.w).cast("int").alias("c")).agg(F.avg("v").alias("v"))
+    """Average over each cell of a rows x cols grid of the same extent, by the area that it shares with the valid cells of grid.
+
+    A cell goes to those that it overlaps: one where the ratio is whole, four at most where cells only get larger."""
+    if rows > meta.h or cols > meta.w:
+        raise ValueError("decimation cannot make cells smaller")
+
+    def overlaps(at: Column, n: int, m: int) -> Column:
+        low, high = at * (m / n), (at + 1) * (m / n)
+        first, last = F.floor(low + 1e-9), F.least(F.ceil(high - 1e-9) - 1, F.lit(m - 1))
+        return F.transform(F.sequence(first, last), lambda k: F.struct(k.cast("int").alias("at"), (F.least(high, k + 1) - F.greatest(low, k)).alias("share")))
+
+    valid = grid.filter("v IS NOT NULL").select("v", F.explode(overlaps(F.col("r"), meta.h, rows)).alias("a"), "c")
+    both = valid.select("v", "a", F.explode(overlaps(F.col("c"), meta.w, cols)).alias("b"))
+    w = F.col("a.share") * F.col("b.share")
+    out = both.groupBy(F.col("a.at").alias("r"), F.col("b.at").alias("c")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("v"))
     return out, replace(meta, h=rows, w=cols, dx=meta.dx * meta.w / cols, dy=meta.dy * meta.h / rows)
 
 
+def limited(grid: DataFrame, meta: Meta, most: int) -> tuple[DataFrame, Meta]:
+    """grid, decimated so that its longest side has `most` cells if it has more (0: as it is)."""
+    longest = max(meta.h, meta.w)
+    if not most or longest <= most:
+        return grid, meta
+    return decimate(grid, meta, max(1, round(meta.h * most / longest)), max(1, round(meta.w * most / longest)))
+
+
 def center_crop(grid: DataFrame, meta: Meta) -> tuple[DataFrame, Meta]:
     """The middle half of each side."""
     r0, c0, h, w = meta.h // 4, meta.w // 4, meta.h // 2, meta.w // 2
@@ -90,11 +111,49 @@ def stack(base: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: Values that are collected and sorted to find a rank among them.
+DIRECT = 200_000
+
+
+def percentiles(rows: DataFrame, column: str, shares: list[float], direct: int = DIRECT) -> list[float | None]:
+    """Exact percentiles, interpolated linearly; None without values.
+
+    Selection by refinement: counts by 4,096 ranges of values, then by ranges of the range that holds a rank, until `direct`
+    values are left there, which are sorted. No task or driver holds more, however many distinct values there are."""
+    v = rows.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
+    n, low, high = v.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(shares)
+    at = [p * (n - 1) for p in shares]
+    found: dict[int, float] = {}
+
+    def pick(low: float, high: float, below: int, n: int, ranks: list[int]) -> None:
+        inside = v.filter(F.col("v").between(low, high))
+        if low == high:
+            found.update({k: low for k in ranks})
+        elif n <= direct:
+            values = sorted(inside.toArrow()["v"].to_pylist())
+            found.update({k: values[k - below] for k in ranks})
+        else:
+            place = F.least(F.floor((F.col("v") - low) / (high - low) * 4096), F.lit(4095))
+            for r in sorted(inside.groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()):  # 4,096 rows
+                if own := [k for k in ranks if below <= k < below + r["n"]]:
+                    pick(r["lo"], r["hi"], below, r["n"], own)
+                below += r["n"]
+
+    pick(low, high, 0, n, sorted({int(f(x)) for x in at for f in (math.floor, math.ceil)}))
+    ends = [(found[math.floor(x)], found[math.ceil(x)], x - math.floor(x)) for x in at]
+    return [a if w == 0 else a * (1 - w) + b * w for a, b, w in ends]
+
+
+def median(rows: DataFrame, column: str = "v") -> float:
+    """The exact median, 0 without values."""
+    return percentiles(rows, column, [0.5])[0] or 0.0
+
+
 def median_fill(wide: DataFrame, names: list[str]) -> DataFrame:
     """NULLs of each layer become the exact median of its cells, or 0 where it has none."""
-    medians = wide.agg(*[F.coalesce(F.percentile(n, F.lit(0.5)), F.lit(0.0)).alias(f"_{n}") for n in names])
-    out = wide.crossJoin(F.broadcast(medians))  # one row
-    return out.withColumns({n: F.coalesce(n, f"_{n}") for n in names}).drop(*[f"_{n}" for n in names])
+    return wide.withColumns({n: F.coalesce(n, F.lit(median(wide, n))) for n in names})
 
 
 def layer_stats(wide: DataFrame, names: list[str], least: float = 0.05) -> DataFrame:

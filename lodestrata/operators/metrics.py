@@ -6,21 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of scores; a running sum runs within each, and over the ranges' totals.
+RANGES = 256
+
+
+def _running(by: DataFrame, names: list[str]) -> DataFrame:
+    """by (a row for each distinct score) with the sums of names over all lower scores, as below_NAME.
+
+    Scores are dealt to ranges by approximate quantiles, so no task sorts them all; the totals of the lower ranges, RANGES
+    rows, are broadcast. Where the ranges lie does not change the sums."""
+    cuts = by.agg(F.approx_percentile("score", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0]
+    cuts = sorted(set(cuts or []))
+    part = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col("score"))) if cuts else F.lit(0)
+    by = by.withColumn("part", part)
+    totals = by.groupBy("part").agg(*[F.sum(n).alias(n) for n in names])
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
+    lower = totals.select("part", *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"lower_{n}") for n in names])
+    within = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [(F.coalesce(F.sum(n).over(within), F.lit(0.0)) + F.col(f"lower_{n}")).alias(f"below_{n}") for n in names]
+    return by.join(F.broadcast(lower), "part").select("score", *names, *sums)
+
+
 def roc_auc(scored: DataFrame) -> DataFrame:
-    """auc of (label, score): the Mann-Whitney statistic with ties counted half. Counts by distinct score, then one
-    running sum over them, so rows are aggregated before they meet."""
+    """auc of (label, score): the Mann-Whitney statistic with ties counted half. Counts by distinct score, then running sums
+    by range of scores, so rows are aggregated before they meet."""
     by = scored.groupBy("score").agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    s = by.select("p", "n", (F.col("p") * (below + F.col("n") / 2)).alias("u"))
+    s = _running(by, ["p", "n"]).select("p", "n", (F.col("p") * (F.col("below_n") + F.col("n") / 2)).alias("u"))
     return s.agg((F.sum("u") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("auc"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """ap of (label, score): precision summed over the steps of recall, by falling distinct score."""
     by = scored.groupBy("score").agg(F.sum("label").cast("double").alias("p"), F.count("*").cast("double").alias("k"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    s = by.select("p", (F.sum("p").over(w) / F.sum("k").over(w)).alias("precision"))
-    return s.agg((F.sum(F.col("p") * F.col("precision")) / F.nullif(F.sum("p"), F.lit(0.0))).alias("ap"))
+    total = by.agg(F.sum("p").alias("all_p"), F.sum("k").alias("all_k"))
+    s = _running(by, ["p", "k"]).crossJoin(F.broadcast(total))  # one row
+    precision = (F.col("all_p") - F.col("below_p")) / (F.col("all_k") - F.col("below_k"))
+    return s.agg((F.sum(F.col("p") * precision) / F.nullif(F.sum("p"), F.lit(0.0))).alias("ap"))
 
 
 def holdout_stats(p: DataFrame) -> DataFrame:
@@ -31,11 +52,11 @@ def holdout_stats(p: DataFrame) -> DataFrame:
 
 def classification_report(labelled: DataFrame) -> DataFrame:
     """precision, recall, f1 and support of each label against pred."""
-    classes = labelled.select(F.explode(F.array("label", "pred")).alias("class")).distinct()
     by = labelled.groupBy("label", "pred").agg(F.count("*").alias("n"))
-    c = classes.join(by, (F.col("class") == F.col("label")) | (F.col("class") == F.col("pred")), "left")
-    both = F.sum(F.when((F.col("label") == F.col("class")) & (F.col("pred") == F.col("class")), F.col("n")).otherwise(0))
-    had, said = F.sum(F.when(F.col("label") == F.col("class"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("pred") == F.col("class"), F.col("n")).otherwise(0))
+    role = lambda c, had, said: F.struct(F.col(c).alias("class"), F.lit(had).alias("had"), F.lit(said).alias("said_"))
+    c = by.select("label", "pred", "n", F.inline(F.array(role("label", 1, 0), role("pred", 0, 1))))
+    both = F.sum(F.when((F.col("had") == 1) & (F.col("label") == F.col("pred")), F.col("n")).otherwise(0))
+    had, said = F.sum(F.col("had") * F.col("n")), F.sum(F.col("said_") * F.col("n"))
     div = lambda a, b: F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
     s = c.groupBy("class").agg(both.alias("tp"), had.alias("support"), said.alias("said"))
     s = s.select("class", div(F.col("tp"), F.col("said")).alias("precision"), div(F.col("tp"), F.col("support")).alias("recall"), "support")

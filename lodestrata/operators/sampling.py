@@ -7,11 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.grid import percentiles
 
-def edges(rows: DataFrame, column: str, bins: int = 8) -> DataFrame:
-    """One row: the distinct inner quantiles of a column."""
-    inner = [i / bins for i in range(1, bins)]
-    return rows.agg(F.array_sort(F.array_distinct(F.percentile(column, F.array(*[F.lit(x) for x in inner])))).alias("edges"))
+
+def edges(rows: DataFrame, column: str, bins: int = 8) -> list[float]:
+    """The distinct inner quantiles of a column."""
+    return sorted({x for x in percentiles(rows, column, [i / bins for i in range(1, bins)]) if x is not None})
 
 
 def bin_of(v: Column, e: Column) -> Column:
@@ -21,12 +22,11 @@ def bin_of(v: Column, e: Column) -> Column:
 
 def terrain_bins(rows: DataFrame, columns: tuple[str, ...] = ("elevation", "slope"), bins: int = 8) -> DataFrame:
     """rows with `bin`, the joint quantile bin of the columns by mixed radix; edges come from the candidates (positive = 0)."""
-    out, joint = rows, F.lit(0)
+    joint, pool = F.lit(0), rows.filter("positive = 0")
     for c in columns:
-        e = edges(rows.filter("positive = 0"), c, bins).withColumnRenamed("edges", f"_{c}")
-        out = out.crossJoin(F.broadcast(e))  # one row
-        joint = joint * (F.size(f"_{c}") + 1) + bin_of(F.col(c), F.col(f"_{c}"))
-    return out.withColumn("bin", joint).drop(*[f"_{c}" for c in columns])
+        e = edges(pool, c, bins)
+        joint = joint * (len(e) + 1) + bin_of(F.col(c), F.array(*[F.lit(x) for x in e]) if e else F.array().cast("array<double>"))
+    return rows.withColumn("bin", joint)
 
 
 def terrain_weights(binned: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """Distances, buffers, interpolation and burning of shapes.
 
-Marks are few or many. The exact distance transform is separable: along each column the nearest mark above or below is
-found by a window, then each cell takes the minimum of its row's parabolas, one for each column. Points of an interpolation are broadcast, FEW at a time; of more, the slices' sums or minima are merged.
+The exact distance transform is separable and takes as many steps as the grid has cells, whatever the number of marks; it
+carries the mark, so that nearest neighbours come out of it too. Points of an interpolation are broadcast, FEW at a time; of
+more, the slices' sums are merged.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,21 +29,74 @@ def _slices(points: DataFrame) -> list[DataFrame]:
     return [F.broadcast(points.filter(part == i)) for i in range(n)]
 
 
-def distance(marks: DataFrame, meta: Meta) -> DataFrame:
-    """(r, c, d) of every cell: exact metres to the nearest mark; no rows without marks.
-
-    Column pass: rows to the nearest mark of the same column, by two windows. Row pass: a row's columns as one array."""
+def envelope(at: np.ndarray, high: np.ndarray, order: np.ndarray, n: int, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n places the least of (place - at)**2 * step**2 + high, and which parabola has it (ties: the least order).
+
+    The lower envelope of parabolas: each is pushed and popped once, so a line of n places costs n steps."""
+    q = at * step
+    kept: list[int] = []
+    cut: list[float] = []
+    base = high + q * q
+    for i in range(len(at)):
+        s = -np.inf
+        while kept:
+            j = kept[-1]
+            s = (base[i] - base[j]) / (2 * (q[i] - q[j]))
+            if s >= cut[-1]:
+                break
+            kept.pop()
+            cut.pop()
+            s = -np.inf
+        kept.append(i)
+        cut.append(s)
+    x = np.arange(n) * step
+    first = np.searchsorted(np.array(cut), x, "right") - 1
+    kept = np.array(kept)
+    best, least = np.full(n, np.inf), np.full(n, -1)
+    # At a cut two parabolas are equal, or more where cuts coincide: neighbours are looked at while they are as low.
+    for way in (1, -1):
+        k = first.copy() if way == 1 else first - 1
+        live = np.ones(n, bool)
+        while live.any():
+            inside = live & (k >= 0) & (k < len(kept))
+            p = kept[np.clip(k, 0, len(kept) - 1)]
+            d = (x - q[p]) ** 2 + high[p]
+            lower = inside & ((d < best) | ((d == best) & (order[p] < order[least])))
+            live = inside & (d <= best)
+            best, least = np.where(lower, d, best), np.where(lower, p, least)
+            k = k + way
+    return best, least
+
+
+def nearest_marks(marks: DataFrame, meta: Meta) -> DataFrame:
+    """(r, c, d, mr, mc, ord) of every cell: exact metres to the nearest of marks (r, c, ord), of marks as near that of the
+    least ord; no rows without marks.
+
+    Column pass: the nearest mark above and below in the same column, by two windows. Row pass: the lower envelope of the
+    row's parabolas. Each is one shuffle on its axis, and a line of the grid is the largest thing in one task."""
     dx, dy = meta.metres()
-    spark = marks.sparkSession
-    m = marks.select("r", "c").distinct().withColumn("m", F.col("r"))
+    m = marks.groupBy("r", "c").agg(F.min("ord").alias("ord")).withColumn("m", F.struct(F.col("r").alias("mr"), "ord"))
     down = Window.partitionBy("c").orderBy("r")
-    full = cells(spark, meta).join(m, ["r", "c"], "left")
+    full = cells(marks.sparkSession, meta).join(m.select("r", "c", "m"), ["r", "c"], "left")
     near = full.select("r", "c", F.last("m", True).over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("above"), F.first("m", True).over(down.rowsBetween(0, Window.unboundedFollowing)).alias("below"))
-    g = near.select("r", "c", (F.least(F.col("r") - F.col("above"), F.col("below") - F.col("r")) * dy).alias("g"))
-    # Within a row, parabolas (c, g) are held as one array and each cell takes the least of them.
-    row = g.filter("g IS NOT NULL").groupBy("r").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("p"))  # a row's width at most
-    best = F.aggregate("p", F.lit(float("inf")), lambda a, p: F.least(a, ((p["c"] - F.col("c")) * dx) * ((p["c"] - F.col("c")) * dx) + p["g"] * p["g"]))
-    return cells(spark, meta).join(row, "r").select("r", "c", F.sqrt(best).alias("d"))
+    pick = lambda side, steps: F.when(F.col(side).isNotNull(), F.struct(steps.alias("g"), F.col(f"{side}.ord").alias("ord"), F.col(f"{side}.mr").alias("mr")))
+    best = F.least(pick("above", F.col("r") - F.col("above.mr")), pick("below", F.col("below.mr") - F.col("r")))
+    lines = near.select("r", "c", best.alias("b")).filter("b IS NOT NULL").select("r", "c", "b.*")
+    w = meta.w
+
+    def row(line: pa.Table) -> pa.Table:
+        line = line.sort_by("c")
+        c, g, order, mr = (line[n].to_numpy().astype(np.int64) for n in ("c", "g", "ord", "mr"))
+        d, k = envelope(c, (g * dy) ** 2, order, w, dx)
+        r = np.full(w, line["r"][0].as_py(), np.int32)
+        return pa.table({"r": r, "c": np.arange(w, dtype=np.int32), "d": np.sqrt(d), "mr": mr[k].astype(np.int32), "mc": c[k].astype(np.int32), "ord": order[k]})
+
+    return lines.groupBy("r").applyInArrow(row, "r int, c int, d double, mr int, mc int, ord long")
+
+
+def distance(marks: DataFrame, meta: Meta) -> DataFrame:
+    """(r, c, d) of every cell: exact metres to the nearest mark; no rows without marks."""
+    return nearest_marks(marks.select("r", "c", F.lit(0).cast("long").alias("ord")), meta).select("r", "c", "d")
 
 
 def proximity_linear(d: Column, decay: float = 5_000.0) -> Column:
@@ -57,11 +113,14 @@ def outside(grid: DataFrame, marks: DataFrame, meta: Meta, buffer_m: float) -> D
 
 
 def idw(targets: DataFrame, points: DataFrame, power: float = 2.0, dx: float = 1.0, dy: float = 1.0) -> DataFrame:
-    """targets (r, c) with v: the inverse-distance mean of all points (r, c, v); distances below 1 count as 1."""
-    p = points.select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("v").alias("_v"))
+    """targets (r, c) with v: the inverse-distance mean of all points (r, c, v); distances below 1 count as 1.
+
+    By its definition every target meets every point. Points of one cell are as near, so they are summed first: no more
+    than the grid's cells are left, FEW of which are broadcast at a time."""
+    p = points.groupBy(F.col("r").alias("_r"), F.col("c").alias("_c")).agg(F.sum("v").alias("_v"), F.count("v").alias("_n"))
     d2 = ((F.col("r") - F.col("_r")) * dy) ** 2 + ((F.col("c") - F.col("_c")) * dx) ** 2
     w = 1 / F.greatest(d2, F.lit(1.0)) ** (power / 2)
-    sums = [F.sum(w * F.col("_v")).alias("wv"), F.sum(w).alias("w")]
+    sums = [F.sum(w * F.col("_v")).alias("wv"), F.sum(w * F.col("_n")).alias("w")]
     parts = [targets.select("r", "c").crossJoin(x).groupBy("r", "c").agg(*sums) for x in _slices(p)]
     out = reduce(DataFrame.unionByName, parts)
     if len(parts) > 1:
@@ -69,16 +128,28 @@ def idw(targets: DataFrame, points: DataFrame, power: float = 2.0, dx: float = 1
     return out.select("r", "c", (F.col("wv") / F.col("w")).alias("v"))
 
 
+def nearest_on_grid(points: DataFrame, meta: Meta) -> DataFrame:
+    """Every cell (r, c) with dist, in metres, and the columns p_* of the nearest point (r, c, ord, ...); of points as near,
+    the first by ord. A distance transform that carries the mark, then one join by the marks' cells."""
+    near = nearest_marks(points, meta).withColumnsRenamed({"d": "dist", "mr": "p_r", "mc": "p_c", "ord": "p_ord"})
+    other = [F.first(c).alias(f"p_{c}") for c in points.columns if c not in ("r", "c", "ord")]
+    if not other:
+        return near
+    p = points.groupBy(F.col("r").alias("p_r"), F.col("c").alias("p_c"), F.col("ord").alias("p_ord")).agg(*other)
+    return near.join(p, ["p_r", "p_c", "p_ord"])
+
+
 def nearest(left: DataFrame, points: DataFrame, dx: float = 1.0, dy: float = 1.0, keys: tuple[str, ...] = ("r", "c")) -> DataFrame:
-    """left's keys with the nearest point's columns and dist; of points as near, the first by ord."""
+    """left's keys with the nearest point's columns and dist; of points as near, the first by ord.
+
+    For few rows on the left, such as ranked targets: they are broadcast and meet every point in one pass, with partial
+    minima. Whole grids take `nearest_on_grid`; more than FEW rows on the left are an error."""
+    if (n := left.count()) > FEW:
+        raise ValueError(f"{n} rows are too many to be compared with every point")
     p = points.select(*[F.col(c).alias(f"p_{c}") for c in points.columns])
     d = F.sqrt(((F.col("r") - F.col("p_r")) * dy) ** 2 + ((F.col("c") - F.col("p_c")) * dx) ** 2)
     best = F.min(F.struct(d.alias("dist"), F.col("p_ord"), *[F.col(f"p_{c}") for c in points.columns if c != "ord"])).alias("b")
-    parts = [left.crossJoin(x).groupBy(*keys).agg(best) for x in _slices(p)]
-    out = reduce(DataFrame.unionByName, parts)
-    if len(parts) > 1:
-        out = out.groupBy(*keys).agg(F.min("b").alias("b"))
-    return out.select(*keys, "b.*")
+    return p.crossJoin(F.broadcast(left)).groupBy(*keys).agg(best).select(*keys, "b.*")
 
 
 def inside_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:

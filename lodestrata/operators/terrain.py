@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators.grid import Meta, densify
+from lodestrata.operators.grid import Meta, densify, median
 
 
 def odd_window(scale_m: float, pixel_m: float) -> int:
@@ -86,10 +86,18 @@ def curvature(grid: DataFrame, meta: Meta, metric: bool = True) -> DataFrame:
     return g.withColumn("gxx", gradient(g, "gx", "c", dx)).withColumn("gyy", gradient(g, "gy", "r", dy)).select("r", "c", (F.col("gxx") + F.col("gyy")).alias("v"))
 
 
+def derivatives(grid: DataFrame, meta: Meta) -> DataFrame:
+    """(r, c, slope, aspect_sin, aspect_cos, curvature) of every cell from one pass of gradients."""
+    dx, dy = meta.metres()
+    g = slopes(grid, meta)
+    g = g.withColumn("gxx", gradient(g, "gx", "c", dx)).withColumn("gyy", gradient(g, "gy", "r", dy))
+    a = F.atan2(F.col("gy"), F.col("gx"))
+    return g.select("r", "c", F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2).alias("slope"), F.sin(a).alias("aspect_sin"), F.cos(a).alias("aspect_cos"), (F.col("gxx") + F.col("gyy")).alias("curvature"))
+
+
 def hillshade(grid: DataFrame, meta: Meta, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
     """Shade of 0 to 1 by slope and aspect; masked cells take the median first."""
-    median = grid.agg(F.coalesce(F.percentile("v", F.lit(0.5)), F.lit(0.0)).alias("m"))
-    full = densify(grid, meta).crossJoin(F.broadcast(median)).select("r", "c", F.coalesce("v", "m").alias("v"))
+    full = densify(grid, meta).withColumn("v", F.coalesce("v", F.lit(median(grid))))
     az, alt = math.radians(360.0 - azimuth + 90.0), math.radians(altitude)
     steep = F.atan(F.sqrt(F.col("gx") ** 2 + F.col("gy") ** 2))
     facing = F.cos(F.lit(az) - F.atan2(-F.col("gx"), F.col("gy")))

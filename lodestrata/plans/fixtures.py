@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from lodestrata.operators.grid import Meta
 
 N = 48
-#: Orders of this value or more stand for deposits.
-CUTOFF = 495_000
 #: Keeps averages of prices off the halves at which two engines may round apart.
 UNEVEN = 0.9876543210123457
+#: A value's mask, in Spark's and DuckDB's SQL.
+MASKED = "CASE WHEN v NOT BETWEEN 37.0 AND 37.3 THEN v END"
 META = Meta(N, N, 500_000.0, 4_000_000.0, 100.0, -100.0, "EPSG:32612")
 
 
@@ -29,16 +29,11 @@ def grid(spark: SparkSession, sf: str, n: int = N, flag: str | None = None) -> D
 
 
 def dem(spark: SparkSession, sf: str) -> DataFrame:
-    """The grid without a pattern of masked cells."""
-    return grid(spark, sf).filter("(r * 7 + c * 3) % 29 <> 0")
+    """The grid with the values from 37 to 37.3 masked, as if they were its nodata range: every cell has its row."""
+    return grid(spark, sf).withColumn("v", F.expr(MASKED))
 
 
 def deposits(spark: SparkSession, sf: str) -> DataFrame:
-    """The deposits above the cut-off, as the SQL has them: about 1 % of all."""
-    return all_deposits(spark, sf).filter(F.col("v") >= CUTOFF)
-
-
-def all_deposits(spark: SparkSession, sf: str) -> DataFrame:
     """(r, c, ord, name, status, commodity, v) of every order."""
     o = table(spark, sf, "orders")
     return o.select((F.col("o_orderkey") % N).cast("int").alias("r"), (F.col("o_custkey") % N).cast("int").alias("c"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderpriority").alias("status"), F.col("o_orderstatus").alias("commodity"), F.col("o_totalprice").alias("v"))
@@ -54,8 +49,10 @@ def grid_sql(name: str = "g", n: int = N, flag: str | None = None) -> str:
     return f"{name} AS (SELECT CAST(l_orderkey % {n} AS INTEGER) AS r, CAST(l_partkey % {n} AS INTEGER) AS c, CAST(SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / COUNT(*) / 100000 * {UNEVEN}::DOUBLE AS v FROM lineitem{where} GROUP BY 1, 2)"
 
 
-DEM_SQL = grid_sql() + ", dem AS (SELECT * FROM g WHERE (r * 7 + c * 3) % 29 <> 0)"
+DEM_SQL = grid_sql() + f", dem AS (SELECT r, c, {MASKED} AS v FROM g)"
 CELLS_SQL = f"cells AS (SELECT CAST(a.i AS INTEGER) AS r, CAST(b.i AS INTEGER) AS c FROM range({N}) a(i), range({N}) b(i))"
 FULL_SQL = f"{DEM_SQL}, {CELLS_SQL}, f AS (SELECT r, c, v FROM cells LEFT JOIN dem USING (r, c))"
-DEPOSITS_SQL = f"dep AS (SELECT CAST(o_orderkey % {N} AS INTEGER) AS r, CAST(o_custkey % {N} AS INTEGER) AS c, o_orderkey AS ord, CAST(o_orderkey AS VARCHAR) AS name, o_orderpriority AS status, o_orderstatus AS commodity, o_totalprice AS v FROM orders WHERE o_totalprice >= {CUTOFF})"
+DEPOSITS_SQL = f"dep AS (SELECT CAST(o_orderkey % {N} AS INTEGER) AS r, CAST(o_custkey % {N} AS INTEGER) AS c, o_orderkey AS ord, CAST(o_orderkey AS VARCHAR) AS name, o_orderpriority AS status, o_orderstatus AS commodity, o_totalprice AS v FROM orders)"
+# Orders of one cell are as near to any other: one row for each cell that has some.
+DEPOSIT_CELLS_SQL = f"{DEPOSITS_SQL}, dc AS (SELECT r, c, min(ord) AS ord, sum(CAST(round(v * 100) AS BIGINT)) AS cents, count(*) AS n FROM dep GROUP BY 1, 2)"
 SCORES_SQL = "sc AS (SELECT doc_id, CAST(quality AS INTEGER) AS label, n_chars / 40000.0::DOUBLE AS score FROM labels JOIN documents USING (doc_id))"

@@ -99,9 +99,8 @@ def nearest_layer(points: DataFrame, meta: Meta) -> DataFrame:
     if p.count() < 3:
         raise ValueError("fewer than three positive points")
     ranked = p.withColumn("ord", F.xxhash64("x", "y", "v")).select("r", "c", "ord", "v")
-    near = spatial.nearest(grid.cells(p.sparkSession, meta), ranked, *meta.metres()).select("r", "c", F.col("p_v").alias("v"))
-    top = near.agg(F.percentile("v", F.lit(0.95)).alias("p95"))
-    return near.crossJoin(F.broadcast(top)).select("r", "c", scalar.clip(F.col("v") / F.col("p95")).alias("v"))
+    near = spatial.nearest_on_grid(ranked, meta).select("r", "c", F.col("p_v").alias("v"))
+    return near.select("r", "c", scalar.clip(F.col("v") / grid.percentiles(near, "v", [0.95])[0]).alias("v"))
 
 
 def wgs84_bounds(spark: SparkSession, meta: Meta) -> tuple[float, float, float, float]:
@@ -117,15 +116,15 @@ def wgs84_bounds(spark: SparkSession, meta: Meta) -> tuple[float, float, float,
 def fill_and_stretch(coarse: DataFrame, small: Meta, target: Meta) -> DataFrame:
     """A coarse map with its gaps filled by the nearest valid cell, then interpolated to the target grid."""
     known = coarse.filter("v IS NOT NULL").withColumn("ord", (F.col("r") * small.w + F.col("c")).cast("long")).select("r", "c", "ord", "v")
-    full = spatial.nearest(grid.cells(coarse.sparkSession, small), known).select("r", "c", F.col("p_v").alias("v"))
+    full = spatial.nearest_on_grid(known, small).select("r", "c", F.col("p_v").alias("v"))
     return grid.align(full, small, target)
 
 
 def ree_grade_map(maps: DataFrame) -> DataFrame:
     """maps (r, c, probability, th) with v: a linear reference grade, 40 % from positive thorium; 0 under 0.20."""
     low, high = scalar.REE_RANGE
-    p95 = maps.agg(F.percentile(F.when(F.col("th") > 0, F.col("th")), F.lit(0.95)).alias("p95"))
+    p95 = grid.percentiles(maps.filter("th > 0"), "th", [0.95])[0]
     model = low + F.col("probability") * (high - low)
-    measured = low + scalar.clip(F.col("th") / F.col("p95")) * (high - low)
+    measured = low + scalar.clip(F.col("th") / F.lit(p95)) * (high - low)
     v = F.when(F.col("th") > 0, 0.6 * model + 0.4 * measured).otherwise(model)
-    return maps.crossJoin(F.broadcast(p95)).select("r", "c", F.when(F.col("probability") < 0.20, 0.0).otherwise(scalar.clip(v, 0.0, high)).alias("v"))
+    return maps.select("r", "c", F.when(F.col("probability") < 0.20, 0.0).otherwise(scalar.clip(v, 0.0, high)).alias("v"))

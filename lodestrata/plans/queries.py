@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-from inspect import signature
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from lodestrata.operators import deposits as dep
 from lodestrata.operators import depth, grid, metrics, sampling, spatial, targets, terrain
 from lodestrata.plans import catalog
 from lodestrata.plans import fixtures as fx
-from lodestrata.plans.fixtures import CELLS_SQL, DEM_SQL, DEPOSITS_SQL, FULL_SQL, META, N, SCORES_SQL, grid_sql
+from lodestrata.plans.fixtures import CELLS_SQL, DEM_SQL, DEPOSIT_CELLS_SQL, DEPOSITS_SQL, FULL_SQL, MASKED, META, N, SCORES_SQL, grid_sql
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -41,11 +38,20 @@ def _v(rows: DataFrame, digits: int = 6) -> DataFrame:
 # Grids
 
 
-@query(f"WITH {DEM_SQL} SELECT CAST(floor((r + 0.5) * 12 / 48) AS INTEGER) AS r, CAST(floor((c + 0.5) * 12 / 48) AS INTEGER) AS c, round(avg(v), 8) + 0.0 AS v FROM dem GROUP BY 1, 2")
+@query(f"WITH {DEM_SQL} SELECT CAST(floor((r + 0.5) * 12 / 48) AS INTEGER) AS r, CAST(floor((c + 0.5) * 12 / 48) AS INTEGER) AS c, round(avg(v), 8) + 0.0 AS v FROM dem WHERE v IS NOT NULL GROUP BY 1, 2")
 def grid_decimate_avg(spark, sf):
     return _v(grid.decimate(fx.dem(spark, sf), META, 12, 12)[0], 8)
 
 
+@query(f"""WITH {DEM_SQL}, k AS (SELECT r, c, v, r * 5 AS r0, c * 5 AS c0 FROM dem WHERE v IS NOT NULL),
+-- A cell is 5 x 5 parts, a cell of the 15 x 15 grid 16 x 16 of them: 48 * 5 = 15 * 16.
+o AS (SELECT (r0 + a.i) // 16 AS r, (c0 + b.i) // 16 AS c, v FROM k, range(5) a(i), range(5) b(i))
+SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, round(avg(v), 8) + 0.0 AS v FROM o GROUP BY 1, 2""")
+def decimate_fraction(spark, sf):
+    """A ratio that is not whole: cells count by the area that they share."""
+    return _v(grid.decimate(fx.dem(spark, sf), META, 15, 15)[0], 8)
+
+
 @query(f"WITH {DEM_SQL} SELECT CAST(r - 12 AS INTEGER) AS r, CAST(c - 12 AS INTEGER) AS c, round(v, 9) + 0.0 AS v FROM dem WHERE r BETWEEN 12 AND 35 AND c BETWEEN 12 AND 35")
 def center_crop(spark, sf):
     return _v(grid.center_crop(fx.dem(spark, sf), META)[0], 9)
@@ -63,9 +69,9 @@ def layer_stack_join(spark, sf):
     return out.select("r", "c", *[r6(x, 9).alias(x) for x in ("v", "a", "n")])
 
 
-@query(f"WITH {grid_sql()}, {grid_sql('a', flag='A')}, w AS (SELECT g.r, g.c, CASE WHEN (g.r * 7 + g.c * 3) % 29 <> 0 THEN a.v END AS a FROM g LEFT JOIN a USING (r, c)) SELECT r, c, round(coalesce(a, (SELECT coalesce(quantile_cont(a, 0.5), 0) FROM w)), 9) + 0.0 AS a FROM w")
+@query(f"WITH {grid_sql()}, {grid_sql('a', flag='A')}, w AS (SELECT g.r, g.c, CASE WHEN a.v NOT BETWEEN 37.0 AND 37.3 THEN a.v END AS a FROM g LEFT JOIN a USING (r, c)) SELECT r, c, round(coalesce(a, (SELECT coalesce(quantile_cont(a, 0.5), 0) FROM w)), 9) + 0.0 AS a FROM w")
 def median_fill(spark, sf):
-    wide = grid.stack(fx.grid(spark, sf), {"a": fx.grid(spark, sf, flag="A").filter("(r * 7 + c * 3) % 29 <> 0")})
+    wide = grid.stack(fx.grid(spark, sf), {"a": fx.grid(spark, sf, flag="A").withColumn("v", F.expr(MASKED))})
     return grid.median_fill(wide, ["a"]).select("r", "c", r6("a", 9).alias("a"))
 
 
@@ -83,7 +89,7 @@ def layer_rejection_stats(spark, sf):
 @query(f"""WITH {DEM_SQL}, t AS (SELECT CAST(a.i AS INTEGER) AS r, CAST(b.i AS INTEGER) AS c, (a.i + 0.5) * 48.0 / 30 - 0.5 AS fr, (b.i + 0.5) * 48.0 / 30 - 0.5 AS fc FROM range(30) a(i), range(30) b(i)),
 k AS (SELECT r, c, fr, fc, p.i AS a, q.i AS b FROM t, range(2) p(i), range(2) q(i)),
 n AS (SELECT r, c, (CASE WHEN a = 1 THEN fr - floor(fr) ELSE 1 - fr + floor(fr) END) * (CASE WHEN b = 1 THEN fc - floor(fc) ELSE 1 - fc + floor(fc) END) AS w, greatest(0, least(47, floor(fr) + a)) AS sr, greatest(0, least(47, floor(fc) + b)) AS s_c FROM k)
-SELECT n.r, n.c, round(sum(w * v) / sum(w), 8) + 0.0 AS v FROM n JOIN dem ON dem.r = sr AND dem.c = s_c WHERE w > 1e-12 GROUP BY 1, 2""")
+SELECT n.r, n.c, round(sum(w * v) / sum(w), 8) + 0.0 AS v FROM n JOIN dem ON dem.r = sr AND dem.c = s_c WHERE w > 1e-12 AND v IS NOT NULL GROUP BY 1, 2""")
 def bilinear_align(spark, sf):
     target = grid.Meta(30, 30, META.x0, META.y0, 160.0, -160.0)
     return _v(grid.align(fx.dem(spark, sf), META, target), 8)
@@ -91,7 +97,7 @@ def bilinear_align(spark, sf):
 
 @query(f"WITH {FULL_SQL} SELECT CAST(r // 5 AS INTEGER) AS r, CAST(c // 5 AS INTEGER) AS c, round(v, 9) + 0.0 AS v FROM f WHERE r % 5 = 0 AND c % 5 = 0 AND v IS NOT NULL")
 def stride_downsample(spark, sf):
-    return _v(grid.stride(fx.dem(spark, sf), 5), 9)
+    return _v(grid.stride(fx.dem(spark, sf), 5), 9).filter("v IS NOT NULL")
 
 
 # Windows
@@ -162,9 +168,9 @@ def max_filter(spark, sf):
     return _v(terrain.max_filter(fx.dem(spark, sf), META, 5), 9)
 
 
-@query(f"WITH {DEPOSITS_SQL}, {CELLS_SQL} SELECT DISTINCT cells.r, cells.c FROM cells JOIN dep ON abs(cells.r - dep.r) + abs(cells.c - dep.c) <= 3")
-def binary_dilation(spark, sf, points=fx.deposits):
-    return terrain.dilate(points(spark, sf), META, 3)
+@query(f"WITH {DEPOSIT_CELLS_SQL}, {CELLS_SQL} SELECT DISTINCT cells.r, cells.c FROM cells JOIN dc ON abs(cells.r - dc.r) + abs(cells.c - dc.c) <= 3")
+def binary_dilation(spark, sf):
+    return terrain.dilate(fx.deposits(spark, sf), META, 3)
 
 
 # Coordinates
@@ -213,15 +219,15 @@ def commodity_filter(spark, sf):
 
 
 @query(f"WITH {DEPOSITS_SQL}, x AS (SELECT *, CASE lower(trim(status)) WHEN '1-urgent' THEN 4 WHEN '2-high' THEN 3 WHEN '3-medium' THEN 2 ELSE 1 END AS rank FROM dep) SELECT ord, rank FROM x WHERE rank >= 2")
-def status_rank_filter(spark, sf, points=fx.deposits):
+def status_rank_filter(spark, sf):
     ranks = {"1-urgent": 4, "2-high": 3, "3-medium": 2}
-    return points(spark, sf).select("ord", dep.status_rank(F.col("status"), ranks).alias("rank")).filter("rank >= 2")
+    return fx.deposits(spark, sf).select("ord", dep.status_rank(F.col("status"), ranks).alias("rank")).filter("rank >= 2")
 
 
 @query(f"WITH {DEM_SQL}, {DEPOSITS_SQL} SELECT dep.r, dep.c, ord, round(dem.v, 9) + 0.0 AS v FROM dep JOIN dem USING (r, c) WHERE dep.r BETWEEN 10 AND 40 AND dep.c BETWEEN 5 AND 30")
-def aoi_filter(spark, sf, points=fx.deposits, base=fx.dem):
-    d = points(spark, sf).filter(F.col("r").between(10, 40) & F.col("c").between(5, 30)).select("r", "c", "ord")
-    return base(spark, sf).join(F.broadcast(d), ["r", "c"]).select("r", "c", "ord", r6("v", 9).alias("v"))
+def aoi_filter(spark, sf):
+    d = fx.deposits(spark, sf).filter(F.col("r").between(10, 40) & F.col("c").between(5, 30)).select("r", "c", "ord")
+    return fx.dem(spark, sf).join(d, ["r", "c"]).select("r", "c", "ord", r6("v", 9).alias("v"))
 
 
 _IF = lambda test, w: f"CASE WHEN {test} THEN {w}::DOUBLE ELSE 0 END"
@@ -237,9 +243,9 @@ def deposit_score(spark, sf):
 
 
 @query(f"WITH {DEPOSITS_SQL}, x AS (SELECT *, CASE WHEN status LIKE '1%' THEN 4 WHEN status LIKE '2%' THEN 3 ELSE 1 END AS rank FROM dep) SELECT r, c, ord, rank FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY rank DESC, ord) AS n FROM x) WHERE n = 1")
-def pixel_dedupe(spark, sf, points=fx.deposits):
+def pixel_dedupe(spark, sf):
     rank = F.expr("CASE WHEN status LIKE '1%' THEN 4 WHEN status LIKE '2%' THEN 3 ELSE 1 END")
-    return dep.dedupe(points(spark, sf).withColumn("rank", rank)).select("r", "c", "ord", "rank")
+    return dep.dedupe(fx.deposits(spark, sf).withColumn("rank", rank)).select("r", "c", "ord", "rank")
 
 
 _QUAD = "(CASE WHEN r >= %s THEN 2 ELSE 0 END + CASE WHEN c >= %s THEN 1 ELSE 0 END)"
@@ -249,69 +255,68 @@ _QUAD = "(CASE WHEN r >= %s THEN 2 ELSE 0 END + CASE WHEN c >= %s THEN 1 ELSE 0
     f"WITH {DEPOSITS_SQL}, q AS (SELECT *, {_QUAD % (24, 24)} AS q FROM dep), k AS (SELECT q, count(*) AS n, sum(count(*)) OVER () AS total FROM q GROUP BY q), "
     "p AS (SELECT q AS pq, total >= 10 AND n <= floor(total / 2) AS ok FROM k ORDER BY abs(n - 0.25 * total), q LIMIT 1) SELECT ord, q, ok AND q = pq AS held FROM q, p"
 )
-def quadrant_holdout(spark, sf, points=fx.deposits):
-    return dep.holdout(points(spark, sf), N, N).select("ord", "q", "held")
+def quadrant_holdout(spark, sf):
+    return dep.holdout(fx.deposits(spark, sf), N, N).select("ord", "q", "held")
 
 
 @query(
     f"WITH {DEPOSITS_SQL}, m AS (SELECT quantile_cont(r, 0.5) AS mr, quantile_cont(c, 0.5) AS mc, count(*) AS total FROM dep), q AS (SELECT dep.*, total, {_QUAD % ('mr', 'mc')} AS q FROM dep, m), "
     "p AS (SELECT q AS pq, total >= 8 AND count(*) >= greatest(2, floor(0.15 * total)) AS ok FROM q GROUP BY q, total ORDER BY count(*) DESC, q LIMIT 1) SELECT ord, q, ok AND q = pq AS held FROM q, p"
 )
-def median_holdout(spark, sf, points=fx.deposits):
-    return dep.holdout_median(points(spark, sf)).select("ord", "q", "held")
+def median_holdout(spark, sf):
+    return dep.holdout_median(fx.deposits(spark, sf)).select("ord", "q", "held")
 
 
-@query(f"WITH {DEPOSITS_SQL}, {DEM_SQL} SELECT 1 AS label, dep.r, dep.c FROM dep JOIN dem USING (r, c) UNION ALL SELECT 0, r, c FROM dem WHERE (r * 31 + c * 17) % 11 = 0")
+@query(f"WITH {DEPOSITS_SQL}, {DEM_SQL} SELECT 1 AS label, dep.r, dep.c FROM dep JOIN dem USING (r, c) UNION ALL SELECT 0, r, c FROM dem")
 def samples_union(spark, sf):
     d = fx.dem(spark, sf)
-    pos = d.join(F.broadcast(fx.deposits(spark, sf).select("r", "c")), ["r", "c"]).select(F.lit(1).alias("label"), "r", "c")
-    return pos.unionByName(d.filter("(r * 31 + c * 17) % 11 = 0").select(F.lit(0).alias("label"), "r", "c"))
+    pos = d.join(fx.deposits(spark, sf).select("r", "c"), ["r", "c"]).select(F.lit(1).alias("label"), "r", "c")
+    return pos.unionByName(d.select(F.lit(0).alias("label"), "r", "c"))
 
 
 # Distances and interpolation
 
-_DIST = f"WITH {DEM_SQL}, {CELLS_SQL}, {DEPOSITS_SQL}, d AS (SELECT cells.r, cells.c, sqrt(min((cells.r - dep.r) * 100.0::DOUBLE * (cells.r - dep.r) * 100 + (cells.c - dep.c) * 100.0::DOUBLE * (cells.c - dep.c) * 100)) AS d FROM cells, dep GROUP BY 1, 2) "
+_DIST = f"WITH {DEM_SQL}, {CELLS_SQL}, {DEPOSIT_CELLS_SQL}, d AS (SELECT cells.r, cells.c, sqrt(min((cells.r - dc.r) * 100.0::DOUBLE * (cells.r - dc.r) * 100 + (cells.c - dc.c) * 100.0::DOUBLE * (cells.c - dc.c) * 100)) AS d FROM cells, dc GROUP BY 1, 2) "
 
 
 @query(_DIST + "SELECT r, c, round(d, 6) + 0.0 AS d FROM d")
-def distance_transform(spark, sf, points=fx.deposits):
-    return spatial.distance(points(spark, sf), META).select("r", "c", r6("d").alias("d"))
+def distance_transform(spark, sf):
+    return spatial.distance(fx.deposits(spark, sf), META).select("r", "c", r6("d").alias("d"))
 
 
 @query(_DIST + "SELECT r, c, round(greatest(0.0, least(1.0, 1 - d / 1000)), 6) + 0.0 AS v FROM d")
-def proximity_linear(spark, sf, points=fx.deposits):
-    return _v(spatial.distance(points(spark, sf), META).withColumn("v", spatial.proximity_linear(F.col("d"), 1000.0)))
+def proximity_linear(spark, sf):
+    return _v(spatial.distance(fx.deposits(spark, sf), META).withColumn("v", spatial.proximity_linear(F.col("d"), 1000.0)))
 
 
 @query(_DIST + "SELECT r, c, round(exp(-d / 2500), 6) + 0.0 AS v FROM d")
-def proximity_exp(spark, sf, points=fx.deposits):
-    return _v(spatial.distance(points(spark, sf), META).withColumn("v", spatial.proximity_exp(F.col("d"))))
+def proximity_exp(spark, sf):
+    return _v(spatial.distance(fx.deposits(spark, sf), META).withColumn("v", spatial.proximity_exp(F.col("d"))))
 
 
 @query(_DIST + "SELECT r, c, round(v, 9) + 0.0 AS v FROM dem JOIN d USING (r, c) WHERE d >= 300")
-def buffer_antijoin(spark, sf, points=fx.deposits, base=fx.dem):
-    return _v(spatial.outside(base(spark, sf), points(spark, sf), META, 300.0), 9)
+def buffer_antijoin(spark, sf):
+    return _v(spatial.outside(fx.dem(spark, sf), fx.deposits(spark, sf), META, 300.0), 9)
 
 
-@query(f"WITH {CELLS_SQL}, {DEPOSITS_SQL}, w AS (SELECT cells.r, cells.c, dep.v, 1 / greatest(((cells.r - dep.r) * 100.0::DOUBLE) ** 2 + ((cells.c - dep.c) * 100.0::DOUBLE) ** 2, 1.0) AS w FROM cells, dep) SELECT r, c, round(sum(w * v) / sum(w), 4) + 0.0 AS v FROM w GROUP BY 1, 2")
-def idw(spark, sf, points=fx.deposits):
-    return _v(spatial.idw(grid.cells(spark, META), points(spark, sf), 2.0, 100.0, 100.0), 4)
+@query(f"WITH {CELLS_SQL}, {DEPOSIT_CELLS_SQL}, w AS (SELECT cells.r, cells.c, cents / 100.0::DOUBLE AS v, n, 1 / greatest(((cells.r - dc.r) * 100.0::DOUBLE) ** 2 + ((cells.c - dc.c) * 100.0::DOUBLE) ** 2, 1.0) AS w FROM cells, dc) SELECT r, c, round(sum(w * v) / sum(w * n), 4) + 0.0 AS v FROM w GROUP BY 1, 2")
+def idw(spark, sf):
+    return _v(spatial.idw(grid.cells(spark, META), fx.deposits(spark, sf), 2.0, 100.0, 100.0), 4)
 
 
-_NEAR = f"WITH {DEM_SQL}, {DEPOSITS_SQL}, n AS (SELECT dem.r, dem.c, dep.name, dep.v AS pv, sqrt(((dem.r - dep.r) * 100.0::DOUBLE) ** 2 + ((dem.c - dep.c) * 100.0::DOUBLE) ** 2) AS d, ord FROM dem, dep), b AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY d, ord) AS k FROM n) "
+_NEAR = f"WITH {DEM_SQL}, {DEPOSIT_CELLS_SQL}, b AS (SELECT * FROM (SELECT dem.r, dem.c, dc.ord, sqrt(((dem.r - dc.r) * 100.0::DOUBLE) ** 2 + ((dem.c - dc.c) * 100.0::DOUBLE) ** 2) AS d FROM dem, dc) QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY d, ord) = 1) "
 
 
-@query(_NEAR + "SELECT r, c, name, round(d / 1000, 2) AS km FROM b WHERE k = 1")
-def nearest_deposit(spark, sf, points=fx.deposits, base=fx.dem):
-    d = points(spark, sf).select("r", "c", "ord", "name")
-    out = spatial.nearest(base(spark, sf), d, 100.0, 100.0)
+@query(_NEAR + "SELECT b.r, b.c, name, round(d / 1000, 2) AS km FROM b JOIN dep USING (ord)")
+def nearest_deposit(spark, sf):
+    out = fx.dem(spark, sf).select("r", "c").join(spatial.nearest_on_grid(fx.deposits(spark, sf).select("r", "c", "ord", "name"), META), ["r", "c"])
     return out.select("r", "c", F.col("p_name").alias("name"), F.round(F.col("dist") / 1000, 2).alias("km"))
 
 
-@query(_NEAR + "SELECT r, c, round(pv, 4) AS v FROM b WHERE k = 1")
-def nearest_value(spark, sf, points=fx.deposits, base=fx.dem):
-    d = points(spark, sf).select("r", "c", "ord", "v")
-    return spatial.nearest(base(spark, sf), d, 100.0, 100.0).select("r", "c", F.round("p_v", 4).alias("v"))
+@query(_NEAR + "SELECT b.r, b.c, round(dep.v, 4) AS v FROM b JOIN dep USING (ord)")
+def nearest_value(spark, sf):
+    out = fx.dem(spark, sf).select("r", "c").join(spatial.nearest_on_grid(fx.deposits(spark, sf).select("r", "c", "ord", "v"), META), ["r", "c"])
+    return out.select("r", "c", F.round("p_v", 4).alias("v"))
 
 
 _RING = [(500_450.0, 3_999_350.0), (503_950.0, 3_998_850.0), (503_050.0, 3_996_250.0), (501_250.0, 3_997_450.0)]
@@ -329,8 +334,8 @@ def polygon_burn(spark, sf):
 _TB = f"WITH {_grad('100.0')[5:]}, t AS (SELECT s.r, s.c, s.v AS elevation, sqrt(gx * gx + gy * gy) AS slope, CASE WHEN (s.r * 13 + s.c * 7) % 10 = 0 THEN 1 ELSE 0 END AS positive FROM s WHERE s.v IS NOT NULL AND gx IS NOT NULL AND gy IS NOT NULL), " "e AS (SELECT list_sort(list_distinct(quantile_cont(elevation, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]))) AS ee, list_sort(list_distinct(quantile_cont(slope, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]))) AS es FROM t WHERE positive = 0), " "b AS (SELECT r, c, positive, CAST(len(list_filter(ee, lambda x: x <= elevation)) * (len(es) + 1) + len(list_filter(es, lambda x: x <= slope)) AS INTEGER) AS bin FROM t, e) "
 
 
-def _terrain(spark, sf, base=fx.dem) -> DataFrame:
-    d = base(spark, sf)
+def _terrain(spark, sf) -> DataFrame:
+    d = fx.dem(spark, sf)
     t = d.withColumnRenamed("v", "elevation").join(terrain.slope(d, META).withColumnRenamed("v", "slope"), ["r", "c"])
     return t.filter("elevation IS NOT NULL AND slope IS NOT NULL").withColumn("positive", F.expr("CASE WHEN (r * 13 + c * 7) % 10 = 0 THEN 1 ELSE 0 END"))
 
@@ -338,7 +343,7 @@ def _terrain(spark, sf, base=fx.dem) -> DataFrame:
 @query(f"WITH {DEM_SQL} SELECT CAST(i AS INTEGER) AS i, round(q[i], 6) + 0.0 AS edge FROM (SELECT list_sort(list_distinct(quantile_cont(v, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]))) AS q FROM dem), range(1, 8) t(i)")
 def quantile_edges(spark, sf):
     e = sampling.edges(fx.dem(spark, sf), "v")
-    return e.select(F.posexplode("edges").alias("i", "edge")).select((F.col("i") + 1).alias("i"), r6("edge").alias("edge"))
+    return spark.createDataFrame(list(enumerate(e, 1)), "i int, edge double").select("i", r6("edge").alias("edge"))
 
 
 @query(_TB + "SELECT r, c, bin FROM b")
@@ -357,7 +362,7 @@ def terrain_weights(spark, sf):
 
 @query()
 def weighted_background(spark, sf):
-    binned = sampling.terrain_bins(_terrain(spark, sf, fx.grid))
+    binned = sampling.terrain_bins(_terrain(spark, sf))
     w = sampling.terrain_weights(binned)
     pool = binned.filter("positive = 0").join(F.broadcast(w.select("bin", "weight")), "bin")
     return sampling.weighted_sample(pool, 200).select("r", "c")
@@ -434,7 +439,7 @@ _AB = f"WITH {grid_sql()}, {grid_sql('a', flag='A')}, {grid_sql('n', flag='R')},
 
 @query(_AB + "SELECT r, c, CASE WHEN abs(s - e) / greatest((s + e) / 2, 1e-6) <= 0.35 THEN 'corroborated' WHEN s IS NOT NULL AND e IS NOT NULL THEN 'discrepant' WHEN s IS NOT NULL OR e IS NOT NULL THEN 'single-method' END AS status FROM x")
 def depth_status(spark, sf):
-    x = grid.stack(fx.grid(spark, sf), {"s": fx.grid(spark, sf, flag="A"), "e": fx.grid(spark, sf, flag="R").filter("(r + c) % 5 <> 0")})
+    x = grid.stack(fx.grid(spark, sf), {"s": fx.grid(spark, sf, flag="A"), "e": fx.grid(spark, sf, flag="R").withColumn("v", F.expr("CASE WHEN (r + c) % 5 <> 0 THEN v END"))})
     return x.select("r", "c", scalar.depth_status(F.col("s"), F.col("e")).alias("status"))
 
 
@@ -468,9 +473,9 @@ def prior_blend(spark, sf):
 
 @query()
 def reference_grade_map(spark, sf):
-    p95 = fx.grid(spark, sf, flag="A").agg(F.percentile("v", F.lit(0.95)).alias("p95"))
-    x = grid.stack(fx.grid(spark, sf), {"a": fx.grid(spark, sf, flag="A")}).crossJoin(F.broadcast(p95))
-    g = scalar.copper_grade_map(F.col("v") / 100, F.coalesce("a", F.lit(0.0)), F.col("p95"))
+    p95 = grid.percentiles(fx.grid(spark, sf, flag="A"), "v", [0.95])[0]
+    x = grid.stack(fx.grid(spark, sf), {"a": fx.grid(spark, sf, flag="A")})
+    g = scalar.copper_grade_map(F.col("v") / 100, F.coalesce("a", F.lit(0.0)), F.lit(p95))
     return x.select("r", "c", r6(g).alias("v"), scalar.grade_band(g, "copper").alias("band"))
 
 
@@ -551,15 +556,15 @@ def euler_normal_sums(spark, sf):
     return s.select("win_r", "win_c", "m", r6("b", 4).alias("b"), *[r6(n).alias(n) for n in ("s_xx", "s_xy", "s_xz", "s_zn")], r6("b_z", 4).alias("b_z"))
 
 
-@query(f"WITH {CELLS_SQL}, {DEPOSITS_SQL} SELECT cells.r, cells.c, round(sum((ord % 9 + 1) * CAST(round(dep.v * 100) AS BIGINT))::DOUBLE / sum(ord % 9 + 1), 4) AS v FROM cells JOIN dep ON abs(cells.r - dep.r) <= 4 AND abs(cells.c - dep.c) <= 4 GROUP BY 1, 2")
-def weighted_box_depth(spark, sf, points=fx.deposits):
-    s = points(spark, sf).select("r", "c", F.round(F.col("v") * 100).alias("depth"), (F.col("ord") % 9 + 1).cast("double").alias("reliability"))
+@query(f"WITH {CELLS_SQL}, {DEPOSITS_SQL}, s AS (SELECT r, c, sum((ord % 9 + 1) * CAST(round(v * 100) AS BIGINT)) AS wv, sum(ord % 9 + 1) AS w FROM dep GROUP BY 1, 2) SELECT cells.r, cells.c, round(sum(wv)::DOUBLE / sum(w), 4) AS v FROM cells JOIN s ON abs(cells.r - s.r) <= 4 AND abs(cells.c - s.c) <= 4 GROUP BY 1, 2")
+def weighted_box_depth(spark, sf):
+    s = fx.deposits(spark, sf).select("r", "c", F.round(F.col("v") * 100).alias("depth"), (F.col("ord") % 9 + 1).cast("double").alias("reliability"))
     return depth.box_depth(s, META, 4).select("r", "c", F.round("v", 4).alias("v"))
 
 
 def _field(spark, sf, h: float) -> DataFrame:
     """The field of a pole h metres under every deposit; those of one cell add up, so a pole is broadcast once a cell."""
-    poles = fx.all_deposits(spark, sf).groupBy(F.col("r").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n"))
+    poles = fx.deposits(spark, sf).groupBy(F.col("r").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n"))
     d2 = ((F.col("r") - F.col("a")) ** 2 + (F.col("c") - F.col("b")) ** 2) * 10_000.0
     one = F.col("n") * 1e8 * h / F.pow(d2 + h * h, 1.5)
     return grid.cells(spark, META).crossJoin(F.broadcast(poles)).groupBy("r", "c").agg(F.sum(one).alias("v"))
@@ -580,22 +585,6 @@ def euler_solutions(spark, sf):
     return depth.euler(_field(spark, sf, 400.0), META).select("size", "win_r", "win_c", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("depth", 2).alias("depth"), F.round("reliability", 4).alias("reliability"))
 
 
-# The deposit operators over every order and every cell. They have no SQL: a cross join of them is too slow there, so
-# tests hold them against brute force.
-
-WHOLE = [binary_dilation, status_rank_filter, aoi_filter, pixel_dedupe, quadrant_holdout, median_holdout, distance_transform, proximity_linear, proximity_exp, buffer_antijoin, idw, nearest_deposit, nearest_value, weighted_box_depth]
-for _f in WHOLE:
-    QUERIES[f"{_f.__name__}_all"] = partial(_f, points=fx.all_deposits, **({"base": fx.grid} if "base" in signature(_f).parameters else {}))
-
-
-@query()
-def samples_union_all(spark, sf):
-    """Every deposit on a cell and every background cell."""
-    d = fx.grid(spark, sf)
-    pos = d.join(fx.all_deposits(spark, sf).select("r", "c"), ["r", "c"]).select(F.lit(1).alias("label"), "r", "c")
-    return pos.unionByName(d.select(F.lit(0).alias("label"), "r", "c"))
-
-
 # Targets
 
 
