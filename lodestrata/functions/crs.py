@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,3 +56,25 @@ def to_wgs84(x: Column, y: Column, epsg: int) -> tuple[Column, Column]:
 
 def looks_geographic(x: Column, y: Column) -> Column:
     return (F.abs(x) <= 360) & (F.abs(y) <= 90)
+
+
+def of_wkt(text: str | None) -> str | None:
+    """EPSG code of a .prj file's text: WGS84 longitudes and latitudes or a UTM zone on WGS84; None without a text that names
+    a projection. Others are an error."""
+    text = (text or "").strip()
+    if text.startswith(("GEOGCS", "GEOGCRS")):
+        return "EPSG:4326"
+    if not text.startswith(("PROJCS", "PROJCRS")):
+        return None
+    m = re.search(r"UTM[_ ]zone[_ ](\d{1,2})([NS])", text, re.IGNORECASE)
+    if not m:
+        raise ValueError(f"projection {text[:60]} is not supported")
+    return f"EPSG:{326 if m[2].upper() == 'N' else 327}{int(m[1]):02}"
+
+
+def convert(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
+    """Coordinates of one EPSG code in another, by way of WGS84."""
+    if source == target or not source or not target:
+        return x, y
+    lon, lat = (x, y) if source == "EPSG:4326" else to_wgs84(x, y, int(source[5:]))
+    return (lon, lat) if target == "EPSG:4326" else to_utm(lon, lat, int(target[5:]))

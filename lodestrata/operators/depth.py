@@ -196,7 +196,7 @@ def euler_solutions(sums: DataFrame, meta: Meta, size: int, index: float = 2.0,
     return sums.mapInPandas(solve, "win_r int, win_c int, x double, y double, depth double, reliability double")
 
 
-def euler(grid: DataFrame, meta: Meta, sizes: tuple[int, ...] = (10, 16, 24, 32), cap: int = 4_000) -> DataFrame:
+def euler(grid: DataFrame, meta: Meta, sizes: tuple[int, ...] = (10, 16, 24, 32), cap: int = 4_000, index: float = 2.0) -> DataFrame:
     """Solutions of all window sizes that fit a third of the grid, each capped in row-major order of the windows."""
     from lodestrata.operators.terrain import slopes
 
@@ -208,7 +208,7 @@ def euler(grid: DataFrame, meta: Meta, sizes: tuple[int, ...] = (10, 16, 24, 32)
     fields = store.stored(slopes(flat, meta).join(gz, ["r", "c"]).select("r", "c", F.col("v").alias("t"), "gx", "gy", "gz"), "euler-fields")
     out = None
     for s in sizes:
-        found = euler_solutions(euler_sums(fields, meta, s), meta, s).orderBy("win_r", "win_c").limit(cap).withColumn("size", F.lit(s))
+        found = euler_solutions(euler_sums(fields, meta, s, index), meta, s, index).orderBy("win_r", "win_c").limit(cap).withColumn("size", F.lit(s))
         out = found if out is None else out.unionByName(found)
     return out
 

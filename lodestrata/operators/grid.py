@@ -8,6 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions import crs
+
 #: Values beyond this are treated as nodata whatever the header says.
 SENTINEL = 1e30
 METRES_PER_DEGREE = 111_320.0
@@ -33,6 +35,10 @@ class Meta:
         lat = self.y0 + self.dy * self.h / 2
         return abs(self.dx) * METRES_PER_DEGREE * max(math.cos(math.radians(lat)), 1e-6), abs(self.dy) * METRES_PER_DEGREE
 
+    def code(self) -> str:
+        """EPSG code, where there is one."""
+        return "EPSG:4326" if self.geographic else self.crs
+
     def bounds(self) -> tuple[float, float, float, float]:
         x, y = self.x0 + self.w * self.dx, self.y0 + self.h * self.dy
         return min(self.x0, x), min(self.y0, y), max(self.x0, x), max(self.y0, y)
@@ -167,7 +173,7 @@ def align(grid: DataFrame, meta: Meta, target: Meta) -> DataFrame:
     """grid resampled bilinearly at the centres of target's cells; NULL where none of the four neighbours is valid.
 
     An equi-join of target cells with their neighbours: nothing is compared with everything."""
-    x, y = pixel_to_world(target, F.col("r"), F.col("c"))
+    x, y = crs.convert(*pixel_to_world(target, F.col("r"), F.col("c")), target.code(), meta.code())
     fr, fc = (y - meta.y0) / meta.dy - 0.5, (x - meta.x0) / meta.dx - 0.5
     at = cells(grid.sparkSession, target).select("r", "c", fr.alias("fr"), fc.alias("fc"))
     inside = F.col("fr").between(-0.5, meta.h - 0.5) & F.col("fc").between(-0.5, meta.w - 0.5)

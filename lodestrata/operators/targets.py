@@ -76,5 +76,27 @@ def csv_rows(targets: DataFrame, drivers: int = 3) -> DataFrame:
     return targets.select(*out).orderBy("rank")
 
 
-def write_csv(targets: DataFrame, path: str, drivers: int = 3) -> None:
-    csv_rows(targets, drivers).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+# The notes' names in the table of targets.
+NOTES = ("GRADE CONTEXT", "NOTE")
+
+
+def write_csv(targets: DataFrame, path: str, statement: str = "", drivers: int = 3) -> None:
+    """One CSV file of the ranked targets, with what to know of grades and of the figures below them."""
+    import csv
+    import io
+
+    from lodestrata.sources.geotiff import place
+
+    rows = csv_rows(targets, drivers)
+    text = io.StringIO()
+    out = csv.writer(text)
+    out.writerow(rows.columns)
+    out.writerows([list(r) for r in rows.collect()])  # some 25 rows
+    if statement:
+        out.writerow([])
+        out.writerow([NOTES[0], statement])
+        out.writerow([NOTES[1], "Probabilities rank ground for follow-up and promise no discovery; depths are those of magnetic sources; only drilling measures grade."])
+    fs, name = place(path)
+    fs.create_dir(name.rsplit("/", 1)[0])
+    with fs.open_output_stream(name, compression=None) as f:
+        f.write(text.getvalue().encode())

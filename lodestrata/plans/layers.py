@@ -4,30 +4,61 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import crs, scalar
+from lodestrata.operators import deposits as dep
 from lodestrata.operators import grid, sampling, spatial
 from lodestrata.operators.grid import Meta
 
 #: Points that an inverse-distance layer uses at most; more are drawn by hash.
 IDW_POINTS = 2_000
-# Words that name a value column, in order of preference.
-VALUE_WORDS = ("ppm", "pct", "value", "val", "grade", "conc", "cu", "au", "ag", "th", "u", "k")
+# Words that name a value column of a shapefile.
+VALUE_WORDS = ("value", "ppm", "ppb", "grade", "conc", "pct")
+#: Shapes, and points of each, by which shapes without a projection are judged.
+PROBE_SHAPES, PROBE_POINTS, PROBED = 200, 5, 200
 
 
-def to_grid_crs(points: DataFrame, meta: Meta, wgs84: bool | None = None) -> DataFrame:
-    """points (x, y, ...) in the grid's projection. Without a known CRS, points that all look geographic on a projected
-    grid are taken for WGS84."""
+def to_grid_crs(points: DataFrame, meta: Meta) -> DataFrame:
+    """points (x, y, ...) in the grid's projection: on a projected grid those that look geographic are taken for WGS84."""
     if meta.geographic or not meta.crs.startswith("EPSG:"):
         return points
-    if wgs84 is None:
-        wgs84 = points.limit(200).agg(F.coalesce(F.every(crs.looks_geographic(F.col("x"), F.col("y"))), F.lit(False))).first()[0]
-    if not wgs84:
-        return points
     x, y = crs.to_utm(F.col("x"), F.col("y"), int(meta.crs[5:]))
-    return points.withColumn("_x", x).withColumn("_y", y).drop("x", "y").withColumnsRenamed({"_x": "x", "_y": "y"})
+    degrees = crs.looks_geographic(F.col("x"), F.col("y"))
+    return points.withColumns({"x": F.when(degrees, x).otherwise(F.col("x")), "y": F.when(degrees, y).otherwise(F.col("y"))})
+
+
+def read_shapes(spark: SparkSession, path: str, meta: Meta) -> tuple[str, DataFrame]:
+    """The family (point, line or polygon) and the shapes (file, no, parts, attributes) of a shapefile, in the grid's
+    projection. The .prj file tells theirs; without one, shapes on a projected grid are taken for WGS84 if the first points
+    of the first shapes all look geographic, else for the grid's."""
+    from lodestrata.sources import shapefile
+
+    shapefile.register(spark)
+    shapes = spark.read.format("shapefile").load(path)
+    kinds = [r["gtype"] for r in shapes.select("gtype").distinct().collect()]
+    if len(kinds) != 1:
+        raise ValueError(f"{PurePosixPath(path).name} holds {sorted(kinds)}")
+    source = crs.of_wkt(shapes.select("crs").first()[0])
+    if source is None and not meta.geographic and meta.crs.startswith("EPSG:"):
+        first = shapes.orderBy("file", "no").limit(PROBE_SHAPES).select("file", "no", F.slice(F.flatten("parts"), 1, PROBE_POINTS).alias("p")).orderBy("file", "no").collect()
+        probe = [p for r in first for p in r["p"]][:PROBED]
+        if probe and all(abs(p["x"]) <= 360 and abs(p["y"]) <= 90 for p in probe):
+            source = "EPSG:4326"
+    return kinds[0], shapes_to(shapes, source, meta)
+
+
+def shapes_to(shapes: DataFrame, source: str | None, meta: Meta) -> DataFrame:
+    """shapes with parts converted from an EPSG code to the grid's."""
+    if source is None or source == meta.code():
+        return shapes
+
+    def moved(p: Column) -> Column:
+        x, y = crs.convert(p["x"], p["y"], source, meta.code())
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return shapes.withColumn("parts", F.transform("parts", lambda part: F.transform(part, moved)))
 
 
 def on_grid(points: DataFrame, meta: Meta) -> DataFrame:
@@ -53,44 +84,79 @@ def _parts(shapes: list[list[tuple[float, float]]], spark: SparkSession) -> Data
     return spark.createDataFrame(rows, "part long, p array<struct<x:double,y:double>>")
 
 
+def _decay(marks: DataFrame, meta: Meta, decay: float) -> DataFrame:
+    """exp(-d / decay) of every cell; zeros without marks."""
+    v = F.coalesce(spatial.proximity_exp(F.col("d"), decay), F.lit(0.0))
+    return grid.cells(marks.sparkSession, meta).join(spatial.distance(marks, meta), ["r", "c"], "left").select("r", "c", v.alias("v"))
+
+
 def line_layer(lines: list[list[tuple[float, float]]] | DataFrame, meta: Meta, spark: SparkSession, decay: float = 2_500.0) -> DataFrame:
-    """exp(-d / decay) from the cells that any line touches; lines may be a table (part, p)."""
+    """exp(-d / decay) from the cells that any line touches, zeros if none does; lines may be a table (part, p)."""
     parts = lines if isinstance(lines, DataFrame) else _parts(lines, spark)
-    marks = spatial.burn_segments(spatial.segments(parts, False), meta)
-    return spatial.distance(marks, meta).select("r", "c", spatial.proximity_exp(F.col("d"), decay).alias("v"))
+    return _decay(spatial.burn_segments(spatial.segments(parts, False), meta), meta, decay)
 
 
 def polygon_layer(rings: list[list[tuple[float, float]]] | DataFrame, meta: Meta, spark: SparkSession, decay: float = 2_500.0) -> DataFrame:
-    """1 inside any ring or where its border passes, falling off outside; rings may be a table (part, p)."""
-    sides = spatial.segments(rings if isinstance(rings, DataFrame) else _parts(rings, spark), True)
-    marks = spatial.fill_rings(sides, meta).unionByName(spatial.burn_segments(sides, meta))
-    return spatial.distance(marks, meta).select("r", "c", spatial.proximity_exp(F.col("d"), decay).alias("v"))
+    """1 inside a polygon or where its border passes, falling off outside; zeros if none touches the grid. A list holds
+    polygons of one ring; of a table (part, p) the rows of one part are one polygon's rings, and what lies in an even
+    number of them is a hole."""
+    parts = rings if isinstance(rings, DataFrame) else _parts(rings, spark)
+    sides = spatial.segments(parts.filter(F.size("p") >= 3), True)
+    return _decay(spatial.fill_rings(sides, meta).unionByName(spatial.burn_segments(sides, meta)), meta, decay)
 
 
 def shapefile_layer(spark: SparkSession, path: str, meta: Meta, value_field: str | None = None) -> DataFrame:
     """A layer of a shapefile by its family of shapes."""
-    from lodestrata.sources import shapefile
-
-    shapefile.register(spark)
-    shapes = spark.read.format("shapefile").load(path)
-    kinds = {r["gtype"] for r in shapes.select("gtype").distinct().collect()}
-    if kinds == {"point"}:
-        keys = shapes.select(F.explode(F.map_keys("attributes"))).distinct().limit(1_000).collect()
-        name = value_field or value_column([r[0] for r in keys])
+    kind, shapes = read_shapes(spark, path, meta)
+    if kind == "point":
+        first = shapes.orderBy("file", "no").select("attributes").first()[0]
+        name = value_field or value_column(first or {})
         v = F.expr("try_cast(attributes['" + name + "'] AS DOUBLE)") if name else F.lit(None).cast("double")
         p = shapes.select(F.explode("parts").alias("part"), v.alias("v")).select(F.get("part", F.lit(0)).alias("p"), "v").select("p.x", "p.y", "v")
-        return point_layer(to_grid_crs(p, meta), meta, name is not None)
-    parts = shapes.withColumn("shape", F.monotonically_increasing_id()).select("shape", F.posexplode("parts").alias("at", "p")).select(F.struct("shape", "at").alias("part"), "p")
-    if kinds == {"line"}:
-        return line_layer(parts, meta, spark)
-    if kinds == {"polygon"}:
-        return polygon_layer(parts, meta, spark)
-    raise ValueError(f"{PurePosixPath(path).name} holds {sorted(kinds)}")
-
-
-def value_column(names: list[str]) -> str | None:
-    """The column that a preferred word names."""
-    return next((n for w in VALUE_WORDS for n in sorted(names) if w in n.lower().split("_") or n.lower() == w), None)
+        return point_layer(p, meta, name is not None)
+    parts = shapes.select(F.struct("file", "no").alias("part"), F.explode("parts").alias("p")).filter(F.size("p") >= (2 if kind == "line" else 3))
+    if parts.isEmpty():
+        raise ValueError(f"{PurePosixPath(path).name} has no {kind} of enough points")
+    return line_layer(parts, meta, spark) if kind == "line" else polygon_layer(parts, meta, spark)
+
+
+def value_column(first: dict[str, str]) -> str | None:
+    """The first field, in order, with a value word in its name and a number in the first record."""
+    def number(text: str) -> bool:
+        try:
+            float(text)
+        except ValueError:
+            return False
+        return True
+
+    return next((n for n, v in first.items() if any(w in n.lower() for w in VALUE_WORDS) and number(v)), None)
+
+
+def load_deposits(spark: SparkSession, path: str, meta: Meta, commodity: str, valid: DataFrame, least_rank: int = 1, aoi: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """(r, c, ord, x, y, name, rank) of the deposits of a CSV table or point shapefile that name the commodity, have at least
+    that status, lie in the area (both ends included; the grid's bounds) and on a cell of valid (r, c).
+
+    A table without commodity columns passes whole; in a shapefile an empty commodity passes. Nothing is cast out twice:
+    cells with several deposits keep them all (`deposits.dedupe`)."""
+    from lodestrata.sources import tables
+
+    if path.lower().endswith(".shp"):
+        kind, shapes = read_shapes(spark, path, meta)
+        if kind != "point":
+            raise ValueError(f"{PurePosixPath(path).name}: deposits must be points, not a {kind}")
+        fields = [k.lower() for k in (shapes.orderBy("file", "no").select(F.map_keys("attributes")).first()[0] or [])]
+        low = F.transform_keys("attributes", lambda k, v: F.lower(k))
+        pick = lambda names, other: F.coalesce(F.try_element_at(low, F.lit(n)), F.lit(other)) if (n := tables.first_of(fields, names)) else F.lit(other)
+        rows = shapes.select(F.xxhash64("file").alias("_f"), "no", F.explode("parts").alias("part"), pick(tables.SITE_NAMES, "deposit").alias("name"), pick(tables.COMMODITY_NAMES, "").alias("commodity"), F.lit("").alias("status"))
+        rows = rows.select(F.col("no").alias("ord"), F.get("part", F.lit(0)).alias("p"), "name", "commodity", "status").select("ord", "p.x", "p.y", "name", "commodity", "status")
+        test = dep.is_commodity(F.col("commodity"), commodity, True)
+    else:
+        rows = to_grid_crs(tables.csv_deposits(spark, path).withColumn("ord", F.monotonically_increasing_id()), meta)
+        test = F.col("commodity").isNull() | dep.is_commodity(F.col("commodity"), commodity)
+    x0, y0, x1, y1 = aoi or meta.bounds()
+    rank = dep.status_rank(F.col("status"))
+    kept = rows.filter(test & F.col("x").between(x0, x1) & F.col("y").between(y0, y1) & (rank >= least_rank))
+    return on_grid(kept, meta).join(valid.select("r", "c"), ["r", "c"], "left_semi").select("r", "c", "ord", "x", "y", "name", rank.alias("rank"))
 
 
 def nearest_layer(points: DataFrame, meta: Meta) -> DataFrame:
@@ -114,10 +180,13 @@ def wgs84_bounds(spark: SparkSession, meta: Meta) -> tuple[float, float, float,
 
 
 def fill_and_stretch(coarse: DataFrame, small: Meta, target: Meta) -> DataFrame:
-    """A coarse map with its gaps filled by the nearest valid cell, then interpolated to the target grid."""
+    """A coarse map with its gaps filled by the nearest valid cell, then interpolated to the target grid: the corner cells of
+    both lie on one another."""
     known = coarse.filter("v IS NOT NULL").withColumn("ord", (F.col("r") * small.w + F.col("c")).cast("long")).select("r", "c", "ord", "v")
-    full = spatial.nearest_on_grid(known, small).select("r", "c", F.col("p_v").alias("v"))
-    return grid.align(full, small, target)
+    full = spatial.nearest_on_grid(known, Meta(small.h, small.w, 0, 0, 1, -1)).select("r", "c", F.col("p_v").alias("v"))
+    # Places as indices of the target: the coarse cell j lies at j * (n - 1) / (m - 1).
+    sy, sx = ((n - 1) / (m - 1) if m > 1 else 2.0 * n for n, m in ((target.h, small.h), (target.w, small.w)))
+    return grid.align(full, Meta(small.h, small.w, -sx / 2, -sy / 2, sx, sy), Meta(target.h, target.w, -0.5, -0.5, 1.0, 1.0))
 
 
 def ree_grade_map(maps: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata import store
 from lodestrata.functions import crs, scalar
 from lodestrata.operators import deposits as dep
 from lodestrata.operators import depth, grid, metrics, sampling, spatial, targets, terrain
@@ -695,14 +696,11 @@ def spatial_cv(spark, sf):
 @query()
 def pipeline_targets(spark, sf):
     """The whole prospectivity pipeline over the fixture grid, with deposits where the field is high."""
-    import tempfile
-
     from lodestrata.plans import pipeline
 
     d = fx.grid(spark, sf)
     spots = terrain.tpi(d, META, 7).filter("v > 12").select("r", "c", (F.col("r") * N + F.col("c")).cast("long").alias("ord"), F.concat(F.lit("d"), F.col("r")).alias("name"), F.lit(1).alias("rank"))
     layers = {"a": fx.grid(spark, sf, flag="A"), "magnetics": _field(spark, sf, 400.0)}
-    out = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
     config = pipeline.Config(terrain_scale_m=300.0, trees=5, folds=2, threshold=0.5, separation=3, depth_window=16)
-    result = pipeline.run(spark, d, META, spots, layers, f"{out}/prospect-{abs(hash(sf))}", config, "magnetics")
+    result = pipeline.run(spark, d, META, spots, layers, store.fresh_path(spark, "prospect"), config, "magnetics")
     return result.targets.select("rank", "r", "c", F.round("probability", 6).alias("probability"), "target_class", "nearest_deposit_km", "depth_status")

@@ -1,94 +1,256 @@
-"""A small GeoTIFF reader and writer: single band, strips, raw or deflate, 8 to 64 bit numbers.
+"""GeoTIFF rasters: single band, strips or tiles, raw, PackBits, LZW or deflate, with predictors, 8 to 64 bit numbers.
 
-`read` gives Meta and the cells (r, c, v); strips are decoded on executors. `write` makes a float32 file of a grid that
-fits one array; Parquet is the format for larger ones."""
+`read` gives Meta and the cells (r, c, v): the driver reads the directory alone, and a Python data source gives each
+partition a range of blocks, whose bytes it reads from the file and decodes. `write` makes a float32 file of a grid: strips
+are compressed on executors and the driver only joins their bytes. Parquet is the format for larger grids.
+
+Paths are local ones that all machines share, or URIs that pyarrow opens."""
 
 from __future__ import annotations
 
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodestrata.deploy import ship
 from lodestrata.operators.grid import SENTINEL, Meta
 
-# Field types and tags of the format.
+# Field types, tags and compressions of the format.
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d", 16: "Q"}
-WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, ROWS, COUNTS, FORMAT = 256, 257, 258, 259, 273, 278, 279, 339
-SCALE, TIE, KEYS, NODATA, PREDICTOR = 33550, 33922, 34735, 42113, 317
+WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, ROWS, COUNTS, PREDICTOR, FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 317, 339
+TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
+SCALE, TIE, KEYS, NODATA = 33550, 33922, 34735, 42113
+RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 NONE = -9999.0
+#: Cells of blocks that a partition reads.
+CELLS = 4_000_000
+
+
+def place(path: str) -> tuple[FileSystem, str]:
+    """The file system and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return FileSystem.from_uri(path if "://" in path else "file://" + path)
 
 
-def tags(data: bytes) -> tuple[str, dict[int, tuple]]:
-    """Byte order and the first directory's fields."""
-    end = "<" if data[:2] == b"II" else ">"
-    if struct.unpack(end + "H", data[2:4])[0] != 42:
+def tags(f) -> tuple[str, dict[int, tuple]]:
+    """Byte order and the first directory's fields of an open file."""
+    head = f.read(8)
+    end = "<" if head[:2] == b"II" else ">"
+    if struct.unpack(end + "H", head[2:4])[0] != 42:
         raise ValueError("not a TIFF file")
-    at = struct.unpack(end + "I", data[4:8])[0]
+
+    def at(offset: int, size: int) -> bytes:
+        f.seek(offset)
+        return f.read(size)
+
+    start = struct.unpack(end + "I", head[4:8])[0]
+    n = struct.unpack(end + "H", at(start, 2))[0]
+    entries = at(start + 2, 12 * n)
     out: dict[int, tuple] = {}
-    for i in range(struct.unpack(end + "H", data[at : at + 2])[0]):
-        tag, kind, n = struct.unpack(end + "HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
+    for i in range(n):
+        tag, kind, count = struct.unpack(end + "HHI", entries[12 * i : 12 * i + 8])
         code = TYPES.get(kind)
         if code is None:
             continue
-        size = struct.calcsize(end + code) * n
-        start = at + 10 + 12 * i if size <= 4 else struct.unpack(end + "I", data[at + 10 + 12 * i : at + 14 + 12 * i])[0]
-        out[tag] = (data[start : start + n],) if code == "s" else struct.unpack(f"{end}{n}{code}" if len(code) == 1 else f"{end}{2 * n}I", data[start : start + size])
+        size = struct.calcsize(end + code) * count
+        data = entries[12 * i + 8 : 12 * i + 8 + size] if size <= 4 else at(struct.unpack(end + "I", entries[12 * i + 8 : 12 * i + 12])[0], size)
+        out[tag] = (data,) if code == "s" else struct.unpack(f"{end}{count}{code}" if len(code) == 1 else f"{end}{2 * count}I", data)
     return end, out
 
 
-def read(spark: SparkSession, path: str) -> tuple[Meta, DataFrame]:
-    content = spark.read.format("binaryFile").load(path).select("content")
-    end, t = tags(content.first()[0])
+def unpack_bits(data: bytes) -> bytes:
+    out, i = bytearray(), 0
+    while i < len(data):
+        n = data[i]
+        if n < 128:
+            out += data[i + 1 : i + 2 + n]
+            i += 2 + n
+        else:
+            if n > 128:
+                out += data[i + 1 : i + 2] * (257 - n)
+            i += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, the highest bit first; 256 clears the table and 257 ends."""
+    out, table, width, last = bytearray(), [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+    bits = have = 0
+    for byte in data:
+        bits, have = (bits << 8) | byte, have + 8
+        if have < width:
+            continue
+        have -= width
+        code, bits = bits >> have, bits & ((1 << have) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = table[:258], 9, b""
+            continue
+        word = table[code] if code < len(table) else last + last[:1]
+        out += word
+        if last:
+            table.append(last + word[:1])
+        last = word
+        width = max(9, min(12, (len(table) + 1).bit_length()))
+    return bytes(out)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a file's blocks hold its cells."""
+
+    path: str
+    kind: str
+    packed: int
+    predictor: int
+    nodata: float | None
+    height: int
+    width: int
+    block_h: int
+    block_w: int
+
+    def decode(self, data: bytes, rows: int) -> np.ndarray:
+        """A block's bytes as rows x block_w numbers; what is masked is NaN."""
+        raw = {RAW: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}[self.packed](data)
+        kind = np.dtype(self.kind)
+        n = rows * self.block_w
+        if self.predictor == 3:  # bytes of one weight together, the highest first, as differences along a row
+            planes = np.frombuffer(raw, np.uint8)[: n * kind.itemsize].reshape(rows, -1)
+            planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, self.block_w)
+            a = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, self.block_w)
+        else:
+            a = np.frombuffer(raw, kind, count=n).reshape(rows, self.block_w)
+            if self.predictor == 2:
+                a = np.cumsum(a, axis=1, dtype=kind.newbyteorder("="))
+        a = a.astype(float)
+        return np.where(~np.isfinite(a) | (np.abs(a) >= SENTINEL) | (a == self.nodata), np.nan, a)
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, layout: Layout, blocks: list[tuple[int, int, int, int]]):
+        self.layout, self.blocks = layout, blocks
+
+    def partitions(self) -> list[InputPartition]:
+        each = max(1, CELLS // (self.layout.block_h * self.layout.block_w))
+        return [InputPartition(self.blocks[i : i + each]) for i in range(0, len(self.blocks), each)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        own = self.layout
+        fs, name = place(own.path)
+        with fs.open_input_file(name) as f:
+            for r0, c0, offset, size in partition.value:
+                f.seek(offset)
+                rows = own.block_h if own.block_w < own.width or own.height >= r0 + own.block_h else own.height - r0
+                a = own.decode(f.read(size), rows)[: own.height - r0, : own.width - c0]
+                r, c = np.nonzero(~np.isnan(a))
+                yield pa.RecordBatch.from_arrays([pa.array((r + r0).astype(np.int32)), pa.array((c + c0).astype(np.int32)), pa.array(a[r, c])], names=["r", "c", "v"])
+
+
+class GeoTiffCells(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "geotiff_cells"
+
+    def schema(self) -> str:
+        return "r int, c int, v double"
+
+    def reader(self, schema) -> _Reader:
+        return _Reader(*_layout(self.options["path"])[1:])
+
+
+def _layout(path: str) -> tuple[Meta, Layout, list[tuple[int, int, int, int]]]:
+    """Meta, layout and the blocks (first row, first column, offset, size) of a file."""
+    fs, name = place(path)
+    with fs.open_input_file(name) as f:
+        end, t = tags(f)
     w, h = t[WIDTH][0], t[HEIGHT][0]
     sx, sy, _ = t.get(SCALE, (1.0, 1.0, 0.0))
-    tie = t.get(TIE, (0.0,) * 6)
-    keys = t.get(KEYS, ())
+    tie, keys = t.get(TIE, (0.0,) * 6), t.get(KEYS, ())
     epsg = next((keys[i + 3] for i in range(4, len(keys), 4) if keys[i] in (3072, 2048)), 0)
     meta = Meta(h, w, tie[3] - tie[0] * sx, tie[4] + tie[1] * sy, sx, -sy, f"EPSG:{epsg}" if epsg else "", any(keys[i] == 1024 and keys[i + 3] == 2 for i in range(4, len(keys), 4)))
+    packed, predictor = t.get(COMPRESSION, (RAW,))[0], t.get(PREDICTOR, (1,))[0]
+    if packed not in (RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS) or predictor not in (1, 2, 3) or t.get(SAMPLES, (1,))[0] != 1:
+        raise ValueError(f"compression {packed}, predictor {predictor} or {t.get(SAMPLES, (1,))[0]} bands are not supported")
+    tiled = TILE_OFFSETS in t
+    bh, bw = (t[TILE_HEIGHT][0], t[TILE_WIDTH][0]) if tiled else (min(t.get(ROWS, (h,))[0], h), w)
+    across = -(-w // bw)
+    places = zip(t[TILE_OFFSETS if tiled else OFFSETS], t[TILE_COUNTS if tiled else COUNTS], strict=True)
     nodata = float(t[NODATA][0].split(b"\0")[0]) if NODATA in t else None
-    kind = np.dtype(end + {1: "u", 2: "i", 3: "f"}[t.get(FORMAT, (1,))[0]] + str(t[BITS][0] // 8))
-    packed, rows = t.get(COMPRESSION, (1,))[0], t.get(ROWS, (h,))[0]
-    if packed not in (1, 8, 32946) or t.get(PREDICTOR, (1,))[0] != 1:
-        raise ValueError(f"compression {packed} or its predictor is not supported")
-    offsets, counts = t[OFFSETS], t[COUNTS]
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i, strip in zip(pdf["i"], pdf["strip"], strict=True):
-                a = np.frombuffer(strip if packed == 1 else zlib.decompress(strip), kind).astype(float)
-                a = np.where(~np.isfinite(a) | (np.abs(a) >= SENTINEL) | (a == nodata), np.nan, a)
-                n = np.arange(len(a))
-                yield pd.DataFrame({"r": n // w + i * rows, "c": n % w, "v": a}).dropna()
-
-    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(o).alias("o"), F.lit(k).alias("k")) for i, (o, k) in enumerate(zip(offsets, counts, strict=True))])
-    strips = content.select("content", F.explode(places).alias("p")).select("p.i", F.expr("substring(content, p.o + 1, p.k)").alias("strip"))
-    return meta, strips.repartition(max(1, len(offsets) // 16)).mapInPandas(decode, "r int, c int, v double")
-
-
-def encode(grid: np.ndarray, meta: Meta, epsg: int = 0) -> bytes:
-    """A float32 GeoTIFF, deflate, one strip; NaN becomes the nodata value."""
-    body = zlib.compress(np.where(np.isfinite(grid), grid, NONE).astype("<f4").tobytes())
-    extra = [struct.pack("<3d", meta.dx, -meta.dy, 0.0), struct.pack("<6d", 0, 0, 0, meta.x0, meta.y0, 0), struct.pack("<12H", 1, 1, 0, 2, 1024, 0, 1, 2 if meta.geographic else 1, 2048 if meta.geographic else 3072, 0, 1, epsg), b"-9999\0"]
-    at, places = 8 + len(body), []
+    kind = end + {1: "u", 2: "i", 3: "f"}[t.get(FORMAT, (1,))[0]] + str(t[BITS][0] // 8)
+    return meta, Layout(path, kind, packed, predictor, nodata, h, w, bh, bw), [(i // across * bh, i % across * bw, o, n) for i, (o, n) in enumerate(places) if n]
+
+
+def read(spark: SparkSession, path: str) -> tuple[Meta, DataFrame]:
+    ship(spark)
+    spark.dataSource.register(GeoTiffCells)
+    return _layout(path)[0], spark.read.format("geotiff_cells").load(path)
+
+
+def load(spark: SparkSession, path: str, crop: str = "full", most: int = 0) -> tuple[Meta, DataFrame]:
+    """An elevation raster as the grid of an analysis: decimated by area to `most` cells on its longest side (0: as it is),
+    then its middle half if crop is "center"."""
+    from lodestrata.operators import grid
+
+    meta, cells = read(spark, path)
+    cells, meta = grid.limited(cells, meta, most)
+    if crop == "center":
+        cells, meta = grid.center_crop(cells, meta)
+    return meta, cells
+
+
+def load_aligned(spark: SparkSession, path: str, target: Meta) -> DataFrame | None:
+    """A raster resampled bilinearly to target's cells, whatever its projection; None where it does not overlap."""
+    from lodestrata.operators import grid
+
+    meta, cells = read(spark, path)
+    out = grid.align(cells, meta, target)
+    return None if out.isEmpty() else out
+
+
+def _directory(meta: Meta, epsg: int, rows: int, offsets: list[int], counts: list[int], at: int, nodata: bool) -> bytes:
+    """What follows the strips: values that do not fit their fields, then the directory, whose place comes first."""
+    n = len(offsets)
+    extra = [struct.pack("<3d", meta.dx, -meta.dy, 0.0), struct.pack("<6d", 0, 0, 0, meta.x0, meta.y0, 0), struct.pack("<12H", 1, 1, 0, 2, 1024, 0, 1, 2 if meta.geographic else 1, 2048 if meta.geographic else 3072, 0, 1, epsg), b"-9999\0", struct.pack(f"<{n}I", *offsets), struct.pack(f"<{n}I", *counts)]
+    places = []
     for e in extra:
         places.append(at)
         at += len(e) + len(e) % 2
-    fields = [(WIDTH, 4, 1, meta.w), (HEIGHT, 4, 1, meta.h), (BITS, 3, 1, 32), (COMPRESSION, 3, 1, 8), (262, 3, 1, 1), (OFFSETS, 4, 1, 8), (277, 3, 1, 1), (ROWS, 4, 1, meta.h), (COUNTS, 4, 1, len(body)), (FORMAT, 3, 1, 3), (SCALE, 12, 3, places[0]), (TIE, 12, 6, places[1]), (KEYS, 3, 12, places[2]), (NODATA, 2, 6, places[3])]
-    directory = struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", *f) if f[1] == 4 or f[2] > 1 else struct.pack("<HHIHH", f[0], f[1], f[2], f[3], 0) for f in sorted(fields)) + struct.pack("<I", 0)
-    return struct.pack("<2sHI", b"II", 42, at) + body + b"".join(e + b"\0" * (len(e) % 2) for e in extra) + directory
-
-
-def write(grid: DataFrame, meta: Meta, path: str, epsg: int = 0, most: int = 50_000_000) -> None:
-    """grid as one file; more than most cells are an error, for they would meet on the driver."""
-    if meta.h * meta.w > most:
-        raise ValueError(f"{meta.h * meta.w} cells are too many for one file; write Parquet")
-    a = np.full((meta.h, meta.w), np.nan)
-    cells = grid.filter("v IS NOT NULL").select("r", "c", "v").toPandas()
-    a[cells["r"], cells["c"]] = cells["v"]
-    with open(path, "wb") as f:
-        f.write(encode(a, meta, epsg))
+    listed = lambda tag, values, there: (tag, 4, n, there if n > 1 else values[0])
+    fields = [(WIDTH, 4, 1, meta.w), (HEIGHT, 4, 1, meta.h), (BITS, 3, 1, 32), (COMPRESSION, 3, 1, DEFLATE), (262, 3, 1, 1), listed(OFFSETS, offsets, places[4]), (SAMPLES, 3, 1, 1), (ROWS, 4, 1, rows), listed(COUNTS, counts, places[5]), (FORMAT, 3, 1, 3), (SCALE, 12, 3, places[0]), (TIE, 12, 6, places[1]), (KEYS, 3, 12, places[2])]
+    fields += [(NODATA, 2, 6, places[3])] if nodata else []
+    body = b"".join(struct.pack("<HHII", *f) if f[1] == 4 or f[2] > 1 else struct.pack("<HHIHH", *f, 0) for f in sorted(fields))
+    return struct.pack("<I", at) + b"".join(e + b"\0" * (len(e) % 2) for e in extra) + struct.pack("<H", len(fields)) + body + struct.pack("<I", 0)
+
+
+def write(grid: DataFrame, meta: Meta, path: str, epsg: int = 0, rows: int = 64, nodata: bool = True) -> None:
+    """grid as one float32 file. Masked cells get the nodata value; with nodata false they are 0 and no such value is named."""
+    none, w, h = NONE if nodata else 0.0, meta.w, meta.h
+
+    def strip(cells: pa.Table) -> pa.Table:
+        i = cells["i"][0].as_py()
+        a = np.full((min(rows, h - i * rows), w), none, "<f4")
+        a[cells["r"].to_numpy() - i * rows, cells["c"].to_numpy()] = cells["v"].to_numpy()
+        return pa.table({"i": pa.array([i], pa.int32()), "data": pa.array([zlib.compress(a.tobytes())], pa.binary())})
+
+    cells = grid.filter("v IS NOT NULL").select((F.col("r") / rows).cast("int").alias("i"), "r", "c", F.col("v").cast("double").alias("v"))
+    made = dict(zip(*(x.to_pylist() for x in cells.groupBy("i").applyInArrow(strip, "i int, data binary").toArrow().columns), strict=True))  # compressed strips
+    empty = lambda i: zlib.compress(np.full((min(rows, h - i * rows), w), none, "<f4").tobytes())
+    strips = [made.get(i) or empty(i) for i in range(-(-h // rows))]
+    offsets = (8 + np.concatenate([[0], np.cumsum([len(s) for s in strips])])).tolist()
+    tail = _directory(meta, epsg, rows, offsets[:-1], [len(s) for s in strips], offsets[-1] + offsets[-1] % 2, nodata)
+    fs, name = place(path)
+    with fs.open_output_stream(name, compression=None) as f:
+        f.write(b"II" + struct.pack("<H", 42) + tail[:4])
+        for s in strips:
+            f.write(s)
+        f.write(b"\0" * (offsets[-1] % 2) + tail[4:])

@@ -1,7 +1,8 @@
 """A Python data source for shapefiles: points, lines and polygons with their attributes.
 
-`spark.read.format("shapefile").load(path)`: one row per shape with gtype, parts (arrays of points) and attributes, a map
-of text. A path is one .shp file; its .dbf and .prj stand beside it. Each file is one partition."""
+`spark.read.format("shapefile").load(path)`: one row per shape with its number in the file, gtype, parts (arrays of points),
+attributes, a map of text in the fields' order, and crs, the text of the .prj file. A path is one .shp file or a folder of
+them; .dbf and .prj stand beside it. Each file is one partition."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestrata.deploy import ship
 
-SCHEMA = "gtype string, parts array<array<struct<x:double,y:double>>>, attributes map<string,string>, crs string"
+SCHEMA = "file string, no long, gtype string, parts array<array<struct<x:double,y:double>>>, attributes map<string,string>, crs string"
 # Shape types of the format, with and without Z and M.
 POINT, LINE, POLYGON, MULTI = (1, 11, 21), (3, 13, 23), (5, 15, 25), (8, 18, 28)
 
@@ -71,7 +72,7 @@ class _Reader(DataSourceReader):
         crs = shp.with_suffix(".prj").read_text() if shp.with_suffix(".prj").exists() else None
         for i, shape in enumerate(shapes(shp.read_bytes())):
             if shape is not None:
-                yield shape[0], [[{"x": x, "y": y} for x, y in part] for part in shape[1]], rows[i] if i < len(rows) else {}, crs
+                yield shp.name, i, shape[0], [[{"x": x, "y": y} for x, y in part] for part in shape[1]], rows[i] if i < len(rows) else {}, crs
 
 
 class Shapefile(DataSource):

@@ -74,8 +74,8 @@ def test_percentiles_and_csv(spark, tmp_path):
     assert {(r["feature"], r["percentile"]) for r in pct.collect()} == {("a", 99), ("b", 0)}
     why = targets.why(pct, {"a": 0.2, "b": 0.7})
     t = why.selectExpr("rank", "40.5D latitude", "-112.25D longitude", "0.9D probability", "0.1D uncertainty", "2 target_class", "CAST(NULL AS DOUBLE) depth_spectral_m", "512.4D depth_euler_m", "'single-method' depth_status", "1.234D nearest_deposit_km", "'x' nearest_deposit_name", "why")
-    targets.write_csv(t, str(tmp_path / "t"))
-    row = spark.read.option("header", True).csv(str(tmp_path / "t")).first().asDict()
+    targets.write_csv(t, str(tmp_path / "t.csv"), "note")
+    row = spark.read.option("header", True).csv(str(tmp_path / "t.csv")).first().asDict()
     assert row["latitude"] == "40.500000" and row["depth_euler_m"] == "512" and row["depth_spectral_m"] is None and row["driver_1"] == "b"
 
 
@@ -93,6 +93,14 @@ def test_auc_and_ap(spark):
     assert metrics.roc_auc(df.filter("label = 1")).first()[0] is None
 
 
+def test_ranks_over_many_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(int(y), float(s)) for y, s in zip(rng.integers(0, 2, 2_000), rng.normal(size=2_000).round(2))], "label int, score double")
+    whole = metrics.roc_auc(df).first()[0], metrics.average_precision(df).first()[0]
+    monkeypatch.setattr(metrics, "RANGES", 3)
+    assert np.allclose(whole, (metrics.roc_auc(df).first()[0], metrics.average_precision(df).first()[0]))
+
+
 def test_utm_round_trip(spark):
     df = spark.createDataFrame([(-112.4, 40.8), (-110.0, 33.0), (-111.0, 0.5)], "lon double, lat double")
     x, y = crs.to_utm(F.col("lon"), F.col("lat"), 32612)

@@ -109,8 +109,10 @@ def test_points_in_slices(spark, monkeypatch):
     rng = np.random.default_rng(4)
     points = spark.createDataFrame([(int(a), int(b), i, float(v)) for i, (a, b, v) in enumerate(rng.integers(0, 12, (30, 3)))], "r int, c int, ord long, v double")
     every = grid.cells(spark, Meta(12, 12))
-    run = lambda: (sorted(map(tuple, spatial.nearest(every, points).collect())), array(spatial.idw(every, points), (12, 12)))
-    whole = run()
+    whole = array(spatial.idw(every, points), (12, 12))
+    one = sorted(map(tuple, spatial.nearest(every, points).select("r", "c", "dist", "p_ord").collect()))
+    assert one == sorted(map(tuple, spatial.nearest_on_grid(points, Meta(12, 12, dx=1.0, dy=-1.0)).select("r", "c", "dist", "p_ord").collect()))
     monkeypatch.setattr(spatial, "FEW", 7)
-    parts = run()
-    assert whole[0] == parts[0] and np.allclose(whole[1], parts[1])
+    assert np.allclose(whole, array(spatial.idw(every, points), (12, 12)))
+    with pytest.raises(ValueError):
+        spatial.nearest(every, points)

@@ -46,8 +46,10 @@ def test_lines_and_polygons(spark):
 
 def test_gaps_are_filled_before_stretching(spark):
     a = np.array([[1.0, np.nan], [np.nan, 3.0]])
-    out = array(layers.fill_and_stretch(cells(spark, a), Meta(2, 2, 0, 0, 200, -200), Meta(4, 4, 0, 0, 100, -100)), (4, 4))
-    assert np.isfinite(out).all() and out[0, 0] == 1 and out[3, 3] == 3
+    out = array(layers.fill_and_stretch(cells(spark, a), Meta(2, 2), Meta(4, 7)), (4, 7))
+    assert out[0, 0] == 1 and out[3, 6] == 3 and np.allclose(out, np.array([[1, 1], [1, 3]])[0, 0] + 2 * np.outer(np.arange(4) / 3, np.arange(7) / 6))
+    one = array(layers.fill_and_stretch(cells(spark, a[:1, :1]), Meta(1, 1), Meta(4, 7)), (4, 7))
+    assert (one == 1).all()
 
 
 def test_config():
