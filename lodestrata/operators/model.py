@@ -72,10 +72,11 @@ class Trained:
         mean = sum(used[1:], used[0]) / len(used)
         return out.select(*keys, mean.alias("probability")).unionByName(cells.filter(~whole).withColumn("probability", F.lit(None).cast("double")))
 
-    def uncertainty(self, cells: DataFrame, most: int = 25) -> DataFrame:
-        """cells with the population deviation of single trees' probabilities, over every n-th tree."""
+    def uncertainty(self, cells: DataFrame, most: int = 25, every: int | None = None) -> DataFrame:
+        """cells with the population deviation of single trees' probabilities, over every n-th tree: `every`, or as many as
+        leave some `most` of them."""
         forest = self.base.stages[-1]
-        trees = forest.trees[:: max(1, len(forest.trees) // most)]
+        trees = forest.trees[:: every or max(1, len(forest.trees) // most)]
         out = PipelineModel(self.base.stages[:-1]).transform(cells)
         keys, used = cells.columns, []
         for i, t in enumerate(trees):

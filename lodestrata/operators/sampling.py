@@ -38,9 +38,14 @@ def terrain_weights(binned: DataFrame) -> DataFrame:
     return by.select("bin", "n_pos", "n_cand", (0.999 * F.col("ratio") / F.nullif(F.col("_s"), F.lit(0.0)) + 0.001 / F.col("_n")).alias("weight"))
 
 
+def draw(seed: int, *keys: str) -> Column:
+    """A hash of keys and a seed as text: an order that is the same for any partitioning, and in any engine."""
+    return F.md5(F.concat_ws("|", F.lit(seed), *keys))
+
+
 def uniform(seed: int, *keys: str) -> Column:
-    """A number in (0, 1) from a hash of keys: the same for any partitioning."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """A number in (0, 1) from a hash of keys: its first 13 digits."""
+    return (F.conv(F.substring(draw(seed, *keys), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def weighted_sample(rows: DataFrame, n: int, weight: str = "weight", seed: int = 42, keys: tuple[str, ...] = ("r", "c")) -> DataFrame:
@@ -59,7 +64,7 @@ def tile(r: Column, c: Column, h: int, w: int, k: int = 5) -> Column:
 def folds(rows: DataFrame, h: int, w: int, k: int = 5, seed: int = 42) -> DataFrame:
     """rows with block and fold: whole blocks, in a hashed order, are dealt to k folds."""
     blocks = rows.select(tile(F.col("r"), F.col("c"), h, w, k).alias("block")).distinct()
-    order = Window.orderBy(F.xxhash64(F.lit(seed), "block"), "block")  # a few dozen blocks
+    order = Window.orderBy(draw(seed, "block"), "block")  # a few dozen blocks
     dealt = blocks.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(k)))
     return rows.withColumn("block", tile(F.col("r"), F.col("c"), h, w, k)).join(F.broadcast(dealt), "block")
 

@@ -34,9 +34,10 @@ def dem(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def deposits(spark: SparkSession, sf: str) -> DataFrame:
-    """(r, c, ord, name, status, commodity, v) of every order."""
-    o = table(spark, sf, "orders")
-    return o.select((F.col("o_orderkey") % N).cast("int").alias("r"), (F.col("o_custkey") % N).cast("int").alias("c"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderpriority").alias("status"), F.col("o_orderstatus").alias("commodity"), F.col("o_totalprice").alias("v"))
+    """(r, c, ord, name, status, commodity, v) of every order. Powers of the key modulo 47 put them on some 140 scattered cells,
+    many on each."""
+    o = table(spark, sf, "orders").withColumn("k", F.col("o_orderkey") % 47)
+    return o.select(F.expr("CAST(k * k % 47 AS INT)").alias("r"), F.expr("CAST((k * k * k + o_custkey % 3) % 47 AS INT)").alias("c"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderpriority").alias("status"), F.col("o_orderstatus").alias("commodity"), F.col("o_totalprice").alias("v"))
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,7 +53,7 @@ def grid_sql(name: str = "g", n: int = N, flag: str | None = None) -> str:
 DEM_SQL = grid_sql() + f", dem AS (SELECT r, c, {MASKED} AS v FROM g)"
 CELLS_SQL = f"cells AS (SELECT CAST(a.i AS INTEGER) AS r, CAST(b.i AS INTEGER) AS c FROM range({N}) a(i), range({N}) b(i))"
 FULL_SQL = f"{DEM_SQL}, {CELLS_SQL}, f AS (SELECT r, c, v FROM cells LEFT JOIN dem USING (r, c))"
-DEPOSITS_SQL = f"dep AS (SELECT CAST(o_orderkey % {N} AS INTEGER) AS r, CAST(o_custkey % {N} AS INTEGER) AS c, o_orderkey AS ord, CAST(o_orderkey AS VARCHAR) AS name, o_orderpriority AS status, o_orderstatus AS commodity, o_totalprice AS v FROM orders)"
+DEPOSITS_SQL = f"dep AS (SELECT CAST(k * k % 47 AS INTEGER) AS r, CAST((k * k * k + o_custkey % 3) % 47 AS INTEGER) AS c, o_orderkey AS ord, CAST(o_orderkey AS VARCHAR) AS name, o_orderpriority AS status, o_orderstatus AS commodity, o_totalprice AS v FROM (SELECT *, o_orderkey % 47 AS k FROM orders))"
 # Orders of one cell are as near to any other: one row for each cell that has some.
 DEPOSIT_CELLS_SQL = f"{DEPOSITS_SQL}, dc AS (SELECT r, c, min(ord) AS ord, sum(CAST(round(v * 100) AS BIGINT)) AS cents, count(*) AS n FROM dep GROUP BY 1, 2)"
 SCORES_SQL = "sc AS (SELECT doc_id, CAST(quality AS INTEGER) AS label, n_chars / 40000.0::DOUBLE AS score FROM labels JOIN documents USING (doc_id))"

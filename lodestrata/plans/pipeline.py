@@ -32,6 +32,7 @@ VERSION = "1.1"
 class Config:
     """What an analysis is run with. Paths name files that all machines read; vectors are .shp or .csv files."""
 
+    project: str = "default"
     dem: str = ""
     deposits: str = ""
     rasters: dict[str, str] = field(default_factory=dict)
@@ -154,16 +155,17 @@ def run(spark: SparkSession, dem: DataFrame, meta: Meta, deposits: DataFrame, la
     config.check()
     spec, warnings, run_id = COMMODITIES[config.commodity], warnings or [], uuid.uuid4().hex[:12]
     if store:
-        store.append("runs", [(run_id, config.commodity, time.time(), None, "running", config.to_json(), VERSION)])
+        project = store.project(config.project, config.commodity)
+        store.append("runs", [(run_id, project, time.time(), None, "running", config.to_json(), VERSION)])
     try:
         result = _stages(spark, dem, meta, deposits, layers, out, config, magnetics, spec, warnings)
     except Exception:
         if store:
-            store.append("runs", [(run_id, config.commodity, time.time(), time.time(), "failed", config.to_json(), VERSION)])
+            store.append("runs", [(run_id, project, time.time(), time.time(), "failed", config.to_json(), VERSION)])
         raise
     if store:
         now = time.time()
-        store.append("runs", [(run_id, config.commodity, now, now, "done", config.to_json(), VERSION)])
+        store.append("runs", [(run_id, project, now, now, "done", config.to_json(), VERSION)])
         store.append("metrics", [(run_id, k, float(v), now) for k, v in {**result.cv, **result.holdout}.items() if v is not None])
         store.append("artifacts", [(run_id, k, f"{out}/{k}", now) for k in ("features", "maps", "targets", "model", "report.md", "summary.md", "run_config.json")])
     return result

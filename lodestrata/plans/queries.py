@@ -189,7 +189,19 @@ def pixel_to_world(spark, sf):
     return fx.dem(spark, sf).select("r", "c", x.alias("x"), y.alias("y"))
 
 
-@query()
+def _utm_sql(x: str, y: str) -> str:
+    """Krueger's series back from UTM zone 12 N, written out for the ellipsoid's third flattening n."""
+    n = 1 / 298.257223563 / (2 - 1 / 298.257223563)
+    k = f"(0.9996 * 6378137.0 / (1 + {n!r}) * (1 + {n!r}::DOUBLE ** 2 / 4 + {n!r}::DOUBLE ** 4 / 64))"
+    b = [n / 2 - 2 * n * n / 3 + 37 * n**3 / 96, n * n / 48 + n**3 / 15, 17 * n**3 / 480]
+    d = [2 * n - 2 * n * n / 3 - 2 * n**3, 7 * n * n / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    a_ = "xi" + "".join(f" - {v!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, v in enumerate(b, 1))
+    b_ = "eta" + "".join(f" - {v!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, v in enumerate(b, 1))
+    lat = "chi" + "".join(f" + {v!r} * sin({2 * j} * chi)" for j, v in enumerate(d, 1))
+    return f"u1 AS (SELECT *, {y} / {k} AS xi, ({x} - 500000) / {k} AS eta FROM cells), u2 AS (SELECT *, {a_} AS a, {b_} AS b FROM u1), u3 AS (SELECT *, asin(sin(a) / cosh(b)) AS chi FROM u2), u4 AS (SELECT r, c, -111 + degrees(atan2(sinh(b), cos(a))) AS lon, degrees({lat}) AS lat FROM u3) "
+
+
+@query(f"WITH {CELLS_SQL}, {_utm_sql('(500000 + (c + 0.5) * 100)::DOUBLE', '(4000000 - (r + 0.5) * 100)::DOUBLE')}, {grid_sql()} SELECT r, c, round(lon, 6) + 0.0 AS lon, round(lat, 6) + 0.0 AS lat FROM u4 JOIN g USING (r, c)")
 def utm_to_wgs84(spark, sf):
     x, y = grid.pixel_to_world(META, F.col("r"), F.col("c"))
     lon, lat = crs.to_wgs84(x, y, 32612)
@@ -361,7 +373,11 @@ def terrain_weights(spark, sf):
     return w.select(F.col("bin").cast("int").alias("bin"), "n_pos", "n_cand", F.round("weight", 9).alias("weight"))
 
 
-@query()
+_WEIGHTS = "k AS (SELECT bin, sum(positive)::DOUBLE AS n_pos, sum(1 - positive)::DOUBLE AS n_cand FROM b GROUP BY bin), a AS (SELECT *, CASE WHEN n_cand > 0 THEN (n_pos / sum(n_pos) OVER ()) / (n_cand / sum(n_cand) OVER ()) ELSE 0 END AS ratio FROM k), wt AS (SELECT bin, 0.999 * ratio / sum(ratio * n_cand) OVER () + 0.001 / sum(n_cand) OVER () AS weight FROM a)"
+_DRAW = "(('0x' || substr(md5(concat_ws('|', 42, r, c)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0"
+
+
+@query(_TB + f", {_WEIGHTS} SELECT r, c FROM b JOIN wt USING (bin) WHERE positive = 0 ORDER BY -ln({_DRAW}) / weight, r, c LIMIT 200")
 def weighted_background(spark, sf):
     binned = sampling.terrain_bins(_terrain(spark, sf))
     w = sampling.terrain_weights(binned)
@@ -374,7 +390,7 @@ def block_tiles(spark, sf):
     return fx.dem(spark, sf).select("r", "c", sampling.tile(F.col("r"), F.col("c"), N, N).cast("int").alias("block"))
 
 
-@query()
+@query(f"WITH {grid_sql()}, t AS (SELECT r, c, CAST(least(floor(r / 48.0 * 4), 3) * 4 + least(floor(c / 48.0 * 4), 3) AS INTEGER) AS block FROM g), o AS (SELECT block, CAST((row_number() OVER (ORDER BY md5(concat_ws('|', 42, block)), block) - 1) % 5 AS INTEGER) AS fold FROM (SELECT DISTINCT block FROM t)) SELECT r, c, block, fold FROM t JOIN o USING (block)")
 def block_folds(spark, sf):
     return sampling.folds(fx.grid(spark, sf), N, N).select("r", "c", "block", F.col("fold").cast("int").alias("fold"))
 
@@ -472,7 +488,18 @@ def prior_blend(spark, sf):
     return _layers(spark, sf).select("r", "c", r6(scalar.blend(F.col("f"), F.col("cu"), 0.18)).alias("v"))
 
 
-@query()
+def _ppf_sql(p: str) -> str:
+    """Acklam's approximation; p lies between its two tails."""
+    poly = lambda k, x: " + ".join(f"{v!r} * ({x}) ** {len(k) - 1 - i}" for i, v in enumerate(k))
+    q = f"({p} - 0.5)"
+    return f"({poly(scalar._A, q + ' * ' + q)}) * {q} / ({poly(scalar._B, q + ' * ' + q)})"
+
+
+@query(
+    f"WITH {grid_sql()}, {grid_sql('a', flag='A')}, x AS (SELECT g.r, g.c, g.v / 100 AS p, coalesce(a.v, 0) AS chem, (SELECT quantile_cont(v, 0.95) FROM a) AS p95 FROM g LEFT JOIN a USING (r, c)), "
+    f"m AS (SELECT *, 10 ** (-0.357 + 0.227 * ({_ppf_sql('greatest(0.05, least(0.95, p))')})) AS model FROM x), y AS (SELECT r, c, CASE WHEN p < 0.20 THEN 0 ELSE greatest(0, least(1.5, CASE WHEN chem > 0 THEN 0.7 * model + 0.3 * (0.15 + least(1, chem / p95) * 1.35) ELSE model END)) END AS v FROM m) "
+    "SELECT r, c, round(v, 6) + 0.0 AS v, CASE WHEN v >= 1.0 THEN 'high' WHEN v >= 0.5 THEN 'medium' WHEN v >= 0.3 THEN 'low' ELSE 'sub-economic' END AS band FROM y"
+)
 def reference_grade_map(spark, sf):
     p95 = grid.percentiles(fx.grid(spark, sf, flag="A"), "v", [0.95])[0]
     x = grid.stack(fx.grid(spark, sf), {"a": fx.grid(spark, sf, flag="A")})
@@ -704,3 +731,7 @@ def pipeline_targets(spark, sf):
     config = pipeline.Config(terrain_scale_m=300.0, trees=5, folds=2, threshold=0.5, separation=3, depth_window=16)
     result = pipeline.run(spark, d, META, spots, layers, store.fresh_path(spark, "prospect"), config, "magnetics")
     return result.targets.select("rank", "r", "c", F.round("probability", 6).alias("probability"), "target_class", "nearest_deposit_km", "depth_status")
+
+
+# Queries of viewers, screening and shapes register themselves.
+from lodestrata.plans import product_queries  # noqa: E402, F401
