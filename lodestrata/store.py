@@ -11,6 +11,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group: what a task gathers in memory before it writes.
+ROW_GROUP = 32 << 20
+
 _own: dict[str, str] = {}
 #: Folders of stored tables, with their sessions.
 _tables: dict[str, SparkSession] = {}
@@ -37,7 +40,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """df, written once and read again. The table stays until it is released, at the latest until the driver ends."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _tables[path] = spark
     out.__dict__["_stored_at"] = path
