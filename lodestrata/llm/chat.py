@@ -209,4 +209,17 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(common.stored(render(fold(events(told.unionByName(ours)))), "chat"))
 
 
-ORACLE_SQL = None
+# A turn's length is that of its marks, its text and a backslash for each control string and backslash in it.
+_COUNTED = r"\\|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|<\|/\|>|<\||\|>"
+_ORDER = "ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST"
+ORACLE_SQL = f"""
+WITH t AS (SELECT conv_id, turn, role AS r, text AS x, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]', role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+m AS (SELECT *, length(text) + len(regexp_extract_all(text, '{_COUNTED}')) AS n,
+  CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 9 + length(role) + len(regexp_extract_all(role, '{_COUNTED}')) END AS marks FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n + marks) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""

@@ -16,6 +16,8 @@ QUERIES = {
 }
 ORACLES = {
     "op1_warc": warc.ORACLE_SQL,
+    "op2_chat_formatting": chat.ORACLE_SQL,
+    "op5_jaccard_join": simjoin.ORACLE_SQL,
     "op6_secret_scan": secrets.ORACLE_SQL,
     "op7_license_scan": licenses.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,
