@@ -1,4 +1,5 @@
-"""GeoTIFF rasters: single band, strips or tiles, raw, PackBits, LZW or deflate, with predictors, 8 to 64 bit numbers.
+"""GeoTIFF rasters, classic or big: strips or tiles, raw, PackBits, LZW or deflate, with predictors, 8 to 64 bit numbers. Of
+several bands, interleaved or apart, the first is read.
 
 `read` gives Meta and the cells (r, c, v): the driver reads the directory alone, and a Python data source gives each
 partition a range of blocks, whose bytes it reads from the file and decodes. `write` makes a float32 file of a grid: strips
@@ -24,8 +25,9 @@ from lodestrata.deploy import ship
 from lodestrata.operators.grid import SENTINEL, Meta
 
 # Field types, tags and compressions of the format.
+CLASSIC, BIG = 42, 43
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d", 16: "Q"}
-WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, ROWS, COUNTS, PREDICTOR, FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 317, 339
+WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, ROWS, COUNTS, PLANES, PREDICTOR, FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317, 339
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 SCALE, TIE, KEYS, NODATA = 33550, 33922, 34735, 42113
 RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -43,26 +45,28 @@ def place(path: str) -> tuple[FileSystem, str]:
 
 def tags(f) -> tuple[str, dict[int, tuple]]:
     """Byte order and the first directory's fields of an open file."""
-    head = f.read(8)
+    head = f.read(16)
     end = "<" if head[:2] == b"II" else ">"
-    if struct.unpack(end + "H", head[2:4])[0] != 42:
+    version = struct.unpack(end + "H", head[2:4])[0]
+    if version not in (CLASSIC, BIG):
         raise ValueError("not a TIFF file")
+    count_of, word, start = ("Q", "Q", head[8:]) if version == BIG else ("H", "I", head[4:8])
+    room, number = len(start), struct.Struct(end + word)
+    entry, counted = struct.Struct(f"{end}HH{word}{room}s"), struct.Struct(end + count_of)
 
     def at(offset: int, size: int) -> bytes:
         f.seek(offset)
         return f.read(size)
 
-    start = struct.unpack(end + "I", head[4:8])[0]
-    n = struct.unpack(end + "H", at(start, 2))[0]
-    entries = at(start + 2, 12 * n)
+    (first,) = number.unpack(start)
+    (n,) = counted.unpack(at(first, counted.size))
     out: dict[int, tuple] = {}
-    for i in range(n):
-        tag, kind, count = struct.unpack(end + "HHI", entries[12 * i : 12 * i + 8])
+    for tag, kind, count, own in entry.iter_unpack(at(first + counted.size, n * entry.size)):
         code = TYPES.get(kind)
         if code is None:
             continue
         size = struct.calcsize(end + code) * count
-        data = entries[12 * i + 8 : 12 * i + 8 + size] if size <= 4 else at(struct.unpack(end + "I", entries[12 * i + 8 : 12 * i + 12])[0], size)
+        data = own[:size] if size <= room else at(number.unpack(own)[0], size)
         out[tag] = (data,) if code == "s" else struct.unpack(f"{end}{count}{code}" if len(code) == 1 else f"{end}{2 * count}I", data)
     return end, out
 
@@ -118,20 +122,23 @@ class Layout:
     width: int
     block_h: int
     block_w: int
+    bands: int  # interleaved in each block
 
     def decode(self, data: bytes, rows: int) -> np.ndarray:
-        """A block's bytes as rows x block_w numbers; what is masked is NaN."""
+        """The first band of a block's bytes as rows x block_w numbers; what is masked is NaN."""
         raw = {RAW: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}[self.packed](data)
         kind = np.dtype(self.kind)
-        n = rows * self.block_w
+        shape = rows, self.block_w, self.bands
+        n = rows * self.block_w * self.bands
         if self.predictor == 3:  # bytes of one weight together, the highest first, as differences along a row
-            planes = np.frombuffer(raw, np.uint8)[: n * kind.itemsize].reshape(rows, -1)
-            planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, self.block_w)
-            a = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, self.block_w)
+            planes = np.frombuffer(raw, np.uint8)[: n * kind.itemsize].reshape(rows, -1, self.bands)
+            planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, -1)
+            a = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(shape)
         else:
-            a = np.frombuffer(raw, kind, count=n).reshape(rows, self.block_w)
+            a = np.frombuffer(raw, kind, count=n).reshape(shape)
             if self.predictor == 2:
                 a = np.cumsum(a, axis=1, dtype=kind.newbyteorder("="))
+        a = a[:, :, 0]
         a = a.astype(float)
         return np.where(~np.isfinite(a) | (np.abs(a) >= SENTINEL) | (a == self.nodata), np.nan, a)
 
@@ -179,15 +186,16 @@ def _layout(path: str) -> tuple[Meta, Layout, list[tuple[int, int, int, int]]]:
     epsg = next((keys[i + 3] for i in range(4, len(keys), 4) if keys[i] in (3072, 2048)), 0)
     meta = Meta(h, w, tie[3] - tie[0] * sx, tie[4] + tie[1] * sy, sx, -sy, f"EPSG:{epsg}" if epsg else "", any(keys[i] == 1024 and keys[i + 3] == 2 for i in range(4, len(keys), 4)))
     packed, predictor = t.get(COMPRESSION, (RAW,))[0], t.get(PREDICTOR, (1,))[0]
-    if packed not in (RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS) or predictor not in (1, 2, 3) or t.get(SAMPLES, (1,))[0] != 1:
-        raise ValueError(f"compression {packed}, predictor {predictor} or {t.get(SAMPLES, (1,))[0]} bands are not supported")
+    if packed not in (RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS) or predictor not in (1, 2, 3):
+        raise ValueError(f"compression {packed} or predictor {predictor} is not supported")
+    bands, apart = t.get(SAMPLES, (1,))[0], t.get(PLANES, (1,))[0] == 2
     tiled = TILE_OFFSETS in t
     bh, bw = (t[TILE_HEIGHT][0], t[TILE_WIDTH][0]) if tiled else (min(t.get(ROWS, (h,))[0], h), w)
     across = -(-w // bw)
-    places = zip(t[TILE_OFFSETS if tiled else OFFSETS], t[TILE_COUNTS if tiled else COUNTS], strict=True)
+    places = list(zip(t[TILE_OFFSETS if tiled else OFFSETS], t[TILE_COUNTS if tiled else COUNTS], strict=True))[: across * -(-h // bh)]  # the first band's, where bands are apart
     nodata = float(t[NODATA][0].split(b"\0")[0]) if NODATA in t else None
     kind = end + {1: "u", 2: "i", 3: "f"}[t.get(FORMAT, (1,))[0]] + str(t[BITS][0] // 8)
-    return meta, Layout(path, kind, packed, predictor, nodata, h, w, bh, bw), [(i // across * bh, i % across * bw, o, n) for i, (o, n) in enumerate(places) if n]
+    return meta, Layout(path, kind, packed, predictor, nodata, h, w, bh, bw, 1 if apart else bands), [(i // across * bh, i % across * bw, o, n) for i, (o, n) in enumerate(places) if n]
 
 
 def read(spark: SparkSession, path: str) -> tuple[Meta, DataFrame]:

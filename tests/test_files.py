@@ -52,32 +52,40 @@ def lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def tiff(path, a, packed, predictor, tile=None, end="<"):
-    h, w = a.shape
+def tiff(path, a, packed, predictor, tile=None, end="<", apart=False, big=False):
+    """A file of a (rows, columns) or of bands (rows, columns, bands), interleaved or apart."""
+    a = a.reshape(*a.shape[:2], -1)
+    h, w, s = a.shape
     bh, bw = tile or (3, w)
-    fill = np.zeros((-(-h // bh) * bh, -(-w // bw) * bw), a.dtype)
+    fill = np.zeros((-(-h // bh) * bh, -(-w // bw) * bw, s), a.dtype)
     fill[:h, :w] = a
     blocks = []
-    for r in range(0, len(fill) if tile else h, bh):
-        for c in range(0, fill.shape[1], bw):
-            b = fill[r : r + bh, c : c + bw] if tile else a[r : r + bh]
-            if predictor == 2:
-                b = np.diff(b, axis=1, prepend=np.zeros((len(b), 1), b.dtype)).astype(b.dtype)
-            raw = b.astype(b.dtype.newbyteorder(end)).tobytes()
-            if predictor == 3:
-                planes = b.astype(b.dtype.newbyteorder(">")).view(np.uint8).reshape(len(b), -1, b.dtype.itemsize).transpose(0, 2, 1).reshape(len(b), -1)
-                raw = np.diff(planes, axis=1, prepend=np.zeros((len(b), 1), np.uint8)).astype(np.uint8).tobytes()
-            blocks.append({1: bytes, 5: lzw, 8: zlib.compress, 32773: lambda x: b"".join(bytes([len(x[i : i + 100]) - 1]) + x[i : i + 100] for i in range(0, len(x), 100))}[packed](raw))
-    offsets = np.cumsum([8] + [len(b) for b in blocks]).tolist()
-    n = len(blocks)
-    kind = {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
-    at = offsets[-1]
-    lists = struct.pack(f"{end}{2 * n}I", *offsets[:-1], *[len(b) for b in blocks])
-    first = (at, at + 4 * n) if n > 1 else (offsets[0], len(blocks[0]))
-    fields = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, a.dtype.itemsize * 8), (259, 3, 1, packed), (317, 3, 1, predictor), (339, 3, 1, kind)]
-    fields += [(322, 3, 1, bw), (323, 3, 1, bh), (324, 4, n, first[0]), (325, 4, n, first[1])] if tile else [(273, 4, n, first[0]), (278, 3, 1, bh), (279, 4, n, first[1])]
-    body = b"".join(struct.pack(end + "HHII", *f) if f[1] == 4 else struct.pack(end + "HHIHH", *f, 0) for f in sorted(fields))
-    path.write_bytes((b"II" if end == "<" else b"MM") + struct.pack(end + "HI", 42, at + len(lists)) + b"".join(blocks) + lists + struct.pack(end + "H", len(fields)) + body + b"\0" * 4)
+    for own in [fill[:, :, i : i + 1] for i in range(s)] if apart else [fill]:
+        for r in range(0, len(fill) if tile else h, bh):
+            for c in range(0, fill.shape[1], bw):
+                b = np.ascontiguousarray(own[r : r + bh if tile else min(r + bh, h), c : c + bw])
+                if predictor == 2:
+                    b = np.diff(b, axis=1, prepend=np.zeros_like(b[:, :1])).astype(b.dtype)
+                raw = b.astype(b.dtype.newbyteorder(end)).tobytes()
+                if predictor == 3:
+                    planes = b.astype(b.dtype.newbyteorder(">")).view(np.uint8).reshape(len(b), -1, b.dtype.itemsize).transpose(0, 2, 1).reshape(len(b), -1, b.shape[2])
+                    raw = np.diff(planes, axis=1, prepend=np.zeros_like(planes[:, :1])).astype(np.uint8).tobytes()
+                blocks.append({1: bytes, 5: lzw, 8: zlib.compress, 32773: lambda x: b"".join(bytes([len(x[i : i + 100]) - 1]) + x[i : i + 100] for i in range(0, len(x), 100))}[packed](raw))
+    word, room, head = ("Q", 8, 16) if big else ("I", 4, 8)
+    offsets = np.cumsum([head] + [len(b) for b in blocks]).tolist()
+    number = 16 if big else 4
+    places, sizes = (number, offsets[:-1]), (number, [len(b) for b in blocks])
+    fields = {256: (4, [w]), 257: (4, [h]), 258: (3, [a.dtype.itemsize * 8] * s), 259: (3, [packed]), 277: (3, [s]), 284: (3, [2 if apart else 1]), 317: (3, [predictor]), 339: (3, [{"u": 1, "i": 2, "f": 3}[a.dtype.kind]] * s)}
+    fields |= {322: (3, [bw]), 323: (3, [bh]), 324: places, 325: sizes} if tile else {273: places, 278: (3, [bh]), 279: sizes}
+    lists, body = b"", b""
+    for tag, (kind, values) in sorted(fields.items()):
+        data = struct.pack(f"{end}{len(values)}{ {3: 'H', 4: 'I', 16: 'Q'}[kind]}", *values)
+        body += struct.pack(f"{end}HH{word}", tag, kind, len(values))
+        body += data.ljust(room, b"\0") if len(data) <= room else struct.pack(end + word, offsets[-1] + len(lists))
+        lists += data if len(data) > room else b""
+    at = offsets[-1] + len(lists)
+    first = struct.pack(end + "HHHQ", 43, 8, 0, at) if big else struct.pack(end + "HI", 42, at)
+    path.write_bytes((b"II" if end == "<" else b"MM") + first + b"".join(blocks) + lists + struct.pack(end + ("Q" if big else "H"), len(fields)) + body + b"\0" * room)
     return str(path)
 
 
@@ -89,6 +97,14 @@ def test_blocks_of_every_kind(spark, tmp_path, packed, predictor, kind, tile, en
     assert (meta.h, meta.w) == a.shape and np.array_equal(array(rows, a.shape), a.astype(float))
 
 
+@pytest.mark.parametrize("packed, predictor, kind, tile, end, apart", [(1, 1, "u1", None, "<", False), (8, 2, "i2", (16, 16), ">", False), (5, 3, "f4", (16, 16), "<", False), (8, 3, "f8", None, "<", True), (5, 2, "u2", (16, 32), "<", True)])
+@pytest.mark.parametrize("big", [False, True])
+def test_first_band_of_classic_and_big_files(spark, tmp_path, packed, predictor, kind, tile, end, apart, big):
+    a = np.random.default_rng(5).integers(0, 200, (21, 37, 3)).astype(kind)
+    _, rows = geotiff.read(spark, tiff(tmp_path / "a.tif", a, packed, predictor, tile, end, apart, big))
+    assert np.array_equal(array(rows, a.shape[:2]), a[:, :, 0].astype(float))
+
+
 def test_lzw_tables_grow_and_clear():
     data = np.random.default_rng(1).integers(0, 7, 60_000).astype(np.uint8).tobytes()
     assert geotiff.unpack_lzw(lzw(data)) == data
