@@ -57,3 +57,23 @@ def fresh(df: DataFrame, name: str) -> str:
 def doc_mod(n: int):
     """crc32 of doc_id as text, modulo n; a null doc_id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def _crc_table() -> list[int]:
+    out = list(range(256))
+    for _ in range(8):
+        out = [0xEDB88320 ^ (x >> 1) if x & 1 else x >> 1 for x in out]
+    return out
+
+
+def crc32_sql(texts: str) -> str:
+    """DuckDB common table expressions (of WITH RECURSIVE) that end in crc (t, h): the unsigned crc32 of each distinct t of the
+    query `texts`, of characters up to U+00FF."""
+    step = f"xor({_crc_table()}[(xor(reg, bytes[k + 1]) & 255) + 1]::BIGINT, reg >> 8)"
+    return f"""crc_bytes AS (
+    SELECT t, flatten(list_transform(list_filter(string_split(t, ''), lambda x: x <> ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [192 + (ord(x)::BIGINT >> 6), 128 + (ord(x)::BIGINT & 63)] END)) AS bytes FROM (SELECT DISTINCT t FROM ({texts}))
+), crc_step AS (
+    SELECT t, bytes, 0 AS k, 4294967295::BIGINT AS reg FROM crc_bytes UNION ALL SELECT t, bytes, k + 1, {step} FROM crc_step WHERE k < len(bytes)
+), crc AS (
+    SELECT t, xor(reg, 4294967295) AS h FROM crc_step WHERE k = len(bytes)
+)"""

@@ -1,6 +1,6 @@
 """The queries of this package and, where SQL can express them, the SQL that they are held against."""
 
-from lodestrata.llm import chat, decontam, langid, licenses, lm, mixing, quality, secrets, simjoin, warc
+from lodestrata.llm import chat, decontam, langid, layout, licenses, lm, mixing, packing, quality, secrets, simjoin, variants, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_lm_scoring": lm.op10_lm_scoring,
+    "op11_best_fit_packing": packing.op11_best_fit_packing,
+    "op12_spelling_variants": variants.op12_spelling_variants,
+    "op13_clustered_layout": layout.op13_clustered_layout,
 }
 ORACLES = {
     "op1_warc": warc.ORACLE_SQL,
@@ -22,4 +25,6 @@ ORACLES = {
     "op7_license_scan": licenses.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,
     "op9_decontamination": decontam.ORACLE_SQL,
+    "op12_spelling_variants": variants.ORACLE_SQL,
+    "op13_clustered_layout": layout.ORACLE_SQL,
 }
