@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata import store
-from lodestrata.operators.grid import Meta, densify, median
+from lodestrata.operators import terrain, tiles
+from lodestrata.operators.grid import Meta, densify, median, percentiles
+from lodestrata.operators.tiles import Block
 
 
 def plane(grid: DataFrame) -> DataFrame:
@@ -147,17 +151,66 @@ def spectral_depth(grid: DataFrame, meta: Meta, size: int) -> DataFrame:
     return fit.select("win.win_r", "win.win_c", "depth", "r2")
 
 
-def euler_sums(fields: DataFrame, meta: Meta, size: int, index: float = 2.0) -> DataFrame:
-    """The sums of each window's normal equations; fields has r, c, t, gx, gy, gz. Coordinates are about the window's centre."""
+#: The sums of a window's normal equations, in order.
+_SUMS = ["s_xx", "s_xy", "s_xz", "s_xn", "s_yy", "s_yz", "s_yn", "s_zz", "s_zn", "s_nn", "b_x", "b_y", "b_z", "b_n"]
+
+
+def euler_sums(fields: DataFrame, meta: Meta, size: int | tuple[int, ...], index: float = 2.0) -> DataFrame:
+    """The sums of each window's normal equations, for one size of windows or for several, with `size`; fields has r, c, t, gx,
+    gy, gz, and cells without one of them do not count. Coordinates are about the window's centre.
+
+    The products are summed up once for each tile, about the tile's centre; a window of any size is four places of each sum
+    and is then moved to its own centre. All sizes share one shuffle and one table of sums."""
     dx, dy = meta.metres()
-    w = windows(fields, meta, size, max(size // 2, 2), False)
-    x = (F.col("c") - F.col("win_c") - size // 2) * dx
-    y = (F.col("r") - F.col("win_r") - size // 2) * dy
-    rhs = x * F.col("gx") + y * F.col("gy") + index * F.col("t")
-    terms = {"x": F.col("gx"), "y": F.col("gy"), "z": F.col("gz"), "n": F.lit(float(index))}
-    names = list(terms)
-    sums = [F.sum(terms[a] * terms[b]).alias(f"s_{a}{b}") for i, a in enumerate(names) for b in names[i:]] + [F.sum(terms[a] * rhs).alias(f"b_{a}") for a in names]
-    return w.groupBy("win_r", "win_c").agg(F.count("*").alias("m"), F.sum(rhs).alias("b"), F.sum(rhs * rhs).alias("bb"), F.stddev_pop("t").alias("sd"), *sums)
+    sizes = size if isinstance(size, tuple) else (size,)
+    reach = max(sizes)
+
+    def kernel(block: Block) -> pa.Table:
+        ok = np.isfinite(block.v).all(axis=0)
+        t, gx, gy, gz = np.where(ok, block.v, 0.0)
+        mid = len(t) // 2
+        at = (np.arange(len(t)) - mid).astype(float)
+        q = at[None, :] * dx * gx + at[:, None] * dy * gy + index * t
+        level = t[ok].mean() if ok.any() else 0.0
+        apart = np.where(ok, t - level, 0.0)
+        # A window is flat if no two neighbours in it differ: counted, so that it is exact.
+        right, below = np.zeros_like(t), np.zeros_like(t)
+        right[:, 1:] = ok[:, 1:] & ok[:, :-1] & (t[:, 1:] != t[:, :-1])
+        below[1:] = ok[1:] & ok[:-1] & (t[1:] != t[:-1])
+        planes = [ok, gx, gy, gz, q, gx * gx, gx * gy, gx * gz, gy * gy, gy * gz, gz * gz, q * gx, q * gy, q * gz, q * q, apart, apart * apart, right, below]
+        table = np.zeros((len(planes), len(t) + 1, len(t) + 1))
+        np.cumsum(np.cumsum(planes, axis=1), axis=2, out=table[:, 1:, 1:])
+        out = []
+        h, w = block.shape
+        for n in sizes:
+            step = max(n // 2, 2)
+            first = lambda start, side, most: np.arange(-(-start // step) * step, min(start + side, most - n), step)
+            rows, cols = first(block.r0 + reach, h, meta.h), first(block.c0 + reach, w, meta.w)
+            if not len(rows) or not len(cols):
+                continue
+            r, c = (x.ravel() for x in np.meshgrid(rows, cols, indexing="ij"))
+            i, j = r - block.r0, c - block.c0
+            box = lambda k, r0, c0, i=i, j=j, n=n: table[k][i + n, j + n] - table[k][i + r0, j + n] - table[k][i + n, j + c0] + table[k][i + r0, j + c0]
+            m, x, y, z, sq, xx, xy, xz, yy, yz, zz, qx, qy, qz, qq, a, aa = (box(k, 0, 0) for k in range(17))
+            m = np.round(m)
+            ox, oy = (j + n // 2 - mid) * dx, (i + n // 2 - mid) * dy
+            b = sq - ox * x - oy * y
+            bb = qq - 2 * ox * qx - 2 * oy * qy + ox * ox * xx + 2 * ox * oy * xy + oy * oy * yy
+            flat = box(17, 0, 1) + box(18, 1, 0) == 0
+            sd = np.where(flat, 0.0, np.sqrt(np.maximum(aa / np.maximum(m, 1) - (a / np.maximum(m, 1)) ** 2, 0)))
+            sums = [xx, xy, xz, index * x, yy, yz, index * y, zz, index * z, index * index * m, qx - ox * xx - oy * xy, qy - ox * xy - oy * yy, qz - ox * xz - oy * yz, index * b]
+            made = pa.table({"size": np.full(len(r), n, np.int32), "win_r": r.astype(np.int32), "win_c": c.astype(np.int32), "m": m.astype(np.int64), "b": b, "bb": bb, "sd": sd, **dict(zip(_SUMS, sums, strict=True))})
+            out.append(made.filter(pa.array(m > 0)))
+        return pa.concat_tables(out) if out else pa.table({f.name: pa.array([], f.type) for f in _sums_schema()})
+
+    schema = "size int, win_r int, win_c int, m long, b double, bb double, sd double" + "".join(f", {n} double" for n in _SUMS)
+    columns = ["t", "gx", "gy", "gz"]
+    out = tiles.gather(tiles.pieces(fields, meta, reach, columns, every=False), meta, reach, len(columns), kernel, schema)
+    return out if isinstance(size, tuple) else out.drop("size")
+
+
+def _sums_schema() -> pa.Schema:
+    return pa.schema([*[(n, pa.int32()) for n in ("size", "win_r", "win_c")], ("m", pa.int64()), *[(n, pa.float64()) for n in ("b", "bb", "sd", *_SUMS)]])
 
 
 def euler_solutions(sums: DataFrame, meta: Meta, size: int, index: float = 2.0, max_depth: float = 10_000.0) -> DataFrame:
@@ -198,25 +251,40 @@ def euler_solutions(sums: DataFrame, meta: Meta, size: int, index: float = 2.0,
 
 def euler(grid: DataFrame, meta: Meta, sizes: tuple[int, ...] = (10, 16, 24, 32), cap: int = 4_000, index: float = 2.0) -> DataFrame:
     """Solutions of all window sizes that fit a third of the grid, each capped in row-major order of the windows."""
-    from lodestrata.operators.terrain import slopes
-
     third = min(meta.h, meta.w) / 3
     sizes = tuple(s for s in sizes if s <= third) or (max(6, int(third)),)
     flat = detrend(densify(grid, meta))
     gz = vertical_derivative(grid, meta).withColumnRenamed("v", "gz")
     # Stored: every window size reads the fields, none computes them anew.
-    fields = store.stored(slopes(flat, meta).join(gz, ["r", "c"]).select("r", "c", F.col("v").alias("t"), "gx", "gy", "gz"), "euler-fields")
+    fields = store.stored(terrain.slopes(flat, meta).join(gz, ["r", "c"]).select("r", "c", F.col("v").alias("t"), "gx", "gy", "gz"), "euler-fields")
+    sums = store.stored(euler_sums(fields, meta, sizes, index), "euler-sums")
     out = None
     for s in sizes:
-        found = euler_solutions(euler_sums(fields, meta, s, index), meta, s, index).orderBy("win_r", "win_c").limit(cap).withColumn("size", F.lit(s))
+        found = euler_solutions(sums.filter(F.col("size") == s).drop("size"), meta, s, index).orderBy("win_r", "win_c").limit(cap).withColumn("size", F.lit(s))
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def box_depth(solutions: DataFrame, meta: Meta, radius: int = 12) -> DataFrame:
     """(r, c, v): the reliability-weighted mean depth of the solutions within radius rows and columns. solutions has r, c."""
-    at = solutions.filter(F.col("r").between(0, meta.h - 1) & F.col("c").between(0, meta.w - 1)).groupBy("r", "c").agg(F.sum(F.col("reliability") * F.col("depth")).alias("wd"), F.sum("reliability").alias("w"))
-    for axis, n in (("r", meta.h), ("c", meta.w)):  # separable: sums along one axis, then along the other
-        reach = F.sequence(F.greatest(F.col(axis) - radius, F.lit(0)), F.least(F.col(axis) + radius, F.lit(n - 1)))
-        at = at.withColumn(axis, F.explode(reach)).groupBy("r", "c").agg(F.sum("wd").alias("wd"), F.sum("w").alias("w"))
-    return at.select("r", "c", (F.col("wd") / F.col("w")).alias("v"))
+    at = solutions.filter(F.col("r").between(0, meta.h - 1) & F.col("c").between(0, meta.w - 1)).groupBy("r", "c").agg(F.sum(F.col("reliability") * F.col("depth")).alias("wd"), F.sum("reliability").alias("w"), F.lit(1.0).alias("n"))
+    if radius <= tiles.SIZE // 2:
+        def kernel(block: Block) -> pa.Table:
+            wd, w, n = np.nan_to_num(block.v)
+            for axis in (0, 1):
+                wd, w, n = (terrain.sliding(a, radius, axis) for a in (wd, w, n))
+            wd, w, n = (block.inner(a) for a in (wd, w, n))
+            found = tiles.rows_of(block, {"v": np.where(n > 0.5, wd / np.where(n > 0.5, w, 1), np.nan)})
+            return found.filter(pc.is_valid(found["v"]))
+
+        return tiles.gather(tiles.pieces(at, meta, radius, ["wd", "w", "n"], every=False), meta, radius, 3, kernel, "r int, c int, v double")
+    sums = tiles.box_sums(at, meta, radius, ["wd", "w", "n"], False)
+    return sums.filter(F.round("n") > 0).select("r", "c", (F.col("wd") / F.col("w")).alias("v"))
+
+
+def depth_error(known: DataFrame, depths: DataFrame) -> DataFrame:
+    """One row: the median relative error and the number of known sources (r, c, depth) that have an estimate (r, c, v)."""
+    both = known.join(depths.filter("v IS NOT NULL"), ["r", "c"])
+    error = store.stored(both.select((F.abs(F.col("v") - F.col("depth")) / F.col("depth")).alias("e")), "depth-error")
+    n, middle = error.count(), percentiles(error, "e", [0.5])[0]
+    return known.sparkSession.createDataFrame([(middle, n)], "median_error double, n long")

@@ -1,8 +1,8 @@
 """Distances, buffers, interpolation and burning of shapes.
 
-The exact distance transform is separable and takes as many steps as the grid has cells, whatever the number of marks; it
-carries the mark, so that nearest neighbours come out of it too. Points of an interpolation are broadcast, FEW at a time; of
-more, the slices' sums are merged.
+The exact distance transform goes over columns, then over rows, in strips of lines as arrays, in about as many steps as the
+grid has cells, whatever the number of marks; it carries the mark, so that nearest neighbours come out of it too. Points of an
+interpolation are broadcast, FEW at a time; of more, the slices' sums are merged.
 """
 
 from __future__ import annotations
@@ -11,13 +11,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata import store
+from lodestrata.deploy import ship
 from lodestrata.operators.grid import Meta, cells
 
 #: Points that are broadcast at once.
 FEW = 50_000
+#: Copies of a point that a third of all cells may be nearest to.
+SALTS = 32
 
 
 def _slices(points: DataFrame) -> list[DataFrame]:
@@ -29,69 +33,93 @@ def _slices(points: DataFrame) -> list[DataFrame]:
     return [F.broadcast(points.filter(part == i)) for i in range(n)]
 
 
-def envelope(at: np.ndarray, high: np.ndarray, order: np.ndarray, n: int, step: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each of n places the least of (place - at)**2 * step**2 + high, and which parabola has it (ties: the least order).
+def least_parabolas(at: np.ndarray, high: np.ndarray, order: np.ndarray, n: int, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n places of each line, the least of (place - at)**2 * step**2 + high, and which parabola has it (ties: the
+    least order). at has a line's parabolas, the same for all; high and order have a row for each line.
 
-    The lower envelope of parabolas: each is pushed and popped once, so a line of n places costs n steps."""
+    Whichever parabola is the least, it never moves back along a line. So the middle of a stretch is found among those between
+    the ends' ones: twice as many places at each of log n passes, all lines and places of a pass at once."""
+    lines, p = high.shape
+    best, which = np.zeros((lines, n)), np.zeros((lines, n), np.int64)
     q = at * step
-    kept: list[int] = []
-    cut: list[float] = []
-    base = high + q * q
-    for i in range(len(at)):
-        s = -np.inf
-        while kept:
-            j = kept[-1]
-            s = (base[i] - base[j]) / (2 * (q[i] - q[j]))
-            if s >= cut[-1]:
-                break
-            kept.pop()
-            cut.pop()
-            s = -np.inf
-        kept.append(i)
-        cut.append(s)
-    x = np.arange(n) * step
-    first = np.searchsorted(np.array(cut), x, "right") - 1
-    kept = np.array(kept)
-    best, least = np.full(n, np.inf), np.full(n, -1)
-    # At a cut two parabolas are equal, or more where cuts coincide: neighbours are looked at while they are as low.
-    for way in (1, -1):
-        k = first.copy() if way == 1 else first - 1
-        live = np.ones(n, bool)
-        while live.any():
-            inside = live & (k >= 0) & (k < len(kept))
-            p = kept[np.clip(k, 0, len(kept) - 1)]
-            d = (x - q[p]) ** 2 + high[p]
-            lower = inside & ((d < best) | ((d == best) & (order[p] < order[least])))
-            live = inside & (d <= best)
-            best, least = np.where(lower, d, best), np.where(lower, p, least)
-            k = k + way
-    return best, least
+    s = 1 << max(0, n - 1).bit_length()
+    while s:
+        x = np.arange(s - 1, n, 2 * s)
+        if len(x):
+            low = which[:, x - s] if x[0] >= s else np.concatenate([np.zeros((lines, 1), np.int64), which[:, x[1:] - s]], axis=1)
+            after = x + s
+            top = np.full((lines, len(x)), p - 1)
+            inside = after < n
+            top[:, inside] = which[:, after[inside]]
+            size = (top - low + 1).ravel()
+            begin = np.concatenate([[0], np.cumsum(size)])
+            k = np.repeat(low.ravel() - begin[:-1], size) + np.arange(begin[-1])
+            line = np.repeat(np.repeat(np.arange(lines), len(x)), size)
+            d = (np.repeat(np.tile(x * step, lines), size) - q[k]) ** 2 + high[line, k]
+            least = np.minimum.reduceat(d, begin[:-1])
+            first = np.where(d == np.repeat(least, size), order[line, k], np.iinfo(np.int64).max)
+            rank = np.minimum.reduceat(first, begin[:-1])
+            own = np.where((first == np.repeat(rank, size)) & (d == np.repeat(least, size)), k, p)
+            best[:, x] = least.reshape(lines, -1)
+            which[:, x] = np.minimum.reduceat(own, begin[:-1]).reshape(lines, -1)
+        s >>= 1
+    return best, which
+
+
+#: Cells of the lines that one task works on at once.
+STRIP = 2_000_000
+
+
+def _strip(length: int) -> int:
+    """How many lines of so many cells are a strip."""
+    return max(1, min(256, STRIP // length))
 
 
 def nearest_marks(marks: DataFrame, meta: Meta) -> DataFrame:
     """(r, c, d, mr, mc, ord) of every cell: exact metres to the nearest of marks (r, c, ord), of marks as near that of the
     least ord; no rows without marks.
 
-    Column pass: the nearest mark above and below in the same column, by two windows. Row pass: the lower envelope of the
-    row's parabolas. Each is one shuffle on its axis, and a line of the grid is the largest thing in one task."""
+    Columns that have marks are worked on in strips: the nearest mark above and below by two running extremes. Each strip sends
+    its part to the strips of rows, as arrays; there the least parabolas give all cells of some rows at once. Marks alone are
+    shuffled first, then the columns that have some; a strip is the largest thing in one task, and the steps do not depend on
+    how many marks there are."""
+    ship(marks.sparkSession)
     dx, dy = meta.metres()
-    m = marks.groupBy("r", "c").agg(F.min("ord").alias("ord")).withColumn("m", F.struct(F.col("r").alias("mr"), "ord"))
-    down = Window.partitionBy("c").orderBy("r")
-    full = cells(marks.sparkSession, meta).join(m.select("r", "c", "m"), ["r", "c"], "left")
-    near = full.select("r", "c", F.last("m", True).over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("above"), F.first("m", True).over(down.rowsBetween(0, Window.unboundedFollowing)).alias("below"))
-    pick = lambda side, steps: F.when(F.col(side).isNotNull(), F.struct(steps.alias("g"), F.col(f"{side}.ord").alias("ord"), F.col(f"{side}.mr").alias("mr")))
-    best = F.least(pick("above", F.col("r") - F.col("above.mr")), pick("below", F.col("below.mr") - F.col("r")))
-    lines = near.select("r", "c", best.alias("b")).filter("b IS NOT NULL").select("r", "c", "b.*")
-    w = meta.w
-
-    def row(line: pa.Table) -> pa.Table:
-        line = line.sort_by("c")
-        c, g, order, mr = (line[n].to_numpy().astype(np.int64) for n in ("c", "g", "ord", "mr"))
-        d, k = envelope(c, (g * dy) ** 2, order, w, dx)
-        r = np.full(w, line["r"][0].as_py(), np.int32)
-        return pa.table({"r": r, "c": np.arange(w, dtype=np.int32), "d": np.sqrt(d), "mr": mr[k].astype(np.int32), "mc": c[k].astype(np.int32), "ord": order[k]})
-
-    return lines.groupBy("r").applyInArrow(row, "r int, c int, d double, mr int, mc int, ord long")
+    h, w = meta.h, meta.w
+    across, down = _strip(h), _strip(w)
+    m = marks.filter(F.col("r").between(0, h - 1) & F.col("c").between(0, w - 1)).groupBy(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).agg(F.min("ord").cast("long").alias("ord"))
+
+    def columns(key: tuple, table: pa.Table) -> pa.Table:
+        r, c, order = (table[n].to_numpy() for n in ("r", "c", "ord"))
+        at, place = np.unique(c, return_inverse=True)
+        ords = np.zeros((h, len(at)), np.int64)
+        ords[r, place] = order
+        above, below = np.full((h, len(at)), -1, np.int32), np.full((h, len(at)), 2 * h, np.int32)
+        above[r, place] = below[r, place] = r
+        np.maximum.accumulate(above, axis=0, out=above)
+        below = np.minimum.accumulate(below[::-1], axis=0)[::-1]
+        rows, each = np.arange(h)[:, None], np.arange(len(at))[None, :]
+        up, dn = np.where(above >= 0, rows - above, 4 * h), np.where(below < h, below - rows, 4 * h)
+        o_up, o_dn = ords[np.maximum(above, 0), each], ords[np.minimum(below, h - 1), each]
+        higher = (up < dn) | ((up == dn) & ((o_up < o_dn) | ((o_up == o_dn) & (above < below))))
+        mr, order = np.where(higher, above, below).astype(np.int32), np.where(higher, o_up, o_dn)
+        strips = range(0, h, down)
+        cut = lambda a: pa.array([np.ascontiguousarray(a[lo : lo + down]).tobytes() for lo in strips], pa.binary())
+        return pa.table({"strip": pa.array([lo // down for lo in strips], pa.int32()), "cs": pa.array([at.astype(np.int32).tobytes()] * len(strips), pa.binary()), "mr": cut(mr), "ord": cut(order)})
+
+    def rows(key: tuple, table: pa.Table) -> pa.Table:
+        parts = sorted(((np.frombuffer(a, np.int32), np.frombuffer(b, np.int32), np.frombuffer(c, np.int64)) for a, b, c in zip(*(table[n].to_pylist() for n in ("cs", "mr", "ord")), strict=True)), key=lambda x: int(x[0][0]))
+        c = np.concatenate([a for a, _, _ in parts])
+        mr, order = (np.concatenate([x[i].reshape(-1, len(x[0])) for x in parts], axis=1) for i in (1, 2))
+        first = key[0].as_py() * down
+        r = np.arange(first, first + len(mr), dtype=np.int32)
+        high = ((r[:, None] - mr) * dy) ** 2
+        d, k = least_parabolas(c, high, order, w, dx)
+        line = np.arange(len(r))[:, None]
+        return pa.table({"r": np.repeat(r, w), "c": np.tile(np.arange(w, dtype=np.int32), len(r)), "d": np.sqrt(d).ravel(), "mr": mr[line, k].ravel(), "mc": c[k].ravel(), "ord": order[line, k].ravel()})
+
+    lines = m.groupBy((F.col("c") / across).cast("int").alias("part")).applyInArrow(columns, "strip int, cs binary, mr binary, ord binary")
+    return lines.groupBy("strip").applyInArrow(rows, "r int, c int, d double, mr int, mc int, ord long")
 
 
 def distance(marks: DataFrame, meta: Meta) -> DataFrame:
@@ -135,8 +163,14 @@ def nearest_on_grid(points: DataFrame, meta: Meta) -> DataFrame:
     other = [F.first(c).alias(f"p_{c}") for c in points.columns if c not in ("r", "c", "ord")]
     if not other:
         return near
-    p = points.groupBy(F.col("r").alias("p_r"), F.col("c").alias("p_c"), F.col("ord").alias("p_ord")).agg(*other)
-    return near.join(p, ["p_r", "p_c", "p_ord"])
+    p = store.stored(points.groupBy(F.col("r").alias("p_r"), F.col("c").alias("p_c"), F.col("ord").alias("p_ord")).agg(*other), "nearest-points")
+    keys = ["p_r", "p_c", "p_ord"]
+    if p.count() <= FEW:
+        return near.join(F.broadcast(p), keys)
+    # Of many points each may still be the nearest of very many cells: cells are dealt over copies of their point.
+    salt = F.pmod(F.xxhash64("r", "c"), F.lit(SALTS)).cast("int")
+    copies = p.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return near.withColumn("_salt", salt).join(copies, [*keys, "_salt"]).drop("_salt")
 
 
 def nearest(left: DataFrame, points: DataFrame, dx: float = 1.0, dy: float = 1.0, keys: tuple[str, ...] = ("r", "c")) -> DataFrame:

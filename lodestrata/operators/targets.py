@@ -100,3 +100,18 @@ def write_csv(targets: DataFrame, path: str, statement: str = "", drivers: int =
     fs.create_dir(name.rsplit("/", 1)[0])
     with fs.open_output_stream(name, compression=None) as f:
         f.write(text.getvalue().encode())
+
+
+def recovery(targets: DataFrame, truth: DataFrame, radius: int = 8, top: int = 15) -> DataFrame:
+    """One row: how many of the first targets (rank, r, c) lie within radius cells of a true place (r, c), and of how many.
+
+    A target asks the squares of radius cells that its circle meets, nine at most, so places are joined by square."""
+    square = lambda at: F.floor(at / radius)
+    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    t = targets.filter(F.col("rank") <= top).select("rank", "r", "c", F.explode(steps).alias("a")).select("rank", "r", "c", "a", F.explode(steps).alias("b"))
+    t = t.select("rank", F.col("r").alias("tr"), F.col("c").alias("tc"), (square(F.col("r")) + F.col("a")).alias("i"), (square(F.col("c")) + F.col("b")).alias("j"))
+    w = truth.select("r", "c", square(F.col("r")).alias("i"), square(F.col("c")).alias("j"))
+    near = F.min((F.col("tr") - F.col("r")) ** 2 + (F.col("tc") - F.col("c")) ** 2)
+    by = F.broadcast(t).join(w, ["i", "j"]).groupBy("rank").agg(near.alias("d"))
+    hits = by.filter(F.col("d") <= radius**2).agg(F.count("*").alias("hits"))
+    return hits.crossJoin(targets.filter(F.col("rank") <= top).agg(F.count("*").alias("n")))  # one row each

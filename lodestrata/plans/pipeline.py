@@ -177,13 +177,11 @@ def _kept(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
 
 
 def _terrain(spark, dem, meta, config, out) -> dict[str, DataFrame]:
-    """The terrain layers: the smoothed grid is stored once, and one pass of gradients over it gives all but the TPI."""
+    """The terrain layers, all from one chain of windows."""
     dx, dy = meta.metres()
     window = terrain.odd_window(config.terrain_scale_m, (dx + dy) / 2)
-    smooth = _kept(spark, terrain.box_mean(dem, meta, window), f"{out}/smooth") if window > 1 else dem
-    faces = _kept(spark, terrain.derivatives(smooth, meta), f"{out}/terrain")
-    tpi = dem.join(smooth.withColumnRenamed("v", "m"), ["r", "c"]).select("r", "c", (F.col("v") - F.col("m")).alias("v"))
-    return {"tpi": tpi, **{n: faces.select("r", "c", F.col(n).alias("v")) for n in ("slope", "curvature", "aspect_sin", "aspect_cos")}}
+    faces = _kept(spark, terrain.surface(dem, meta, window), f"{out}/terrain")
+    return {n: faces.select("r", "c", F.col(n).alias("v")) for n in ("tpi", "slope", "curvature", "aspect_sin", "aspect_cos")}
 
 
 def _stages(spark, dem, meta, deposits, layers, out, config, magnetics, spec, warnings) -> Result:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import crs, scalar
-from lodestrata.operators import grid, screening, spatial, targets
+from lodestrata.operators import depth, grid, screening, spatial, targets
 from lodestrata.plans import fixtures as fx
-from lodestrata.plans import layers, synthetic, viewer
+from lodestrata.plans import layers, viewer
 from lodestrata.plans.fixtures import CELLS_SQL, DEM_SQL, DEPOSIT_CELLS_SQL, FULL_SQL, META, UNEVEN, grid_sql
 from lodestrata.plans.queries import _AB, _COPPER, _DRAW, _NAMED, _named, _v, query, r6
 
@@ -235,13 +235,13 @@ def depth_tally(spark, sf):
 @query(f"WITH {DEM_SQL}, {DEPOSIT_CELLS_SQL}, e AS (SELECT abs(v - 30 - n % 7) / (30 + n % 7) AS e FROM dc JOIN dem USING (r, c) WHERE v IS NOT NULL) SELECT round(quantile_cont(e, 0.5), 9) AS median_error, count(*) AS n FROM e")
 def depth_error(spark, sf):
     sources = fx.deposits(spark, sf).groupBy("r", "c").agg((30 + F.count("*") % 7).cast("double").alias("depth"))
-    return synthetic.depth_error(sources, fx.dem(spark, sf)).select(F.round("median_error", 9).alias("median_error"), "n")
+    return depth.depth_error(sources, fx.dem(spark, sf)).select(F.round("median_error", 9).alias("median_error"), "n")
 
 
 @query(f"WITH {DEM_SQL}, {DEPOSIT_CELLS_SQL}, t AS (SELECT r, c, row_number() OVER (ORDER BY v DESC, r DESC, c DESC) AS rank FROM dem WHERE v IS NOT NULL QUALIFY rank <= 15) SELECT count(*) FILTER (WHERE EXISTS (SELECT 1 FROM dc WHERE (dc.r - t.r) ** 2 + (dc.c - t.c) ** 2 <= 4)) AS hits, count(*) AS n FROM t")
 def target_recovery(spark, sf):
     top = targets.suppress(fx.dem(spark, sf).filter("v IS NOT NULL"), 1, 25)
-    return synthetic.recovery(top, fx.deposits(spark, sf).select("r", "c").distinct(), 2)
+    return targets.recovery(top, fx.deposits(spark, sf).select("r", "c").distinct(), 2)
 
 
 @query(

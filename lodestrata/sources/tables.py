@@ -10,11 +10,18 @@ X_NAMES = ("longitude", "lon", "long", "x", "east", "easting", "dec_long")
 Y_NAMES = ("latitude", "lat", "y", "north", "northing", "dec_lat")
 DEPOSIT_X, DEPOSIT_Y = ("longitude", "lon", "dec_long", "x"), ("latitude", "lat", "dec_lat", "y")
 COMMODITY_NAMES, SITE_NAMES = ("commod1", "commodity", "commod", "commodities"), ("site_name", "name", "dep_name", "site")
+TABLE_SITE_NAMES, STATUS_NAMES = ("site_name", "name", "dep_name"), ("dev_stat", "dev_status", "status")
+TABLE_COMMODITIES = ("commod1", "commod2", "commod3", "commodity", "commodities", "code_list")
 
 
 def lenient_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, headers in lower case without blanks or byte order marks; of clashing headers the first stays."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """All columns as text, headers in lower case without blanks or byte order marks; of clashing headers the first stays.
+
+    Quotes are doubled within quoted fields, which may hold commas and line breaks. A file splits at its lines, unless some
+    line has an odd number of quotes: then a field may run on, and each file is read by one task."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    runs_on = not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    raw = spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"').option("multiLine", runs_on).csv(path)
     seen: dict[str, str] = {}
     for c in raw.columns:
         seen.setdefault(c.replace("﻿", "").strip().lower(), c)
@@ -42,14 +49,14 @@ def csv_deposits(spark: SparkSession, path: str) -> DataFrame:
     x, y = first_of(rows.columns, DEPOSIT_X), first_of(rows.columns, DEPOSIT_Y)
     if x is None or y is None:
         raise ValueError(f"no coordinate columns among {rows.columns}")
-    commods = [c for c in rows.columns if c.startswith("commod")]
+    commods = [c for c in TABLE_COMMODITIES if c in rows.columns]
     pick = lambda n: F.col(f"`{n}`") if n else F.lit("")
     out = rows.select(
         F.expr(f"try_cast(`{x}` AS DOUBLE)").alias("x"),
         F.expr(f"try_cast(`{y}` AS DOUBLE)").alias("y"),
-        F.coalesce(pick(first_of(rows.columns, SITE_NAMES)), F.lit("")).alias("name"),
+        F.coalesce(pick(first_of(rows.columns, TABLE_SITE_NAMES)), F.lit("")).alias("name"),
         F.concat_ws(" ", *[F.col(f"`{c}`") for c in commods]).alias("commodity") if commods else F.lit(None).cast("string").alias("commodity"),
-        F.coalesce(pick("dev_stat" if "dev_stat" in rows.columns else None), F.lit("")).alias("status"),
+        F.coalesce(pick(first_of(rows.columns, STATUS_NAMES)), F.lit("")).alias("status"),
     )
     return out.filter("x IS NOT NULL AND y IS NOT NULL")
 

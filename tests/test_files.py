@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from lodestrata.functions import crs
 from lodestrata.operators import grid, spatial
 from lodestrata.operators.grid import Meta
-from lodestrata.plans import layers, pipeline, synthetic
+from lodestrata.operators import depth, targets
+from lodestrata.plans import layers, pipeline
 from lodestrata.plans.catalog import Store
 from lodestrata.sources import geotiff
 from tests.test_grid import array, cells
+from tests import worlds
 from tests.test_layers import META, write_shapes
 
 
@@ -225,14 +227,14 @@ def test_config_names_missing_files(tmp_path):
 
 def test_a_planted_signal_is_found(spark, tmp_path):
     """The whole pipeline from files: a signal is validated, targets lie on deposits, and every artifact can be read."""
-    world = synthetic.build(spark, "signal", str(tmp_path / "w"), 11, 150, stocks=40, most=32, samples=300, margin=10)
+    world = worlds.build(spark, str(tmp_path / "w"), 11, 150, buried=True)
     store = Store(spark, str(tmp_path / "db"))
     out = str(tmp_path / "out")
-    config = synthetic.config(world, trees=20, folds=3, depth_window=32)
-    config.vectors["broken"] = world.files["dem"].replace("dem.tif", "world.txt")
+    config = worlds.config(world, trees=20, folds=3, depth_window=32)
+    config.vectors["broken"] = world.files["dem"].replace("dem.tif", "notes.txt")
     result = pipeline.run_files(spark, config, out, store)
     assert result.cv["auc_mean"] > 0.75 and any("broken" in w for w in result.warnings)
-    hits = synthetic.recovery(result.targets, spark.createDataFrame(world.deposits, "r int, c int")).first()
+    hits = targets.recovery(result.targets, spark.createDataFrame(world.deposits, "r int, c int")).first()
     assert hits["n"] > 0 and hits["hits"] >= 0.6 * hits["n"]
     t = result.targets.orderBy("rank").first()
     lon, lat = spark.createDataFrame([(t["x"], t["y"])], "x double, y double").select(*crs.to_wgs84(F.col("x"), F.col("y"), 32633)).first()
@@ -248,13 +250,12 @@ def test_a_planted_signal_is_found(spark, tmp_path):
     assert result.verdict in report and "Depths of all targets" in report and "P50" in report and "times in 100" in page
     assert pipeline.Config.from_json(open(f"{out}/run_config.json").read()) == config
     assert store.read("runs").first()["status"] == "done" and store.read("metrics").filter("key = 'auc_mean'").count() == 1
-    stocks = spark.createDataFrame([(r, c, d) for r, c, d, _ in world.stocks], "r int, c int, depth double")
-    error = synthetic.depth_error(stocks, result.depth_euler).first()
+    bodies = spark.createDataFrame(world.bodies, "r int, c int, depth double")
+    error = depth.depth_error(bodies, result.depth_euler).first()
     assert error["n"] > 10 and error["median_error"] < 1.0
 
 
 def test_a_confound_is_exposed(spark, tmp_path):
-    row = synthetic.certify(spark, str(tmp_path), ("confound",), 23, 10, 120, stocks=30, most=26, samples=200, margin=8)[0]
-    assert row["verdict"] != "VALIDATED" or row["contrast_matched"] is not None
-    with pytest.raises(ValueError):
-        synthetic.build(spark, "nothing", str(tmp_path / "x"), 1, 64, margin=8)
+    world = worlds.build(spark, str(tmp_path / "w"), 23, 120, buried=False)
+    result = pipeline.run_files(spark, worlds.config(world, trees=10, depths=False), str(tmp_path / "out"))
+    assert result.verdict != "VALIDATED" or result.holdout.get("contrast_matched") is not None
