@@ -4,7 +4,8 @@ Words are maximal runs of Latin letters, A-Z in lower case, of FEWEST code point
 compact tries (a chain of letters is one node), sorted ranges of the words cut into shards of at most SHARD words and CHARS
 characters. The shards are broadcast; a word's distance-one Levenshtein automaton, two bit masks of the places that are reached
 with no and with one edit, goes through each depth-first, leaves a subtree when both are empty, and emits the words that it
-accepts. Counts and the best form are reduced by word; roots follow the forms by doubling, as each form is far more frequent
+accepts. Each shard has its words forwards and backwards: the edit lies in one half of a word, and the other half is looked up
+first, so that the automaton starts far from the crowded top. Counts and the best form are reduced by word; roots follow the forms by doubling, as each form is far more frequent
 than its word.
 
 Scale: runs are counted in the tasks that read the texts and again before they are shuffled, so that a word with a third of
@@ -37,10 +38,12 @@ TIMES = 5
 LOSES = 199
 SHARD, CHARS = 50_000, 4 << 20
 #: Bytes of shards in a broadcast.
-PASS = 32 << 20
+PASS = 12 << 20
 #: Words in a task that looks for near ones.
 TASK = 2_000
 BLOCK = 2 << 20
+#: More than any code point.
+FAR = 0x110000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -123,6 +126,14 @@ class Trie:
 
     def __init__(self, labels: list[str], counts: list[int], behind: list[int]):
         self.labels, self.counts, self.behind = labels, counts, behind
+        #: A node's child by the first letter of its label: node * FAR + code point, -1 above the first nodes.
+        self.child: dict[int, int] = {}
+        path: list[int] = []
+        for i, label in enumerate(labels):
+            while path and behind[path[-1]] <= i:
+                path.pop()
+            self.child[(path[-1] if path else -1) * FAR + ord(label[0])] = i
+            path.append(i)
 
     @classmethod
     def of(cls, words: list[tuple[str, int]]) -> Trie:
@@ -167,34 +178,87 @@ class Trie:
             at += n
         return cls(labels, table["n"].to_pylist(), table["behind"].to_pylist())
 
-    def near(self, word: str) -> Iterator[tuple[str, int]]:
-        """The words at distance one and their counts."""
+    def after(self, prefix: str, rest: str) -> Iterator[tuple[str, int]]:
+        """The words that begin with prefix and go on with something at distance one from rest; what goes on, and their counts.
+
+        The prefix is looked up. From there the automaton of rest goes on depth-first: while no edit is made all children are
+        tried; once it is made, the places that are reached name the letters that can follow, three at most."""
+        labels, counts, behind, child = self.labels, self.counts, self.behind, self.child
+        i, at, tail = -1, 0, ""
+        while at < len(prefix):
+            i = child.get(i * FAR + ord(prefix[at]))
+            if i is None:
+                return
+            label = labels[i]
+            if prefix.startswith(label, at):
+                at += len(label)
+            elif label.startswith(prefix[at:]):
+                tail, at = label[len(prefix) - at :], len(prefix)
+            else:
+                return
         places: dict[str, int] = {}
-        for i, c in enumerate(word):
-            places[c] = places.get(c, 0) | 1 << i
-        end, i, labels, counts, behind = 1 << len(word), 0, self.labels, self.counts, self.behind
-        # Of each node on the path: the one behind it, and the places that are reached without and with one edit.
-        path = [(len(labels), 1, 2)]
-        names: list[str] = []
-        while i < len(labels):
-            while i >= path[-1][0]:
-                path.pop()
-                names.pop()
-            _, exact, edited = path[-1]
-            for c in labels[i]:
+        for k, c in enumerate(rest):
+            places[c] = places.get(c, 0) | 1 << k
+        end = 1 << len(rest)
+        # Nodes, what of their label is still to be read, the letters so far, and the places reached before without and with one edit.
+        todo: list[tuple[int, str, str, int, int]] = [(i, tail, "", 1, 2)]
+        while todo:
+            i, label, letters, exact, edited = todo.pop()
+            for c in label:
                 hit = places.get(c, 0)
                 step = (exact & hit) << 1
                 edited = (edited & hit) << 1 | exact | exact << 1 | step << 1
-                exact = step
                 if not edited:
-                    i = behind[i]
                     break
+                exact = step
             else:
-                path.append((behind[i], exact, edited))
-                names.append(labels[i])
-                if counts[i] and edited & end and not exact & end:
-                    yield "".join(names), counts[i]
-                i += 1
+                letters += label
+                if i >= 0 and edited & end and not exact & end and counts[i]:
+                    yield letters, counts[i]
+                j, last = i + 1, behind[i] if i >= 0 else len(labels)
+                if exact:
+                    while j < last:
+                        todo.append((j, labels[j], letters, exact, edited))
+                        j = behind[j]
+                elif j < last:
+                    base, left, seen = i * FAR, edited & (end - 1), ""
+                    while left:
+                        low = left & -left
+                        left ^= low
+                        c = rest[low.bit_length() - 1]
+                        if c not in seen and (k := child.get(base + ord(c))) is not None:
+                            todo.append((k, labels[k], letters, 0, edited))
+                        seen += c
+
+
+class Shard:
+    """The tries of some words, read forwards and backwards. An edit lies in a word's first or in its second half, so the other
+    half leads to a narrow part of one of them."""
+
+    def __init__(self, forwards: Trie, backwards: Trie):
+        self.forwards, self.backwards = forwards, backwards
+
+    @classmethod
+    def of(cls, words: list[tuple[str, int]]) -> Shard:
+        return cls(Trie.of(words), Trie.of(sorted((w[::-1], n) for w, n in words)))
+
+    def pack(self) -> bytes:
+        a, b = self.forwards.pack(), self.backwards.pack()
+        return len(a).to_bytes(8, "little") + a + b
+
+    @classmethod
+    def unpack(cls, blob: bytes) -> Shard:
+        n = int.from_bytes(blob[:8], "little")
+        return cls(Trie.unpack(blob[8 : 8 + n]), Trie.unpack(blob[8 + n :]))
+
+    def near(self, word: str) -> dict[str, int]:
+        """The words at distance one and their counts."""
+        half = len(word) // 2
+        a, b = word[:half], word[half:]
+        out = {a + x: n for x, n in self.forwards.after(a, b)}
+        for x, n in self.backwards.after(b[::-1], a[::-1]):
+            out[x[::-1] + b] = n
+        return out
 
 
 def _common(a: str, b: str) -> int:
@@ -231,7 +295,7 @@ def shards(words: DataFrame, total: int, shard: int = SHARD, chars: int = CHARS)
         size = 0
 
         def made() -> pa.RecordBatch:
-            blob = Trie.of(held).pack()
+            blob = Shard.of(held).pack()
             return pa.RecordBatch.from_arrays([pa.array([held[0][0]]), pa.array([len(blob)], pa.int64()), pa.array([blob], pa.binary())], names=["id", "bytes", "trie"])
 
         for batch in batches:
@@ -268,9 +332,9 @@ def pairs(words: DataFrame, shard: int = SHARD, chars: int = CHARS, most: int =
         held = spark.sparkContext.broadcast([bytes(r["trie"]) for r in tries.filter(F.col("id").between(names[0], names[-1])).select("trie").collect()])
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            own = [Trie.unpack(b) for b in held.value]
+            own = [Shard.unpack(b) for b in held.value]
             for batch in batches:
-                found = [(w, x, n) for w in batch.column(0).to_pylist() for trie in own for x, n in trie.near(w)]
+                found = [(w, x, n) for w in batch.column(0).to_pylist() for trie in own for x, n in trie.near(w).items()]
                 a, b, n = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], names=["word", "near", "near_n"])
 
