@@ -1,4 +1,4 @@
-"""UTM to WGS84 and back as column expressions: Krueger's series to the third order of the flattening."""
+"""Coordinate systems by code or text, and UTM on WGS84 by Krueger's series to the third order of the flattening."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestrata.functions import projections
+
 # The WGS84 ellipsoid and the UTM scale and offsets.
 A, FLAT, K0, EAST, SOUTH = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
 _N = FLAT / (2 - FLAT)
@@ -59,22 +61,33 @@ def looks_geographic(x: Column, y: Column) -> Column:
 
 
 def of_wkt(text: str | None) -> str | None:
-    """EPSG code of a .prj file's text: WGS84 longitudes and latitudes or a UTM zone on WGS84; None without a text that names
-    a projection. Others are an error."""
+    """The system of a .prj file's text, as `convert` takes it: an EPSG code where it is WGS84 longitudes and latitudes or a UTM
+    zone on WGS84, else the text; None without a text that names a system. What is not supported is an error."""
     text = (text or "").strip()
-    if text.startswith(("GEOGCS", "GEOGCRS")):
-        return "EPSG:4326"
-    if not text.startswith(("PROJCS", "PROJCRS")):
+    if not text.startswith(("GEOGCS", "GEOGCRS", "GEODCRS", "PROJCS", "PROJCRS", "COMPD_CS", "COMPOUNDCRS")):
         return None
+    system = projections.parse(text)
+    if system.kind == "geographic" and not system.shift and not system.prime and abs(system.unit - 1) < 1e-9 and (system.a, system.inverse) == projections.WGS84:
+        return "EPSG:4326"
     m = re.search(r"UTM[_ ]zone[_ ](\d{1,2})([NS])", text, re.IGNORECASE)
-    if not m:
-        raise ValueError(f"projection {text[:60]} is not supported")
-    return f"EPSG:{326 if m[2].upper() == 'N' else 327}{int(m[1]):02}"
+    if m and system.kind == "tm" and not system.shift:
+        code = f"EPSG:{326 if m[2].upper() == 'N' else 327}{int(m[1]):02}"
+        known = projections.parse(code)
+        if all(abs(a - b) < 1e-9 * max(1.0, abs(b)) for a, b in zip(_numbers(system), _numbers(known), strict=True)):
+            return code
+    return text
+
+
+def _numbers(s: projections.System) -> list[float]:
+    return [s.a, s.inverse, s.lat0, s.lon0, s.k0, s.east, s.north, s.unit, s.prime]
 
 
 def convert(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
-    """Coordinates of one EPSG code in another, by way of WGS84."""
+    """Coordinates of one system, an EPSG code or well-known text, in another, by way of WGS84."""
     if source == target or not source or not target:
         return x, y
-    lon, lat = (x, y) if source == "EPSG:4326" else to_wgs84(x, y, int(source[5:]))
-    return (lon, lat) if target == "EPSG:4326" else to_utm(lon, lat, int(target[5:]))
+    utm = re.compile(r"EPSG:32[67]\d\d")
+    if all(c == "EPSG:4326" or utm.fullmatch(c) for c in (source, target)):  # plain expressions, compiled
+        lon, lat = (x, y) if source == "EPSG:4326" else to_wgs84(x, y, int(source[5:]))
+        return (lon, lat) if target == "EPSG:4326" else to_utm(lon, lat, int(target[5:]))
+    return projections.between(projections.parse(source), projections.parse(target), x, y)

@@ -22,9 +22,9 @@ PROBE_SHAPES, PROBE_POINTS, PROBED = 200, 5, 200
 
 def to_grid_crs(points: DataFrame, meta: Meta) -> DataFrame:
     """points (x, y, ...) in the grid's projection: on a projected grid those that look geographic are taken for WGS84."""
-    if meta.geographic or not meta.crs.startswith("EPSG:"):
+    if meta.geographic or not meta.crs:
         return points
-    x, y = crs.to_utm(F.col("x"), F.col("y"), int(meta.crs[5:]))
+    x, y = crs.convert(F.col("x"), F.col("y"), "EPSG:4326", meta.crs)
     degrees = crs.looks_geographic(F.col("x"), F.col("y"))
     return points.withColumns({"x": F.when(degrees, x).otherwise(F.col("x")), "y": F.when(degrees, y).otherwise(F.col("y"))})
 
@@ -41,7 +41,7 @@ def read_shapes(spark: SparkSession, path: str, meta: Meta) -> tuple[str, DataFr
     if len(kinds) != 1:
         raise ValueError(f"{PurePosixPath(path).name} holds {sorted(kinds)}")
     source = crs.of_wkt(shapes.select("crs").first()[0])
-    if source is None and not meta.geographic and meta.crs.startswith("EPSG:"):
+    if source is None and not meta.geographic and meta.crs:
         first = shapes.orderBy("file", "no").limit(PROBE_SHAPES).select("file", "no", F.slice(F.flatten("parts"), 1, PROBE_POINTS).alias("p")).orderBy("file", "no").collect()
         probe = [p for r in first for p in r["p"]][:PROBED]
         if probe and all(abs(p["x"]) <= 360 and abs(p["y"]) <= 90 for p in probe):
@@ -175,7 +175,7 @@ def wgs84_bounds(spark: SparkSession, meta: Meta) -> tuple[float, float, float,
     if meta.geographic:
         return x0, y0, x1, y1
     corners = spark.createDataFrame([(x, y) for x in (float(x0), float(x1)) for y in (float(y0), float(y1))], "x double, y double")
-    lon, lat = crs.to_wgs84(F.col("x"), F.col("y"), int(meta.crs[5:]))
+    lon, lat = crs.convert(F.col("x"), F.col("y"), meta.crs, "EPSG:4326")
     return tuple(corners.select(lon.alias("lon"), lat.alias("lat")).agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first())
 
 

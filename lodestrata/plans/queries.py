@@ -734,4 +734,4 @@ def pipeline_targets(spark, sf):
 
 
 # Queries of viewers, screening and shapes register themselves.
-from lodestrata.plans import product_queries  # noqa: E402, F401
+from lodestrata.plans import product_queries, projection_queries  # noqa: E402, F401
