@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.deploy import ship  # noqa: F401
@@ -40,6 +40,19 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: in
     return rows.join(hot, keys).unionByName(others)
 
 
+def numbered(df: DataFrame, name: str, *order, tag: str = "sorted") -> DataFrame:
+    """df with `name`, its rows' places from 0 in the order of columns that tell all rows apart, or whose ties are alike. Rows are
+    sorted by ranges, so that a value with a third of all rows is many tasks if later columns tell its rows apart; a row's place
+    is that in its task and the sizes of the tasks before, a row for each task. The sorted rows are stored."""
+    mark, part, before = (fresh(df, x) for x in ("_mark", "_part", "_before"))
+    done = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(mark, F.monotonically_increasing_id()), tag)
+    done = done.withColumn(part, F.shiftright(mark, 33))
+    sizes = done.groupBy(part).agg(F.count("*").alias("n"))
+    starts = sizes.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(before))
+    at = F.col(before) + F.col(mark).bitwiseAND(F.lit((1 << 33) - 1))
+    return done.join(maybe_broadcast(starts), part).withColumn(name, at).drop(mark, part, before)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less its columns of these names: an operator's own columns replace columns of the input that clash with them."""
     low = {n.lower() for n in names}

@@ -10,10 +10,10 @@ each is parsed from its first character on until a phrase begins beyond it, and
 begins elsewhere are parsed again from there up to the first phrase that both parses share. This is repeated until every
 segment begins where the one before it ended; the result is that of the parse from left to right.
 
-Labelled text: for each language the `rows` rows that come first by a hash of the text, an excerpt of at most `excerpt`
-characters from the middle of each. These two numbers bound what is learnt from, and so the automata: a language takes
-about 2 MB, or 120 bytes for each letter and character of labelled text while all tables together stay under DENSE bytes.
-Every whole text is predicted.
+Labelled text: for each language whole texts of at most `rows` rows, by a hash of the text, those of up to STEP characters
+first, then those of up to twice as many and so on, as far as `chars` characters go, the first row in any case. These two
+numbers bound what is learnt from, and so the automata: a language takes about 2 MB, or 120 bytes for each letter and character
+of labelled text while all tables together stay under DENSE bytes. Every whole text is predicted.
 
 score is the share of the winner among the likelihoods 2^-(cost * SCORE_CHARS), 0 to 1.
 
@@ -34,7 +34,10 @@ from pyspark.sql import types as T
 
 from lodestrata.llm import common, tokens
 
-ROWS, EXCERPT = 200, 300
+#: Rows and characters of each language that are learnt from: the bound of the automata.
+ROWS, CHARS = 400, 60_000
+#: Texts are taken by length in steps of so many characters.
+STEP = 500
 SEGMENT = 512
 SCORE_CHARS = 32
 #: Bytes of all languages' transitions as tables; beyond it they are sorted keys.
@@ -228,24 +231,29 @@ class Model:
         return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
-def sample(labelled: DataFrame, rows: int = ROWS, excerpt: int = EXCERPT, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
-    """Excerpts of at most `rows` rows for each language; reruns agree, and only text and lang take part."""
-    some = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    middle = F.substring(F.col(text), (F.greatest(F.lit(0), (F.length(text) - excerpt) / 2) + 1).cast("int"), F.lit(excerpt))
-    narrow = some.select(F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("o"), middle.alias("t"))
-    first = narrow.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o", "t"))).filter(F.col("n") <= rows)
+def sample(labelled: DataFrame, rows: int = ROWS, chars: int = CHARS, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
+    """Whole texts of at most `rows` rows and `chars` characters for each language, one at least; reruns agree, and only text
+    and lang take part. Rows are picked by narrow rows of hashes and lengths, a row for each text that occurs; only the picked
+    ones' texts come to the driver."""
+    some = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("o"), F.length(text).alias("size"), F.col(text).alias("t"))
+    order = Window.partitionBy("lang").orderBy(F.floor(F.col("size") / STEP), "o", "size")
+    narrow = some.select("lang", "o", "size").distinct()
+    first = narrow.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows)
+    total = F.sum("size").over(Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    picked = first.withColumn("total", total).filter((F.col("total") <= chars) | (F.col("n") == 1)).select("lang", "o", "size", "n")
+    found = some.join(F.broadcast(picked), ["lang", "o", "size"]).groupBy("lang", "n").agg(F.min("t").alias("t"))
     out: dict[str, list[str]] = {}
-    for r in sorted(first.select("lang", "n", "t").collect()):  # `rows` excerpts for each language
+    for r in sorted(found.select("lang", "n", "t").collect()):
         out.setdefault(r["lang"], []).append(r["t"])
     return out
 
 
-def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", rows: int = ROWS, excerpt: int = EXCERPT) -> DataFrame:
-    """docs with lang_pred and score, learnt from labelled (text, lang): at most `rows` excerpts of `excerpt` characters for
-    each language."""
+def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", rows: int = ROWS, chars: int = CHARS) -> DataFrame:
+    """docs with lang_pred and score, learnt from labelled (text, lang): whole texts of at most `rows` rows and `chars` characters
+    for each language."""
     spark = docs.sparkSession
     common.ship(spark)
-    learnt = sample(labelled, rows, excerpt)
+    learnt = sample(labelled, rows, chars)
     shared = spark.sparkContext.broadcast(learnt)
     key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)}"
     base = common.without(docs, "lang_pred", "score")

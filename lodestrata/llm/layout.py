@@ -193,15 +193,8 @@ def layout(rows: DataFrame, key: str, dims: list[str], cells: int = CELLS, file:
     taken = ["z", "position", "file", *[f"c_{d}" for d in dims]]
     placed = coordinates(common.without(rows, *taken), dims, cells).withColumn("z", interleaved([F.col(f"c_{d}") for d in dims], cells))
     others = [c for c in placed.columns if c not in (key, "z", *dims) and not c.startswith("c_")]
-    mark = common.fresh(placed, "_place")
-    ordered = placed.repartitionByRange("z", key, *dims).sortWithinPartitions("z", key, *dims, *others)
-    done = common.stored(ordered.withColumn(mark, F.monotonically_increasing_id()), "layout-sorted")
-    part = F.shiftright(mark, 33)
-    sizes = done.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    joined = done.withColumn("_part", part).join(common.maybe_broadcast(before), "_part")
-    at = F.col("_before") + F.col(mark).bitwiseAND(F.lit((1 << 33) - 1))
-    return joined.withColumn("position", at).withColumn("file", F.floor(at / file).cast("long")).drop("_part", "_before", mark)
+    laid = common.numbered(placed, "position", "z", key, *dims, *others, tag="layout-sorted")
+    return laid.withColumn("file", F.floor(F.col("position") / file).cast("long"))
 
 
 def with_bounds(laid: DataFrame, dims: list[str]) -> DataFrame:

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,20 +45,23 @@ def size(text: Column) -> Column:
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """source, source_size, target. Sources are few against documents: their order is one sorted window over one row each."""
-    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.asc_nulls_last("source"))
-    place = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    by = by.withColumn("w", F.get(F.array(*[F.lit(float(w)) for w in weights]), place)).withColumn("most", cap * F.col("source_size"))
-    # Water level: sources fill in order of their cap by weight; those before the level's are full.
-    fill = Window.orderBy(F.col("most") / F.col("w"), F.asc_nulls_last("source"))
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(share) * F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    rest = F.sum("w").over(fill.rowsBetween(0, Window.unboundedFollowing))
-    by = by.withColumn("level", left / rest).withColumn("full", F.col("level") >= F.col("most") / F.col("w"))
-    # The level stands where the first source that is not full begins; after it the same sums only fall.
-    by = by.withColumn("water", F.max(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy()))
-    return by.select("source", "source_size", F.when(F.col("water").isNull(), F.col("most")).otherwise(F.least("most", F.col("w") * F.col("water"))).alias("target"))
+    """source, source_size, target. Sources are numbered by ranges and their water level is found by sums over all of them, so
+    that there may be as many sources as documents."""
+    by = common.stored(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    place = F.pmod(F.col("_at"), F.lit(len(weights))).cast("int")
+    by = common.numbered(by, "_at", F.asc_nulls_last("source"), tag="mix-ordered")
+    by = by.withColumn("w", F.get(F.array(*[F.lit(float(w)) for w in weights]), place)).withColumn("most", cap * F.col("source_size")).drop("_at")
+    whole = share * (by.agg(F.sum("source_size")).first()[0] or 0)
+    # Water level: what full sources leave, by the weight of the others. Each round more sources are full, until none is added.
+    level, full = 0.0, -1
+    while True:
+        is_full = F.col("most") <= F.col("w") * F.lit(level)
+        n, held, rest = by.agg(F.count_if(is_full), F.sum(F.when(is_full, F.col("most"))), F.sum(F.when(~is_full, F.col("w")))).first()
+        if rest is None:  # all are full, or there are none
+            return by.select("source", "source_size", F.col("most").alias("target"))
+        if n == full:
+            return by.select("source", "source_size", F.least("most", F.col("w") * F.lit(level)).alias("target"))
+        level, full = (whole - (held or 0.0)) / rest, n
 
 
 def _draw(a: int, b: int) -> float:
