@@ -20,6 +20,7 @@ go to the smaller one in code-point order; an empty table gives no rows; other c
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -36,15 +37,17 @@ BAR = 5
 TIMES = 5
 #: Runs of which some lose a letter: those whose crc32 it divides.
 LOSES = 199
-SHARD, CHARS = 50_000, 4 << 20
-#: Bytes of shards in a broadcast.
-PASS = 12 << 20
+SHARD, CHARS = 300_000, 4 << 20
+#: Bytes of shards in a broadcast: a worker's tries take some twenty times as much.
+PASS = 16 << 20
 #: Words in a task that looks for near ones.
 TASK = 2_000
 BLOCK = 2 << 20
 #: More than any code point.
 FAR = 0x110000
 
+_held: dict[str, list[Shard]] = {}
+
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 #: The first byte of the letters from U+00C0 to U+00FF in UTF-8, and of no other characters.
@@ -331,8 +334,13 @@ def pairs(words: DataFrame, shard: int = SHARD, chars: int = CHARS, most: int =
     for names in passes:
         held = spark.sparkContext.broadcast([bytes(r["trie"]) for r in tries.filter(F.col("id").between(names[0], names[-1])).select("trie").collect()])
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            own = [Shard.unpack(b) for b in held.value]
+        def run(batches: Iterator[pa.RecordBatch], held=held, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            from lodestrata.llm import variants
+
+            if key not in variants._held:  # kept while the worker lives
+                variants._held.clear()
+                variants._held[key] = [variants.Shard.unpack(b) for b in held.value]
+            own = variants._held[key]
             for batch in batches:
                 found = [(w, x, n) for w in batch.column(0).to_pylist() for trie in own for x, n in trie.near(w).items()]
                 a, b, n = zip(*found, strict=True) if found else ((), (), ())
