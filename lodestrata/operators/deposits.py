@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.ranks import quantiles
+
 # Words that name a commodity, and the confidence of a development status.
 COMMODITY = {
     "copper": ("cu", "copper"),
@@ -89,8 +91,8 @@ def holdout(deposits: DataFrame, h: int, w: int, fraction: float = 0.25, least:
 
 def holdout_median(deposits: DataFrame, least: int = 8, share: float = 0.15) -> DataFrame:
     """deposits with `held`: the fullest quadrant about the median point (ties: the lowest), if it holds share of all."""
-    middle = deposits.agg(F.percentile("c", F.lit(0.5)).alias("_c"), F.percentile("r", F.lit(0.5)).alias("_r"), F.count("*").alias("_n"))
-    q = deposits.crossJoin(F.broadcast(middle)).withColumn("q", quadrant(F.col("r"), F.col("c"), F.col("_r"), F.col("_c")))
+    middle = quantiles(deposits, ["r", "c"], [0.5])
+    q = deposits.withColumn("q", quadrant(F.col("r"), F.col("c"), middle["r"][0] or 0.0, middle["c"][0] or 0.0)).crossJoin(F.broadcast(deposits.agg(F.count("*").alias("_n"))))
     pick = q.groupBy("q", "_n").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "q").limit(1)
     ok = (F.col("_n") >= least) & (F.col("k") >= F.greatest(F.lit(2), F.floor(share * F.col("_n"))))
     return q.drop("_n").crossJoin(F.broadcast(pick.select(F.col("q").alias("_q"), ok.alias("_ok")))).select(*deposits.columns, "q", (F.col("_ok") & (F.col("q") == F.col("_q"))).alias("held"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata import store
-from lodestrata.operators import terrain, tiles
+from lodestrata.operators import spectra, terrain, tiles
 from lodestrata.operators.grid import Meta, densify, median, percentiles
 from lodestrata.operators.tiles import Block
 
@@ -71,32 +71,6 @@ def windows(grid: DataFrame, meta: Meta, size: int, step: int, last: bool) -> Da
     return rows.withColumn("win_c", F.explode(starts(F.col("c"), meta.w))).withColumns({"win_r": (F.col("win_r") * step).cast("int"), "win_c": (F.col("win_c") * step).cast("int")})
 
 
-def _fft_lines(rows: DataFrame, axis: str, n: int, inverse: bool) -> DataFrame:
-    """The discrete Fourier transform along an axis: one shuffle, one line of n numbers at a time."""
-    other = "r" if axis == "c" else "c"
-    lines = rows.groupBy(other).agg(F.sort_array(F.collect_list(F.struct(axis, "re", "im"))).alias("line"))  # n cells
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for o, line in zip(pdf[other], pdf["line"], strict=True):
-                z = np.zeros(n, complex)
-                for cell in line:
-                    z[cell[axis]] = complex(cell["re"], cell["im"])
-                z = np.fft.ifft(z) if inverse else np.fft.fft(z)
-                yield pd.DataFrame({other: np.full(n, o, np.int32), axis: np.arange(n, dtype=np.int32), "re": z.real, "im": z.imag})
-
-    return lines.mapInPandas(run, f"{other} int, {axis} int, re double, im double")
-
-
-def wavenumber(meta: Meta) -> Column:
-    """|k| of the spectrum's cell (r, c), in radians a metre."""
-    dx, dy = meta.metres()
-    signed = lambda v, n: F.when(v < (n + 1) // 2, v).otherwise(v - n)
-    kx = 2 * np.pi / (meta.w * dx) * signed(F.col("c"), meta.w)
-    ky = 2 * np.pi / (meta.h * dy) * signed(F.col("r"), meta.h)
-    return F.sqrt(kx * kx + ky * ky)
-
-
 def taper(meta: Meta, alpha: float = 0.2) -> Column:
     """The product of a cosine-tapered window along each axis."""
     def side(v: Column, n: int) -> Column:
@@ -107,20 +81,18 @@ def taper(meta: Meta, alpha: float = 0.2) -> Column:
     return side(F.col("r"), meta.h) * side(F.col("c"), meta.w)
 
 
-def spectrum(grid: DataFrame, meta: Meta) -> DataFrame:
-    """(r, c, re, im) of a full grid by a separable transform: along rows, then along columns."""
-    cells = grid.select("r", "c", F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
-    return _fft_lines(_fft_lines(cells, "c", meta.w, False), "r", meta.h, False)
-
-
 def vertical_derivative(grid: DataFrame, meta: Meta, tapered: bool = True) -> DataFrame:
-    """The vertical derivative of a field: its spectrum times |k|, transformed back."""
+    """The vertical derivative of a field: its spectrum times the wavenumber, transformed back."""
     flat = detrend(densify(grid, meta))
     if tapered:
         flat = flat.withColumn("v", F.col("v") * taper(meta))
-    k = wavenumber(meta)
-    scaled = spectrum(flat, meta).withColumns({"re": F.col("re") * k, "im": F.col("im") * k})
-    return _fft_lines(_fft_lines(scaled, "r", meta.h, True), "c", meta.w, True).select("r", "c", F.col("re").alias("v"))
+    dx, dy = meta.metres()
+
+    def times_wavenumber(z: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        ky, kx = 2 * np.pi / (meta.h * dy) * spectra.signed(rows, meta.h), 2 * np.pi / (meta.w * dx) * spectra.signed(cols, meta.w)
+        return z * np.hypot(ky[:, None], kx[None, :])
+
+    return spectra.filtered(flat, meta.h, meta.w, ["v"], times_wavenumber, ["v"])
 
 
 def spectral_depth(grid: DataFrame, meta: Meta, size: int) -> DataFrame:

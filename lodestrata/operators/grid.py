@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import crs
+from lodestrata.operators.ranks import quantiles
 
 #: Values beyond this are treated as nodata whatever the header says.
 SENTINEL = 1e30
@@ -117,39 +118,9 @@ def stack(base: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-#: Values that are collected and sorted to find a rank among them.
-DIRECT = 200_000
-
-
-def percentiles(rows: DataFrame, column: str, shares: list[float], direct: int = DIRECT) -> list[float | None]:
-    """Exact percentiles, interpolated linearly; None without values.
-
-    Selection by refinement: counts by 4,096 ranges of values, then by ranges of the range that holds a rank, until `direct`
-    values are left there, which are sorted. No task or driver holds more, however many distinct values there are."""
-    v = rows.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
-    n, low, high = v.agg(F.count("*"), F.min("v"), F.max("v")).first()
-    if not n:
-        return [None] * len(shares)
-    at = [p * (n - 1) for p in shares]
-    found: dict[int, float] = {}
-
-    def pick(low: float, high: float, below: int, n: int, ranks: list[int]) -> None:
-        inside = v.filter(F.col("v").between(low, high))
-        if low == high:
-            found.update({k: low for k in ranks})
-        elif n <= direct:
-            values = sorted(inside.toArrow()["v"].to_pylist())
-            found.update({k: values[k - below] for k in ranks})
-        else:
-            place = F.least(F.floor((F.col("v") - low) / (high - low) * 4096), F.lit(4095))
-            for r in sorted(inside.groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()):  # 4,096 rows
-                if own := [k for k in ranks if below <= k < below + r["n"]]:
-                    pick(r["lo"], r["hi"], below, r["n"], own)
-                below += r["n"]
-
-    pick(low, high, 0, n, sorted({int(f(x)) for x in at for f in (math.floor, math.ceil)}))
-    ends = [(found[math.floor(x)], found[math.ceil(x)], x - math.floor(x)) for x in at]
-    return [a if w == 0 else a * (1 - w) + b * w for a, b, w in ends]
+def percentiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact percentiles, interpolated linearly; None without values."""
+    return quantiles(rows, [column], shares)[column]
 
 
 def median(rows: DataFrame, column: str = "v") -> float:
@@ -158,8 +129,9 @@ def median(rows: DataFrame, column: str = "v") -> float:
 
 
 def median_fill(wide: DataFrame, names: list[str]) -> DataFrame:
-    """NULLs of each layer become the exact median of its cells, or 0 where it has none."""
-    return wide.withColumns({n: F.coalesce(n, F.lit(median(wide, n))) for n in names})
+    """NULLs of each layer become the exact median of its cells, or 0 where it has none; all medians are found at once."""
+    middle = quantiles(wide, names, [0.5])
+    return wide.withColumns({n: F.coalesce(n, F.lit(middle[n][0] or 0.0)) for n in names})
 
 
 def layer_stats(wide: DataFrame, names: list[str], least: float = 0.05) -> DataFrame:

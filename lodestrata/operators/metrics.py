@@ -5,22 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Ranges of scores; a running sum runs within each, and over the ranges' totals.
-RANGES = 256
-
+from lodestrata import store
+from lodestrata.operators.ranks import quantiles
 
 def _running(by: DataFrame, names: list[str]) -> DataFrame:
     """by (a row for each distinct score) with the sums of names over all lower scores, as below_NAME.
 
-    Scores are dealt to ranges by approximate quantiles, so no task sorts them all; the totals of the lower ranges, RANGES
-    rows, are broadcast. Where the ranges lie does not change the sums."""
-    cuts = by.agg(F.approx_percentile("score", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0]
-    cuts = sorted(set(cuts or []))
-    part = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col("score"))) if cuts else F.lit(0)
-    by = by.withColumn("part", part)
+    Scores are dealt to tasks by ranges and stored once, so no task sorts them all and what is above is computed once; the
+    totals of the lower ranges, a row for each task, are added."""
+    by = store.stored(by.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "scores")
     totals = by.groupBy("part").agg(*[F.sum(n).alias(n) for n in names])
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
     lower = totals.select("part", *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"lower_{n}") for n in names])
     within = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     sums = [(F.coalesce(F.sum(n).over(within), F.lit(0.0)) + F.col(f"lower_{n}")).alias(f"below_{n}") for n in names]
@@ -46,8 +41,10 @@ def average_precision(scored: DataFrame) -> DataFrame:
 
 def holdout_stats(p: DataFrame) -> DataFrame:
     """One row: count, mean, median, third quartile and hit rates of p."""
+    p = store.stored(p.select("p"), "holdout")
+    middle, third = quantiles(p, ["p"], [0.5, 0.75])["p"]
     rate = lambda t: F.avg((F.col("p") >= t).cast("double"))
-    return p.agg(F.count("p").alias("n"), F.avg("p").alias("mean"), F.percentile("p", F.lit(0.5)).alias("median"), F.percentile("p", F.lit(0.75)).alias("p75"), rate(0.5).alias("hit_050"), rate(0.7).alias("hit_070"))
+    return p.agg(F.count("p").alias("n"), F.avg("p").alias("mean"), F.lit(middle).cast("double").alias("median"), F.lit(third).cast("double").alias("p75"), rate(0.5).alias("hit_050"), rate(0.7).alias("hit_070"))
 
 
 def classification_report(labelled: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ interpolation are broadcast, FEW at a time; of more, the slices' sums are merged
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from lodestrata import store
 from lodestrata.deploy import ship
-from lodestrata.operators.grid import Meta, cells
+from lodestrata.operators import spectra, tiles
+from lodestrata.operators.grid import Meta
+from lodestrata.operators.tiles import Block
 
 #: Points that are broadcast at once.
 FEW = 50_000
@@ -156,6 +159,47 @@ def idw(targets: DataFrame, points: DataFrame, power: float = 2.0, dx: float = 1
     return out.select("r", "c", (F.col("wv") / F.col("w")).alias("v"))
 
 
+#: Steps to which near points are summed one by one.
+NEAR = 8
+
+
+def idw_grid(points: DataFrame, meta: Meta, power: float = 2.0) -> DataFrame:
+    """(r, c, v) of every cell: the inverse-distance mean of all points (r, c, v) on the grid; distances below a metre count as 1.
+
+    Sums of weighted values are a convolution of the cells' sums with one kernel. Points up to NEAR steps away are summed in
+    tiles; the rest of the kernel, which has no peak to drown the others, goes through transforms of the zero-padded grid. Time
+    grows with the cells, not with cells times points."""
+    dx, dy = meta.metres()
+    p = store.stored(points.filter("v IS NOT NULL").groupBy("r", "c").agg(F.sum("v").alias("s"), F.count("*").cast("double").alias("n")), "idw-cells")
+
+    def weight(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.maximum((a[:, None] * dy) ** 2 + (b[None, :] * dx) ** 2, 1.0) ** (-power / 2)
+
+    def near(block: Block) -> dict[str, np.ndarray]:
+        v = np.nan_to_num(block.v)
+        steps = np.arange(-NEAR, NEAR + 1)
+        w = weight(steps, steps)
+        h, k = block.shape
+        out = np.zeros((2, h, k))
+        for i, a in enumerate(steps + NEAR):
+            for j, b in enumerate(steps + NEAR):
+                out += w[i, j] * v[:, a : a + h, b : b + k]
+        return {"s": out[0], "n": out[1]}
+
+    tall, wide = 2 * meta.h, 2 * meta.w
+
+    def kernel(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        a, b = spectra.signed(rows, tall), spectra.signed(cols, wide)
+        far = (np.abs(a)[:, None] > NEAR) | (np.abs(b)[None, :] > NEAR)
+        return np.where(far, weight(a, b), 0.0)[None]
+
+    far = spectra.filtered(p, meta.h, meta.w, ["s", "n"], lambda z, r, c: z[:2] * z[2], ["fs", "fn"], (tall, wide), kernel)
+    close = tiles.stencil(p, meta, NEAR, near, ["s", "n"], ("s", "n"))
+    both = close.join(far, ["r", "c"])
+    total = F.col("n") + F.col("fn")
+    return both.select("r", "c", F.when(total > 0, (F.col("s") + F.col("fs")) / total).alias("v")).filter("v IS NOT NULL")
+
+
 def nearest_on_grid(points: DataFrame, meta: Meta) -> DataFrame:
     """Every cell (r, c) with dist, in metres, and the columns p_* of the nearest point (r, c, ord, ...); of points as near,
     the first by ord. A distance transform that carries the mark, then one join by the marks' cells."""
@@ -174,16 +218,45 @@ def nearest_on_grid(points: DataFrame, meta: Meta) -> DataFrame:
 
 
 def nearest(left: DataFrame, points: DataFrame, dx: float = 1.0, dy: float = 1.0, keys: tuple[str, ...] = ("r", "c")) -> DataFrame:
-    """left's keys with the nearest point's columns and dist; of points as near, the first by ord.
-
-    For few rows on the left, such as ranked targets: they are broadcast and meet every point in one pass, with partial
-    minima. Whole grids take `nearest_on_grid`; more than FEW rows on the left are an error."""
-    if (n := left.count()) > FEW:
-        raise ValueError(f"{n} rows are too many to be compared with every point")
-    p = points.select(*[F.col(c).alias(f"p_{c}") for c in points.columns])
-    d = F.sqrt(((F.col("r") - F.col("p_r")) * dy) ** 2 + ((F.col("c") - F.col("p_c")) * dx) ** 2)
-    best = F.min(F.struct(d.alias("dist"), F.col("p_ord"), *[F.col(f"p_{c}") for c in points.columns if c != "ord"])).alias("b")
-    return p.crossJoin(F.broadcast(left)).groupBy(*keys).agg(best).select(*keys, "b.*")
+    """left's keys with dist and the columns p_* of the nearest of points (r, c, ord, ...); of points as near, the first by ord.
+
+    Places off any grid, as many as there may be. Each place looks at the points of its square and the eight about it; what is
+    found within a square's side is the nearest. Only places that found nothing so near go on, with squares twice as wide. A
+    place or a point that occurs often is looked at once."""
+    at = lambda r, c: (F.col(r) * dy, F.col(c) * dx)
+    rest = [c for c in points.columns if c not in ("r", "c", "ord")]
+    first = F.min(F.struct("ord", *rest)).alias("b")
+    p = store.stored(points.filter("r IS NOT NULL AND c IS NOT NULL").groupBy(F.col("r").alias("p_r"), F.col("c").alias("p_c")).agg(first), "nearest-points")
+    q = store.stored(left.filter("r IS NOT NULL AND c IS NOT NULL").select("r", "c").distinct(), "nearest-places")
+    (py, px), (qy, qx) = at("p_r", "p_c"), at("r", "c")
+    edges = [F.min, F.max]
+    n, *ends = p.agg(F.count("*"), *[f(x) for x in (py, px) for f in edges]).first()
+    own = q.agg(*[f(x) for x in (qy, qx) for f in edges]).first()
+    found = None
+    if n and own[0] is not None:
+        spans = [max(ends[i + 1], own[i + 1]) - min(ends[i], own[i]) for i in (0, 2)]
+        side = max(1.5 * math.sqrt(max(ends[1] - ends[0], 1e-9) * max(ends[3] - ends[2], 1e-9) / n), max(spans) / 1e6, 1e-9)
+        steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+        while True:
+            square = lambda x: F.floor(x / F.lit(side))  # noqa: B023, E731
+            dealt = q.select("r", "c", F.explode(steps).alias("a")).select("r", "c", "a", F.explode(steps).alias("b_"))
+            dealt = dealt.select("r", "c", (square(qy) + F.col("a")).alias("i"), (square(qx) + F.col("b_")).alias("j"))
+            near = dealt.join(p.withColumns({"i": square(py), "j": square(px)}), ["i", "j"])
+            d = F.sqrt((py - qy) ** 2 + (px - qx) ** 2)
+            best = near.groupBy("r", "c").agg(F.min(F.struct(d.alias("dist"), F.col("b.ord").alias("p_ord"), "p_r", "p_c", *[F.col(f"b.{c}").alias(f"p_{c}") for c in rest])).alias("b"))
+            last = side > max(spans)
+            looked = store.stored(q.join(best, ["r", "c"], "left"), "nearest-round")
+            sure = F.col("b").isNotNull() & (F.lit(last) | (F.col("b.dist") < side))
+            done = looked.filter(sure).select("r", "c", "b.*")
+            found = done if found is None else found.unionByName(done)
+            q = looked.filter(~sure).select("r", "c")
+            if last or q.isEmpty():
+                break
+            side *= 2
+    if found is None:
+        found = q.limit(0).crossJoin(p.limit(0).select(F.lit(0.0).alias("dist"), F.col("b.ord").alias("p_ord"), "p_r", "p_c", *[F.col(f"b.{c}").alias(f"p_{c}") for c in rest]))
+    columns = [c for c in found.columns if c not in ("r", "c")]
+    return left.select(*dict.fromkeys([*keys, "r", "c"])).join(found, ["r", "c"]).select(*keys, *columns)
 
 
 def inside_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:

@@ -73,7 +73,7 @@ def point_layer(points: DataFrame, meta: Meta, valued: bool, decay: float = 5_00
     p = on_grid(points, meta)
     if valued and p.filter("v IS NOT NULL").count() >= 5:
         some = p.filter("v IS NOT NULL").orderBy(sampling.uniform(0, "x", "y"), "x", "y", "v").limit(IDW_POINTS)
-        return spatial.idw(grid.cells(spark, meta), some, 2.0, *meta.metres())
+        return spatial.idw_grid(some, meta)
     d = spatial.distance(p, meta)
     v = F.when(F.col("d").isNull(), 0.0).otherwise(spatial.proximity_linear(F.col("d"), decay))
     return grid.cells(spark, meta).join(d, ["r", "c"], "left").select("r", "c", v.alias("v"))

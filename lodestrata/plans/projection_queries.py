@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata import store
 from lodestrata.functions import crs
 from lodestrata.operators import deposits as dep
+from lodestrata.operators import spatial
 from lodestrata.plans import fixtures as fx
 from lodestrata.plans.queries import query, r6
 from lodestrata.sources import tables
@@ -103,3 +104,19 @@ def deposit_table(spark, sf):
     rows.unionByName(head).repartition(8, "part").sortWithinPartitions("part", "place").drop("place").write.partitionBy("part").text(path)
     out = tables.csv_deposits(spark, f"{path}/*")
     return out.select("name", r6("x").alias("x"), r6("y").alias("y"), dep.is_commodity(F.col("commodity"), "copper").alias("copper"), dep.status_rank(F.col("status")).alias("rank"))
+
+
+# Nearest places off the grid
+
+_CLICKS = "q AS (SELECT o_orderkey, (o_orderkey * 7919 + o_custkey) % 10007 AS r, (o_custkey * 104729 + o_orderkey) % 9973 AS c FROM orders), t AS (SELECT c_custkey AS ord, (c_custkey * 6113) % 10007 AS r, (c_custkey * c_custkey) % 9973 AS c FROM customer)"
+
+
+@query(f"""WITH {_CLICKS}, d AS (SELECT o_orderkey, ord, sqrt(((q.r - t.r) * 30.0::DOUBLE) ** 2 + ((q.c - t.c) * 20.0::DOUBLE) ** 2) AS d FROM q, t)
+SELECT o_orderkey, min(ord) AS target, round(dist, 6) AS dist FROM (SELECT o_orderkey, min(d) AS dist FROM d GROUP BY 1) JOIN d USING (o_orderkey) WHERE d = dist GROUP BY 1, dist""")
+def nearest_targets(spark, sf):
+    """Every order as a click, against every customer as a target."""
+    o, t = fx.table(spark, sf, "orders"), fx.table(spark, sf, "customer")
+    clicks = o.select("o_orderkey", ((F.col("o_orderkey") * 7919 + F.col("o_custkey")) % 10007).alias("r"), ((F.col("o_custkey") * 104729 + F.col("o_orderkey")) % 9973).alias("c"))
+    targets = t.select(F.col("c_custkey").alias("ord"), ((F.col("c_custkey") * 6113) % 10007).alias("r"), ((F.col("c_custkey") * F.col("c_custkey")) % 9973).alias("c"))
+    out = spatial.nearest(clicks, targets, 20.0, 30.0, keys=("o_orderkey",))
+    return out.select("o_orderkey", F.col("p_ord").alias("target"), F.round("dist", 6).alias("dist"))

@@ -314,7 +314,7 @@ def buffer_antijoin(spark, sf):
 
 @query(f"WITH {CELLS_SQL}, {DEPOSIT_CELLS_SQL}, w AS (SELECT cells.r, cells.c, cents / 100.0::DOUBLE AS v, n, 1 / greatest(((cells.r - dc.r) * 100.0::DOUBLE) ** 2 + ((cells.c - dc.c) * 100.0::DOUBLE) ** 2, 1.0) AS w FROM cells, dc) SELECT r, c, round(sum(w * v) / sum(w * n), 4) + 0.0 AS v FROM w GROUP BY 1, 2")
 def idw(spark, sf):
-    return _v(spatial.idw(grid.cells(spark, META), fx.deposits(spark, sf), 2.0, 100.0, 100.0), 4)
+    return _v(spatial.idw_grid(fx.deposits(spark, sf), META), 4)
 
 
 _NEAR = f"WITH {DEM_SQL}, {DEPOSIT_CELLS_SQL}, b AS (SELECT * FROM (SELECT dem.r, dem.c, dc.ord, sqrt(((dem.r - dc.r) * 100.0::DOUBLE) ** 2 + ((dem.c - dc.c) * 100.0::DOUBLE) ** 2) AS d FROM dem, dc) QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY d, ord) = 1) "
