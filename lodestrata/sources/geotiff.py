@@ -19,15 +19,17 @@ import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from lodestrata.deploy import ship
+from lodestrata.functions import crs
 from lodestrata.operators.grid import SENTINEL, Meta
 
 # Field types, tags and compressions of the format.
 CLASSIC, BIG = 42, 43
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d", 16: "Q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, ROWS, COUNTS, PLANES, PREDICTOR, FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317, 339
+SUBFILE = 254
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 SCALE, TIE, KEYS, NODATA = 33550, 33922, 34735, 42113
 RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -43,8 +45,9 @@ def place(path: str) -> tuple[FileSystem, str]:
     return FileSystem.from_uri(path if "://" in path else "file://" + path)
 
 
-def tags(f) -> tuple[str, dict[int, tuple]]:
-    """Byte order and the first directory's fields of an open file."""
+def tags(f, nth: int = 0) -> tuple[str, dict[int, tuple]]:
+    """Byte order and a directory's fields of an open file; none where there are fewer directories."""
+    f.seek(0)
     head = f.read(16)
     end = "<" if head[:2] == b"II" else ">"
     version = struct.unpack(end + "H", head[2:4])[0]
@@ -59,8 +62,13 @@ def tags(f) -> tuple[str, dict[int, tuple]]:
         return f.read(size)
 
     (first,) = number.unpack(start)
-    (n,) = counted.unpack(at(first, counted.size))
     out: dict[int, tuple] = {}
+    for _ in range(nth):
+        (n,) = counted.unpack(at(first, counted.size))
+        (first,) = number.unpack(at(first + counted.size + n * entry.size, number.size))
+        if not first:
+            return end, out
+    (n,) = counted.unpack(at(first, counted.size))
     for tag, kind, count, own in entry.iter_unpack(at(first + counted.size, n * entry.size)):
         code = TYPES.get(kind)
         if code is None:
@@ -143,26 +151,64 @@ class Layout:
         return np.where(~np.isfinite(a) | (np.abs(a) >= SENTINEL) | (a == self.nodata), np.nan, a)
 
 
+#: First and last row, first and last column.
+Window = tuple[int, int, int, int]
+
+
+def within(layout: Layout, blocks: list[tuple[int, int, int, int]], window: Window) -> list[tuple[int, int, int, int]]:
+    """The blocks that hold cells of a window."""
+    r0, r1, c0, c1 = window
+    return [b for b in blocks if b[0] <= r1 and b[0] + layout.block_h > r0 and b[1] <= c1 and b[1] + layout.block_w > c0]
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, layout: Layout, blocks: list[tuple[int, int, int, int]]):
-        self.layout, self.blocks = layout, blocks
+    def __init__(self, layout: Layout, blocks: list[tuple[int, int, int, int]], window: Window):
+        self.layout, self.blocks, self.window = layout, blocks, window
 
     def partitions(self) -> list[InputPartition]:
         each = max(1, CELLS // (self.layout.block_h * self.layout.block_w))
         return [InputPartition(self.blocks[i : i + each]) for i in range(0, len(self.blocks), each)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        own = self.layout
+        own, (ra, rb, ca, cb) = self.layout, self.window
         fs, name = place(own.path)
         with fs.open_input_file(name) as f:
             for r0, c0, offset, size in partition.value:
                 f.seek(offset)
                 rows = own.block_h if own.block_w < own.width or own.height >= r0 + own.block_h else own.height - r0
                 a = own.decode(f.read(size), rows)[: own.height - r0, : own.width - c0]
+                top, left = max(0, ra - r0), max(0, ca - c0)
+                a = a[top : max(top, rb - r0 + 1), left : max(left, cb - c0 + 1)]
                 r, c = np.nonzero(~np.isnan(a))
+                r0, c0 = r0 + top, c0 + left
                 yield pa.RecordBatch.from_arrays([pa.array((r + r0).astype(np.int32)), pa.array((c + c0).astype(np.int32)), pa.array(a[r, c])], names=["r", "c", "v"])
 
 
+class _PushingReader(_Reader):
+    """For sessions that push filters into Python sources; others refuse a reader that takes some."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Ranges of r and c narrow the window; as cells are cut to it, they need no test afterwards."""
+        low = {"r": self.window[0], "c": self.window[2]}
+        high = {"r": self.window[1], "c": self.window[3]}
+        for f in filters:
+            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+            value = getattr(f, "value", None)
+            if name not in low or not isinstance(value, int):
+                if not (isinstance(f, IsNotNull) and name in ("r", "c", "v")):  # no cell is NULL
+                    yield f
+            elif isinstance(f, EqualTo):
+                low[name], high[name] = max(low[name], value), min(high[name], value)
+            elif isinstance(f, GreaterThan | GreaterThanOrEqual):
+                low[name] = max(low[name], value + isinstance(f, GreaterThan))
+            elif isinstance(f, LessThan | LessThanOrEqual):
+                high[name] = min(high[name], value - isinstance(f, LessThan))
+            else:
+                yield f
+        self.window = low["r"], high["r"], low["c"], high["c"]
+        self.blocks = within(self.layout, self.blocks, self.window)
+
+
 class GeoTiffCells(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -172,14 +218,24 @@ class GeoTiffCells(DataSource):
         return "r int, c int, v double"
 
     def reader(self, schema) -> _Reader:
-        return _Reader(*_layout(self.options["path"])[1:])
+        meta, layout, blocks = _layout(self.options["path"], int(self.options.get("overview", "0")))
+        named = self.options.get("window")
+        window = tuple(int(x) for x in named.split(",")) if named else (0, meta.h - 1, 0, meta.w - 1)
+        kind = _PushingReader if self.options.get("push") == "true" else _Reader
+        return kind(layout, within(layout, blocks, window), window)
 
 
-def _layout(path: str) -> tuple[Meta, Layout, list[tuple[int, int, int, int]]]:
-    """Meta, layout and the blocks (first row, first column, offset, size) of a file."""
+def _layout(path: str, overview: int = 0) -> tuple[Meta, Layout, list[tuple[int, int, int, int]]]:
+    """Meta, layout and the blocks (first row, first column, offset, size) of a file, or of one of its overviews."""
     fs, name = place(path)
     with fs.open_input_file(name) as f:
         end, t = tags(f)
+        if overview:
+            whole, t = t, tags(f, overview)[1]
+            # An overview has the whole's place; its cells are as much larger as they are fewer.
+            t |= {k: whole[k] for k in (TIE, KEYS, NODATA) if k in whole}
+            sx, sy, sz = whole.get(SCALE, (1.0, 1.0, 0.0))
+            t[SCALE] = sx * whole[WIDTH][0] / t[WIDTH][0], sy * whole[HEIGHT][0] / t[HEIGHT][0], sz
     w, h = t[WIDTH][0], t[HEIGHT][0]
     sx, sy, _ = t.get(SCALE, (1.0, 1.0, 0.0))
     tie, keys = t.get(TIE, (0.0,) * 6), t.get(KEYS, ())
@@ -198,10 +254,26 @@ def _layout(path: str) -> tuple[Meta, Layout, list[tuple[int, int, int, int]]]:
     return meta, Layout(path, kind, packed, predictor, nodata, h, w, bh, bw, 1 if apart else bands), [(i // across * bh, i % across * bw, o, n) for i, (o, n) in enumerate(places) if n]
 
 
-def read(spark: SparkSession, path: str) -> tuple[Meta, DataFrame]:
+def read(spark: SparkSession, path: str, window: Window | None = None, overview: int = 0) -> tuple[Meta, DataFrame]:
+    """Meta and cells (r, c, v) of a raster, or of a window of it: its blocks alone are read. Where Spark pushes filters into Python
+    sources (spark.sql.python.filterPushdown.enabled), ranges of r and c become a window too."""
     ship(spark)
     spark.dataSource.register(GeoTiffCells)
-    return _layout(path)[0], spark.read.format("geotiff_cells").load(path)
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    rows = spark.read.format("geotiff_cells").option("overview", overview).option("push", push)
+    if window:
+        rows = rows.option("window", ",".join(map(str, window)))
+    return _layout(path, overview)[0], rows.load(path)
+
+
+def overviews(path: str) -> list[tuple[int, int, int]]:
+    """Directory, rows and columns of each overview that a file holds, the largest first."""
+    fs, name = place(path)
+    out = []
+    with fs.open_input_file(name) as f:
+        while t := tags(f, len(out) + 1)[1]:
+            out.append((len(out) + 1, t[HEIGHT][0], t[WIDTH][0], t.get(SUBFILE, (0,))[0] == 1))
+    return sorted(((i, h, w) for i, h, w, reduced in out if reduced), key=lambda x: -x[1])
 
 
 def load(spark: SparkSession, path: str, crop: str = "full", most: int = 0) -> tuple[Meta, DataFrame]:
@@ -209,7 +281,16 @@ def load(spark: SparkSession, path: str, crop: str = "full", most: int = 0) -> t
     then its middle half if crop is "center"."""
     from lodestrata.operators import grid
 
-    meta, cells = read(spark, path)
+    longest = lambda h, w: most and max(h, w) >= most
+    enough = [i for i, h, w in overviews(path) if longest(h, w)]
+    overview = enough[-1] if enough else 0  # the smallest that still has as many cells
+    meta, cells = read(spark, path, overview=overview)
+    if crop == "center":
+        # The rows and columns that the middle half of the decimated grid is made of, and one more on each side.
+        scale = min(1.0, most / max(meta.h, meta.w)) if most else 1.0
+        cut = lambda n, m: (max(0, int(m // 4 * n / m) - 1), min(n - 1, -int(-(m // 4 + m // 2) * n // m) + 1))
+        side = lambda n: max(1, round(n * scale))
+        cells = read(spark, path, (*cut(meta.h, side(meta.h)), *cut(meta.w, side(meta.w))), overview)[1]
     cells, meta = grid.limited(cells, meta, most)
     if crop == "center":
         cells, meta = grid.center_crop(cells, meta)
@@ -220,7 +301,17 @@ def load_aligned(spark: SparkSession, path: str, target: Meta) -> DataFrame | No
     """A raster resampled bilinearly to target's cells, whatever its projection; None where it does not overlap."""
     from lodestrata.operators import grid
 
-    meta, cells = read(spark, path)
+    meta = _layout(path)[0]
+    # Where the target's border lies in the file bounds what of it is needed.
+    border = (F.col("r") == 0) | (F.col("r") == target.h - 1) | (F.col("c") == 0) | (F.col("c") == target.w - 1)
+    x, y = grid.pixel_to_world(target, F.col("r"), F.col("c"))
+    x, y = crs.convert(x, y, target.code(), meta.code())
+    at = grid.cells(spark, target).filter(border).select(((y - meta.y0) / meta.dy).alias("r"), ((x - meta.x0) / meta.dx).alias("c")).filter("NOT isnan(r) AND NOT isnan(c)")
+    r0, r1, c0, c1 = at.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()
+    if r0 is None or r1 < -1 or c1 < -1 or r0 > meta.h or c0 > meta.w:
+        return None
+    clip = lambda v, n: int(min(max(v, 0), n - 1))
+    cells = read(spark, path, (clip(r0 - 2, meta.h), clip(r1 + 2, meta.h), clip(c0 - 2, meta.w), clip(c1 + 2, meta.w)))[1]
     out = grid.align(cells, meta, target)
     return None if out.isEmpty() else out
 
