@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,8 +109,13 @@ def densify(grid: DataFrame, meta: Meta) -> DataFrame:
     return cells(grid.sparkSession, meta).join(grid, ["r", "c"], "left")
 
 
-def stack(base: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
-    """base's cells with a column for each layer, by (r, c)."""
+def stack(base: DataFrame, layers: dict[str, DataFrame], meta: Meta | None = None) -> DataFrame:
+    """base's cells with a column for each layer, by (r, c). With the grid's size, a layer with cells outside it is an error."""
+    if meta is not None and layers:
+        ends = [x.select(F.lit(n).alias("layer"), "r", "c") for n, x in layers.items()]
+        outside = reduce(DataFrame.unionByName, ends).filter(~(F.col("r").between(0, meta.h - 1) & F.col("c").between(0, meta.w - 1)))
+        if wrong := outside.select("layer").first():
+            raise ValueError(f"layer {wrong['layer']} has another shape than the grid's {meta.h} x {meta.w}")
     out = base
     for name, layer in layers.items():
         if name in out.columns:

@@ -187,7 +187,7 @@ def _terrain(spark, dem, meta, config, out) -> dict[str, DataFrame]:
 def _stages(spark, dem, meta, deposits, layers, out, config, magnetics, spec, warnings) -> Result:
     dx, dy = meta.metres()
     found = {**_terrain(spark, dem, meta, config, out), **layers}
-    wide = _kept(spark, grid.stack(dem.filter("v IS NOT NULL").withColumnRenamed("v", "elevation"), found), f"{out}/stack")
+    wide = _kept(spark, grid.stack(dem.filter("v IS NOT NULL").withColumnRenamed("v", "elevation"), found, meta), f"{out}/stack")
     names = []
     for s in grid.layer_stats(wide, list(found), config.least_valid).collect():  # one row for each layer
         if s["flat"] or s["sparse"] and s["layer"] in layers:

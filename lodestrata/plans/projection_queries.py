@@ -10,6 +10,7 @@ from lodestrata.functions import crs
 from lodestrata.operators import deposits as dep
 from lodestrata.operators import spatial
 from lodestrata.plans import fixtures as fx
+from lodestrata.plans import viewer
 from lodestrata.plans.queries import query, r6
 from lodestrata.sources import tables
 
@@ -106,6 +107,18 @@ def deposit_table(spark, sf):
     return out.select("name", r6("x").alias("x"), r6("y").alias("y"), dep.is_commodity(F.col("commodity"), "copper").alias("copper"), dep.status_rank(F.col("status")).alias("rank"))
 
 
+@query("""WITH d AS (SELECT o_orderkey AS k, o_custkey % 5200 + 499800.0071::DOUBLE AS x, 4000050.0123::DOUBLE - o_orderkey % 5100 AS y FROM orders), f AS (SELECT k, (x - 500000) / 4800.0::DOUBLE AS u, (4000000 - y) / 4800.0::DOUBLE AS v FROM d WHERE k % 6 <> 0)
+SELECT CASE WHEN k % 4 = 0 THEN 'deposit' ELSE 'site ' || k END AS name, round(greatest(0.0, least(1.0, u)), 5) + 0.0 AS u, round(greatest(0.0, least(1.0, v)), 5) + 0.0 AS v FROM f WHERE u BETWEEN -0.02 AND 1.02 AND v BETWEEN -0.02 AND 1.02""")
+def viewer_deposits(spark, sf):
+    """Every order as a line of a deposit table, read for a viewer: places on the map, its border and outside."""
+    k = F.col("o_orderkey")
+    x = F.when(k % 6 == 0, "?").otherwise((F.col("o_custkey") % 5200 + 499_800.0071).cast("string"))
+    rows = fx.table(spark, sf, "orders").select(F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("site "), k.cast("string"))).alias("name"), x.alias("east"), (4_000_050.0123 - k % 5100).cast("string").alias("north"))
+    path = store.fresh_path(spark, "viewer-deposits")
+    rows.write.option("header", True).csv(path)
+    return viewer.run_deposits(spark, path, fx.META, None).select("name", r6("u", 5).alias("u"), r6("v", 5).alias("v"))
+
+
 # Nearest places off the grid
 
 _CLICKS = "q AS (SELECT o_orderkey, (o_orderkey * 7919 + o_custkey) % 10007 AS r, (o_custkey * 104729 + o_orderkey) % 9973 AS c FROM orders), t AS (SELECT c_custkey AS ord, (c_custkey * 6113) % 10007 AS r, (c_custkey * c_custkey) % 9973 AS c FROM customer)"

@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions import crs, scalar
 from lodestrata.operators import grid
 from lodestrata.operators.grid import METRES_PER_DEGREE, Meta
+from lodestrata.sources import tables
 
-# A run's layers with their names, colour maps and ranges (None: stretched), number formats and units.
+# A run's layers with their short names, ranges (None: stretched) and units.
 LAYERS = (
-    ("probability", "prob", "Prospectivity probability", "viridis", 0.0, 1.0, ".3f", ""),
-    ("uncertainty", "unc", "Model uncertainty (deviation of trees)", "magma", None, None, ".3f", ""),
-    ("classes", "cls", "Target classes (0/1/2)", "YlOrRd", 0.0, 2.0, ".0f", ""),
-    ("depth_spectral_m", "dsp", "Source depth, spectral", "plasma_r", None, None, ".0f", " m"),
-    ("depth_euler_m", "deu", "Source depth, Euler", "plasma_r", None, None, ".0f", " m"),
+    ("probability", "prob", 0.0, 1.0, ""),
+    ("uncertainty", "unc", None, None, ""),
+    ("classes", "cls", 0.0, 2.0, ""),
+    ("depth_spectral_m", "dsp", None, None, " m"),
+    ("depth_euler_m", "deu", None, None, " m"),
 )
 # Cells a side of thinned grids, and grades that a full probability stands for where there is no grade map.
 MESH, IMAGE, VOLUME = 220, 1_400, 300
+# How far outside the map a place may lie, how many deposits are shown, and the names of their columns.
+MARGIN, SHOWN = 0.02, 4_000
+SHOWN_X, SHOWN_Y = ("longitude", "lon", "x", "east", "easting", "dec_long"), ("latitude", "lat", "y", "north", "northing", "dec_lat")
 GRADE_OF_ONE = {"copper": 2.5, "ree": 10.0}
 
 
@@ -42,6 +47,74 @@ def at_fraction(u: Column, v: Column, meta: Meta) -> tuple[Column, Column]:
     return inside(v, meta.h), inside(u, meta.w)
 
 
+def fractional(meta: Meta, x: Column, y: Column) -> tuple[Column, Column]:
+    """Where a point lies from the west and from the north, 0 to 1; points up to MARGIN outside are moved to the border, others are
+    NULL."""
+    u, v = (x - meta.x0) / (meta.w * meta.dx), (y - meta.y0) / (meta.h * meta.dy)
+    near = u.between(-MARGIN, 1 + MARGIN) & v.between(-MARGIN, 1 + MARGIN)
+    return F.when(near, scalar.clip(u)), F.when(near, scalar.clip(v))
+
+
+def shown_at(meta: Meta, x: Column, y: Column) -> tuple[Column, Column]:
+    """`fractional` of points that may be longitudes and latitudes, by their size, or coordinates of the grid."""
+    if meta.geographic or not meta.crs:
+        return fractional(meta, x, y)
+    gx, gy = crs.convert(x, y, "EPSG:4326", meta.crs)
+    degrees = crs.looks_geographic(x, y)
+    return fractional(meta, F.when(degrees, gx).otherwise(x), F.when(degrees, gy).otherwise(y))
+
+
+def _placed(rows: DataFrame, meta: Meta) -> DataFrame:
+    """rows (x, y, ...) with u and v of five decimals instead; those that lie too far outside go."""
+    u, v = shown_at(meta, F.col("x"), F.col("y"))
+    return rows.withColumns({"u": F.round(u, 5), "v": F.round(v, 5)}).filter("u IS NOT NULL AND v IS NOT NULL").drop("x", "y")
+
+
+def run_targets(spark: SparkSession, path: str, meta: Meta) -> DataFrame:
+    """A run's table of targets for a viewer; rows without a place or a probability, such as notes, go."""
+    rows = tables.lenient_csv(spark, path)
+    number = lambda n: F.expr(f"try_cast(`{n}` AS DOUBLE)") if n in rows.columns else F.lit(None).cast("double")
+    text = lambda n: F.nullif(F.trim(n), F.lit("")) if n in rows.columns else F.lit(None).cast("string")
+    named = [number(n).alias(n) for n in ("uncertainty", "depth_spectral_m", "depth_euler_m", "nearest_deposit_km", "driver_1_percentile")] + [text(n).alias(n) for n in ("depth_status", "nearest_deposit_name", "driver_1")]
+    read = rows.select(number("longitude").alias("x"), number("latitude").alias("y"), number("rank").cast("int").alias("rank"), F.round(number("probability"), 3).alias("probability"), *named)
+    return _placed(read.filter("x IS NOT NULL AND y IS NOT NULL AND probability IS NOT NULL"), meta)
+
+
+def run_deposits(spark: SparkSession, path: str, meta: Meta, most: int | None = SHOWN) -> DataFrame:
+    """(name, u, v) of a table of deposits for a viewer: the first `most` rows that lie on the map (None: all)."""
+    rows = tables.lenient_csv(spark, path)
+    x, y, name = (tables.first_of(rows.columns, n) for n in (SHOWN_X, SHOWN_Y, tables.TABLE_SITE_NAMES))
+    if x is None or y is None:
+        return spark.createDataFrame([], "name string, u double, v double")
+    label = F.coalesce(F.nullif(F.col(f"`{name}`"), F.lit("")), F.lit("deposit")) if name else F.lit("deposit")
+    read = rows.select(F.monotonically_increasing_id().alias("at"), F.expr(f"try_cast(`{x}` AS DOUBLE)").alias("x"), F.expr(f"try_cast(`{y}` AS DOUBLE)").alias("y"), label.alias("name"))
+    found = _placed(read.filter("x IS NOT NULL AND y IS NOT NULL"), meta)
+    return (found if most is None else found.orderBy("at").limit(most)).drop("at")
+
+
+def scene(dem: DataFrame, layers: dict[str, DataFrame], meta: Meta, targets: DataFrame, deposits: DataFrame, title: str = "Targets") -> DataFrame:
+    """One row with the json of all that a viewer of the relief shows: size in metres, bounds, heights, layers, targets and deposits.
+    Every part is bounded: thinned grids, ranked targets, the deposits that are shown."""
+    z, rows, cols = heightfield(dem, meta)
+    heights = z.agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "z"))), lambda x: x["z"]).alias("z"))
+    span = dem.agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    x0, y0, x1, y1 = (F.lit(float(v)) for v in meta.bounds())
+    width, height = extents(x0, y0, x1, y1, meta.geographic)
+    every = lambda df, order: df.agg(F.array_sort(F.collect_list(F.struct(*[F.col(order)], *[c for c in df.columns if c != order]))).alias("all"))
+    found = payload(layers, meta).select("id", "title", "json") if layers else dem.sparkSession.createDataFrame([], "id string, title string, json string")
+    both = heights.crossJoin(span).crossJoin(every(targets, "rank").select(F.col("all").alias("targets"))).crossJoin(every(deposits, "name").select(F.col("all").alias("deposits"))).crossJoin(every(found, "id").select(F.col("all").alias("layers")))  # one row each
+    west, south, east, north = wgs84(dem.sparkSession, meta)
+    low, high = F.coalesce("low", F.lit(0.0)), F.coalesce("high", F.lit(1.0))
+    body = F.struct(F.lit(title).alias("title"), width.alias("width_m"), height.alias("height_m"), low.alias("low"), F.when(high > low, high).otherwise(low + 1).alias("high"), F.lit(meta.geographic).alias("geographic"), F.array(*[F.lit(v) for v in (west, south, east, north)]).alias("bounds"), F.struct(F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), "z").alias("relief"), "layers", "targets", "deposits")
+    return both.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def wgs84(spark: SparkSession, meta: Meta) -> tuple[float, float, float, float]:
+    from lodestrata.plans import layers
+
+    return layers.wgs84_bounds(spark, meta) if meta.geographic or meta.crs else meta.bounds()
+
+
 def heights_at(cells: DataFrame, meta: Meta, points: DataFrame) -> DataFrame:
     """points (id, fr, fc: rows and columns with fractions) with v, bilinear between four cells and kept within the grid;
     NULL where one of them is masked. An equi-join of the four neighbours."""
@@ -101,16 +174,16 @@ def shown_grade(grade: Column, p: Column, commodity: str) -> Column:
 
 
 def payload(layers: dict[str, DataFrame], meta: Meta, most: int = MESH) -> DataFrame:
-    """(layer, id, title, json) of the layers that there are: range, unit, format and thinned values, row by row."""
+    """(layer, id, title, json) of the layers that there are: range, unit and thinned values, row by row."""
     out = None
-    for name, short, title, colours, low, high, fmt, unit in LAYERS:
+    for name, short, low, high, unit in LAYERS:
         if name not in layers:
             continue
         z, rows, cols = heightfield(layers[name], meta, most)
         a, b = (low, high) if low is not None else grid.percentiles(layers[name], "v", [0.02, 0.98])
         values = z.agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "z"))), lambda x: x["z"]).alias("z"))  # most rows of most cells
-        body = F.to_json(F.struct(F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), F.lit(a).cast("double").alias("low"), F.lit(b).cast("double").alias("high"), F.lit(colours).alias("colours"), F.lit(fmt).alias("format"), F.lit(unit).alias("unit"), "z"), {"ignoreNullFields": "false"})
-        one = values.select(F.lit(name).alias("layer"), F.lit(short).alias("id"), F.lit(title).alias("title"), body.alias("json"))
+        body = F.to_json(F.struct(F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), F.lit(a).cast("double").alias("low"), F.lit(b).cast("double").alias("high"), F.lit(unit).alias("unit"), "z"), {"ignoreNullFields": "false"})
+        one = values.select(F.lit(name).alias("layer"), F.lit(short).alias("id"), F.lit(name.removesuffix("_m").replace("_", " ")).alias("title"), body.alias("json"))
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("none of the layers is known")

@@ -135,10 +135,13 @@ def test_store_keeps_its_references(spark, tmp_path):
     assert [r["id"] for r in s.read("runs").collect()] == ["r2"] and s.read("artifacts").count() == 0 and s.read("metrics").count() == 1
 
 
-def test_envelope_is_linear_and_exact():
+def test_least_parabolas_are_exact():
     rng = np.random.default_rng(4)
-    at = np.unique(rng.integers(0, 400, 120))
-    high = rng.integers(0, 50, len(at)).astype(float) ** 2
-    d, k = spatial.envelope(at, high, np.arange(len(at)), 400, 1.0)
-    want = ((np.arange(400)[:, None] - at) ** 2 + high).min(axis=1)
-    assert np.array_equal(d, want) and np.array_equal((np.arange(400) - at[k]) ** 2 + high[k], want)
+    for n, p, lines in ((400, 90, 3), (37, 37, 2), (5, 1, 4), (1, 1, 1), (64, 7, 5)):
+        at = np.sort(rng.choice(n, p, replace=False))
+        high, order = rng.integers(0, 7, (lines, p)).astype(float) ** 2, rng.integers(0, 4, (lines, p))
+        d, k = spatial.least_parabolas(at, high, order, n, 1.0)
+        every = (np.arange(n)[None, :, None] - at[None, None, :]) ** 2 + high[:, None, :]
+        assert np.array_equal(d, every.min(axis=2))
+        for i in range(lines):
+            assert all(k[i, x] == min((every[i, x, j], order[i, j], j) for j in range(p))[2] for x in range(n))
