@@ -14,9 +14,8 @@ from lodestrata.plans.queries import _AB, _COPPER, _DRAW, _NAMED, _named, _v, qu
 
 # Shapes
 
-# A line for each nation, in metres of the grid, and the sides of a square with a square hole.
+# A line for each nation, in metres of the grid.
 _LINES = "ln AS (SELECT n_nationkey AS part, 500137.31::DOUBLE + n_nationkey * 181.07::DOUBLE AS ax, 3999871.23::DOUBLE - n_nationkey * 83.11::DOUBLE AS ay, 500911.57::DOUBLE + n_nationkey * 47.03::DOUBLE AS ex, 3999113.19::DOUBLE - n_nationkey * 139.01::DOUBLE AS ey FROM nation)"
-_RINGS = ([(500_410.0, 3_999_590.0), (503_310.0, 3_999_590.0), (503_310.0, 3_996_690.0), (500_410.0, 3_996_690.0)], [(501_230.0, 3_998_770.0), (502_490.0, 3_998_770.0), (502_490.0, 3_997_510.0), (501_230.0, 3_997_510.0)])
 
 
 def _touches(sides: str) -> str:
@@ -58,18 +57,26 @@ def wgs84_lines(spark, sf):
     return _v(layers.line_layer(back, META, spark))
 
 
-_SIDES = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for ring in _RINGS for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+# A slanted square for each nation, with a hole of a third of its width, as corners in order.
+_SQUARES = "sq AS (SELECT n_nationkey AS part, k.s, 500613.37::DOUBLE + n_nationkey * 163.91::DOUBLE AS x, 3999301.71::DOUBLE - (n_nationkey * 7 % 25) * 151.13::DOUBLE AS y, (201.7::DOUBLE + n_nationkey * 3) * k.s AS a, (37.3::DOUBLE + n_nationkey) * k.s AS b FROM nation, (VALUES (1.0::DOUBLE), (0.33::DOUBLE)) k(s))"
+_CORNERS = ["x - a, y + b", "x + b, y + a", "x + a, y - b", "x - b, y - a"]
+_SIDES = " UNION ALL ".join(f"SELECT part, {p.split(', ')[0]} AS ax, {p.split(', ')[1]} AS ay, {q.split(', ')[0]} AS ex, {q.split(', ')[1]} AS ey FROM sq" for p, q in zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1], strict=True))
 
 
 @query(
-    f"WITH {CELLS_SQL}, sides(ax, ay, ex, ey) AS (VALUES {_SIDES}), {_touches('sides')}, mid AS (SELECT r, c, 500050.0 + c * 100 AS x, 3999950.0 - r * 100 AS y FROM cells), "
-    "filled AS (SELECT r, c FROM mid, sides WHERE (ay > y) <> (ey > y) AND x < (ex - ax) * (y - ay) / (ey - ay) + ax GROUP BY 1, 2 HAVING count(*) % 2 = 1), marks AS (SELECT * FROM touched UNION SELECT * FROM filled) "
+    f"WITH {CELLS_SQL}, {_SQUARES}, sides AS ({_SIDES}), {_touches('sides')}, mid AS (SELECT r, c, 500050.0 + c * 100 AS x, 3999950.0 - r * 100 AS y FROM cells), "
+    "filled AS (SELECT DISTINCT r, c FROM (SELECT part, r, c FROM mid, sides WHERE (ay > y) <> (ey > y) AND x < (ex - ax) * (y - ay) / (ey - ay) + ax GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)), marks AS (SELECT * FROM touched UNION SELECT * FROM filled) "
     f"SELECT * FROM {_DECAY % 'marks'}"
 )
 def polygon_layer(spark, sf):
-    """A polygon with a hole: what lies in both rings is outside."""
-    rows = [(0, [(float(x), float(y)) for x, y in ring]) for ring in _RINGS]
-    return _v(layers.polygon_layer(spark.createDataFrame(rows, "part long, p array<struct<x:double,y:double>>"), META, spark))
+    """A polygon with a hole for each nation: what lies in both of its rings is outside."""
+    n = fx.table(spark, sf, "nation").select(F.col("n_nationkey").alias("part"), F.explode(F.array(F.lit(1.0), F.lit(0.33))).alias("s"))
+    k = F.col("part")
+    sq = n.select("part", (500_613.37 + k * 163.91).alias("x"), (3_999_301.71 - (k * 7 % 25) * 151.13).alias("y"), ((201.7 + k * 3) * F.col("s")).alias("a"), ((37.3 + k) * F.col("s")).alias("b"))
+    x, y, a, b = (F.col(i) for i in "xyab")
+    corner = lambda u, v: F.struct(u.alias("x"), v.alias("y"))
+    rings = sq.select("part", F.array(corner(x - a, y + b), corner(x + b, y + a), corner(x + a, y - b), corner(x - b, y - a)).alias("p"))
+    return _v(layers.polygon_layer(rings, META, spark))
 
 
 @query(

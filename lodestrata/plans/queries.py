@@ -336,10 +336,11 @@ _RING = [(500_450.0, 3_999_350.0), (503_950.0, 3_998_850.0), (503_050.0, 3_996_2
 _CROSS = " + ".join(f"CAST((({b[1]} > y) <> ({a[1]} > y)) AND x < ({b[0]} - {a[0]})::DOUBLE * (y - {a[1]}) / ({b[1]} - {a[1]})::DOUBLE + {a[0]} AS INTEGER)" for a, b in zip(_RING, _RING[1:] + _RING[:1], strict=True))
 
 
-@query(f"WITH {CELLS_SQL}, p AS (SELECT r, c, CAST(500000 + (c + 0.5) * 100 AS DOUBLE) AS x, CAST(4000000 - (r + 0.5) * 100 AS DOUBLE) AS y FROM cells) SELECT r, c FROM p WHERE ({_CROSS}) % 2 = 1")
+@query(f"WITH {grid_sql()}, p AS (SELECT r, c, v, CAST(500000 + (c + 0.5) * 100 AS DOUBLE) AS x, CAST(4000000 - (r + 0.5) * 100 AS DOUBLE) AS y FROM g) SELECT r, c, round(v, 9) + 0.0 AS v FROM p WHERE ({_CROSS}) % 2 = 1")
 def polygon_burn(spark, sf):
+    """The grid's cells in a polygon, with their values."""
     x, y = grid.pixel_to_world(META, F.col("r"), F.col("c"))
-    return grid.cells(spark, META).filter(spatial.inside_ring(x, y, _RING))
+    return _v(fx.grid(spark, sf).filter(spatial.inside_ring(x, y, _RING)), 9)
 
 
 # Sampling
@@ -460,10 +461,12 @@ def depth_status(spark, sf):
     return x.select("r", "c", scalar.depth_status(F.col("s"), F.col("e")).alias("status"))
 
 
-@query("SELECT * FROM (VALUES ('P10', 0.225::DOUBLE), ('P25', 0.309), ('P50', 0.44), ('P75', 0.625), ('P90', 0.859)) t(name, grade)")
+@query("SELECT o_orderkey, name, grade FROM orders JOIN (VALUES (0, 'P10', 0.225::DOUBLE), (1, 'P25', 0.309), (2, 'P50', 0.44), (3, 'P75', 0.625), (4, 'P90', 0.859)) t(i, name, grade) ON o_orderkey % 5 = i")
 def grade_percentiles(spark, sf):
-    rows = spark.createDataFrame([(f"P{p}", p / 100) for p in (10, 25, 50, 75, 90)], "name string, p double")
-    return rows.select("name", F.round(scalar.grade_at(F.col("p")), 3).alias("grade"))
+    """The grade of every order's percentile, one of five."""
+    p = F.get(F.array(*[F.lit(x) for x in (10, 25, 50, 75, 90)]), (F.col("o_orderkey") % 5).cast("int"))
+    rows = fx.table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("P"), p.cast("string")).alias("name"), (p / 100).alias("p"))
+    return rows.select("o_orderkey", "name", F.round(scalar.grade_at(F.col("p")), 3).alias("grade"))
 
 
 _LAYERS = f"WITH {grid_sql()}, {grid_sql('a', flag='A')}, {grid_sql('n', flag='R')}, x AS (SELECT g.r, g.c, g.v / 100 AS f, coalesce(a.v / 100, 0) AS m, coalesce(n.v / 100, 0) AS k FROM g LEFT JOIN a USING (r, c) LEFT JOIN n USING (r, c)), "
@@ -633,7 +636,7 @@ def targets_topk(spark, sf):
     return targets.suppress(targets.maxima(fx.dem(spark, sf), META, 3, 30.0), 3).select("rank", "r", "c", F.round("v", 9).alias("v"))
 
 
-_PCT = f"WITH {grid_sql()}, {grid_sql('a', flag='A')}, w AS (SELECT g.r, g.c, g.v AS f1, a.v AS f2 FROM g LEFT JOIN a USING (r, c)), t AS (SELECT r AS rank, f1, f2 FROM w WHERE r = c AND r < 10) "
+_PCT = f"WITH {grid_sql()}, {grid_sql('a', flag='A')}, w AS (SELECT g.r, g.c, g.v AS f1, a.v AS f2 FROM g LEFT JOIN a USING (r, c)), top AS ({ORACLES['targets_topk']}), t AS (SELECT rank, f1, f2 FROM top JOIN w USING (r, c)) "
 
 
 @query(
@@ -642,7 +645,7 @@ _PCT = f"WITH {grid_sql()}, {grid_sql('a', flag='A')}, w AS (SELECT g.r, g.c, g.
 )
 def target_percentile(spark, sf):
     w = grid.stack(fx.grid(spark, sf).withColumnRenamed("v", "f1"), {"f2": fx.grid(spark, sf, flag="A")})
-    t = w.filter("r = c AND r < 10").select(F.col("r").alias("rank"), "f1", "f2")
+    t = store.stored(targets_topk(spark, sf).select("rank", "r", "c").join(w, ["r", "c"]).select("rank", "f1", "f2"), "targets")
     return targets.percentile_of(w, t, ["f1", "f2"])
 
 
