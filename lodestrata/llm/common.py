@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.deploy import ship  # noqa: F401
@@ -59,6 +59,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in low])
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """df with its columns of these names, which an operator uses itself, renamed; and what brings all back under their names."""
+    low = {n.lower() for n in names}
+    moved = {c: fresh(df, f"_own_{c}") for c in df.columns if c.lower() in low}
+    return df.withColumnsRenamed(moved), [F.col(moved[c]).alias(c) if c in moved else F.col(c) for c in df.columns]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with as many underscores behind it as it takes to be no column of df."""
     taken = {c.lower() for c in df.columns}

@@ -193,13 +193,13 @@ def _pass(docs: DataFrame, bench: DataFrame, window: int, text: str, again: bool
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, most: float = 0.0) -> DataFrame:
     """docs without those of which more than the share `most` of the words is hit."""
-    columns = docs.columns
-    return mark(docs, benchmark, window).filter(F.col("n_hit") <= F.lit(most) * F.col("n_words")).select(*columns)
+    aside, columns = common.aside(docs, *[f.name for f in OWN])
+    return mark(aside, benchmark, window).filter(F.col("n_hit") <= F.lit(most) * F.col("n_words")).select(*columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs with the hit spans cut out of their texts (null stays null)."""
-    columns = docs.columns
+    docs, columns = common.aside(docs, *[f.name for f in OWN])
     cut = F.expr("""aggregate(hit_spans, struct('' as out, 0L as at),
         (a, s) -> struct(concat(a.out, substring(text, cast(a.at + 1 as int), cast(s.start - a.at as int))) as out, s.end as at),
         a -> concat(a.out, substring(text, cast(a.at + 1 as int))))""")

@@ -259,7 +259,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text replaced by mark (overlapping spans by one), n_chars kept in step if there is one."""
-    columns = docs.columns
+    docs, columns = common.aside(docs, "spans")
     found = scan(docs, rules)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -270,7 +270,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
 
     made = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     out = found.withColumn("text", F.when(F.size("spans") > 0, made).otherwise(F.col("text")))
-    if "n_chars" in columns:
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*columns)
 

@@ -813,3 +813,27 @@ def test_targets_against_filling_step_by_step(spark, sizes):
         left -= sum(2.0 * size[s] for s in over)
         free = free - over if over else set()
     assert set(got) == set(want) and all(math.isclose(got[s], want[s], abs_tol=1e-6) for s in want)
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_pipeline_cases(spark, sf, odd, rows):
+    """Nulls, empty and very long texts, repeated rows and clashing columns pass through all stages, and so does nothing."""
+    import corpus_pipeline as p
+
+    table = odd if rows == "odd" else odd.limit(0)
+    for c in ("_d", "_host", "_k", "row", "rid", "u", "v"):
+        table = table.withColumn(c, F.lit("clash"))
+    more = docs(spark, [(100 + i, " ".join(f"plain{i}x{j}" for j in range(80 + i)), "s") for i in range(20)])
+    if rows == "odd":
+        for c in table.columns[5:]:
+            more = more.withColumn(c, F.lit("clash"))
+        table = table.unionByName(more)
+    start = common.stored(table, "odd")
+    now = start
+    for name, stage in p.STAGES:
+        now = common.stored(stage(spark, now, sf), "odd-" + name)
+        own = [c for c in now.columns if c != "copy"]
+        assert own == [c for c in start.columns if c != "copy"], name
+        assert all(r[c] == "clash" for r in now.select(*own).collect() for c in own[5:]), name
+    kept = {r["doc_id"] for r in now.collect()}
+    assert kept <= {100 + i for i in range(20)} | {5} and (len(kept) > 0) == (rows == "odd")
