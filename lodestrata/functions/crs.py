@@ -66,12 +66,17 @@ def of_wkt(text: str | None) -> str | None:
     text = (text or "").strip()
     if not text.startswith(("GEOGCS", "GEOGCRS", "GEODCRS", "PROJCS", "PROJCRS", "COMPD_CS", "COMPOUNDCRS")):
         return None
+    m = re.search(r"UTM[_ ]zone[_ ](\d{1,2})([NS])", text, re.IGNORECASE)
+    code = f"EPSG:{326 if m[2].upper() == 'N' else 327}{int(m[1]):02}" if m else None
+    if not re.search("SPHEROID|ELLIPSOID", text) and re.search(r"WGS[_ ]*(19)?84", text):  # names alone
+        if text.startswith("GEOG"):
+            return "EPSG:4326"
+        if code:
+            return code
     system = projections.parse(text)
     if system.kind == "geographic" and not system.shift and not system.prime and abs(system.unit - 1) < 1e-9 and (system.a, system.inverse) == projections.WGS84:
         return "EPSG:4326"
-    m = re.search(r"UTM[_ ]zone[_ ](\d{1,2})([NS])", text, re.IGNORECASE)
-    if m and system.kind == "tm" and not system.shift:
-        code = f"EPSG:{326 if m[2].upper() == 'N' else 327}{int(m[1]):02}"
+    if code and system.kind == "tm" and not system.shift:
         known = projections.parse(code)
         if all(abs(a - b) < 1e-9 * max(1.0, abs(b)) for a, b in zip(_numbers(system), _numbers(known), strict=True)):
             return code
