@@ -725,11 +725,14 @@ def spatial_cv(spark, sf):
 
 @query()
 def pipeline_targets(spark, sf):
-    """The whole prospectivity pipeline over the fixture grid, with deposits where the field is high."""
+    """The whole prospectivity pipeline over the fixture grid, with deposits where the field is high: by its own spread, as a
+    cell's average varies the less the more lineitems it has."""
     from lodestrata.plans import pipeline
 
     d = fx.grid(spark, sf)
-    spots = terrain.tpi(d, META, 7).filter("v > 12").select("r", "c", (F.col("r") * N + F.col("c")).cast("long").alias("ord"), F.concat(F.lit("d"), F.col("r")).alias("name"), F.lit(1).alias("rank"))
+    above = terrain.tpi(d, META, 7)
+    spread = above.agg(F.stddev("v")).first()[0]
+    spots = above.filter(F.col("v") > 0.6 * F.lit(spread).cast("double")).select("r", "c", (F.col("r") * N + F.col("c")).cast("long").alias("ord"), F.concat(F.lit("d"), F.col("r")).alias("name"), F.lit(1).alias("rank"))
     layers = {"a": fx.grid(spark, sf, flag="A"), "magnetics": _field(spark, sf, 400.0)}
     config = pipeline.Config(terrain_scale_m=300.0, trees=5, folds=2, threshold=0.5, separation=3, depth_window=16)
     result = pipeline.run(spark, d, META, spots, layers, store.fresh_path(spark, "prospect"), config, "magnetics")
