@@ -108,21 +108,26 @@ def negatives(dem: DataFrame, marks: DataFrame, meta: Meta, commodity: str, seed
     return pool.select("r", "c").orderBy(sampling.uniform(seed, "r", "c"), "r", "c").limit(need)
 
 
+def block_draw(samples: DataFrame, h: int, w: int, side: int = 4, seed: int = 42) -> DataFrame:
+    """samples (r, c, ...) with block and test: a quarter of the blocks that have samples, drawn by hash, one at least."""
+    at = lambda v, n: F.least(F.floor(v / max(1, n) * side), F.lit(side - 1)).cast("int")
+    rows = samples.withColumn("block", at(F.col("c"), w) * side + at(F.col("r"), h))
+    order = Window.orderBy(sampling.draw(seed, "block"), "block")  # side * side blocks
+    dealt = rows.select("block").distinct().withColumn("_n", F.row_number().over(order)).withColumn("_k", F.count("*").over(Window.partitionBy()))
+    return rows.join(F.broadcast(dealt), "block").withColumn("test", F.col("_n") <= F.greatest(F.lit(1), F.floor(F.col("_k") / 4))).drop("_n", "_k")
+
+
 def block_split(samples: DataFrame, h: int, w: int, side: int = 4, seed: int = 42) -> DataFrame:
-    """samples (r, c, label) with block and test: a quarter of the blocks that have samples, drawn by hash, one at least.
+    """samples (r, c, label) with block and test, as block_draw has them.
 
     Where that leaves a side without one of the labels, or fewer than five test rows, a quarter of each label's rows is
     drawn instead."""
-    at = lambda v, n: F.least(F.floor(v / max(1, n) * side), F.lit(side - 1)).cast("int")
-    rows = samples.withColumn("block", at(F.col("c"), w) * side + at(F.col("r"), h))
-    dealt = rows.select("block").distinct().withColumn("_n", F.row_number().over(Window.orderBy(sampling.draw(seed, "block"), "block")))  # side * side blocks
-    blocks = dealt.count()
-    split = rows.join(F.broadcast(dealt), "block").withColumn("test", F.col("_n") <= max(1, blocks // 4)).drop("_n")
+    split = block_draw(samples, h, w, side, seed)
     seen = {(r["test"], r["label"]): r["n"] for r in split.groupBy("test", "label").agg(F.count("*").alias("n")).collect()}  # four rows
     if all(seen.get((t, y)) for t in (True, False) for y in (0, 1)) and seen[True, 0] + seen[True, 1] >= 5:
         return split
     share = F.percent_rank().over(Window.partitionBy("label").orderBy(sampling.draw(seed, "r", "c"), "r", "c"))
-    return rows.withColumn("test", share < 0.25)
+    return split.withColumn("test", share < 0.25)
 
 
 def trees_for(n_pos: int) -> int:

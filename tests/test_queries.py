@@ -131,6 +131,13 @@ def test_pipeline_targets_of_an_even_field(spark, even):
     assert rows and min(r["probability"] for r in rows) >= 0.5
 
 
+def test_block_split_of_an_even_field(spark, even, same):
+    """The draw by blocks where no value is low: labels of one kind alone had rows drawn instead."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{even}/lineitem.parquet'")
+    same(q.QUERIES["block_split"](spark, even), con, q.ORACLES["block_split"])
+
+
 def test_every_query_without_sql_is_tested_here():
     import tests.test_queries as own
 
