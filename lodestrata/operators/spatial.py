@@ -23,8 +23,8 @@ from lodestrata.operators.tiles import Block
 
 #: Points that are broadcast at once.
 FEW = 50_000
-#: Copies of a point that a third of all cells may be nearest to.
-SALTS = 32
+#: Cells that a point is the nearest of from which it is broadcast, where points are many.
+WIDE = 100_000
 
 
 def _slices(points: DataFrame) -> list[DataFrame]:
@@ -202,19 +202,28 @@ def idw_grid(points: DataFrame, meta: Meta, power: float = 2.0) -> DataFrame:
 
 def nearest_on_grid(points: DataFrame, meta: Meta) -> DataFrame:
     """Every cell (r, c) with dist, in metres, and the columns p_* of the nearest point (r, c, ord, ...); of points as near,
-    the first by ord. A distance transform that carries the mark, then one join by the marks' cells."""
-    near = nearest_marks(points, meta).withColumnsRenamed({"d": "dist", "mr": "p_r", "mc": "p_c", "ord": "p_ord"})
-    other = [F.first(c).alias(f"p_{c}") for c in points.columns if c not in ("r", "c", "ord")]
+    the first by ord. A distance transform that carries the mark, then one join by the marks' cells.
+
+    Of a cell's points only the first by ord is ever the nearest: the others go before anything is joined or copied."""
+    other = [c for c in points.columns if c not in ("r", "c", "ord")]
     if not other:
-        return near
-    p = store.stored(points.groupBy(F.col("r").alias("p_r"), F.col("c").alias("p_c"), F.col("ord").alias("p_ord")).agg(*other), "nearest-points")
+        return _named(nearest_marks(points, meta))
+    inside = points.filter(F.col("r").between(0, meta.h - 1) & F.col("c").between(0, meta.w - 1)).withColumns({"r": F.col("r").cast("int"), "c": F.col("c").cast("int"), "ord": F.col("ord").cast("long")})
+    marks = store.stored(inside.groupBy("r", "c").agg(F.min("ord").alias("ord")), "nearest-marks")
+    few = marks.count() <= FEW
+    own = inside.join(F.broadcast(marks) if few else marks, ["r", "c", "ord"])
+    p = store.stored(own.groupBy(*[F.col(k).alias(f"p_{k}") for k in ("r", "c", "ord")]).agg(*[F.first(c).alias(f"p_{c}") for c in other]), "nearest-points")
     keys = ["p_r", "p_c", "p_ord"]
-    if p.count() <= FEW:
-        return near.join(F.broadcast(p), keys)
-    # Of many points each may still be the nearest of very many cells: cells are dealt over copies of their point.
-    salt = F.pmod(F.xxhash64("r", "c"), F.lit(SALTS)).cast("int")
-    copies = p.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return near.withColumn("_salt", salt).join(copies, [*keys, "_salt"]).drop("_salt")
+    if few:
+        return _named(nearest_marks(marks, meta)).join(F.broadcast(p), keys)
+    # Of many points some may still be the nearest of very many cells: those few are broadcast, and their cells stay where they are.
+    near = store.stored(_named(nearest_marks(marks, meta)), "nearest-cells")
+    wide = store.stored(near.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > WIDE).drop("_n"), "nearest-wide")
+    return near.join(F.broadcast(p.join(F.broadcast(wide), keys)), keys).unionByName(near.join(F.broadcast(wide), keys, "left_anti").join(p, keys))
+
+
+def _named(near: DataFrame) -> DataFrame:
+    return near.withColumnsRenamed({"d": "dist", "mr": "p_r", "mc": "p_c", "ord": "p_ord"})
 
 
 def nearest(left: DataFrame, points: DataFrame, dx: float = 1.0, dy: float = 1.0, keys: tuple[str, ...] = ("r", "c")) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata import store
 from lodestrata.operators import grid, ranks, spatial, spectra
 from lodestrata.operators.grid import Meta
 from tests.test_grid import array, cells
@@ -74,6 +75,41 @@ def test_nearest_off_the_grid(spark):
     assert set(spatial.nearest(left, right, keys=("id",)).columns) == {"id", "dist", "p_ord", "p_r", "p_c", "p_name"}
 
 
+def _kept_rows(monkeypatch):
+    """The sizes of all tables that are stored from here on."""
+    kept, stored = {}, store.stored
+
+    def count(df, tag):
+        out = stored(df, tag)
+        kept[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(store, "stored", count)
+    return kept
+
+
+@pytest.mark.parametrize("few", [10, 50_000])
+def test_points_of_one_cell_are_not_copied(spark, monkeypatch, few):
+    """Of 3,000 points on 30 cells the 30 first are left, whether they are broadcast or joined."""
+    meta = Meta(30, 30, dx=1.0, dy=-1.0)
+    points = spark.range(3_000).select((F.col("id") % 30).cast("int").alias("r"), (F.col("id") * 7 % 30).cast("int").alias("c"), (F.col("id") * 11 % 3_001).alias("ord"), F.concat(F.lit("p"), F.col("id")).alias("name"))
+    first = {}
+    for p in points.collect():
+        first[p["r"], p["c"]] = min(first.get((p["r"], p["c"]), (9_999, "")), (p["ord"], p["name"]))
+    kept = _kept_rows(monkeypatch)
+    for limit in (None, 3):
+        monkeypatch.setattr(spatial, "FEW", few)
+        if limit:
+            monkeypatch.setattr(spatial, "WIDE", limit)
+        out = spatial.nearest_on_grid(points, meta)
+        assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r["r"], r["c"]): r for r in out.collect()}
+        assert len(got) == 900 and kept["nearest-points"] == len(first) == 30
+        for (r, c), x in got.items():
+            least = min((r - a) ** 2 + (c - b) ** 2 for a, b in first)
+            assert np.isclose(x["dist"] ** 2, least) and (x["p_ord"], x["p_name"]) == min(v for (a, b), v in first.items() if (r - a) ** 2 + (c - b) ** 2 == least)
+
+
 def test_many_marks_are_dealt(spark, monkeypatch):
     meta = Meta(30, 30)
     points = spark.createDataFrame([(i, 29 - i, i, f"p{i}") for i in range(30)], "r int, c int, ord long, name string")
