@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata import store
 from lodestrata.operators import grid, ranks, spatial, spectra
 from lodestrata.operators.grid import Meta
+from lodestrata.plans import fixtures, queries
 from tests.test_grid import array, cells
 
 RNG = np.random.default_rng(8)
@@ -110,6 +111,14 @@ def test_points_of_one_cell_are_not_copied(spark, monkeypatch, few):
             assert np.isclose(x["dist"] ** 2, least) and (x["p_ord"], x["p_name"]) == min(v for (a, b), v in first.items() if (r - a) ** 2 + (c - b) ** 2 == least)
 
 
+@pytest.mark.parametrize("name", ["nearest_deposit", "nearest_value"])
+def test_nearest_orders_by_cell(spark, sf, monkeypatch, name):
+    """Of all orders the first of each cell is kept."""
+    used = fixtures.deposits(spark, sf).select("r", "c").distinct().count()
+    kept = _kept_rows(monkeypatch)
+    assert queries.QUERIES[name](spark, sf).count() > 0 and kept["nearest-points"] == used
+
+
 def test_many_marks_are_dealt(spark, monkeypatch):
     meta = Meta(30, 30)
     points = spark.createDataFrame([(i, 29 - i, i, f"p{i}") for i in range(30)], "r int, c int, ord long, name string")
