@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata import store
@@ -26,6 +26,9 @@ FEW = 50_000
 #: Cells that a point is the nearest of from which it is broadcast, where points are many.
 WIDE = 100_000
 
+#: Points of a square that one list holds, and those that a point may share its first square with, on average.
+LIST, CROWD = 256, 32
+
 
 def _slices(points: DataFrame) -> list[DataFrame]:
     """points as tables of about FEW rows at most, each to be broadcast by itself."""
@@ -226,12 +229,20 @@ def _named(near: DataFrame) -> DataFrame:
     return near.withColumnsRenamed({"d": "dist", "mr": "p_r", "mc": "p_c", "ord": "p_ord"})
 
 
+def _lists(p: DataFrame, rest: list[str]) -> DataFrame:
+    """The points of a square (i, j) as lists of at most LIST: a row for each, however many points a square has."""
+    row = F.row_number().over(Window.partitionBy("i", "j").orderBy("p_r", "p_c"))
+    point = F.struct(F.col("b.ord").alias("p_ord"), "p_r", "p_c", *[F.col(f"b.{c}").alias(f"p_{c}") for c in rest])
+    return p.withColumn("k", F.floor((row - 1) / LIST)).groupBy("i", "j", "k").agg(F.collect_list(point).alias("near")).drop("k")
+
+
 def nearest(left: DataFrame, points: DataFrame, dx: float = 1.0, dy: float = 1.0, keys: tuple[str, ...] = ("r", "c")) -> DataFrame:
     """left's keys with dist and the columns p_* of the nearest of points (r, c, ord, ...); of points as near, the first by ord.
 
     Places off any grid, as many as there may be. Each place looks at the points of its square and the eight about it; what is
     found within a square's side is the nearest. Only places that found nothing so near go on, with squares twice as wide. A
-    place or a point that occurs often is looked at once."""
+    place or a point that occurs often is looked at once. The points of a square come as lists, and of places and points the
+    fewer are copied to the nine squares: no pair of the two is ever a row. Where points lie in crowds, squares begin smaller."""
     at = lambda r, c: (F.col(r) * dy, F.col(c) * dx)
     rest = [c for c in points.columns if c not in ("r", "c", "ord")]
     first = F.min(F.struct("ord", *rest)).alias("b")
@@ -240,26 +251,45 @@ def nearest(left: DataFrame, points: DataFrame, dx: float = 1.0, dy: float = 1.0
     (py, px), (qy, qx) = at("p_r", "p_c"), at("r", "c")
     edges = [F.min, F.max]
     n, *ends = p.agg(F.count("*"), *[f(x) for x in (py, px) for f in edges]).first()
-    own = q.agg(*[f(x) for x in (qy, qx) for f in edges]).first()
+    left_over, *own = q.agg(F.count("*"), *[f(x) for x in (qy, qx) for f in edges]).first()
     found = None
-    if n and own[0] is not None:
+    if n and left_over:
         spans = [max(ends[i + 1], own[i + 1]) - min(ends[i], own[i]) for i in (0, 2)]
-        side = max(1.5 * math.sqrt(max(ends[1] - ends[0], 1e-9) * max(ends[3] - ends[2], 1e-9) / n), max(spans) / 1e6, 1e-9)
+        tiny = max(max(spans) / 1e6, 1e-9)
+        side = max(1.5 * math.sqrt(max(ends[1] - ends[0], 1e-9) * max(ends[3] - ends[2], 1e-9) / n), tiny)
+        square = lambda x: F.floor(x / F.lit(side))
+        while side > tiny:
+            # The points that a point shares its square with, on average.
+            crowd = p.groupBy(square(py).alias("i"), square(px).alias("j")).agg(F.count("*").alias("m")).agg(F.sum(F.col("m").cast("double") * F.col("m")) / n).first()[0]
+            if crowd <= CROWD:
+                break
+            side = max(side / 2, tiny)
         steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+
+        def dealt(rows: DataFrame, y: Column, x: Column, to_all: bool) -> DataFrame:
+            own = rows.withColumns({"i": square(y), "j": square(x)})
+            if not to_all:
+                return own
+            own = own.withColumn("a", F.explode(steps)).withColumn("i", F.col("i") + F.col("a"))
+            return own.withColumn("a", F.explode(steps)).withColumn("j", F.col("j") + F.col("a")).drop("a")
+
+        def measured(x: Column) -> Column:
+            y, z = x["p_r"] * dy, x["p_c"] * dx
+            return F.struct(F.sqrt((y - qy) ** 2 + (z - qx) ** 2).alias("dist"), *[x[f"p_{c}"].alias(f"p_{c}") for c in ("ord", "r", "c", *rest)])
+
         while True:
-            square = lambda x: F.floor(x / F.lit(side))  # noqa: B023, E731
-            dealt = q.select("r", "c", F.explode(steps).alias("a")).select("r", "c", "a", F.explode(steps).alias("b_"))
-            dealt = dealt.select("r", "c", (square(qy) + F.col("a")).alias("i"), (square(qx) + F.col("b_")).alias("j"))
-            near = dealt.join(p.withColumns({"i": square(py), "j": square(px)}), ["i", "j"])
-            d = F.sqrt((py - qy) ** 2 + (px - qx) ** 2)
-            best = near.groupBy("r", "c").agg(F.min(F.struct(d.alias("dist"), F.col("b.ord").alias("p_ord"), "p_r", "p_c", *[F.col(f"b.{c}").alias(f"p_{c}") for c in rest])).alias("b"))
+            few = left_over < n
+            near = dealt(q, qy, qx, few).join(_lists(dealt(p, py, px, not few), rest), ["i", "j"], "left")
+            best = near.select("i", "j", "r", "c", F.array_min(F.transform("near", measured)).alias("b"))
+            # A place that is in one square only has all its lists in it, and so in one task.
+            best = best.groupBy(*([] if few else ["i", "j"]), "r", "c").agg(F.min("b").alias("b"))
             last = side > max(spans)
-            looked = store.stored(q.join(best, ["r", "c"], "left"), "nearest-round")
+            looked = store.stored(best.select("r", "c", "b"), "nearest-round")
             sure = F.col("b").isNotNull() & (F.lit(last) | (F.col("b.dist") < side))
             done = looked.filter(sure).select("r", "c", "b.*")
             found = done if found is None else found.unionByName(done)
             q = looked.filter(~sure).select("r", "c")
-            if last or q.isEmpty():
+            if last or not (left_over := q.count()):
                 break
             side *= 2
     if found is None:

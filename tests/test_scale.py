@@ -76,6 +76,29 @@ def test_nearest_off_the_grid(spark):
     assert set(spatial.nearest(left, right, keys=("id",)).columns) == {"id", "dist", "p_ord", "p_r", "p_c", "p_name"}
 
 
+@pytest.mark.parametrize(("n_places", "n_points"), [(300, 90), (90, 300)])
+def test_nearest_in_crowds(spark, monkeypatch, n_places, n_points):
+    """Nine of ten in a corner, lists of four points: all are found, and pairs are no rows."""
+    monkeypatch.setattr(spatial, "LIST", 4, raising=False)
+    monkeypatch.setattr(spatial, "CROWD", 8, raising=False)
+    plans, stored = [], store.stored
+
+    def seen(df, tag):
+        if tag == "nearest-round":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, tag)
+
+    monkeypatch.setattr(store, "stored", seen)
+    lay = lambda n: np.where(np.arange(n)[:, None] % 10 > 0, RNG.integers(0, 25, (n, 2)), RNG.integers(0, 1_000, (n, 2)))
+    places, points = lay(n_places), lay(n_points)
+    left = spark.createDataFrame([(i, int(r), int(c)) for i, (r, c) in enumerate(places)], "id int, r int, c int")
+    right = spark.createDataFrame([(int(r), int(c), i) for i, (r, c) in enumerate(points)], "r int, c int, ord long")
+    got = {r["id"]: (r["dist"], r["p_ord"]) for r in spatial.nearest(left, right, keys=("id",)).collect()}
+    assert plans and all("collect_list" in p for p in plans)
+    d2 = ((places[:, None] - points[None]) ** 2).sum(axis=2)
+    assert got == {i: (float(np.sqrt(row.min())), int(row.argmin())) for i, row in enumerate(d2)}
+
+
 def _kept_rows(monkeypatch):
     """The sizes of all tables that are stored from here on."""
     kept, stored = {}, store.stored
