@@ -1,5 +1,6 @@
 """Ranks of many columns, transforms over strips, inverse distances by convolution, and nearest places off the grid."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -142,6 +143,40 @@ def test_nearest_orders_by_cell(spark, sf, monkeypatch, name):
     assert queries.QUERIES[name](spark, sf).count() > 0 and kept["nearest-points"] == used
 
 
+def _shuffled(spark, run):
+    """Bytes that run shuffles, spills and writes, by the stages that it starts."""
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return [found.apply(i) for i in range(found.size())]
+
+    last = max((x.stageId() for x in stages()), default=-1)
+    run()
+    own = [x for x in stages() if x.stageId() > last]
+    assert own
+    return sum(x.shuffleWriteBytes() + x.memoryBytesSpilled() + x.diskBytesSpilled() + x.outputBytes() for x in own)
+
+
+@pytest.mark.parametrize("name", ["nearest_deposit", "nearest_value"])
+def test_more_orders_shuffle_no_more(spark, sf, tmp_path, same, name):
+    """Of 40 times the orders no more is shuffled, and the rows are those of the SQL."""
+    orders = fixtures.table(spark, sf, "orders")
+    step = orders.agg(F.max("o_orderkey")).first()[0] + 1
+    size = {}
+    for n in (1, 40):
+        at = tmp_path / str(n)
+        copies = orders.crossJoin(spark.range(n).withColumnRenamed("id", "i")).withColumn("o_orderkey", F.col("o_orderkey") + F.col("i") * step).drop("i")
+        copies.coalesce(1).sortWithinPartitions(F.desc("o_orderkey")).write.parquet(f"{at}/orders.parquet")
+        fixtures.table(spark, sf, "lineitem").coalesce(1).write.parquet(f"{at}/lineitem.parquet")
+        con = duckdb.connect()
+        for t in ("orders", "lineitem"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet/*.parquet'")
+        size[n] = _shuffled(spark, lambda: same(queries.QUERIES[name](spark, str(at)), con, queries.ORACLES[name]))  # noqa: B023
+    assert size[40] < 2 * size[1]
+
+
 def test_many_marks_are_dealt(spark, monkeypatch):
     meta = Meta(30, 30)
     points = spark.createDataFrame([(i, 29 - i, i, f"p{i}") for i in range(30)], "r int, c int, ord long, name string")
