@@ -5,6 +5,8 @@ one. Two documents link when 100 * intersection >= percent * union. The join is
 
 1. Equal sets (by a 128-bit sum) become one class; only classes are joined.
 2. Token frequencies over all documents give a global order: rare tokens first, by hash, then frequent ones by frequency.
+   The most frequent ones are known exactly, the others above the bar by a filter of bits: what it takes for frequent
+   besides is so for every set, and changes no result.
 3. Of a set of n tokens, a partner lacks t = n - ceil(percent * n / 100) at most. Its prefix extends until it holds t + 1
    signatures that t absences cannot destroy: each rare token is one by itself; of frequent tokens every pair within a
    subclass is indexed, so a subclass with c of them survives c - 1 absences. Subclasses split the frequent tokens of
@@ -16,8 +18,9 @@ one. Two documents link when 100 * intersection >= percent * union. The join is
 5. Groups of candidates are verified whole: the tokens of at most BLOCK classes by BLOCK are multiplied as matrices in
    a task, which passes on only a spanning forest of the links found. Components of these forests are the answer.
 
-Scale: texts are never shuffled; token counts travel as compressed sorted blocks; equal sets are dropped in each task
-before the shuffle; hot lists are streamed with one pivot in memory. A group larger than a block is dealt out as pairs
+Scale: texts are never shuffled; token counts and signatures travel as compressed sorted blocks, a signature in some ten
+bytes; equal sets are dropped in each task before the shuffle; of hot lists one pivot stays in memory. Lists of rare tokens
+stay short however many tokens are frequent, or their pivots would join all documents in one group. A group larger than a block is dealt out as pairs
 of blocks, so no task holds more than two; blocks hold classes of like size, and only those meet whose sizes can link.
 A component's hubs are broadcast, so no key of the joins is hot.
 
@@ -44,10 +47,14 @@ from lodestrata.llm.components import components
 
 FOLDS = tokens.folding(tokens.SPACE)
 U = np.uint64
-#: A token this frequent is a candidate for the frequent classes; FREQUENT of them at most, else the bar is doubled.
+#: A token this frequent is a candidate for the frequent classes; FREQUENT of them at most, else the bar is doubled. Those
+#: below that bar are bits of a filter of 2^MIDDLE, 32 MB; MIDDLING tokens in it at most, else its own bar is doubled.
 BAR, FREQUENT = 16, 1_000_000
+MIDDLE, MIDDLING = 28, 1 << 25
 #: Bits of a token's hash that are counted, and tokens that a task gathers or a reducer merges at once.
 COUNTED, GATHER = 40, 2_000_000
+#: Bits of a signature, bits of s1 that name a class beside it, and signatures that a task packs at once (twice: holds).
+SIGNED, NAMED, HELD = 40, 48, 1_000_000
 #: Lists of rare tokens up to this long give pairs.
 LIST = 16
 BLOCK, BLOCK_TOKENS = 768, 2_000_000
@@ -163,13 +170,30 @@ def _frequent(docs: DataFrame, rule: Rule, total: int) -> DataFrame:
     return blobs.groupBy("range").applyInArrow(merge, "key long, count long")
 
 
-def _bar(counted: DataFrame) -> int:
-    """The least power of two from BAR on that leaves FREQUENT tokens at most."""
+def _bars(counted: DataFrame) -> tuple[int, int]:
+    """The least powers of two from BAR on that leave FREQUENT and MIDDLING tokens at most."""
     by = counted.groupBy(F.floor(F.log2(F.col("count").cast("double"))).alias("b")).agg(F.count("*").alias("n")).collect()  # 60 rows at most
-    bar = BAR
-    while sum(r["n"] for r in by if 2 ** r["b"] >= bar) > FREQUENT:
-        bar *= 2
-    return bar
+
+    def least(most: int) -> int:
+        bar = BAR
+        while sum(r["n"] for r in by if 2 ** r["b"] >= bar) > most:
+            bar *= 2
+        return bar
+
+    return least(FREQUENT), least(MIDDLING)
+
+
+def _order(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Sorted keys of the most frequent tokens, their frequency classes, and the filter of the other frequent ones, if any."""
+    bar, low = _bars(counted)
+    top = counted.filter(F.col("count") >= bar).toArrow()  # FREQUENT rows at most
+    keys, often = top["key"].to_numpy().view(U), top["count"].to_numpy()
+    order = np.argsort(keys)
+    middle = None
+    if low < bar:
+        between = (F.col("count") >= low) & (F.col("count") < bar)
+        middle = _filter(counted.filter(between).select(F.shiftleft("key", 64 - COUNTED).alias("s1")), MIDDLE)
+    return keys[order], np.floor(np.log2(np.maximum(often[order], 1))).astype(np.int8), middle
 
 
 def level(n: int) -> int:
@@ -201,21 +225,50 @@ def prefix(s: np.ndarray, order: np.ndarray, often: np.ndarray, rule: Rule) -> t
     return rare, pairs, n - len(rare)
 
 
-def _signatures(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """sig, s1, s2, n and slack (-1 for pairs of frequent tokens) of every indexed signature."""
+def _planes(x: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(x.astype(U).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def pack_signatures(sig: np.ndarray, name: np.ndarray, n: np.ndarray, slack: np.ndarray, rule: Rule) -> bytes:
+    """Rows in the order of sig. Where all single tokens of a prefix are rare, slack follows from n: it takes no room."""
+    lack = np.where(slack < 0, 0, slack - (n - rule.misses(n) - 1) + 1)
+    return zstandard.ZstdCompressor(level=1).compress(_planes(np.diff(sig, prepend=U(0)), SIGNED // 8) + _planes(name, NAMED // 8) + _planes(n, 4) + _planes(lack, 4))
+
+
+def unpack_signatures(blob: bytes, rule: Rule) -> list[np.ndarray]:
+    rows = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape((SIGNED + NAMED) // 8 + 8, -1)
+    out, at = [], 0
+    for width in (SIGNED // 8, NAMED // 8, 4, 4):
+        x = np.zeros((rows.shape[1], 8), np.uint8)
+        x[:, :width] = rows[at : at + width].T
+        out.append(x.view(np.int64).ravel())
+        at += width
+    steps, name, n, lack = out
+    return [np.cumsum(steps), name, n, np.where(lack == 0, -1, lack - 1 + n - rule.misses(n) - 1)]
+
+
+def _signatures(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray, np.ndarray | None], total: int) -> DataFrame:
+    """Every indexed signature with its class's name, n and slack (-1 for pairs of frequent tokens), packed by range."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    ranges = max(4, int(2 * total / GATHER).bit_length())  # bits
+    shift = U(SIGNED - ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, classes = shared.value
+        keys, classes, middle = shared.value
         seen: set[tuple[int, int]] = set()
-        out: list[tuple[np.ndarray, int, int, int, int]] = []
+        out: list[tuple[np.ndarray, int, int, int]] = []
         size = 0
 
         def made() -> pa.RecordBatch:
             lengths = [len(x[0]) for x in out]
-            columns = [pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), *[pa.array(np.repeat(np.array([x[i] for x in out], t), lengths)) for i, t in ((1, np.int64), (2, np.int64), (3, np.int32), (4, np.int32))]]
+            sig = tokens.mix(np.concatenate([x[0] for x in out])) >> U(64 - SIGNED)
+            order = np.argsort(sig)
+            rows = [sig[order], *[np.repeat(np.array([x[i] for x in out], np.int64), lengths)[order] for i in (1, 2, 3)]]
             out.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["sig", "s1", "s2", "n", "slack"])
+            cut = np.append(np.searchsorted(rows[0], np.arange(1 << ranges, dtype=U) << shift), len(sig))
+            some = [r for r in range(1 << ranges) if cut[r + 1] > cut[r]]
+            blobs = [pack_signatures(*[c[cut[r] : cut[r + 1]] for c in rows], rule) for r in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=["range", "blob"])
 
         for batch in batches:
             for _, s in sets(batch.column(0), rule.k):
@@ -225,38 +278,47 @@ def _signatures(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndar
                 if len(seen) > 500_000:
                     seen.clear()
                 part = s >> U(64 - COUNTED)
+                often, order = np.zeros(len(s), bool), np.full(len(s), BAR.bit_length() - 1, np.int8)
+                if middle is not None:
+                    at = (part >> U(COUNTED - MIDDLE)).astype(np.int64)
+                    often = (middle[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
                 if len(keys):
                     pos = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
-                    often, order = keys[pos] == part, classes[pos]
-                else:
-                    often, order = np.zeros(len(s), bool), np.zeros(len(s), np.int8)
+                    top = keys[pos] == part
+                    often |= top
+                    order[top] = classes[pos[top]]
                 single, pairs, slack = prefix(s, order, often, rule)
-                if len(single):
-                    out.append((single, *name, len(s), slack))
-                    size += len(single)
-                for p in pairs:
-                    if len(p):
-                        out.append((p, *name, len(s), -1))
-                        size += len(p)
-                if size > 200_000:
+                short = (name[0] & ((1 << 64) - 1)) >> (64 - NAMED)
+                for sigs, open_ in [(single, slack), *[(p, -1) for p in pairs]]:
+                    if len(sigs):
+                        out.append((sigs, short, len(s), open_))
+                        size += len(sigs)
+                if size > HELD:
                     yield made()
                     size = 0
         if out:
             yield made()
 
-    return docs.select("text").mapInArrow(run, "sig long, s1 long, s2 long, n int, slack int")
+    return docs.select("text").mapInArrow(run, "range int, blob binary")
+
+
+def _lists(held: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows in the order of sig and name, where each list begins, its length, and whether it takes a pivot."""
+    cols = [np.concatenate([h[i] for h in held]) for i in range(4)]
+    order = np.lexsort(cols[::-1])
+    cols = [c[order] for c in cols]
+    keep = np.ones(len(order), bool)
+    keep[1:] = np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)
+    cols = [c[keep] for c in cols]
+    head = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
+    length = np.diff(np.append(head, len(cols[0])))
+    return cols, head, length, (length > LIST) | (np.minimum.reduceat(cols[3], head) < 0)
 
 
-def meet(cols: list[np.ndarray], rule: Rule) -> list[np.ndarray]:
-    """Candidate edges of whole lists: columns sig, s1, s2, n, slack sorted by sig, s1, s2, to a1, a2, b1, b2, need (-1: by a pivot)."""
-    sig, s1, s2, n, slack = cols
-    keep = np.ones(len(sig), bool)
-    keep[1:] = (sig[1:] != sig[:-1]) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
-    sig, s1, s2, n, slack = (c[keep] for c in (sig, s1, s2, n, slack))
-    head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    length = np.diff(np.append(head, len(sig)))
+def meet(held: list[list[np.ndarray]], rule: Rule) -> list[np.ndarray]:
+    """Candidate edges of whole lists: columns sig, name, n, slack to a, b, need (-1: by a pivot)."""
+    (sig, name, n, slack), head, length, pivoted = _lists(held)
     run = np.repeat(np.arange(len(head)), length)
-    pivoted = (length > LIST) | (slack[head] < 0)
     left, right, need = [], [], []
     i = np.flatnonzero(pivoted[run])
     i = i[i != head[run[i]]]
@@ -266,7 +328,7 @@ def meet(cols: list[np.ndarray], rule: Rule) -> list[np.ndarray]:
     short = ~pivoted & (length > 1)
     for lag in range(1, int(length[short].max()) if short.any() else 0):
         i = np.flatnonzero(short[run[: len(sig) - lag]] & (run[: len(sig) - lag] == run[lag:]))
-        small, large = np.minimum(n[i], n[i + lag]).astype(np.int64), np.maximum(n[i], n[i + lag]).astype(np.int64)
+        small, large = np.minimum(n[i], n[i + lag]), np.maximum(n[i], n[i + lag])
         fit = 100 * small >= rule.percent * large
         i, small, large = i[fit], small[fit], large[fit]
         overlap = -(-rule.percent * (small + large) // (100 + rule.percent))
@@ -274,49 +336,61 @@ def meet(cols: list[np.ndarray], rule: Rule) -> list[np.ndarray]:
         right.append(i + lag)
         need.append(np.maximum(overlap - np.maximum(slack[i], slack[i + lag]), 0))
     a, b = np.concatenate(left), np.concatenate(right)
-    return [s1[a], s2[a], s1[b], s2[b], np.concatenate(need).astype(np.int32)]
+    return [name[a], name[b], np.concatenate(need).astype(np.int32)]
+
+
+def fold(held: list[list[np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges of the lists so far that take a pivot, and the rows that stay: their pivots, marked, and the other lists."""
+    cols, head, length, pivoted = _lists(held)
+    run = np.repeat(np.arange(len(head)), length)
+    cols[3] = np.where(pivoted[run], -1, cols[3])
+    first = np.zeros(len(run), bool)
+    first[head] = True
+    others = np.flatnonzero(pivoted[run] & ~first)
+    edges = [cols[1][head[run[others]]], cols[1][others], np.full(len(others), -1, np.int32)]
+    stay = ~pivoted[run] | first
+    return edges, [c[stay] for c in cols]
 
 
 def _candidates(signatures: DataFrame, rule: Rule) -> DataFrame:
-    """a1, a2, b1, b2: edges between classes that may link, or that a pivot holds together."""
-    names = ["a1", "a2", "b1", "b2", "need"]
+    """a, b: edges between names of classes that may link, or that a pivot holds together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+        now, held, size, most = None, [], 0, 2 * HELD
+        out = lambda edges: pa.RecordBatch.from_arrays([pa.array(c) for c in edges], names=["a", "b", "need"])
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(i).to_numpy() for i in range(5)]
-            if rest is not None:
-                cols = [np.concatenate([a, b]) for a, b in zip(rest, cols, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1])) if (cols[0][1:] >= cols[0][:-1]).all() else int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1
-            rest = [c[cut:] for c in cols]
-            if cut:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in meet([c[:cut] for c in cols], rule)], names=names)
-            if len(rest[0]) > 50_000:  # one list goes on: keep its pivot
-                forced = [*rest[:4], np.full(len(rest[0]), -1, np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in meet(forced, rule)], names=names)
-                rest = [c[:1].copy() for c in forced]
-        if rest is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in meet(rest, rule)], names=names)
-
-    ordered = signatures.repartition("sig").sortWithinPartitions("sig", "s1", "s2")
-    met = ordered.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, need int")
-    return met.groupBy("a1", "a2", "b1", "b2").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("need < 0 OR c >= need").select("a1", "a2", "b1", "b2")
-
-
-def _filter(classes: DataFrame) -> np.ndarray:
-    """A bit for each leading FILTER bits of s1 that a class has; set in parts on executors, so no keys reach the driver."""
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != now and held:
+                    yield out(meet(held, rule))
+                    held, size, most = [], 0, 2 * HELD
+                now = part
+                held.append(unpack_signatures(blob.as_py(), rule))
+                size += len(held[-1][0])
+                if size > most:
+                    edges, rest = fold(held)
+                    yield out(edges)
+                    held, size = [rest], len(rest[0])
+                    most = max(most, 2 * size)
+        if held:
+            yield out(meet(held, rule))
+
+    ordered = signatures.repartition("range").sortWithinPartitions("range")
+    met = ordered.mapInArrow(run, "a long, b long, need int")
+    return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("need < 0 OR c >= need").select("a", "b")
+
+
+def _filter(classes: DataFrame, size: int = FILTER) -> np.ndarray:
+    """A bit for each leading `size` bits of s1 that a row has; set in parts on executors, so no keys reach the driver."""
 
     def mark(table: pa.Table) -> pa.Table:
-        at = (table["s1"].to_numpy().view(U) >> U(64 - FILTER)) & U((1 << (FILTER - PARTS)) - 1)
-        bits = np.zeros(1 << (FILTER - PARTS), bool)
+        at = (table["s1"].to_numpy().view(U) >> U(64 - size)) & U((1 << (size - PARTS)) - 1)
+        bits = np.zeros(1 << (size - PARTS), bool)
         bits[at] = True
         return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
     keyed = classes.select(F.shiftrightunsigned("s1", 64 - PARTS).alias("part"), "s1")
     found = keyed.groupBy("part").applyInArrow(mark, "part long, bits binary").toArrow()  # 2^PARTS rows of fixed size
-    out = np.zeros((1 << PARTS, 1 << (FILTER - PARTS - 3)), np.uint8)
+    out = np.zeros((1 << PARTS, 1 << (size - PARTS - 3)), np.uint8)
     for part, bits in zip(found["part"].to_pylist(), found["bits"].to_pylist(), strict=True):
         out[part] = np.frombuffer(bits, np.uint8)
     return out.ravel()
@@ -433,16 +507,12 @@ def _linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     classes = common.stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counted = common.stored(_frequent(docs, rule, total), "frequent")
-    top = counted.filter(F.col("count") >= _bar(counted)).toArrow()  # FREQUENT rows at most
+    frequent = _order(counted)
     common.release(counted)
-    keys, often = top["key"].to_numpy().view(U), top["count"].to_numpy()
-    order = np.argsort(keys)
-    frequent = keys[order], np.floor(np.log2(np.maximum(often[order], 1))).astype(np.int8)
-    edges = _candidates(_signatures(docs, rule, frequent), rule)
-    node = classes.select("s1", "s2", "node")
-    a = node.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("node").alias("u"))
-    b = node.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("node").alias("v"))
-    groups = common.stored(components(edges.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("u", "v")), "groups")
+    edges = _candidates(_signatures(docs, rule, frequent, total), rule)
+    short = F.shiftrightunsigned("s1", 64 - NAMED)
+    a, b = (classes.select(short.alias(name), F.col("node").alias(node)) for name, node in (("a", "u"), ("b", "v")))
+    groups = common.stored(components(edges.join(a, "a").join(b, "b").select("u", "v")), "groups")
     grouped = common.stored(classes.join(groups, "node").select("s1", "s2", "node", "n", "label"), "grouped")
     dealt = common.stored(_deal(grouped, rule), "dealt")
     common.release(groups, grouped)
