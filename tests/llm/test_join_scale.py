@@ -68,3 +68,22 @@ def test_join_packs_signatures():
     assert (want[2] == -1).all()
     edges += zip(*(x.tolist() for x in simjoin.meet(held, rule)[:2]), strict=True)
     assert parts(edges) == parts(zip(want[0].tolist(), want[1].tolist(), strict=True))
+
+
+def test_join_of_op5_stays_apart_with_many_frequent_tokens(spark, monkeypatch):
+    """Three words at 0.9 as in op5: passages that 30 texts have are no reason to verify all texts in one group."""
+    rng = random.Random(6)
+    pool = [[f"p{i}a", f"p{i}b", f"p{i}c"] for i in range(300)]
+    texts = [sum(([f"own{d}x{i}a", f"own{d}x{i}b", *passage] for i, passage in enumerate(rng.sample(pool, 20))), []) for d in range(450)]
+    sizes = []
+
+    def deal(members, rule, real=simjoin._deal):
+        sizes.append(members.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0])
+        return real(members, rule)
+
+    monkeypatch.setattr(simjoin, "_deal", deal)
+    monkeypatch.setattr(simjoin, "FREQUENT", 20)
+    rows = [(d, " ".join(t)) for d, t in enumerate([*texts, [*texts[7], "more"]])]
+    got = simjoin.link(spark.createDataFrame(rows, "doc_id long, text string"), simjoin.Rule(3, 90)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: 7 if d == 450 else d for d in range(451)}
+    assert sizes[0] <= 4
